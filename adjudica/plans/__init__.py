@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_metrics", "q_calibrate", "q_answers", "q_compare"]
+MODULES = ["q_sources", "q_convert"]
 
 
 def load():
