@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_sources", "q_augment", "q_rules"]
+MODULES = ["q_teacher"]
 
 
 def load():

@@ -92,9 +92,9 @@ def concat_sources(spark, base):
     return S.concat_sources(("buyers", a), ("sellers", b)).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("balance"), 2).alias("balance"))
 
 
-@query("single_image_rows", r"""WITH x AS (SELECT page_id, regexp_extract_all(html, '<ul>|<p>') AS images FROM pages)
+@query("single_image_rows", r"""WITH x AS (SELECT page_id, regexp_extract_all(html, '<br') AS images FROM pages)
 SELECT len(images) = 1 AS accepted, count(*) AS n, CAST(sum(len(images)) AS BIGINT) AS images FROM x GROUP BY 1""")
 def single_image_rows(spark, base):
     """A row is used when it has exactly one attached part (here: a section heading stands for the image); the part is carried, never decoded."""
-    x = table(spark, base, "pages").select("page_id", F.regexp_extract_all("html", F.lit("<ul>|<p>"), F.lit(0)).alias("images"))
+    x = table(spark, base, "pages").select("page_id", F.regexp_extract_all("html", F.lit("<br"), F.lit(0)).alias("images"))
     return x.groupBy((F.size("images") == 1).alias("accepted")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("images")).alias("images"))
