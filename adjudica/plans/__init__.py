@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_teacher"]
+MODULES = ["q_requests", "q_sources"]
 
 
 def load():
