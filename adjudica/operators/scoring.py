@@ -98,3 +98,26 @@ def lexical_scorer(context: str, options: str):
         return d.withColumn("logits", z).drop("_w")
 
     return scorer
+
+
+def trained_scorer(train: DataFrame, vector: str, label: str, max_iter: int = 50, reg: float = 0.01):
+    """Multinomial logistic regression fitted on `train` with Spark ML; its raw predictions are the logits."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    vec = lambda d: d.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
+    lr = LogisticRegression(featuresCol="_v", labelCol="_y", maxIter=max_iter, regParam=reg, family="multinomial", rawPredictionCol="_raw", probabilityCol="_p", predictionCol="_pred")
+    model = lr.fit(vec(train).withColumn("_y", F.col(label).cast("double")).select("_v", "_y"))
+
+    def scorer(rows: DataFrame) -> DataFrame:
+        out = model.transform(vec(rows))
+        return out.withColumn("logits", vector_to_array("_raw")).drop("_v", "_raw", "_p", "_pred")
+
+    return scorer
+
+
+def train_loss(logits: Column, gold: Column, label_smooth: float = 0.0, brier_weight: float = 0.0) -> Column:
+    """Cross entropy with label smoothing plus a weighted Brier term."""
+    lp = D.log_softmax(logits)
+    ce = D.let(lp, lambda v: -(1 - label_smooth) * F.get(v, gold) - label_smooth * D.asum(v) / F.size(v))
+    return ce + brier_weight * D.brier(D.softmax(logits), gold)

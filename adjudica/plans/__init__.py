@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_requests", "q_sources"]
+MODULES = (
+    "q_sources", "q_convert", "q_sampling", "q_augment", "q_rules", "q_teacher", "q_requests", "q_answers",
+    "q_calibrate", "q_metrics", "q_compare", "q_rollouts", "q_scoring", "q_streaming",
+)
 
 
 def load():
