@@ -85,25 +85,28 @@ def dedup(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.dropDuplicatesWithinWatermark(keys)
 
 
-def second_sights(df: DataFrame, key: str, ttl_ms: int = 3_600_000) -> DataFrame:
-    """Emit a key when it is seen for the second time; a key unseen for ttl_ms is forgotten.
+def second_sights(df: DataFrame, key: str, ts: str = "ts", ttl_ms: int = 7 * 86_400_000) -> DataFrame:
+    """Emit a key when it is seen for the second time; a key unseen for ttl_ms of event time is forgotten.
 
-    The state of a key is one counter. Only the key travels to the stateful step, in Arrow batches that are
-    consumed one by one, so a frequent key never has its rows in memory at once."""
+    `df` carries a watermark on ts. The state of a key is one counter and its newest time. Rows reach the stateful
+    step in Arrow batches that are consumed one by one, so a frequent key never has its rows in memory at once."""
 
     def fn(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        seen = state.get[0] if state.exists else 0
-        new = seen + sum(int(b["n"].sum()) for b in batches)
-        state.update((new,))
-        state.setTimeoutDuration(ttl_ms)
-        if seen < 2 <= new:
+        seen, newest = state.get if state.exists else (0, 0)
+        before = seen
+        for b in batches:
+            seen += len(b)
+            newest = max(newest, int(b["ms"].max()))
+        state.update((seen, newest))
+        state.setTimeoutTimestamp(max(newest + ttl_ms, state.getCurrentWatermarkMs() + 1))
+        if before < 2 <= seen:
             yield pd.DataFrame({key: [k[0]], "seen": [2]})
 
-    return df.select(key, F.lit(1).alias("n")).groupBy(key).applyInPandasWithState(
-        fn, f"{key} string, seen long", "n long", "append", "ProcessingTimeTimeout")
+    ms = F.unix_millis(ts).alias("ms")
+    return df.select(key, ts, ms).groupBy(key).applyInPandasWithState(fn, f"{key} string, seen long", "seen long, newest long", "append", "EventTimeTimeout")
 
 
 def join_late_gold(answers: DataFrame, golds: DataFrame, key: str, ts: str, gold_ts: str, within: str) -> DataFrame:
