@@ -38,30 +38,37 @@ def unit_bucket(p: Column, n: int = 65536) -> Column:
     return F.least(F.floor(p * n), F.lit(n - 1)).cast("int")
 
 
+def _key(group: list[str], bucket: Column) -> Column:
+    """(group, bucket) as one struct: a struct key is never NULL, so rows with a NULL group keep their own group."""
+    g = F.struct(*[F.col(c) for c in group]) if group else F.struct(F.lit(0).alias("all"))
+    return F.struct(g.alias("g"), bucket.alias("b"))
+
+
+def _prefix(sums: list[str], before: dict[str, str], total: dict[str, str]) -> list[Column]:
+    """Sums over the earlier buckets of a group and over the whole group, on the small bucket table."""
+    wg = Window.partitionBy("_k.g")
+    earlier = wg.orderBy("_k.b").rowsBetween(*UNTIL_BEFORE)
+    return [F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(before[c]) for c in sums] + [F.sum(c).over(wg).alias(total[c]) for c in sums]
+
+
 def with_rank(df: DataFrame, group: list[str], bucket: Column, order: list[Column], rank: str = "rank",
               size: str | None = None, at_most: Column | int | None = None) -> DataFrame:
     """Add the 1-based position of every row inside its group (exact).
 
     `bucket` must not decrease along `order`. With `at_most`, only rows of rank <= at_most are
     kept, and buckets that start beyond it are dropped before they are sorted."""
-    keyed = df.withColumn("_b", bucket)
-    counts = keyed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    wg = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    offsets = counts.select(
-        *group, "_b",
-        F.coalesce(F.sum("_n").over(wg.orderBy("_b").rowsBetween(*UNTIL_BEFORE)), F.lit(0)).alias("_before"),
-        F.sum("_n").over(wg).alias("_size"),
-    )
-    joined = keyed.join(offsets, [*group, "_b"])
+    keyed = df.withColumn("_k", _key(group, bucket))
+    offsets = keyed.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).select("_k", *_prefix(["_n"], {"_n": "_before"}, {"_n": "_size"}))
+    joined = keyed.join(offsets, "_k")
     if at_most is not None:
         joined = joined.filter(F.col("_before") < (F.lit(at_most) if isinstance(at_most, int) else at_most))
-    inner = Window.partitionBy(*group, "_b").orderBy(*order)
+    inner = Window.partitionBy("_k").orderBy(*order)
     out = joined.withColumn(rank, (F.col("_before") + F.row_number().over(inner)).cast("bigint"))
     if at_most is not None:
         out = out.filter(F.col(rank) <= (F.lit(at_most) if isinstance(at_most, int) else at_most))
     if size:
         out = out.withColumn(size, F.col("_size"))
-    return out.drop("_b", "_before", "_size")
+    return out.drop("_k", "_before", "_size")
 
 
 def top_by_hash(df: DataFrame, group: list[str], key: str, purpose: str, n: Column | int, rank: str = "rank",
@@ -82,21 +89,16 @@ def value_blocks(df: DataFrame, group: list[str], value: str, bucket: Column, su
     blocks = (
         df.groupBy(*group, value)
         .agg(F.count(F.lit(1)).alias("m"), *[F.sum(c).alias(k) for k, c in sums.items()])
-        .withColumn("_b", -bucket if descending else bucket)
-    )
-    per = blocks.groupBy(*group, "_b").agg(*[F.sum(k).alias(f"_s_{k}") for k in names])
-    wg = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    before = wg.orderBy("_b").rowsBetween(*UNTIL_BEFORE)
-    offsets = per.select(
-        *group, "_b",
-        *[F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)).alias(f"_p_{k}") for k in names],
-        *[F.sum(f"_s_{k}").over(wg).alias(f"{k}_all") for k in names],
+        .withColumn("_k", _key(group, -bucket if descending else bucket))
     )
-    inner = Window.partitionBy(*group, "_b").orderBy(order).rowsBetween(*UNTIL_BEFORE)
-    out = blocks.join(offsets, [*group, "_b"])
+    per = blocks.groupBy("_k").agg(*[F.sum(k).alias(f"_s_{k}") for k in names])
+    summed = [f"_s_{k}" for k in names]
+    offsets = per.select("_k", *_prefix(summed, {f"_s_{k}": f"_p_{k}" for k in names}, {f"_s_{k}": f"{k}_all" for k in names}))
+    inner = Window.partitionBy("_k").orderBy(order).rowsBetween(*UNTIL_BEFORE)
+    out = blocks.join(offsets, "_k")
     for k in names:
         out = out.withColumn(f"{k}0", F.col(f"_p_{k}") + F.coalesce(F.sum(k).over(inner), F.lit(0)))
-    return out.drop("_b", *[f"_p_{k}" for k in names])
+    return out.drop("_k", *[f"_p_{k}" for k in names])
 
 
 def quantiles(df: DataFrame, group: list[str], value: str, qs: dict[str, float], bucket: Column | None = None, kind: str = "disc") -> DataFrame:

@@ -12,7 +12,7 @@ from adjudica.operators import sampling as S
 from adjudica.plans import views as V
 from adjudica.plans.q_convert import HASH_SORT, labelled
 from adjudica.plans.registry import query
-from adjudica.sources.tables import table
+from adjudica.sources.tables import spread, table
 
 WORDINGS = "[" + ", ".join(f"'{w}'" for w in X.ABSTAIN_WORDINGS) + "]"
 PRIORITIES = ("1: urgent", "2: high", "3: medium", "4: not specified", "5: low")
@@ -55,7 +55,7 @@ CUST_CTE = """nat AS (SELECT list_append(array_agg(n_name ORDER BY n_name), 'Non
 
 def customers(spark, base):
     """Customers with the whole list of nations and an abstain option."""
-    c = table(spark, base, "customer").join(table(spark, base, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("o", F.array_append(nation_options(spark, base), F.lit("None of these")))
+    c = spread(table(spark, base, "customer")).join(table(spark, base, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("o", F.array_append(nation_options(spark, base), F.lit("None of these")))
     return c.select("c_custkey", "o", (F.array_position("o", F.col("n_name")) - 1).cast("int").alias("gold"))
 
 

@@ -10,14 +10,15 @@ from adjudica.operators import requests as R
 from adjudica.plans import views as V
 from adjudica.plans.q_convert import labelled
 from adjudica.plans.registry import query
-from adjudica.sources.tables import table
+from adjudica.sources.tables import spread, table
 
 LEVELS = ("cosmetic", "degraded", "blocking", "data loss")
 
 
 def requests_of(e):
     """Requests from a table or stream of events."""
-    t, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("int")
+    e = e.select("event_id", "props", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    t, k = F.col("event_type"), F.col("k")
     none = F.lit(None).cast("array<string>")
     odd = k % 2 == 1
     return e.select(
@@ -40,7 +41,7 @@ rq AS (SELECT event_id, CASE WHEN t = 'click' THEN 'choice' WHEN t = 'view' THEN
 
 @query("render_question", f"WITH {REQ} SELECT event_id, CASE WHEN reason IS NULL THEN question END AS question, CASE WHEN reason IS NULL THEN array_to_string(options, '|') END AS options, reason FROM rq")
 def render_question(spark, base):
-    good, bad = R.split_requests(requests_of(table(spark, base, "events")))
+    good, bad = R.split_requests(requests_of(spread(table(spark, base, "events"))))
     a = good.select("event_id", F.col("rq.question").alias("question"), F.array_join("rq.options", "|").alias("options"), F.lit(None).cast("string").alias("reason"))
     return a.unionByName(bad.select("event_id", F.lit(None).cast("string").alias("question"), F.lit(None).cast("string").alias("options"), "reason"))
 
@@ -58,7 +59,7 @@ def planned(events):
 
 @query("plan_rows", PLAN_SQL)
 def plan_rows(spark, base):
-    return planned(table(spark, base, "events"))
+    return planned(spread(table(spark, base, "events")))
 
 
 @query("render_state", """WITH x AS (SELECT doc_id, lang, text, string_split(text, chr(10)) AS w FROM documents)

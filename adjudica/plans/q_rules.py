@@ -8,7 +8,7 @@ from adjudica.functions.hashing import chance, pick_index, u8
 from adjudica.operators import rules as R
 from adjudica.plans import views as V
 from adjudica.plans.registry import query
-from adjudica.sources.tables import table
+from adjudica.sources.tables import spread, table
 
 STATUSES, FLAGS = ("F", "O", "P"), ("A", "N", "R")
 
@@ -17,7 +17,7 @@ def records(spark, base):
     """One record per order: numbers, enums, a flag, a name that may be empty, and a list."""
     o, c, l = (table(spark, base, t) for t in ("orders", "customer", "lineitem"))
     flags = l.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_returnflag")).alias("flags"))
-    d = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(flags, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    d = spread(o).join(c, F.col("o_custkey") == F.col("c_custkey")).join(flags, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return d.select(
         F.col("o_orderkey").alias("id"),
         F.floor("o_totalprice").cast("int").alias("total"),

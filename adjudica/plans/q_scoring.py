@@ -10,7 +10,7 @@ from adjudica.operators.convert import strings
 from adjudica.plans import views as V
 from adjudica.plans.q_answers import MICRO, micro
 from adjudica.plans.registry import query
-from adjudica.sources.tables import table
+from adjudica.sources.tables import spread, table
 
 
 @query("score_centroid", f"""WITH emb AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, label, {V.BELOW(V.U('emb_split', 'vec_id'), 0.5)} AS train FROM embeddings),
@@ -31,7 +31,7 @@ W = r"list_distinct(list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{
 @query("score_lexical", f"""WITH x AS (SELECT doc_id, {W.format(c='text')} AS w FROM documents), y AS (SELECT doc_id, list_transform({list(LANG_OPTIONS)!r}, lambda o: len(list_intersect(w, string_split(o, ' ')))) AS s FROM x)
 SELECT doc_id, array_to_string(list_transform(s, lambda v: CAST(v AS VARCHAR)), ',') AS overlaps, CAST(list_position(s, list_max(s)) - 1 AS INTEGER) AS pred FROM y""")
 def score_lexical(spark, base):
-    d = table(spark, base, "documents").select("doc_id", "text", strings(*LANG_OPTIONS).alias("options"))
+    d = spread(table(spark, base, "documents").select("doc_id", "text")).select("doc_id", "text", strings(*LANG_OPTIONS).alias("options"))
     s = S.score(d, S.lexical_scorer("text", "options"))
     return s.select("doc_id", F.array_join(F.transform("logits", lambda v: v.cast("int").cast("string")), ",").alias("overlaps"), D.argmax(F.col("logits")).alias("pred"))
 

@@ -17,6 +17,14 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cores when it has fewer splits than the cluster has cores.
+
+    For work that costs far more than a row shuffle. A large table has more splits than cores and is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def load_split(df: DataFrame, split: str, split_col: str = "split") -> DataFrame:
     return df.filter(F.col(split_col) == split)
 
