@@ -148,9 +148,15 @@ def beam_classify(states: DataFrame, edges: DataFrame, key: str, weight, beam: i
 
     `weight(key_col, child_col)` is the unnormalised score of a child; siblings are normalised. A state
     holds at most beam * 255 candidate rows, and all levels share one shuffle on the state key."""
-    paths = states.select(key, F.lit(root).alias("node"), F.lit("").alias("path"), F.lit(1.0).alias("prob"))
+    top = edges.filter(F.col("parent") == root).agg(F.array_sort(F.collect_set("child")).alias("c")).scalar()
+    first = states.select(key).withColumn("_top", top)
+    paths = None
     for level in range(depth):
-        cand = paths.join(edges.select(F.col("parent").alias("node"), "child"), "node").withColumn("w", weight(F.col(key), F.col("child")))
+        if paths is None:  # the root's options (at most 255) come from one array: every state starts there
+            cand = first.select(key, F.lit(root).alias("node"), F.lit("").alias("path"), F.lit(1.0).alias("prob"), F.explode("_top").alias("child"))
+        else:
+            cand = paths.join(edges.select(F.col("parent").alias("node"), "child"), "node")
+        cand = cand.withColumn("w", weight(F.col(key), F.col("child")))
         total = F.sum("w").over(Window.partitionBy(key, "node"))
         cand = cand.withColumn("prob", F.col("prob") * F.col("w") / total)
         keep = 1 if level == depth - 1 else beam

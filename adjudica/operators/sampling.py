@@ -94,15 +94,19 @@ def normalise_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
 
 
+def context_id(c: Column) -> Column:
+    """Identity of a context: its SHA-256 as 32 bytes."""
+    return F.unhex(F.sha2(c, 256))
+
+
 def eval_overlap(train: DataFrame, key: str, context: str, evaluation: DataFrame, eval_context: str, min_len: int = 40) -> DataFrame:
     """Training rows that share a context with an evaluation row -> key, long and short matches.
 
-    Contexts meet on a 64-bit hash and the whole text, so a hash collision cannot match. Short contexts are
-    reported, not grounds for dropping a row."""
-    e = evaluation.select(normalise_text(F.col(eval_context)).alias("_c")).filter(F.col("_c") != "").distinct().withColumn("_h", F.xxhash64("_c"))
-    t = train.select(key, normalise_text(F.col(context)).alias("_c")).withColumn("_h", F.xxhash64("_c"))
-    hit = t.join(e, ["_h", "_c"], "left_semi")
-    long = F.length("_c") >= min_len
+    Contexts meet on their SHA-256, so a shuffled row holds a digest and a length instead of a text. Short
+    contexts are reported, not grounds for dropping a row."""
+    norm = lambda d, c, *k: d.select(*k, normalise_text(F.col(c)).alias("_c")).filter(F.col("_c") != "").select(*k, context_id(F.col("_c")).alias("_h"), F.length("_c").alias("_n"))
+    hit = norm(train, context, key).join(norm(evaluation, eval_context).select("_h").distinct(), "_h", "left_semi")
+    long = F.col("_n") >= min_len
     return hit.groupBy(key).agg(F.count_if(long).alias("n_long"), F.count_if(~long).alias("n_short"))
 
 

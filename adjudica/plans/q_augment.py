@@ -84,14 +84,14 @@ NPAD = f"CASE WHEN {V.BELOW(V.U('npad_kind', 'c_custkey'), 0.25)} THEN 100 + {V.
 
 
 @query("pad_options", f"""WITH sg AS (SELECT array_agg(s ORDER BY s) AS o FROM (SELECT DISTINCT c_mktsegment AS s FROM customer)),
-ot AS (SELECT DISTINCT v FROM (SELECT n_name AS v FROM nation UNION ALL SELECT p_type FROM part UNION ALL SELECT p_name FROM part)),
+op AS (SELECT 'n_name' AS task, n_name AS v FROM nation UNION SELECT 'p_type', p_type FROM part UNION SELECT 'p_name', p_name FROM part), ot AS (SELECT DISTINCT v FROM op WHERE task IN (SELECT task FROM op GROUP BY task HAVING count(*) BETWEEN 3 AND 200)),
 pl AS (SELECT array_agg(v ORDER BY substr(md5('7|pool_order|segment|' || v), 1, 8), v) AS p FROM ot), x AS (SELECT c_custkey, c_mktsegment, sg.o, pl.p, {V.IDX(V.U('pad', 'c_custkey'), 'len(pl.p)')} AS st, {NPAD} AS m FROM customer, sg, pl),
 y AS (SELECT c_custkey, c_mktsegment, list_concat(o, list_filter(list_concat(p[st + 1:], p[1:st]), lambda v: NOT list_contains(list_transform(o, lambda w: lower(w)), lower(v)))[1:CAST(least(m, 255 - len(o)) AS BIGINT)]) AS q FROM x)
 SELECT c_custkey, CAST(len(q) AS INTEGER) AS n_options, CAST(list_position(q, c_mktsegment) - 1 AS INTEGER) AS gold, md5(array_to_string(q, '|')) AS options_md5 FROM y""")
 def pad_options(spark, base):
     """Market segments padded with labels of other families (nations, part names and types)."""
     c, n, p = (table(spark, base, t) for t in ("customer", "nation", "part"))
-    fam = lambda d, name, col: d.select(F.lit(name).alias("family"), F.col(col).alias("label")).distinct()
+    fam = lambda d, name, col: d.select(F.lit(col).alias("task"), F.lit(name).alias("family"), F.col(col).alias("label")).distinct()
     pool = fam(c, "segment", "c_mktsegment").unionByName(fam(n, "place", "n_name")).unionByName(fam(p, "part", "p_type")).unionByName(fam(p, "part", "p_name"))
     segments = c.select("c_mktsegment").distinct().agg(F.array_sort(F.collect_list("c_mktsegment")).alias("o")).scalar()
     d = c.select("c_custkey", "c_mktsegment").withColumn("o", segments).withColumn("others", A.family_pools(pool)["segment"])

@@ -11,7 +11,7 @@ from adjudica.operators import calibrate as C
 from adjudica.operators import metrics as M
 from adjudica.plans import views as V
 from adjudica.plans.registry import query
-from adjudica.sources.tables import table
+from adjudica.sources.tables import materialise, table
 
 R6 = lambda c, name=None: F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name or c)
 NAN, INF = "CAST('nan' AS DOUBLE)", "CAST('inf' AS DOUBLE)"
@@ -79,7 +79,7 @@ b1 AS {_refine('b0', STEP)}, b2 AS {_refine('b1', 2 * STEP / 100)},
 one AS (SELECT type, avg({NLL_SQL('1.0')}) AS nll FROM rec2 GROUP BY type)
 SELECT b2.type, b2.n, round(b2.t, 3) AS temperature, round(one.nll, 4) AS nll_t1, round(b2.nll, 4) AS nll_fitted FROM b2 JOIN one ON b2.type = one.type WHERE b2.n >= 50 OR b2.type = 'all'""")
 def fit_by_type(spark, base):
-    return C.fit_by_type(records(spark, base))
+    return C.fit_by_type(materialise(records(spark, base)))  # every pass of the fit reads the records
 
 
 SIMPLE_GRID = "CAST([" + ", ".join(f"'{t!r}'" for t in C.log_grid(C.SIMPLE_LO, C.SIMPLE_HI, C.SIMPLE_N)) + "] AS DOUBLE[])"

@@ -12,7 +12,7 @@ from adjudica.operators import metrics as M
 from adjudica.operators.ranking import quantiles
 from adjudica.plans import views as V
 from adjudica.plans.registry import query
-from adjudica.sources.tables import table
+from adjudica.sources.tables import materialise, table
 
 R6 = lambda c, name=None: F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name or c)
 
@@ -78,7 +78,7 @@ SELECT task, count(*) AS n, round(avg(CAST(pa = gold AS INTEGER)), 6) AS acc_pac
 def independence(spark, base):
     t = V.emb_two_runs(spark, base)
     p, q = F.col("probs_a"), F.col("probs_b")
-    x = t.select("task", "gold", D.argmax(p).alias("pa"), D.argmax(q).alias("pb"), D.max_abs_diff(p, q).alias("dp"))
+    x = materialise(t.select("task", "gold", D.argmax(p).alias("pa"), D.argmax(q).alias("pb"), D.max_abs_diff(p, q).alias("dp")))
     s = x.groupBy("task").agg(
         F.count(F.lit(1)).alias("n"),
         R6(F.avg((F.col("pa") == F.col("gold")).cast("int")), "acc_packed"),
@@ -138,7 +138,7 @@ def gate_select(spark, base):
         F.struct(F.lit("mix").alias("run"), F.zip_with("pa", "pb", lambda x, y: (x + y) / 2).alias("probs")),
     )
     rows = M.per_row(a.join(b, "row_id").select("task", "gold", F.inline(runs)))
-    per_task = rows.groupBy("run", "task").agg(F.avg("correct").alias("acc"), F.avg("nll").alias("nll"))
+    per_task = materialise(rows.groupBy("run", "task").agg(F.avg("correct").alias("acc"), F.avg("nll").alias("nll")))
     w = F.when(F.col("task") == "task_0", 0.5).when(F.col("task") == "task_1", 0.25).when(F.col("task").isin("task_2", "task_3"), 0.125).otherwise(0.0)
     per_run = per_task.groupBy("run").agg(F.sum(w * F.col("acc")).alias("win"), F.avg("acc").alias("acc"), F.avg("nll").alias("nll"))
     start = per_run.filter(F.col("run") == "a").select(F.struct("win", "acc", "nll").alias("s")).scalar()

@@ -11,7 +11,7 @@ from adjudica.operators import convert as C
 from adjudica.operators.ranking import hash_bucket, top_by_hash, with_rank
 from adjudica.plans import views as V
 from adjudica.plans.registry import query
-from adjudica.sources.tables import table
+from adjudica.sources.tables import materialise, table
 
 
 def HASH_SORT(lst: str, purpose: str, key: str) -> str:
@@ -207,12 +207,10 @@ w AS (SELECT p_partkey, p_name, list_concat({HASH_SORT('names', 'tools', 'p_part
 SELECT p_partkey, array_to_string(o, '|') AS options, CAST(CASE WHEN {CALLED} THEN list_position(o, p_name) - 1 ELSE len(o) - 1 END AS INTEGER) AS gold FROM w""")
 def tool_selection(spark, base):
     """Requests for parts; the pool is the table's vocabulary of part names (names of functions, not rows)."""
-    part = table(spark, base, "part")
-    names = part.select(F.col("p_name").alias("n")).distinct()
-    pool = names.agg(F.transform(F.array_sort(F.collect_list(F.struct(u8("pool_order", "n").alias("u"), F.col("n").alias("n")))), lambda s: s["n"]).alias("p")).scalar()
+    part = table(spark, base, "part").select("p_partkey", "p_name")
+    d = C.pool_slice(part, "p_partkey", part.select(F.col("p_name").alias("n")).distinct(), "n", 6)
     called = F.when(chance(u8("called", "p_partkey"), 0.75), F.col("p_name"))
-    d = part.select("p_partkey", "p_name").withColumn("pool", pool)
-    o, g = C.tool_options(F.array("p_name"), F.col("pool"), called, 6, "p_partkey")
+    o, g = C.tool_options(F.array("p_name"), F.col("picked"), called, 6, "p_partkey")
     return d.select("p_partkey", F.array_join(o, "|").alias("options"), g.alias("gold"))
 
 
@@ -250,7 +248,9 @@ def next_action(spark, base):
     conv = table(spark, base, "conversations")
     act = F.substring(F.split("text", "\n")[0], 1, 120)
     steps = conv.filter("role = 'assistant'").select("conv_id", "turn", act.alias("act"))
-    st = with_rank(steps, ["conv_id"], F.floor(F.col("turn") / 64), [F.col("turn")], "step", "n")
+    # Six uses of the steps below: they are stored once, so the texts are read once.
+    st = materialise(with_rank(steps, ["conv_id"], F.floor(F.col("turn") / 64), [F.col("turn")], "step", "n"))
+    steps = st.select("conv_id", "turn", "act")
     pool = with_rank(steps.withColumn("u", u8("apool", "conv_id", "turn")), [], hash_bucket(F.col("u")), [F.col("u"), F.col("conv_id"), F.col("turn")], "rn")
     total = steps.agg(F.count(F.lit(1)).alias("c")).scalar()
     hs = C.last_k(st, ["conv_id"], "step", "act", 3)

@@ -31,7 +31,7 @@ SELECT a.task, a.n, round(a.acc, 6) AS acc, round(a.nll, 6) AS nll, round(a.brie
 FROM (SELECT task, count(*) AS n, avg(correct) AS acc, avg(nll) AS nll, avg(brier) AS brier, avg(chance) AS chance, avg(conf) AS mean_conf FROM sa GROUP BY task) a
 JOIN ss ON a.task = ss.task JOIN ee ON a.task = ee.task""")
 def eval_summary(spark, base):
-    s = M.summarize(V.emb_pred(spark, base), ["task"])
+    s = M.summarize(V.stored_pred(spark, base), ["task"])
     return s.select("task", "n", *[R6(c) for c in ("acc", "nll", "brier", "ece", "aurc", "acc_at_80", "acc_at_50", "chance", "mean_conf")])
 
 
@@ -51,13 +51,13 @@ def ece10(spark, base):
 
 @query("aurc", f"WITH {V.EMB_CTE}, {CURVE_CTE} SELECT task, round(aurc, 6) AS aurc FROM ss")
 def aurc(spark, base):
-    blocks = M.confidence_blocks(M.per_row(V.emb_pred(spark, base)), ["task"])
+    blocks = M.confidence_blocks(M.per_row(V.stored_pred(spark, base)), ["task"])
     return M.aurc_and_selective(blocks, ["task"], {}).select("task", R6("aurc"))
 
 
 @query("selective_acc", f"WITH {V.EMB_CTE}, {CURVE_CTE} SELECT task, round(acc_at_80, 6) AS acc_at_80, round(acc_at_50, 6) AS acc_at_50 FROM ss")
 def selective_acc(spark, base):
-    blocks = M.confidence_blocks(M.per_row(V.emb_pred(spark, base)), ["task"])
+    blocks = M.confidence_blocks(M.per_row(V.stored_pred(spark, base)), ["task"])
     out = M.aurc_and_selective(blocks, ["task"], {"acc_at_80": 0.8, "acc_at_50": 0.5})
     return out.select("task", R6("acc_at_80"), R6("acc_at_50"))
 
@@ -118,7 +118,7 @@ def kl_parent(spark, base):
 x AS (SELECT task, avg(CAST(round(pg, 4) IN (0, 1) AS INTEGER)) AS extreme_share FROM sa GROUP BY task)
 SELECT pairs.task, round(wins / n, 6) AS auroc, round(extreme_share, 6) AS extreme_share FROM pairs JOIN x ON pairs.task = x.task""")
 def auroc(spark, base):
-    rows = M.per_row(V.emb_pred(spark, base))
+    rows = M.per_row(V.stored_pred(spark, base))
     a = M.auroc(rows, ["task"], "conf", F.col("correct") == 1)
     served = F.round(D.at(F.col("probs"), F.col("gold")), 4)
     x = rows.groupBy("task").agg(F.avg(served.isin(0.0, 1.0).cast("int")).alias("extreme_share"))

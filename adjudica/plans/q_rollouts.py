@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from adjudica.operators import rollouts as R
 from adjudica.plans.registry import query
-from adjudica.sources.tables import table
+from adjudica.sources.tables import materialise, table
 
 GAMMA = 1 / 1.03
 
@@ -35,6 +35,7 @@ def discounted_return(spark, base):
 s AS (SELECT game, stddev_pop(a) AS sd FROM a GROUP BY game) SELECT event_id, a.game, round(a / (sd + 1e-6), 6) AS advantage FROM a JOIN s ON a.game = s.game""")
 def advantages(spark, base):
     r = R.discounted_returns(episodes(spark, base), ["user_id"], "t", "value", GAMMA).withColumn("game", F.col("user_id") % 3)
+    r = materialise(r.select("event_id", "game", "t", "g"))  # three uses follow
     return R.advantages(r, ["game"], "t", "g").select("event_id", "game", F.round("advantage", 6).alias("advantage"))
 
 

@@ -131,12 +131,10 @@ EVAL_DOC = V.BELOW(V.U("doc_split", "doc_id"), 0.2)
 SELECT count_if(ev) AS n_eval, count_if(ev AND c IN (SELECT c FROM t WHERE NOT ev)) AS n_context_leaks, count_if(ev AND (c, lang) IN (SELECT (c, lang) FROM t WHERE NOT ev)) AS n_question_leaks FROM t""")
 def leak_check(spark, base):
     """Probe rows whose context, or context and question, also occur in training."""
-    t = docs(spark, base).select("doc_id", S.normalise_text(F.col("text")).alias("c"), "lang", chance(u8("doc_split", "doc_id"), 0.2).alias("ev")).withColumn("h", F.xxhash64("c"))
-    train = t.filter(~F.col("ev")).select("h", "c", "lang").distinct()
-    probe = t.filter("ev")
-    ctx = probe.join(train.select("h", "c").distinct(), ["h", "c"], "left_semi").agg(F.count(F.lit(1)).alias("n")).scalar()
-    q = probe.join(train, ["h", "c", "lang"], "left_semi").agg(F.count(F.lit(1)).alias("n")).scalar()
-    return probe.agg(F.count(F.lit(1)).alias("n_eval")).select("n_eval", ctx.alias("n_context_leaks"), q.alias("n_question_leaks"))
+    t = docs(spark, base).select(S.context_id(S.normalise_text(F.col("text"))).alias("h"), "lang", chance(u8("doc_split", "doc_id"), 0.2).alias("ev"))
+    per = t.groupBy("h", "lang").agg(F.count_if("ev").alias("n_ev"), F.max((~F.col("ev")).cast("int")).alias("in_train"))
+    by_context = per.groupBy("h").agg(F.sum("n_ev").alias("n_ev"), F.max("in_train").alias("in_train"), F.sum(F.col("n_ev") * F.col("in_train")).alias("q"))
+    return by_context.agg(F.sum("n_ev").alias("n_eval"), F.sum(F.col("n_ev") * F.col("in_train")).alias("n_context_leaks"), F.sum("q").alias("n_question_leaks"))
 
 
 T_SQL = "CAST(ceil(n_chars / CASE WHEN n_chars <= 2048 THEN 64 WHEN n_chars <= 8192 THEN 512 ELSE 2048 END) * CASE WHEN n_chars <= 2048 THEN 64 WHEN n_chars <= 8192 THEN 512 ELSE 2048 END AS BIGINT)"

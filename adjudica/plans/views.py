@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from adjudica.functions import dist as D
 from adjudica.functions.hashing import SEED, chance, threshold, u8
 from adjudica.operators import scoring as S
-from adjudica.sources.tables import table
+from adjudica.sources.tables import materialise, table
 
 EMB_DIM = 64
 EMB_SCALE = 30.0
@@ -91,6 +91,11 @@ def emb_pred(spark: SparkSession, base: str, run: str = "a") -> DataFrame:
     ).withColumn("probs", D.softmax(F.col("logits")))
 
 
+def stored_pred(spark: SparkSession, base: str, run: str = "a") -> DataFrame:
+    """The predictions as a stored table: metrics that read them more than once do not score again."""
+    return materialise(emb_pred(spark, base, run).drop("logits"), "predictions")
+
+
 def emb_two_runs(spark: SparkSession, base: str) -> DataFrame:
     """Both runs on one row, scored in one pass."""
     rows = embeddings(spark, base)
