@@ -149,10 +149,10 @@ def best_point(grid: DataFrame, group: str) -> DataFrame:
     return grid.groupBy(group).agg(best.alias("b"), F.max("n").alias("n")).select(group, F.col("b.t").alias("t"), F.col("b.nll").alias("nll"), "n")
 
 
-def fit(records: DataFrame, group: str, levels: int = 2, points: int = 101) -> DataFrame:
+def fit(records: DataFrame, group: str, levels: int = 2, points: int = 101, few_groups: bool = False) -> DataFrame:
     """Temperature per group: the wide grid, then `levels` narrower grids around the best point.
 
-    The groups are answer types (at most a handful), so their intervals travel as a broadcast join."""
+    few_groups: the caller has bounded the groups (answer types), so their intervals travel as a broadcast join."""
     step = (math.log(GRID_HI) - math.log(GRID_LO)) / (GRID_N - 1)
     best = best_point(grid_pass(records, group), group)
     for _ in range(levels):
@@ -161,7 +161,7 @@ def fit(records: DataFrame, group: str, levels: int = 2, points: int = 101) -> D
             F.greatest(F.lit(GRID_LO), F.col("t") * math.exp(-step)).alias("_lo"),
             F.least(F.lit(GRID_HI), F.col("t") * math.exp(step)).alias("_hi"),
         )
-        best = best_point(grid_pass(records.join(F.broadcast(span), group), group, points), group)
+        best = best_point(grid_pass(records.join(F.broadcast(span) if few_groups else span, group), group, points), group)
         step = 2 * step / (points - 1)
     return best
 
@@ -169,8 +169,8 @@ def fit(records: DataFrame, group: str, levels: int = 2, points: int = 101) -> D
 def fit_by_type(records: DataFrame, min_rows: int = 50) -> DataFrame:
     """Pooled and per-type temperatures with the NLL before and after; small types are left out."""
     kinds = F.array(F.lit("all"), F.col("type"))
-    both = records.withColumn("fit_group", F.explode(kinds))
-    fitted = fit(both, "fit_group")
+    both = records.filter(F.col("type").isin(*TYPES)).withColumn("fit_group", F.explode(kinds))
+    fitted = fit(both, "fit_group", few_groups=True)  # three types and "all"
     at_one = both.groupBy("fit_group").agg(F.avg(record_nll(1.0)).alias("nll_t1"))
     return fitted.filter((F.col("n") >= min_rows) | (F.col("fit_group") == "all")).join(at_one, "fit_group").select(
         F.col("fit_group").alias("type"), "n", F.round("t", 3).alias("temperature"), F.round("nll_t1", 4).alias("nll_t1"), F.round("nll", 4).alias("nll_fitted"))

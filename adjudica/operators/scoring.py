@@ -45,8 +45,8 @@ def python_scorer(load_model: Callable[[], Callable[[list[str], list[list[str]]]
 
 def centroids(train: DataFrame, label: str, vector: str, dim: int) -> DataFrame:
     """Mean vector per label: `dim` averages in one aggregation, combined map-side."""
-    means = [F.avg(F.get(F.col(vector), F.lit(i)).cast("double")).alias(f"c{i}") for i in range(dim)]
-    return train.groupBy(label).agg(*means).select(label, F.array(*[F.col(f"c{i}") for i in range(dim)]).alias("centroid"))
+    means = ", ".join(f"avg(CAST(get(`{vector}`, {i}) AS DOUBLE))" for i in range(dim))
+    return train.groupBy(label).agg(F.expr(f"array({means})").alias("centroid"))
 
 
 def centroid_matrix(cents: DataFrame, label: str) -> Column:

@@ -89,7 +89,7 @@ def stream_sessions(spark, base):
 
 @query("stream_repeat_schemas", """WITH x AS (SELECT event_type || ':' || json_extract_string(props, '$.k') AS schema FROM events) SELECT schema, CAST(2 AS BIGINT) AS seen FROM x GROUP BY schema HAVING count(*) >= 2""")
 def stream_repeat_schemas(spark, base):
-    e = P.with_event_time(events(spark, base)).select("ts", F.concat_ws(":", "event_type", F.get_json_object("props", "$.k")).alias("schema"))
+    e = events(spark, base).select("ts", F.concat_ws(":", "event_type", F.get_json_object("props", "$.k")).alias("schema"))
     return P.run_once(P.second_sights(e, "schema"))
 
 

@@ -85,11 +85,34 @@ def dedup(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.dropDuplicatesWithinWatermark(keys)
 
 
-def second_sights(df: DataFrame, key: str, ts: str = "ts", ttl_ms: int = 7 * 86_400_000) -> DataFrame:
+def count_in_task(df: DataFrame, key: str, ts: str, most_keys: int = 100_000) -> DataFrame:
+    """Map-side counts of a stream: every task sends a key at most once per `most_keys` distinct keys it holds."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc: dict[str, list] = {}
+
+        def flush():
+            return pd.DataFrame([(k, v[0], v[1]) for k, v in acc.items()], columns=[key, ts, "n"])
+
+        for pdf in batches:
+            g = pdf.groupby(key)[ts].agg(["max", "size"])
+            for k, newest, n in zip(g.index, g["max"], g["size"]):
+                old = acc.get(k)
+                acc[k] = [newest if old is None or newest > old[0] else old[0], int(n) + (old[1] if old else 0)]
+            if len(acc) > most_keys:
+                yield flush()
+                acc.clear()
+        if acc:
+            yield flush()
+
+    return df.select(key, F.col(ts).cast("timestamp").alias(ts)).mapInPandas(run, f"{key} string, {ts} timestamp, n long")
+
+
+def second_sights(df: DataFrame, key: str, ts: str = "ts", delay: str = "1 hour", ttl_ms: int = 7 * 86_400_000) -> DataFrame:
     """Emit a key when it is seen for the second time; a key unseen for ttl_ms of event time is forgotten.
 
-    `df` carries a watermark on ts. The state of a key is one counter and its newest time. Rows reach the stateful
-    step in Arrow batches that are consumed one by one, so a frequent key never has its rows in memory at once."""
+    The state of a key is one counter and its newest time. Counts are combined inside the reading tasks first, so a
+    key that makes up most of the stream sends a few rows per micro-batch to its state."""
 
     def fn(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -98,15 +121,16 @@ def second_sights(df: DataFrame, key: str, ts: str = "ts", ttl_ms: int = 7 * 86_
         seen, newest = state.get if state.exists else (0, 0)
         before = seen
         for b in batches:
-            seen += len(b)
+            seen += int(b["n"].sum())
             newest = max(newest, int(b["ms"].max()))
         state.update((seen, newest))
         state.setTimeoutTimestamp(max(newest + ttl_ms, state.getCurrentWatermarkMs() + 1))
         if before < 2 <= seen:
             yield pd.DataFrame({key: [k[0]], "seen": [2]})
 
-    ms = F.unix_millis(ts).alias("ms")
-    return df.select(key, ts, ms).groupBy(key).applyInPandasWithState(fn, f"{key} string, seen long", "seen long, newest long", "append", "EventTimeTimeout")
+    counted = count_in_task(df, key, ts).withWatermark(ts, delay)
+    return counted.select(key, ts, "n", F.unix_millis(ts).alias("ms")).groupBy(key).applyInPandasWithState(
+        fn, f"{key} string, seen long", "seen long, newest long", "append", "EventTimeTimeout")
 
 
 def join_late_gold(answers: DataFrame, golds: DataFrame, key: str, ts: str, gold_ts: str, within: str) -> DataFrame:

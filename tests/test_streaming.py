@@ -47,7 +47,7 @@ def test_dedup_over_batches(spark, sf, folder):
 
 
 def test_second_sight_once_per_key(spark, sf, folder):
-    e = P.with_event_time(stream(spark, folder)).select("ts", F.col("event_type").alias("schema"))
+    e = stream(spark, folder).select("ts", F.col("event_type").alias("schema"))
     got = P.run_once(P.second_sights(e, "schema", ttl_ms=60 * 86_400_000)).collect()
     assert sorted(x["schema"] for x in got) == sorted(x["event_type"] for x in table(spark, sf, "events").select("event_type").distinct().collect())
 
