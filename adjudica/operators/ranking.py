@@ -27,15 +27,18 @@ def hash_bucket(u: Column) -> Column:
     return F.substring(u, 1, 3)
 
 
-def log_bucket(v: Column, per_unit: int = 512) -> Column:
-    """Monotone buckets of about 1/per_unit relative width for any double."""
+def log_bucket(v: Column, per_unit: int = 65536) -> Column:
+    """Monotone buckets of about 1/per_unit relative width for any double (some millions at most)."""
     v = v.cast("double")
     return F.floor(F.signum(v) * F.log1p(F.abs(v)) * per_unit).cast("int")
 
 
-def unit_bucket(p: Column, n: int = 65536) -> Column:
-    """n equal buckets of [0, 1]."""
-    return F.least(F.floor(p * n), F.lit(n - 1)).cast("int")
+def unit_bucket(p: Column, per_unit: int = 8192) -> Column:
+    """Monotone buckets of a probability on the logit scale (at most about 600,000).
+
+    Confidences crowd near 1; equal steps of p would put most of them in the last bucket."""
+    odds = F.log(p / (1 - p)) * per_unit
+    return F.when(p <= 0, F.lit(-1_000_000)).when(p >= 1, F.lit(1_000_000)).otherwise(F.floor(odds)).cast("int")
 
 
 def _key(group: list[str], bucket: Column) -> Column:

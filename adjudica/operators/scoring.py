@@ -5,6 +5,7 @@ The contract: `score(rows, scorer)` adds `logits ARRAY<DOUBLE>` with one value p
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -25,14 +26,27 @@ def score(rows: DataFrame, scorer: DataFrame | Callable, **kw) -> DataFrame:
     return out
 
 
-def python_scorer(load_model: Callable[[], Callable[[list[str], list[list[str]]], list[list[float]]]], context: str = "context", options: str = "options"):
+_MODELS: dict[str, Callable] = {}
+
+
+def _model(name: str, load_model: Callable[[], Callable]) -> Callable:
+    """The model of this Python worker: kept between the tasks the worker runs."""
+    if name not in _MODELS:
+        _MODELS.clear()
+        _MODELS[name] = load_model()
+    return _MODELS[name]
+
+
+def python_scorer(load_model: Callable[[], Callable[[list[str], list[list[str]]], list[list[float]]]], context: str = "context", options: str = "options",
+                  name: str | None = None):
     """Wrap a user's Python model. The model is loaded once per worker and sees Arrow batches."""
+    name = name or uuid.uuid4().hex
 
     def scorer(rows: DataFrame) -> DataFrame:
         schema = T.StructType(rows.schema.fields + [T.StructField("logits", T.ArrayType(T.DoubleType()))])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            model = load_model()
+            model = _model(name, load_model)
             for pdf in batches:
                 pdf = pdf.copy()
                 pdf["logits"] = model(list(pdf[context]), [list(o) for o in pdf[options]])

@@ -9,7 +9,7 @@ from adjudica.functions.hashing import chance, u8
 from adjudica.operators import answers as A
 from adjudica.operators import compare as K
 from adjudica.operators import metrics as M
-from adjudica.operators.ranking import quantiles
+from adjudica.operators.ranking import quantiles, unit_bucket
 from adjudica.plans import views as V
 from adjudica.plans.registry import query
 from adjudica.sources.tables import materialise, table
@@ -86,7 +86,7 @@ def independence(spark, base):
         R6(F.avg((F.col("pa") != F.col("pb")).cast("int")), "flips"),
         R6(F.avg("dp"), "dp_mean"),
     )
-    p95 = quantiles(x, ["task"], "dp", {"dp_p95": 0.95}, F.floor(F.col("dp") * 65536).cast("int"), kind="cont")
+    p95 = quantiles(x, ["task"], "dp", {"dp_p95": 0.95}, unit_bucket(F.col("dp")), kind="cont")
     return s.join(p95.select("task", R6("dp_p95")), "task")
 
 
@@ -100,9 +100,9 @@ m AS (SELECT *, CASE WHEN ok2 AND NOT rekeyed THEN list_max(list_transform(list_
 
 
 @query("run_compare", f"""WITH {V.EMB_CTE}, {RUNS_CTE}
-SELECT count_if(ia) AS requests_a, count_if(ib) AS requests_b, count_if(NOT (ia AND ib)) AS missing_ids, count_if(ok2) AS compared_requests, count_if(s1 <> s2) AS status_mismatches,
-  count_if(ok2 AND rekeyed) AS answer_key_mismatches, CAST(0 AS BIGINT) AS nonfinite_or_missing_probs, count_if(ok2 AND NOT rekeyed AND d1 <> d2) AS argmax_mismatches, count_if(diff > 0.001) AS prob_diffs_over_tol,
-  round(max(diff), 6) AS max_abs_prob_diff, arg_max(id, diff) AS max_at, count_if(ok2 AND u1 <> u2) AS usage_mismatches, false AS ok FROM m""")
+SELECT count(*) FILTER (WHERE ia) AS requests_a, count(*) FILTER (WHERE ib) AS requests_b, count(*) FILTER (WHERE NOT (ia AND ib)) AS missing_ids, count(*) FILTER (WHERE ok2) AS compared_requests, count(*) FILTER (WHERE s1 <> s2) AS status_mismatches,
+  count(*) FILTER (WHERE ok2 AND rekeyed) AS answer_key_mismatches, CAST(0 AS BIGINT) AS nonfinite_or_missing_probs, count(*) FILTER (WHERE ok2 AND NOT rekeyed AND d1 <> d2) AS argmax_mismatches, count(*) FILTER (WHERE diff > 0.001) AS prob_diffs_over_tol,
+  round(max(diff), 6) AS max_abs_prob_diff, arg_max(id, diff) AS max_at, count(*) FILTER (WHERE ok2 AND u1 <> u2) AS usage_mismatches, false AS ok FROM m""")
 def run_compare(spark, base):
     rid = F.col("row_id")
     names = F.transform(F.sequence(F.lit(0), F.size("probs") - 1), lambda i: F.concat(F.lit("L"), i.cast("string")))
@@ -149,7 +149,7 @@ def gate_select(spark, base):
 
 
 @query("task_wins", f"""WITH {V.EMB_CTE}, {TASK_METRICS}, d AS (SELECT task, max(CASE WHEN run = 'b' THEN acc END) - max(CASE WHEN run = 'a' THEN acc END) AS delta FROM tm GROUP BY task)
-SELECT task, round(delta, 6) AS delta, (SELECT count_if(delta > 0) FROM d) AS wins, (SELECT count(*) FROM d) AS tasks FROM d ORDER BY abs(round(delta, 6)) DESC, task LIMIT 3""")
+SELECT task, round(delta, 6) AS delta, (SELECT count(*) FILTER (WHERE delta > 0) FROM d) AS wins, (SELECT count(*) FROM d) AS tasks FROM d ORDER BY abs(round(delta, 6)) DESC, task LIMIT 3""")
 def task_wins(spark, base):
     p = K.run_pivot(task_metrics(spark, base), "task", "run", ["a", "b"], ["acc", "nll"])
     d = p.select("task", (F.col("b_acc") - F.col("a_acc")).alias("delta"))

@@ -308,7 +308,7 @@ def relevance_pairs(spark, base):
     return C.pick_relevant(x, ["l_orderkey"], "item", F.col("l_returnflag") == "R")
 
 
-@query("pos_neg_balance", f"""WITH c AS (SELECT least(count_if(toxic = 1), 120 // 3) AS n FROM labels), r AS (SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY {V.U('balance', 'doc_id')}, doc_id) AS rn FROM labels)
+@query("pos_neg_balance", f"""WITH c AS (SELECT least(count(*) FILTER (WHERE toxic = 1), 120 // 3) AS n FROM labels), r AS (SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY {V.U('balance', 'doc_id')}, doc_id) AS rn FROM labels)
 SELECT doc_id, toxic FROM r, c WHERE rn <= CASE WHEN toxic = 1 THEN n ELSE 2 * n END""")
 def pos_neg_balance(spark, base):
     d = table(spark, base, "labels").select("doc_id", "toxic")

@@ -134,7 +134,7 @@ def rule_pointer(spark, base):
     return d.select("id", "target", R.pointer_gold(F.col("options"), F.col("target"), v).alias("gold"), F.array_join("options", "|").alias("options"))
 
 
-@query("rule_select", f"""WITH {REC}, r AS (SELECT total >= 380000 AS test, row_number() OVER (ORDER BY {V.U('select', 'id')}, id) - 1 AS r FROM rec), g AS (SELECT r // 4 AS grp, count(*) AS n, count_if(test) AS hits, CAST(max(CASE WHEN test THEN r % 4 END) AS INTEGER) AS gold FROM r GROUP BY 1)
+@query("rule_select", f"""WITH {REC}, r AS (SELECT total >= 380000 AS test, row_number() OVER (ORDER BY {V.U('select', 'id')}, id) - 1 AS r FROM rec), g AS (SELECT r // 4 AS grp, count(*) AS n, count(*) FILTER (WHERE test) AS hits, CAST(max(CASE WHEN test THEN r % 4 END) AS INTEGER) AS gold FROM r GROUP BY 1)
 SELECT grp, n, gold FROM g WHERE hits = 1""")
 def rule_select(spark, base):
     return R.select_groups(records(spark, base), "id", F.col("total") >= 380000, 4)
@@ -235,7 +235,7 @@ def render_record(spark, base):
 
 
 @query("twin_audit", f"""WITH {TWIN_CTE}, r AS (SELECT id, family, CAST(test AS INTEGER) AS gold FROM tw UNION ALL SELECT id, family, CAST(NOT test AS INTEGER) FROM tw),
-g AS (SELECT family, id, count(*) AS n, count(DISTINCT gold) AS d, count_if(gold = 0) AS z FROM r GROUP BY 1, 2)
+g AS (SELECT family, id, count(*) AS n, count(DISTINCT gold) AS d, count(*) FILTER (WHERE gold = 0) AS z FROM r GROUP BY 1, 2)
 SELECT count(*) AS groups, round(avg(CAST(d > 1 AS INTEGER)), 6) AS disagree, round((SELECT least(sum(z) / sum(n), 1 - sum(z) / sum(n)) FROM g), 6) AS balance FROM g WHERE n > 1""")
 def twin_audit(spark, base):
     t = twins(spark, base)

@@ -116,7 +116,7 @@ NORM = r"trim(regexp_replace(lower({c}), '\s+', ' ', 'g'))"
 
 @query("eval_overlap", f"""WITH e AS (SELECT DISTINCT c FROM (SELECT {NORM.format(c='l')} AS c FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM benchmark)) WHERE c <> ''),
 t AS (SELECT doc_id, {NORM.format(c='l')} AS c FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents))
-SELECT doc_id, count_if(length(c) >= 40) AS n_long, count_if(length(c) < 40) AS n_short FROM t WHERE c IN (SELECT c FROM e) GROUP BY doc_id""")
+SELECT doc_id, count(*) FILTER (WHERE length(c) >= 40) AS n_long, count(*) FILTER (WHERE length(c) < 40) AS n_short FROM t WHERE c IN (SELECT c FROM e) GROUP BY doc_id""")
 def eval_overlap(spark, base):
     """Contexts are the lines of the texts."""
     line = lambda d: d.withColumn("line", F.explode(F.split("text", "\n")))
@@ -128,7 +128,7 @@ EVAL_DOC = V.BELOW(V.U("doc_split", "doc_id"), 0.2)
 
 
 @query("leak_check", f"""WITH t AS (SELECT {NORM.format(c='text')} AS c, lang, {EVAL_DOC} AS ev FROM documents)
-SELECT count_if(ev) AS n_eval, count_if(ev AND c IN (SELECT c FROM t WHERE NOT ev)) AS n_context_leaks, count_if(ev AND (c, lang) IN (SELECT (c, lang) FROM t WHERE NOT ev)) AS n_question_leaks FROM t""")
+SELECT count(*) FILTER (WHERE ev) AS n_eval, count(*) FILTER (WHERE ev AND c IN (SELECT c FROM t WHERE NOT ev)) AS n_context_leaks, count(*) FILTER (WHERE ev AND (c, lang) IN (SELECT (c, lang) FROM t WHERE NOT ev)) AS n_question_leaks FROM t""")
 def leak_check(spark, base):
     """Probe rows whose context, or context and question, also occur in training."""
     t = docs(spark, base).select(S.context_id(S.normalise_text(F.col("text"))).alias("h"), "lang", chance(u8("doc_split", "doc_id"), 0.2).alias("ev"))
@@ -150,7 +150,7 @@ def length_buckets(spark, base):
 
 @query("bounded_batches", f"""WITH x AS (SELECT doc_id, n_chars, {T_SQL} AS t FROM documents), r AS (SELECT *, {RN('t', 'pack', 'doc_id')} AS rn FROM x),
 b AS (SELECT t, (rn - 1) // least(8, greatest(1, 16384 // t)) AS batch FROM r), s AS (SELECT t, batch, count(*) AS n FROM b GROUP BY 1, 2)
-SELECT max(n) AS max_rows, count(*) AS batches, count_if(n > 8 OR (n > 1 AND n * t > 16384)) AS over_limit FROM s""")
+SELECT max(n) AS max_rows, count(*) AS batches, count(*) FILTER (WHERE n > 8 OR (n > 1 AND n * t > 16384)) AS over_limit FROM s""")
 def bounded_batches(spark, base):
     """At most 8 rows and 16,384 padded units per batch (a single longer row is its own batch)."""
     b = S.pack_batches(docs(spark, base).select("doc_id", "n_chars"), "doc_id", "n_chars", 16384, max_rows=8)

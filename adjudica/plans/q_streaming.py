@@ -67,7 +67,7 @@ def status():
 
 
 @query("stream_stats", f"""WITH x AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS s, {STATUS} AS st FROM events), m AS (SELECT max(ts) AS mx FROM events)
-SELECT {TEXT('s')} AS start, count(*) AS n, count_if(st = 'ok') AS ok, count_if(st = 'error') AS errors FROM x, m WHERE s + INTERVAL '1 hour' <= mx - INTERVAL '1 hour' GROUP BY s""")
+SELECT {TEXT('s')} AS start, count(*) AS n, count(*) FILTER (WHERE st = 'ok') AS ok, count(*) FILTER (WHERE st = 'error') AS errors FROM x, m WHERE s + INTERVAL '1 hour' <= mx - INTERVAL '1 hour' GROUP BY s""")
 def stream_stats(spark, base):
     s = P.window_stats(P.with_event_time(events(spark, base)), "ts", "1 hour", status())
     return P.run_once(s).select(text("start", "start"), "n", "ok", "errors")

@@ -48,8 +48,8 @@ def question_check(spark, base):
     return questions(spark, base).select("event_id", "kind", F.coalesce("reason", F.lit("ok")).alias("reason"))
 
 
-@query("record_accept", f"""WITH {TQ} SELECT user_id, count(*) AS n, count_if(reason IS NULL) AS n_valid, count_if(reason IS NULL) >= 50 AS accepted,
-  CASE WHEN count_if(reason IS NULL) < 50 THEN count_if(reason IS NULL) || ' valid questions, 50 needed' END AS reason FROM tv GROUP BY user_id""")
+@query("record_accept", f"""WITH {TQ} SELECT user_id, count(*) AS n, count(*) FILTER (WHERE reason IS NULL) AS n_valid, count(*) FILTER (WHERE reason IS NULL) >= 50 AS accepted,
+  CASE WHEN count(*) FILTER (WHERE reason IS NULL) < 50 THEN count(*) FILTER (WHERE reason IS NULL) || ' valid questions, 50 needed' END AS reason FROM tv GROUP BY user_id""")
 def record_accept(spark, base):
     return T.accept_records(questions(spark, base), ["user_id"], F.col("reason").isNull(), 50)
 
@@ -111,7 +111,7 @@ def checked(spark, base):
     return d.withColumn("ok", T.agrees(F.col("kind"), p, g))
 
 
-@query("teacher_agree", f"""WITH {TQ}, {CHECK}, k AS (SELECT user_id FROM ag GROUP BY user_id HAVING count_if(ok) >= least(2, count(*))) SELECT event_id, user_id, kind FROM ag WHERE ok AND user_id IN (SELECT user_id FROM k)""")
+@query("teacher_agree", f"""WITH {TQ}, {CHECK}, k AS (SELECT user_id FROM ag GROUP BY user_id HAVING count(*) FILTER (WHERE ok) >= least(2, count(*))) SELECT event_id, user_id, kind FROM ag WHERE ok AND user_id IN (SELECT user_id FROM k)""")
 def teacher_agree(spark, base):
     return T.keep_agreed(checked(spark, base), ["user_id"], "ok").select("event_id", "user_id", "kind")
 
@@ -188,7 +188,7 @@ def prompt_grid(spark, base):
     return table(spark, base, "documents").select("doc_id", T.prompt_job("doc_id", "Write %s for a %s list, %s", AXES).alias("prompt"))
 
 
-@query("multi_answer_agree", f"""WITH a AS (SELECT event_id, {I('written', 3)} AS w, {V.IDX(V.U('second', 'event_id', 'r.i'), 3)} AS x FROM events, (SELECT unnest([1, 2]) AS i) r) SELECT event_id, count_if(x = w) AS agree FROM a GROUP BY event_id HAVING count_if(x = w) >= 2""")
+@query("multi_answer_agree", f"""WITH a AS (SELECT event_id, {I('written', 3)} AS w, {V.IDX(V.U('second', 'event_id', 'r.i'), 3)} AS x FROM events, (SELECT unnest([1, 2]) AS i) r) SELECT event_id, count(*) FILTER (WHERE x = w) AS agree FROM a GROUP BY event_id HAVING count(*) FILTER (WHERE x = w) >= 2""")
 def multi_answer_agree(spark, base):
     a = table(spark, base, "events").select("event_id", H("written", 3).alias("w"), F.explode(F.array(F.lit(1), F.lit(2))).alias("i"))
     a = a.withColumn("x", pick_index(u8("second", "event_id", "i"), 3))
