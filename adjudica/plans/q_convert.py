@@ -317,10 +317,10 @@ def pos_neg_balance(spark, base):
     return top_by_hash(d, ["toxic"], "doc_id", "balance", F.when(F.col("toxic") == 1, F.col("n")).otherwise(2 * F.col("n"))).select("doc_id", "toxic")
 
 
-@query("annotator_mean", """SELECT l_partkey, CAST(least(4, greatest(0, round_even(avg(l_quantity / 10.0), 0))) AS INTEGER) AS amount, CAST(least(4, greatest(0, round_even(avg(round(l_discount * 100) / 2), 0))) AS INTEGER) AS discount,
+@query("annotator_mean", """SELECT l_partkey, CAST(least(4, greatest(0, round_even(avg(l_quantity / 8.0), 0))) AS INTEGER) AS amount, CAST(least(4, greatest(0, round_even(avg(round(l_discount * 100) / 2), 0))) AS INTEGER) AS discount,
   CAST(least(4, greatest(0, round_even(avg(CASE WHEN l_returnflag <> 'A' THEN round(l_tax * 100) END), 0))) AS INTEGER) AS tax FROM lineitem GROUP BY l_partkey HAVING count(CASE WHEN l_returnflag <> 'A' THEN 1 END) > 0""")
 def annotator_mean(spark, base):
-    attrs = {"amount": F.col("l_quantity") / 10.0, "discount": F.round(F.col("l_discount") * 100) / 2, "tax": F.when(F.col("l_returnflag") != "A", F.round(F.col("l_tax") * 100))}
+    attrs = {"amount": F.col("l_quantity") / 8.0, "discount": F.round(F.col("l_discount") * 100) / 2, "tax": F.when(F.col("l_returnflag") != "A", F.round(F.col("l_tax") * 100))}
     return C.annotator_mean(table(spark, base, "lineitem"), "l_partkey", attrs, 0, 4)
 
 
