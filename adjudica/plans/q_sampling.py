@@ -9,7 +9,7 @@ from adjudica.operators import sampling as S
 from adjudica.operators.ranking import hash_bucket, with_rank
 from adjudica.plans import views as V
 from adjudica.plans.registry import query
-from adjudica.sources.tables import table
+from adjudica.sources.tables import spread, table
 
 
 def RN(part: str, purpose: str, key: str) -> str:
@@ -120,7 +120,7 @@ SELECT doc_id, count(*) FILTER (WHERE length(c) >= 40) AS n_long, count(*) FILTE
 def eval_overlap(spark, base):
     """Contexts are the lines of the texts."""
     line = lambda d: d.withColumn("line", F.explode(F.split("text", "\n")))
-    t = line(docs(spark, base).select("doc_id", "text")).select("doc_id", "line")
+    t = line(spread(docs(spark, base).select("doc_id", "text"))).select("doc_id", "line")
     return S.eval_overlap(t, "doc_id", "line", line(table(spark, base, "benchmark")), "line")
 
 
