@@ -36,7 +36,8 @@ def label_pool(long: DataFrame) -> DataFrame:
     """Distinct options per task, over questions of 3..60 options, for pools of 3..200 labels."""
     d = long.filter(F.size("options").between(3, 60) & ~F.col("task").contains("+"))
     labels = d.select("task", F.explode("options").alias("label")).distinct()
-    return labels.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("label")).alias("labels")).filter(F.col("n").between(3, 200))
+    fits = labels.groupBy("task").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(3, 200))  # only these are gathered
+    return labels.join(fits, "task").groupBy("task", "n").agg(F.array_sort(F.collect_set("label")).alias("labels"))
 
 
 # ---- option lists

@@ -6,7 +6,7 @@ question per row. Every converter is a projection and a filter unless noted.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adjudica.functions import text as X
@@ -51,11 +51,11 @@ def letter_index(letter: Column) -> Column:
 
 
 def label_vocabulary(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Sorted distinct labels and their index per column (an option list holds at most 255)."""
+    """Sorted distinct labels and their index per column. The window sorts distinct labels, not rows."""
     pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("label")) for c in cols])
     distinct = df.select(F.inline(pairs)).filter(F.col("label").isNotNull()).distinct()
-    vocab = distinct.groupBy("field").agg(F.array_sort(F.collect_list("label")).alias("v"))
-    return vocab.select("field", F.posexplode("v").alias("idx", "label"))
+    place = F.row_number().over(Window.partitionBy("field").orderBy("label"))
+    return distinct.select("field", (place - 1).alias("idx"), "label")
 
 
 def shuffle_options(options: Column, gold: Column, *key) -> tuple[Column, Column]:

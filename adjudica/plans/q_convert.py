@@ -280,14 +280,14 @@ y AS (SELECT *, {HASH_SORT('list_concat([pos], neg)', 'elements', 'o_orderkey')}
 SELECT o_orderkey, hist, array_to_string(o, '|') AS options, CAST(list_position(o, pos) - 1 AS INTEGER) AS gold FROM y""")
 def element_choice(spark, base):
     """Orders of a customer as steps: the element to pick is the customer's nation among those of its region."""
-    o = table(spark, base, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
+    nation = table(spark, base, "nation")
+    home = table(spark, base, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), F.col("n_name").alias("pos"), "n_regionkey")
+    o = table(spark, base, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate").join(home, "o_custkey")
     month = F.year("o_orderdate") * 12 + F.month("o_orderdate")
     o = with_rank(o, ["o_custkey"], month, [F.col("o_orderdate"), F.col("o_orderkey")], "step")
     h = C.last_k(o, ["o_custkey"], "step", "o_orderpriority", 4)
-    nation = table(spark, base, "nation")
     per_region = nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_set("n_name")).alias("all_n"))
-    c = table(spark, base, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey")).join(nation, "n_nationkey").join(per_region, "n_regionkey")
-    x = h.join(c.select("o_custkey", F.col("n_name").alias("pos"), "all_n"), "o_custkey")
+    x = h.join(per_region, "n_regionkey")
     neg = F.slice(hash_sort(F.array_remove("all_n", F.col("pos")), "neg", "o_orderkey"), 1, 5)
     x = x.withColumn("options", hash_sort(F.concat(F.array("pos"), neg), "elements", "o_orderkey"))
     hist = F.when(F.size("history") == 0, "none").otherwise(F.array_join("history", "; "))
