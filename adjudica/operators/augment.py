@@ -65,8 +65,9 @@ def family_pools(pool: DataFrame) -> Column:
 
     Tasks of 3..200 distinct labels take part (the rule of label_pool), so the map holds at most 200 labels per
     registered task."""
-    fits = pool.distinct().groupBy("task").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n").between(3, 200)).select("task")
-    by_family = pool.join(fits, "task", "left_semi").groupBy("family").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("task"))
+    fits = pool.distinct().withColumn("_n", n).filter(F.col("_n").between(3, 200))
+    by_family = fits.groupBy("family").agg(F.array_sort(F.collect_set("label")).alias("labels"))
     packed = by_family.agg(F.collect_list(F.struct("family", "labels")).alias("p")).scalar()
     rest = F.filter("_all", lambda s: s["family"] != F.col("family"))
     others = by_family.withColumn("_all", packed).select("family", F.array_distinct(F.flatten(F.transform(rest, lambda s: s["labels"]))).alias("o"))
