@@ -108,15 +108,17 @@ def manifest(df: DataFrame, group: list[str], n_questions: Column, n_units: Colu
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir of the session.
+    """A new folder below the one every executor can reach: spark.checkpoint.dir of the session.
 
-    Only where the session names none (tests on one machine) a temporary folder is taken and set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    A session of one machine (master local) that names no folder gets a temporary one; on a cluster that is an error, as
+    executors would each write to a disk of their own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
-        existing = spark.sparkContext.getCheckpointDir()
-        base = existing or tempfile.mkdtemp(prefix="adjudica-")
-        if not existing:
-            spark.sparkContext.setCheckpointDir(base)
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="adjudica-")
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/adjudica-{uuid.uuid4().hex}"
 
 
