@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from adjudica.sources.tables import materialise, table
 
-__all__ = ["materialise", "table", "remainder", "training_sample", "word_count"]
+__all__ = ["materialise", "table", "remainder", "training_sample"]
 
 
 def remainder(key: Column, n: int) -> Column:
@@ -28,7 +28,3 @@ def training_sample(df: DataFrame, label: str, text: str, bound: int) -> DataFra
         keep = keep | ((F.col("label") == F.lit(value)) & (draw < int(1_000_000 * min(1.0, bound / n)) + 1))
     return df.filter(keep).dropDuplicates(["label", "text"])
 
-
-def word_count(text: Column) -> Column:
-    """Number of runs of characters that are not white space; 0 for null."""
-    return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(r"(\S+)"), F.lit(1))), F.lit(0))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adjudica.llm import language, quality, toxicity
+from adjudica.llm import bpe, language, licenses, packing, quality, toxicity, urls
 from adjudica.llm.common import remainder, table
 
 
@@ -43,8 +43,31 @@ def op8_quality(spark: SparkSession, base: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op3_licenses(spark: SparkSession, base: str) -> DataFrame:
+    """Phrase places and license labels of every document."""
+    return licenses.scan(table(spark, base, "documents"), "doc_id", "text")
+
+
+def op6_bpe(spark: SparkSession, base: str) -> DataFrame:
+    """Token count and digests of the ids and of the decoded bytes of every document."""
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.round_trip(table(spark, base, "documents"), "doc_id", "text", ranks, public_tokenizers.PATTERN)
+
+
+def op7_urls(spark: SparkSession, base: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    return urls.judge(table(spark, base, "pages"), "page_id", "url")
+
+
+def op10_packing(spark: SparkSession, base: str) -> DataFrame:
+    """Every document's pieces and their bins; a token is a run of characters without white space."""
+    return packing.pack(table(spark, base, "documents"), "doc_id", packing.blank_tokens(F.col("text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_toxicity, op8_quality)}
+    return {f.__name__: f for f in (op1_language, op2_toxicity, op3_licenses, op6_bpe, op7_urls, op8_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
