@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adjudica.llm import bpe, language, licenses, packing, quality, toxicity, urls
-from adjudica.llm.common import remainder, table
+from adjudica.llm import bpe, language, licenses, neardup, neighbours, packing, quality, topk, toxicity, urls
+from adjudica.llm.common import labelled, remainder, table
 
 
 def op1_language(spark: SparkSession, base: str) -> DataFrame:
@@ -20,26 +20,21 @@ def op1_language(spark: SparkSession, base: str) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("r.lang").alias("lang_pred"), F.col("r.score").alias("score"), F.size("r.spans").alias("n_spans"))
 
 
-def labelled(spark: SparkSession, base: str, column: str) -> DataFrame:
-    """Texts with a label: (doc_id, text, column)."""
-    docs = table(spark, base, "documents").select("doc_id", "text")
-    return docs.join(table(spark, base, "labels").select("doc_id", column).filter(F.col(column).isNotNull()), "doc_id")
-
-
 def op2_toxicity(spark: SparkSession, base: str) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
+    docs = table(spark, base, "documents").select("doc_id", "text")
     held = remainder(F.col("doc_id"), 5) == 0
-    model = toxicity.fit(labelled(spark, base, "toxic").filter(~held), "text", "toxic")
-    out = table(spark, base, "documents").select("doc_id", held.alias("held_out"), toxicity.score(F.col("text"), model, spark).alias("score"))
+    model = toxicity.fit(labelled(docs.filter(~held), table(spark, base, "labels"), "toxic"), "text", "toxic")
+    out = docs.select("doc_id", held.alias("held_out"), toxicity.score(F.col("text"), model, spark).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op8_quality(spark: SparkSession, base: str) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
+    docs = table(spark, base, "documents").select("doc_id", "text")
     held = remainder(F.col("doc_id"), 4) == 2
-    model = quality.fit(labelled(spark, base, "quality").filter(~held), "text", "quality")
-    docs = quality.statistics(table(spark, base, "documents").select("doc_id", "text"), "text")
-    out = docs.select("doc_id", held.alias("held_out"), quality.score(model).alias("score"))
+    model = quality.fit(labelled(docs.filter(~held), table(spark, base, "labels"), "quality"), "text", "quality")
+    out = quality.statistics(docs, "text").select("doc_id", held.alias("held_out"), quality.score(model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
@@ -48,6 +43,17 @@ def op3_licenses(spark: SparkSession, base: str) -> DataFrame:
     return licenses.scan(table(spark, base, "documents"), "doc_id", "text")
 
 
+def op4_top_k(spark: SparkSession, base: str) -> DataFrame:
+    """The 5 best inner products of floor(256 x) for vectors with an id divisible by 50."""
+    v = table(spark, base, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double") + x.cast("double") * 0).alias("v"))
+    return topk.search(v, "vec_id", "v", F.col("id") % 50 == 0)
+
+
+def op5_near_duplicates(spark: SparkSession, base: str) -> DataFrame:
+    """doc_id and class_id (the smallest doc_id of its near-duplicates) of every document."""
+    return neardup.classes(table(spark, base, "documents"), "doc_id", "text")
+
+
 def op6_bpe(spark: SparkSession, base: str) -> DataFrame:
     """Token count and digests of the ids and of the decoded bytes of every document."""
     import public_tokenizers
@@ -61,13 +67,25 @@ def op7_urls(spark: SparkSession, base: str) -> DataFrame:
     return urls.judge(table(spark, base, "pages"), "page_id", "url")
 
 
+def op9_neighbours(spark: SparkSession, base: str) -> DataFrame:
+    """The 10 nearest vectors found for vectors with an id divisible by 100."""
+    return neighbours.search(table(spark, base, "embeddings"), "vec_id", "embedding", F.col("id") % 100 == 0)
+
+
 def op10_packing(spark: SparkSession, base: str) -> DataFrame:
     """Every document's pieces and their bins; a token is a run of characters without white space."""
     return packing.pack(table(spark, base, "documents"), "doc_id", packing.blank_tokens(F.col("text")))
 
 
+def pipeline(spark: SparkSession, base: str) -> DataFrame:
+    """The stages of corpus_pipeline.py over documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, base)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_toxicity, op3_licenses, op6_bpe, op7_urls, op8_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_language, op2_toxicity, op3_licenses, op4_top_k, op5_near_duplicates, op6_bpe, op7_urls, op8_quality, op9_neighbours, op10_packing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
