@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from adjudica.llm.common import materialise
 
-BLOCKS = "block long, bucket int, words binary, keys array<long>, sizes array<int>, places binary"
+BLOCKS = "block long, bucket int, words binary, keys array<long>, sizes array<int>, places binary, dealt binary"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -102,7 +102,8 @@ class Numbered(dict):
 
 
 def blocks(df: DataFrame, key: str, text: str, pattern: str, buckets: int, block_chars: int) -> DataFrame:
-    """Two kinds of rows: (block, keys, sizes, places), the documents of a block as numbers of words; (block, bucket, words), its word list."""
+    """Two kinds of rows. (block, keys, sizes, places, dealt): the documents of a block as numbers of words, and each word's bucket;
+    (block, bucket, words): the words of one bucket by number."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import regex
@@ -115,13 +116,18 @@ def blocks(df: DataFrame, key: str, text: str, pattern: str, buckets: int, block
             block = (task << 32) | next(seq)
             words = [w.encode("utf-8", "replace") for w in seen]
             bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-            order = np.argsort(bucket, kind="stable")
+            # frequent words get the small numbers, which compress best
+            places = np.concatenate(places)
+            order = np.argsort(-np.bincount(places, minlength=len(words)), kind="stable")
             number = np.empty(len(words), np.int64)
             number[order] = np.arange(len(words))
-            rows = [(block, None, None, keys, sizes, pack(number[np.concatenate(places)]))]
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows += [(block, b, pack_words([words[i] for i in order[cuts[b]:cuts[b + 1]]]), None, None, None) for b in range(buckets) if cuts[b + 1] > cuts[b]]
-            return pd.DataFrame(rows, columns=["block", "bucket", "words", "keys", "sizes", "places"]).astype({"bucket": "Int32"})
+            bucket = bucket[order]
+            rows = [(block, None, None, keys, sizes, pack(number[places]), pack(bucket))]
+            for b in range(buckets):
+                mine = order[bucket == b]
+                if len(mine):
+                    rows.append((block, b, pack_words([words[i] for i in mine]), None, None, None, None))
+            return pd.DataFrame(rows, columns=["block", "bucket", "words", "keys", "sizes", "places", "dealt"]).astype({"bucket": "Int32"})
 
         keys, sizes, places, seen, chars = [], [], [], Numbered(), 0
         for batch in batches:
@@ -140,7 +146,7 @@ def blocks(df: DataFrame, key: str, text: str, pattern: str, buckets: int, block
     return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInPandas(run, BLOCKS)
 
 
-def round_trip(df: DataFrame, key: str, text: str, ranks: dict[bytes, int], pattern: str, keep: bool = False, block_chars: int = 12_000_000, buckets_per_partition: int = 4) -> DataFrame:
+def round_trip(df: DataFrame, key: str, text: str, ranks: dict[bytes, int], pattern: str, keep: bool = False, block_chars: int = 24_000_000, buckets_per_partition: int = 4) -> DataFrame:
     """Encode every text and decode its ids -> key, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256, and with
     `keep` also ids (array<int>) and decoded (binary)."""
     spark = df.sparkSession
@@ -165,10 +171,12 @@ def round_trip(df: DataFrame, key: str, text: str, ranks: dict[bytes, int], patt
 
     def assemble(docs: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
         table = {r: b for b, r in shared.value.items()}
-        words: list[list[int]] = []
-        for _, counts, ids in sorted(zip(lists["bucket"], lists["counts"], lists["ids"]), key=lambda x: x[0]):
+        dealt = unpack(docs["dealt"].iloc[0])  # a block has one row of documents
+        words: list[list[int]] = [[]] * len(dealt)
+        for bucket, counts, ids in zip(lists["bucket"], lists["counts"], lists["ids"]):
             ids, ends = unpack(ids).tolist(), np.cumsum(unpack(counts)).tolist()
-            words += [ids[a:b] for a, b in zip([0, *ends], ends)]
+            for n, a, b in zip(np.flatnonzero(dealt == bucket).tolist(), [0, *ends], ends):
+                words[n] = ids[a:b]
         size = np.fromiter(map(len, words), np.int64, len(words))
         as_text = [",".join(map(str, w)) for w in words]
         as_bytes = [b"".join(map(table.__getitem__, w)) for w in words]
@@ -183,7 +191,7 @@ def round_trip(df: DataFrame, key: str, text: str, ranks: dict[bytes, int], patt
                 out.append((*row, [i for x in at for i in words[x]], raw) if keep else row)
         return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")]).astype({"key": "Int64"})
 
-    docs = made.filter("bucket is null").select("block", "keys", "sizes", "places")
+    docs = made.filter("bucket is null").select("block", "keys", "sizes", "places", "dealt")
     return docs.groupBy("block").cogroup(lists.groupBy("block")).applyInPandas(assemble, schema).withColumnRenamed("key", key)
 
 
