@@ -6,8 +6,8 @@ blocks meets in one task, where it is merged once; its ids go back to the blocks
 Decoding looks ids up in the token-byte table.
 
 Memory: a block is about `block_chars` characters (one longer text is a block of its own); a bucket holds the distinct words of its
-share of the hash space, and there are `buckets_per_partition` buckets for every shuffle partition. Block tables are written to the
-shared folder once, so lost executors cost no second tokenisation.
+share of the hash space, and there are `buckets_per_partition` buckets for every shuffle partition. Texts are read and cut once;
+what an executor loses is cut again from its part of the input.
 
 Defined results: null and empty texts have no ids. Repeated rows each get a result row. Pre-tokens of any length are merged in
 O(n log n). An empty table gives an empty result.
@@ -27,8 +27,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adjudica.llm.common import materialise
-
 BLOCKS = "block long, bucket int, words binary, keys array<long>, sizes array<int>, places binary, dealt binary"
 
 
@@ -152,9 +150,12 @@ def round_trip(df: DataFrame, key: str, text: str, ranks: dict[bytes, int], patt
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(ranks)  # fixed size: the vocabulary
     buckets = buckets_per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made = materialise(blocks(df, key, text, pattern, buckets, block_chars), "blocks")
+    made = blocks(df, key, text, pattern, buckets, block_chars)
 
     def encode(group: pd.DataFrame) -> pd.DataFrame:
+        """One bucket's words of all blocks -> their ids; the documents of a block pass unchanged."""
+        if group["bucket"].isna().iloc[0]:
+            return group.drop(columns=["words", "meet"]).assign(counts=None, ids=None)[names]
         ranks, known, out = shared.value, {}, []
         for data in group["words"]:
             counts, ids = [], []
@@ -164,12 +165,16 @@ def round_trip(df: DataFrame, key: str, text: str, ranks: dict[bytes, int], patt
                 counts.append(len(known[w]))
                 ids += known[w]
             out.append((pack(np.array(counts, np.int64)), pack(np.array(ids, np.int64))))
-        return pd.DataFrame({"block": group["block"], "bucket": group["bucket"], "counts": [a for a, _ in out], "ids": [b for _, b in out]})
+        return pd.DataFrame({"block": group["block"], "bucket": group["bucket"], "keys": None, "sizes": None, "places": None, "dealt": None, "counts": [a for a, _ in out], "ids": [b for _, b in out]})
 
-    lists = made.filter("bucket is not null").select("block", "bucket", "words").groupBy("bucket").applyInPandas(encode, "block long, bucket int, counts binary, ids binary")
+    encoded = "block long, bucket int, keys array<long>, sizes array<int>, places binary, dealt binary, counts binary, ids binary"
+    names = [c.split()[0] for c in encoded.split(", ")]
+    # documents and word lists take the same exchange, so that texts are cut once
+    lists = made.withColumn("meet", F.coalesce(F.col("bucket").cast("long"), -1 - F.col("block"))).groupBy("meet").applyInPandas(encode, encoded)
     schema = "key long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded binary" if keep else "")
 
-    def assemble(docs: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
+    def assemble(rows: pd.DataFrame) -> pd.DataFrame:
+        docs, lists = rows[rows["bucket"].isna()], rows[rows["bucket"].notna()]
         table = {r: b for b, r in shared.value.items()}
         dealt = unpack(docs["dealt"].iloc[0])  # a block has one row of documents
         words: list[list[int]] = [[]] * len(dealt)
@@ -191,8 +196,7 @@ def round_trip(df: DataFrame, key: str, text: str, ranks: dict[bytes, int], patt
                 out.append((*row, [i for x in at for i in words[x]], raw) if keep else row)
         return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")]).astype({"key": "Int64"})
 
-    docs = made.filter("bucket is null").select("block", "keys", "sizes", "places", "dealt")
-    return docs.groupBy("block").cogroup(lists.groupBy("block")).applyInPandas(assemble, schema).withColumnRenamed("key", key)
+    return lists.groupBy("block").applyInPandas(assemble, schema).withColumnRenamed("key", key)
 
 
 def decode(df: DataFrame, ids: str, ranks: dict[bytes, int], out: str = "decoded") -> DataFrame:
