@@ -6,9 +6,12 @@ successive halving (the bits of a fraction), and one of m registers. A point cou
 earliest time over all shingles, so two documents agree in a register with the probability of their weighted Jaccard
 similarity. Points are drawn in order of time and a process ends when its next point is later than every register.
 
-Links. Documents whose registers agree in a whole band are compared, in two steps that never list all pairs of a bucket: first each
-text with one representative of its bucket, and after joining those that are linked, only texts of one bucket that are still
-in different groups and whose sizes allow the similarity. Every reported link is verified on the multisets.
+Links. Documents whose registers agree in a whole band are compared, but never all pairs of a bucket. In rounds, each text of a
+bucket is compared with one representative of it, linked texts become one group, and buckets of one group are done. When the pairs
+left between different groups are few (at most `few` for each text in its bucket), or after `most_rounds`, all these are compared.
+No pair is compared whose bound is below the similarity: the smaller of two sizes n, m must reach it against the larger, and what
+either text shares with any other text must reach s / (1 + s) (n + m), the overlap that similarity s needs. A text of which too much
+is its own thus leaves its buckets. Every reported link is verified on the multisets.
 
 Defined results: documents without a word are in a class of their own. Texts of fewer than five words have one shingle, the whole
 text. Texts with the same words are one class before any comparison. Rows without a key are not listed. Rows that repeat a key
@@ -185,36 +188,79 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFr
     return p.select("a", "b", "text_a", "text_b").mapInPandas(lambda it: jaccard(it, k), "a long, b long, similarity double").filter(F.col("similarity") >= least)
 
 
-def classes(df: DataFrame, key: str, text: str, least: float = 0.8, k: int = 5, bands: int = 32, rows: int = 6) -> DataFrame:
+def unshared(texts: DataFrame, k: int) -> DataFrame:
+    """(node, alone): the summed counts of the shingles that no other of these texts (node, text) has."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Hashed()
+        for b in batches:
+            for node, t in zip(b["node"], b["text"]):
+                if len(known) > 200_000:
+                    known = Hashed()
+                ws = WORD.findall(t.lower())
+                s, n = np.unique(shingles(np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws)), k), return_counts=True)
+                yield pd.DataFrame({"node": node, "s": s.view(np.int64), "n": n})
+
+    rows = texts.mapInPandas(run, "node long, s long, n int")
+    single = rows.groupBy("s").agg(F.count(F.lit(1)).alias("texts"), F.max("node").alias("node"), F.max("n").alias("n")).filter("texts = 1")
+    return single.groupBy("node").agg(F.sum("n").alias("alone"))
+
+
+def compared(pairs: DataFrame, texts: DataFrame, tested: DataFrame | None, links: DataFrame | None, k: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """Links and tested pairs after those of `pairs` that were not tested before."""
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    found = materialise(verified(pairs, texts, k, least).select("a", "b"), "links")
+    return (found, pairs) if links is None else (links.unionByName(found), tested.unionByName(pairs))
+
+
+def classes(df: DataFrame, key: str, text: str, least: float = 0.8, k: int = 5, bands: int = 32, rows: int = 6, few: int = 2, most_rounds: int = 3) -> DataFrame:
     """(key, class_id): class_id is the smallest key of the documents linked with this one, directly or through others.
 
     With 32 bands of 6 registers a pair of similarity 0.8 shares a band with probability 0.99994."""
     sign = materialise(signed(df, key, text, k, bands, rows), "signed")
-    size_ok = lambda x, y: F.least(x, y) >= least * F.greatest(x, y)
     # one node per word sequence: its smallest key
     nodes = sign.filter("words is not null").groupBy("words").agg(F.min("id").alias("node"))
     member = materialise(sign.select("id", "words").join(nodes, "words").select("id", "node").distinct(), "members")
     own = sign.filter("keys is not null").join(nodes.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
     own = own.groupBy("id").agg(F.min_by(F.struct("size", "keys"), "t").alias("s"))
     entries = materialise(own.select(F.col("id").alias("node"), "s.size", F.posexplode("s.keys").alias("band", "h")).select("node", "size", F.xxhash64("band", "h").alias("h")), "entries")
-    lead = entries.groupBy("h").agg(F.min("node").alias("lead"), F.max("node").alias("other"), F.min_by("size", "node").alias("lead_size")).filter("lead <> other")
-    shared = entries.join(lead, "h")
-    stars = materialise(shared.filter((F.col("node") != F.col("lead")) & size_ok(F.col("size"), F.col("lead_size"))).select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "stars")
+    shared = materialise(entries.join(entries.groupBy("h").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("h"), "h"), "shared")
     # texts of those that share a bucket; of a key's different texts the one whose signature stands in `entries`
     source = df.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text")).filter("node is not null and text is not null")
     texts = materialise(source.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "texts")
-    first = materialise(verified(stars, texts, k, least).select("a", "b"), "links")
-    groups = components(first)
-    named = entries.join(groups, "node", "left").select("h", "node", "size", F.coalesce("root", "node").alias("root"))
-    open_ = named.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("h")
-    left = materialise(named.join(open_, "h"), "open")
-    r = left.select("h", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
-    across = left.join(r, "h").filter((F.col("node") > F.col("b")) & (F.col("root") != F.col("root_b")) & size_ok(F.col("size"), F.col("size_b")))
-    across = across.select(F.col("node").alias("a"), "b").distinct().join(stars, ["a", "b"], "left_anti")
-    second = materialise(verified(across, texts, k, least).select("a", "b"), "links")
+    may_link = lambda m, n, cm, cn: (F.least(m, n) >= least * F.greatest(m, n)) & (F.least(cm, cn) >= least / (1 + least) * (m + n) - 1e-6)
+    # texts with little of their own stand in the middle of a group; a tenth of chance gives each round others
+    central = lambda turn: -F.col("common") / F.col("size") * (1 + F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1000)) / 10_000)
+    links = tested = None
+    open_ = shared.select("h", "node", "size", F.col("node").alias("root"), F.col("size").alias("common"))
+    for turn in range(most_rounds):
+        # buckets that still hold texts of different groups, each with one representative that all others are compared with
+        lead = open_.groupBy("h").agg(F.min_by(F.struct("node", "size", "root", "common"), F.struct(central(turn), "node")).alias("lead"))
+        pairs = open_.join(lead, "h").filter((F.col("root") != F.col("lead.root")) & may_link(F.col("size"), F.col("lead.size"), F.col("common"), F.col("lead.common")))
+        links, tested = compared(pairs.select(F.col("node").alias("a"), F.col("lead.node").alias("b")), texts, tested, links, k, least)
+        named = open_.drop("root").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = named.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("h")
+        named = materialise(named.join(mixed, "h"), "named")
+        alone = unshared(texts.join(named.select("node").distinct(), "node", "left_semi"), k)
+        named = named.join(alone, "node", "left").withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0))).drop("alone")
+        named = materialise(named.filter(F.col("common") >= least * F.col("size") - 1e-6), "named")
+        # a bucket's pairs of different groups: (n^2 - the sum over groups of n_group^2) / 2
+        per = named.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        per = per.withColumn("pairs", (F.col("n") * F.col("n") - F.col("same")) / 2).filter("pairs > 0")
+        open_ = materialise(named.join(per.select("h"), "h"), "open")
+        left = per.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
+        if not left["n"] or left["pairs"] <= few * left["n"]:
+            break
+    # a pair that shares several buckets is listed in the first of them only
+    open_ = open_.join(open_.groupBy("node").agg(F.collect_set("h").alias("hs")), "node")
+    first = F.col("h") == F.array_min(F.array_intersect("hs", "hs_b"))
+    r = open_.select("h", F.col("hs").alias("hs_b"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"), F.col("common").alias("common_b"))
+    across = open_.join(r, "h").filter((F.col("node") > F.col("b")) & first & (F.col("root") != F.col("root_b")) & may_link(F.col("size"), F.col("size_b"), F.col("common"), F.col("common_b")))
+    links, _ = compared(across.select(F.col("node").alias("a"), "b"), texts, tested, links, k, least)
     # keys that repeat with different words tie the nodes of these
     tied = member.join(member.groupBy("id").agg(F.min("node").alias("b")), "id").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    root = components(first.unionByName(second).unionByName(tied))
+    root = components(links.unionByName(tied))
     found = member.join(root, "node", "left").groupBy("id").agg(F.min(F.coalesce("root", "node")).alias("class_id"))
     listed = sign.select("id").distinct().join(found, "id", "left")
     return listed.select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"))
