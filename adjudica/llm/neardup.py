@@ -214,7 +214,7 @@ def compared(pairs: DataFrame, texts: DataFrame, tested: DataFrame | None, links
     return (found, pairs) if links is None else (links.unionByName(found), tested.unionByName(pairs))
 
 
-def classes(df: DataFrame, key: str, text: str, least: float = 0.8, k: int = 5, bands: int = 32, rows: int = 6, few: int = 2, most_rounds: int = 3) -> DataFrame:
+def classes(df: DataFrame, key: str, text: str, least: float = 0.8, k: int = 5, bands: int = 32, rows: int = 6, few: int = 2, most_rounds: int = 2) -> DataFrame:
     """(key, class_id): class_id is the smallest key of the documents linked with this one, directly or through others.
 
     With 32 bands of 6 registers a pair of similarity 0.8 shares a band with probability 0.99994."""

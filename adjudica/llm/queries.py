@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adjudica.llm import bpe, language, licenses, neardup, neighbours, packing, quality, topk, toxicity, urls
+from adjudica.llm import bpe, language, licenses, neardup, neighbours, packing, quality, sql, topk, toxicity, urls
 from adjudica.llm.common import labelled, remainder, table
 
 
@@ -89,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()

@@ -1,0 +1,234 @@
+"""Corpus operators against brute force and on edge cases."""
+import collections
+import hashlib
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from adjudica.llm import bpe, language, licenses, neardup, neighbours, packing, quality, topk, toxicity, urls
+
+#: Rows with null and empty texts, a long one, repeats, and a column whose name clashes with an operator's own.
+EN = "the cat and the dog went to the house with the other one and then it was late in the day"
+DE = "der hund und die katze sind nicht auf dem haus und das ist auch schön für den mann"
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    rows = [(1, None, "x"), (2, "", "x"), (3, "12 34 --", "x"), (4, EN, "x"), (4, EN, "x"), (5, f"{EN} {EN} {DE} {DE} {DE}", "x"), (None, DE, "x"), (6, (DE + " ") * 3000, "x"), (7, "Їжак і ліс", "x")]
+    return spark.createDataFrame(rows, "doc_id long, text string, score string")
+
+
+def test_language(spark, texts):
+    train = spark.createDataFrame([(EN, "en"), (DE, "de")], "text string, lang string")
+    model = language.fit(train, "text", "lang")
+    rows = texts.select("doc_id", "score", language.label(F.col("text"), model).alias("r")).collect()
+    got = {r["doc_id"]: r["r"] for r in rows}
+    assert len(rows) == 9 and [got[i]["lang"] for i in (1, 2, 3)] == ["und"] * 3 and got[1]["score"] == 0 and got[2]["spans"] == []
+    assert got[4]["lang"] == "en" and got[None]["lang"] == "de" and got[6]["lang"] == "de" and got[6]["score"] == 1
+    assert got[5]["lang"] == "de" and [s["lang"] for s in got[5]["spans"]] == ["en", "de"] and got[5]["spans"][1]["first"] == 2 * len(EN.split())
+    assert got[7]["score"] == 0
+    none = language.fit(train.limit(0), "text", "lang")
+    assert {r[0]["lang"] for r in texts.select(language.label(F.col("text"), none)).collect()} == {"und"}
+
+
+def test_constant_path_is_the_viterbi_path():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        scores = rng.normal(size=(30, 3)) * 2
+        best = np.array([scores.sum(0).argmax()])
+        if language.constant(scores, np.zeros(30, int), best, 12.0)[0]:
+            assert set(language.viterbi(scores, 12.0)) == {best[0]}
+
+
+def test_toxicity(spark, texts):
+    bad = [f"word{i % 26:c} stupid other".replace(f"{i % 26:c}", chr(97 + i % 26)) for i in range(60)]
+    words = [f"{chr(97 + i)}{chr(97 + j)}" for i in range(10) for j in range(10)]
+    rows = [(f"{words[i]} stupid {words[-i]} fine", 1) for i in range(40)] + [(f"{words[i]} {words[-i]} fine good people", 0) for i in range(99)]
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, y int"), "text", "y", least=5)
+    assert len(bad) == 60 and model["weights"]["stupid$"] > 2
+    said = ["so stupid", "so st0p1d", "so $tupid", "s t u p i d", "stuuuupid", "st.upid", "so fine", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string")
+    got = {r[0]: r[1] for r in df.select("i", toxicity.score(F.col("t"), model, spark)).collect()}
+    assert all(got[i] >= 0.5 for i in (0, 2, 3, 4, 5)) and all(got[i] < 0.5 for i in (6, 7, 8)) and got[7] == got[8]
+    restored = {r[0]: r[1] for r in df.select("i", toxicity.restored_text(F.col("t"), model, spark)).collect()}
+    assert restored[2] == "so stupid" and restored[4] == "stupid" and restored[8] is None
+    empty = toxicity.fit(spark.createDataFrame(rows[:40], "text string, y int"), "text", "y")
+    assert {round(r[0], 6) for r in texts.select(toxicity.score(F.col("text"), empty, spark)).collect()} == {0.0}
+
+
+def test_licenses(spark, texts):
+    said = [(10, "The MIT License. mit  LICENSE, again"), (11, "mit license version"), (12, "Licensed under the (new) Apache License, Version 2.0"), (13, "general public-license"), (14, "permission is hereby granted, free of all charge, to any person obtaining one copy of this software and associated documentation files")]
+    df = texts.select("doc_id", "text").unionByName(spark.createDataFrame(said, "doc_id long, text string"))
+    rows = licenses.scan(df, "doc_id", "text").collect()
+    got = {r["doc_id"]: r for r in rows}
+    assert len(rows) == 14 and got[1]["n_words"] == 0 and got[4]["labels"] == "" and got[4]["score"] == 0
+    assert (got[10]["n_base"], got[10]["first_word"], got[10]["last_word"], got[10]["base_labels"]) == (2, 1, 3, "mit")
+    assert got[12]["labels"] == "apache" and got[13]["base_labels"] == "gpl" and got[13]["first_word"] == 0
+    assert got[14]["base_labels"] == "" and got[14]["labels"] == "mit" and got[14]["first_word"] is None
+    assert licenses.scan(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_urls(spark):
+    said = [(1, None), (2, "no scheme"), (3, "http://EXAMPLE.net/EN/x"), (4, "https://a.example.net/en/x?y#z"), (5, "http://a.example.com/de/"), (6, "http://x.org/fr/1"), (7, "http://spam-farm.example.org/q"), (8, "http://net"), (9, "http://xnet/"), (9, "http://xnet/"), (10, "a://b?://c/d"), (None, "http://b.net/en/")]
+    rows = urls.judge(spark.createDataFrame(said, "page_id long, url string"), "page_id", "url").collect()
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in rows}
+    assert len(rows) == 12
+    assert got[1] == got[2] == ("", "", None, "allow") and got[3] == ("example.net", "/EN/x", "net/", "block")
+    assert got[4][2:] == ("example.net/en/", "allow") and got[5][2:] == ("example.com/de/", "block") and got[6][2:] == ("org/fr/", "allow")
+    assert got[7][2:] == (None, "block") and got[8][2:] == (None, "allow") and got[9][2:] == (None, "allow") and got[10][:2] == ("b", "") and got[None][2] == "net/"
+
+
+def plain_top(v, queries, k, key):
+    out = []
+    for q in queries:
+        best = sorted((key(v[q], x), i) for i, x in v.items() if i != q)[:k]
+        out += [(q, r + 1, i, s) for r, (s, i) in enumerate(best)]
+    return out
+
+
+def vector_rows():
+    rng = np.random.default_rng(5)
+    v = {i: [float(x) for x in rng.integers(-40, 40, 6)] for i in range(300)}
+    v |= {i: v[7] for i in range(300, 360)}
+    return v, [(i, x) for i, x in v.items()] + [(900, None), (901, [1.0, None, 2.0, 3.0, 4.0, 5.0]), (902, [float("nan")] * 6), (903, [float("inf")] * 6), (None, [1.0] * 6)]
+
+
+def test_top_k(spark):
+    v, rows = vector_rows()
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = topk.search(df, "id", "v", F.col("id") % 50 == 0, lane_rows=64, group_rows=3).collect()
+    want = plain_top(v, [i for i in v if i % 50 == 0], 5, lambda a, b: -sum(int(x) * int(y) for x, y in zip(a, b)))
+    assert sorted(map(tuple, got)) == sorted((q, r, i, -s) for q, r, i, s in want)
+    assert topk.search(df.limit(0), "id", "v", F.col("id") % 50 == 0).count() == 0
+    assert topk.search(df.filter("id < 3"), "id", "v", F.col("id") == 0).count() == 2
+
+
+def test_neighbours(spark):
+    v, rows = vector_rows()
+    df = spark.createDataFrame([*rows, (904, [0.0] * 6)], "id long, v array<double>")
+    got = neighbours.search(df, "id", "v", F.col("id") % 50 == 0, lane_rows=64, group_rows=3).collect()
+    want = plain_top(v, [i for i in v if i % 50 == 0], 10, lambda a, b: float(np.sqrt(((np.array(a) - np.array(b)) ** 2).sum())))
+    have = {(r["query_id"], r["vec_id"]): r["score"] for r in got}
+    hit = [have.get((q, i)) for q, _, i, _ in want]
+    assert len(got) == len(want) and sum(x is not None for x in hit) >= 0.9 * len(want)
+    assert all(abs(have[q, i] - s) < 1e-9 for q, _, i, s in want if (q, i) in have)
+    assert neighbours.search(df.limit(0), "id", "v", F.col("id") % 50 == 0).count() == 0
+
+
+def plain_classes(docs, least=0.8):
+    bags = {}
+    for i, t in docs:
+        w = re.findall(r"\w+", (t or "").lower())
+        if w and i is not None:
+            bags[i] = collections.Counter(tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4)))
+    root = {i: i for i, _ in docs if i is not None}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in bags:
+        for b in bags:
+            if a < b:
+                both = sum((bags[a] & bags[b]).values())
+                if both >= least * (sum(bags[a].values()) + sum(bags[b].values()) - both):
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in root}
+
+
+def test_near_duplicates(spark):
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(400)]
+    base = list(rng.choice(words, 90))
+    docs = [(1, None), (2, ""), (3, "one two"), (4, "One, two!"), (5, " ".join(base)), (6, " ".join(base)), (None, " ".join(base)), (8, "... --"), (9, "a b " * 4000)]
+    for i in range(40):
+        w = list(base)
+        for _ in range(int(rng.integers(1, 4))):
+            w[int(rng.integers(90))] = f"x{i}"
+        docs.append((20 + i, " ".join(w)))
+    docs += [(100 + i, " ".join(rng.choice(words, 60))) for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("size", F.lit(1))
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(df, "doc_id", "text").collect()}
+    assert got == plain_classes(docs)
+    kept = neardup.deduplicated(df, "doc_id", "text")
+    assert kept.columns == df.columns and sorted(r[0] for r in kept.filter("doc_id is not null").collect()) == sorted(set(got.values())) and kept.filter("doc_id is null").count() == 1
+    assert neardup.classes(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_bag_minhash_estimates_weighted_jaccard():
+    a, b = {1: 5, 2: 1, 3: 9}, {1: 3, 2: 4, 4: 2, 3: 9}
+    doc, item, weight = zip(*[(0, k, v) for k, v in a.items()], *[(1, k, v) for k, v in b.items()])
+    r = neardup.bag_minhash(np.array(doc), neardup.mix(np.array(item, np.uint64)), np.array(weight), 2, 4096)
+    true = sum(min(a.get(k, 0), b.get(k, 0)) for k in {*a, *b}) / sum(max(a.get(k, 0), b.get(k, 0)) for k in {*a, *b})
+    assert abs((r[0] == r[1]).mean() - true) < 0.04
+
+
+def test_bpe_against_the_library(spark, texts):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    import tiktoken
+
+    ranks = bpe.read_ranks(tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    more = spark.createDataFrame([(50, "naïve 日本語 🙂\n\n  x's 12345 <|endoftext|> " + "ab" * 5000)], "doc_id long, text string")
+    df = texts.select("doc_id", "text").unionByName(more)
+    rows = bpe.round_trip(df, "doc_id", "text", ranks, tokenizers.PATTERN, keep=True, block_chars=2000).collect()
+    assert len(rows) == 10
+    texts_by = {r["doc_id"]: r["text"] or "" for r in df.collect()}
+    for r in rows:
+        ids = enc.encode_ordinary(texts_by[r["doc_id"]])
+        assert list(r["ids"]) == ids and r["n_tokens"] == len(ids) and bytes(r["decoded"]).decode() == texts_by[r["doc_id"]]
+        assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    back = bpe.decode(spark.createDataFrame([(1, [64, 65]), (2, None), (3, [])], "i int, x array<int>"), "x", ranks).collect()
+    assert back[1]["decoded"] is None and bytes(back[2]["decoded"]) == b""
+    assert bpe.round_trip(df.limit(0), "doc_id", "text", ranks, tokenizers.PATTERN).count() == 0
+
+
+def test_packing(spark, texts):
+    rows = packing.pack(texts.select("doc_id", "text", F.lit(1).alias("shard")), "doc_id", packing.blank_tokens(F.col("text"))).collect()
+    total = sum(len((r["text"] or "").split()) for r in texts.collect())
+    assert sum(r["n_tokens"] for r in rows) == total and {r["bin_id"] for r in rows if r["n_tokens"] == 0} == {None}
+    bins = collections.defaultdict(list)
+    for r in rows:
+        if r["n_tokens"]:
+            bins[r["bin_id"]].append((r["offset"], r["n_tokens"], r["capacity"]))
+    for b in bins.values():
+        b.sort()
+        assert all(x[0] + x[1] == y[0] for x, y in zip(b, b[1:])) and b[0][0] == 0
+        used = b[-1][0] + b[-1][1]
+        assert b[0][2] == min(c for c in packing.CAPACITIES if c >= used)
+    assert packing.pack(texts.limit(0), "doc_id", F.lit(1)).count() == 0
+
+
+def test_best_fit_takes_the_tightest_bin():
+    bins, offsets, sizes = packing.best_fit([60, 50, 40, 30, 10], (100,))
+    assert bins == [0, 1, 0, 1, 1] and offsets == [0, 0, 60, 50, 80] and sizes == [100, 100]
+    assert packing.best_fit([5], (8, 64))[2] == [8]
+
+
+def test_quality(spark, texts):
+    rows = [(f"good plain text number {i} about many different things", 1) for i in range(80)] + [(f"bad {i} %%% $$$ ### !!! ~~~ &&&", 0) for i in range(60)]
+    model = quality.fit(spark.createDataFrame(rows, "text string, y int"), "text", "y")
+    assert model["rules"]
+    out = quality.statistics(spark.createDataFrame([(1, "some other plain words here"), (2, "x %%% $$$ ### !!! &&&"), (3, None), (4, "")], "i int, text string"), "text").select("i", quality.score(model).alias("p"))
+    got = {r["i"]: r["p"] for r in out.collect()}
+    assert got[1] >= 0.7 > got[2] and got[3] == got[4] and all(0 <= p <= 1 for p in got.values())
+    one = quality.fit(spark.createDataFrame(rows[:5], "text string, y int"), "text", "y")
+    assert not one["rules"]
+
+
+def test_pipeline_stages_keep_columns(spark, sf):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(900001, None), (900002, ""), (900003, "1 2 3")], "doc_id long, text string")
+    docs = docs.unionByName(odd, allowMissingColumns=True).withColumn("r", F.lit("clash"))
+    kept = P.language(spark, docs, sf)
+    assert kept.columns == docs.columns and kept.filter("doc_id >= 900001").count() == 0
+    assert kept.filter("doc_id < 900001").count() >= 0.95 * (docs.count() - 3)
+    one = P.near_duplicates(spark, docs, sf)
+    want = plain_classes([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert one.columns == docs.columns and sorted(r["doc_id"] for r in one.select("doc_id").collect()) == sorted(set(want.values()))

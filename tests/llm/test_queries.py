@@ -1,0 +1,16 @@
+"""The corpus queries against their SQL equivalents."""
+import pytest
+
+from adjudica.llm import queries
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_against_sql(spark, sf, name):
+    import duckdb
+
+    from tools.check import TABLES, compare
+
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    assert not compare(spark, con, sf, name, queries.queries()[name], queries.oracle_sql()[name])
