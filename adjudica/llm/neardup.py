@@ -214,6 +214,16 @@ def compared(pairs: DataFrame, texts: DataFrame, tested: DataFrame | None, links
     return (found, pairs) if links is None else (links.unionByName(found), tested.unionByName(pairs))
 
 
+def near_roots(links: DataFrame, steps: int = 3) -> DataFrame:
+    """(node, root): the smallest node within `steps` links. Equal roots mean one component; a large component may still have
+    several, which costs comparisons and no links."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    roots = both.groupBy("a").agg(F.least("a", F.min("b")).alias("root"))
+    for _ in range(steps - 1):
+        roots = both.join(roots.select(F.col("a").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("root"))
+    return roots.withColumnRenamed("a", "node")
+
+
 def classes(df: DataFrame, key: str, text: str, least: float = 0.8, k: int = 5, bands: int = 32, rows: int = 6, few: int = 2, most_rounds: int = 2) -> DataFrame:
     """(key, class_id): class_id is the smallest key of the documents linked with this one, directly or through others.
 
@@ -239,7 +249,7 @@ def classes(df: DataFrame, key: str, text: str, least: float = 0.8, k: int = 5,
         lead = open_.groupBy("h").agg(F.min_by(F.struct("node", "size", "root", "common"), F.struct(central(turn), "node")).alias("lead"))
         pairs = open_.join(lead, "h").filter((F.col("root") != F.col("lead.root")) & may_link(F.col("size"), F.col("lead.size"), F.col("common"), F.col("lead.common")))
         links, tested = compared(pairs.select(F.col("node").alias("a"), F.col("lead.node").alias("b")), texts, tested, links, k, least)
-        named = open_.drop("root").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = open_.drop("root").join(near_roots(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = named.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("h")
         named = materialise(named.join(mixed, "h"), "named")
         alone = unshared(texts.join(named.select("node").distinct(), "node", "left_semi"), k)
