@@ -77,12 +77,12 @@ def paired_bootstrap(spark: SparkSession, deltas: DataFrame, task: str, delta: s
 
 
 def latency_summary(replay: DataFrame, ms: str, status: str, kind: str, ts: str) -> DataFrame:
-    """Counts by class, throughput and exact latency quantiles of the answered requests."""
+    """Counts by class, throughput (NULL within one second) and exact latency quantiles of the answered requests."""
     base = replay.agg(
         F.count_if(F.col(status) == 200).alias("ok"),
         F.count_if(F.col(kind) == "unsupported").alias("unsupported"),
         F.count_if(F.col(kind) == "error").alias("errors"),
-        (F.count_if(F.col(status) == 200) / F.timestamp_diff("SECOND", F.min(ts), F.max(ts))).alias("throughput_rps"),
+        F.try_divide(F.count_if(F.col(status) == 200), F.timestamp_diff("SECOND", F.min(ts), F.max(ts))).alias("throughput_rps"),
         F.avg(F.when(F.col(status) == 200, F.col(ms))).alias("mean_ms"),
         F.max(F.when(F.col(status) == 200, F.col(ms))).alias("max_ms"),
     )

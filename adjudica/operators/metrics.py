@@ -113,13 +113,13 @@ def summarize(pred: DataFrame, group: list[str]) -> DataFrame:
 
 
 def auroc(df: DataFrame, group: list[str], score_col: str, positive: Column) -> DataFrame:
-    """Area under the ROC curve; equal scores count half."""
+    """Area under the ROC curve; equal scores count half. NULL for a group that has rows of one class only."""
     blocks = value_blocks(
         df, group, score_col, unit_bucket(F.col(score_col)),
         {"pos": positive.cast("bigint"), "neg": (~positive).cast("bigint")},
     )
     return blocks.groupBy(*group).agg(
-        (F.sum(F.col("pos") * (F.col("neg0") + F.col("neg") / 2.0)) / (F.max("pos_all") * F.max("neg_all"))).alias("auroc"))
+        F.try_divide(F.sum(F.col("pos") * (F.col("neg0") + F.col("neg") / 2.0)), F.max("pos_all") * F.max("neg_all")).alias("auroc"))
 
 
 def aggregate_split(task_metrics: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:

@@ -14,6 +14,8 @@ def chunk_length(gamma: float, floor: float = 1e-4, most: int = 512) -> int:
     """Steps per chunk such that gamma ** length stays above `floor`: inside a chunk, dividing by gamma ** i is safe."""
     if gamma >= 1:
         return most
+    if gamma <= 0:
+        return 1
     return max(1, min(most, int(math.log(floor) / math.log(gamma))))
 
 
