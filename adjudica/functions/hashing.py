@@ -39,9 +39,15 @@ def u_int(u: Column) -> Column:
 
 
 def pick_index(u: Column, n) -> Column:
-    """Uniform 0-based index below n."""
+    """Uniform 0-based index below n, for lists; NULL for an empty one."""
     n = F.lit(n) if isinstance(n, int) else n
-    return F.pmod(u_int(u), n.cast("bigint")).cast("int")
+    return F.pmod(u_int(u), F.nullif(n.cast("bigint"), F.lit(0).cast("bigint"))).cast("int")
+
+
+def place(purpose: str, *keys) -> Column:
+    """Uniform BIGINT below 2^60 for a purpose and a row key: the start in a table of any size, modulo its rows."""
+    parts = [F.lit(f"{SEED}|{purpose}")] + [_c(k).cast("string") for k in keys]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("bigint")
 
 
 def hash_sort(arr: Column, purpose: str, *keys) -> Column:

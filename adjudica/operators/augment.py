@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adjudica.functions import text as X
-from adjudica.functions.hashing import chance, hash_sort, pick_index, u8, u_int
-from adjudica.operators.ranking import hash_bucket, with_rank
+from adjudica.functions.hashing import chance, hash_sort, pick_index, place, u8, u_int
+from adjudica.operators.ranking import hash_bucket, ring_blocks, ring_slice, with_rank
 
 MAX_OPTIONS = 255
 ANNOTATE_MIN = 8
@@ -60,29 +61,28 @@ def pad_count(*key) -> Column:
     return F.when(chance(u8("npad_kind", *key), 0.25), heavy).otherwise(light)
 
 
-def family_pools(pool: DataFrame) -> Column:
-    """MAP family -> labels of all *other* families in one hashed order. Columns of `pool`: task, family, label.
+def family_pools(pool: DataFrame, families: list[str]) -> DataFrame:
+    """(family, label): for each of the named families the distinct labels of all other families. Columns of `pool`: task, family, label.
 
-    Tasks of 3..200 distinct labels take part (the rule of label_pool), so the map holds at most 200 labels per
-    registered task."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("task"))
-    fits = pool.distinct().withColumn("_n", n).filter(F.col("_n").between(3, 200))
-    by_family = fits.groupBy("family").agg(F.array_sort(F.collect_set("label")).alias("labels"))
-    packed = by_family.agg(F.collect_list(F.struct("family", "labels")).alias("p")).scalar()
-    rest = F.filter("_all", lambda s: s["family"] != F.col("family"))
-    others = by_family.withColumn("_all", packed).select("family", F.array_distinct(F.flatten(F.transform(rest, lambda s: s["labels"]))).alias("o"))
-    return others.agg(F.map_from_entries(F.collect_list(F.struct("family", hash_sort(F.col("o"), "pool_order", "family")))).alias("m")).scalar()
+    Tasks of at least 4 distinct labels take part, unless their labels are the levels of a scale; abstain labels do not."""
+    d = pool.distinct()
+    tasks = d.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.min((F.col("label").rlike(X.SCALE_RE)).cast("int")).alias("levels")).filter("n >= 4 and levels = 0")
+    labels = d.filter(~X.is_abstain(F.col("label"))).join(tasks.select("task"), "task", "left_semi").groupBy("label").agg(F.collect_set("family").alias("of"))
+    asked = labels.withColumn("family", F.explode(F.array(*[F.lit(f) for f in families])))
+    return asked.filter(F.exists("of", lambda f: f != F.col("family"))).select("family", "label")
 
 
-def pad(options: Column, others: Column, m: Column, *key) -> Column:
-    """Append up to m labels of other families: a circular slice of their pool at a hashed offset, without
-    labels that are already present in any letter case, up to 255 options in all."""
-    n = F.size(others)
-    start = pick_index(u8("pad", *key), n)
-    turned = F.concat(F.slice(others, start + 1, n), F.slice(others, F.lit(1), start))
+def pad(df: DataFrame, key: str, family: str, options: str, m: Column, pools: DataFrame, into: str = "padded") -> DataFrame:
+    """Append up to m labels of other families, 255 options in all: those of the next m + size(options) labels of the
+    family's pool (family, label), in a circular hashed order from a hashed start, that are not present in any letter case.
+
+    A family without a pool adds nothing. Pools of any size are met by equi joins (`ranking.ring_slice`)."""
+    ring = ring_blocks(pools.withColumnRenamed("family", "_family"), ["_family"], "label", "pool_order")
+    d = df.withColumn("_family", F.col(family)).withColumn("_m", m)
+    d = ring_slice(d, key, ["_family"], ring, place("pad", key), F.col("_m") + F.size(options), "_next")
     have = F.transform(options, F.lower)
-    fresh = F.filter(turned, lambda o: ~F.array_contains(have, F.lower(o)))
-    return F.concat(options, F.slice(fresh, F.lit(1), F.least(m, F.lit(MAX_OPTIONS) - F.size(options))))
+    fresh = F.filter("_next", lambda o: ~F.array_contains(have, F.lower(o)))
+    return d.withColumn(into, F.concat(options, F.slice(fresh, F.lit(1), F.greatest(F.lit(0), F.least(F.col("_m"), F.lit(MAX_OPTIONS) - F.size(options)))))).drop("_family", "_m", "_next")
 
 
 def opaque_name(i: Column, style: Column) -> Column:
@@ -114,16 +114,25 @@ def describe(labels: Column, mode: Column, *key) -> Column:
 def json_groups(df: DataFrame, task: list[str], key: str, text: str, k: int, budget: int, purpose: str = "json") -> DataFrame:
     """Groups of at most k same-task records under a character budget (two records are always kept).
 
-    A group is k consecutive places of the hashed order, so it is formed by (task, group number) and stays
-    small whatever the size of the task. -> task, grp, recs ARRAY<STRUCT<pos, key, text>> in order."""
+    k consecutive places of the hashed order form a block (task, grp) of bounded size, whatever the size of the task. A block is cut
+    in parts: a record that would exceed the budget of a part of two or more starts the next part. Every record is in exactly one part.
+    -> task, grp, part, recs ARRAY<STRUCT<pos, key, text>> in order."""
     d = df.withColumn("_u", u8(purpose, key))
     d = with_rank(d, task, hash_bucket(F.col("_u")), [F.col("_u"), F.col(key)], "_r")
     d = d.withColumn("grp", F.floor((F.col("_r") - 1) / k)).withColumn("pos", F.pmod(F.col("_r") - 1, F.lit(k)))
-    before = F.coalesce(F.sum(F.length(text)).over(Window.partitionBy(*task, "grp").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    d = d.withColumn("_fits", before + F.length(text) <= budget).withColumn(
-        "_cut", F.min(F.when(~F.col("_fits") & (F.col("pos") >= 2), F.col("pos"))).over(Window.partitionBy(*task, "grp")))
-    d = d.filter(F.col("_cut").isNull() | (F.col("pos") < F.col("_cut")))
-    return d.groupBy(*task, "grp").agg(F.array_sort(F.collect_list(F.struct(F.col("pos"), F.col(key).alias("key"), F.col(text).alias("text")))).alias("recs"))
+    d = d.groupBy(*task, "grp").agg(F.array_sort(F.collect_list(F.struct(F.col("pos"), F.col(key).alias("key"), F.col(text).alias("text")))).alias("_all"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars"), F.array().cast("array<int>").alias("parts"))
+
+    def step(s: Column, r: Column) -> Column:
+        size = F.coalesce(F.length(r["text"]), F.lit(0))
+        new = (s["n"] >= 2) & (s["chars"] + size > budget)
+        last = F.coalesce(F.get(s["parts"], F.size(s["parts"]) - 1), F.lit(0))
+        return F.struct(F.when(new, 1).otherwise(s["n"] + 1).alias("n"), F.when(new, size).otherwise(s["chars"] + size).alias("chars"),
+                        F.array_append(s["parts"], last + new.cast("int")).alias("parts"))
+
+    d = d.withColumn("_p", F.aggregate("_all", start, step, lambda s: s["parts"]))
+    d = d.withColumn("part", F.explode(F.array_distinct("_p")))
+    return d.withColumn("recs", F.filter("_all", lambda r, i: F.get("_p", i) == F.col("part"))).drop("_all", "_p")
 
 
 def json_state(recs: Column, shape: Column) -> tuple[Column, Column]:
@@ -167,12 +176,17 @@ def _annotate(x, min_len: int):
 def index_json(df: DataFrame, col: str, min_len: int = ANNOTATE_MIN) -> DataFrame:
     """Index annotation of JSON text of any nesting (Arrow batches: built-in functions need a schema).
 
-    Text that is not JSON is left as it is."""
+    Text that is not JSON, that nests too deeply to be read, or that holds a number outside the double range is left as it is."""
+
+    def finite(s):
+        if not math.isfinite(x := float(s)):
+            raise ValueError(s)
+        return x
 
     def one(s):
         try:
-            return json.dumps(_annotate(json.loads(s), min_len), ensure_ascii=False, separators=(",", ":"))
-        except (TypeError, ValueError):
+            return json.dumps(_annotate(json.loads(s, parse_float=finite, parse_constant=finite), min_len), ensure_ascii=False, separators=(",", ":"))
+        except (TypeError, ValueError, RecursionError):
             return s
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -46,7 +46,7 @@ def record_reason() -> Column:
         F.col("level_logits").isNotNull(), F.exists("level_logits", lambda a: F.exists(a, bad_z) | no_finite(a)))
     no_yes = F.when(F.col("level_probs").isNotNull(), ~F.exists("level_probs", lambda a: F.get(a, F.lit(1)) > 0)).when(
         F.col("level_logits").isNotNull(), ~F.exists("level_logits", lambda a: F.get(a, F.lit(1)) > -INF))
-    gold_bad = F.col("gold").isNull() | (F.col("gold") < 0) | (F.col("gold") >= n)
+    gold_bad = F.col("gold").isNull() | (F.col("gold") < 0) | (F.col("gold") >= n) | (F.col("gold") != F.floor("gold"))
     return (
         F.when(~F.coalesce(F.col("type").isin(*TYPES), F.lit(False)), "type")
         .when(given != 1, "fields")
@@ -67,13 +67,18 @@ def check_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def as_logits(records: DataFrame) -> DataFrame:
-    """probs / level_probs stand in for logits as their logarithm."""
-    return records.withColumn("logits", F.coalesce("logits", D.safe_log(F.col("probs")))).withColumn(
-        "level_logits", F.coalesce("level_logits", F.transform("level_probs", lambda a: D.safe_log(a))))
+    """Checked records in logit form: probs / level_probs stand in for logits as their logarithm. Any of the four columns may be missing."""
+    have = lambda c, kind: F.col(c) if c in records.columns else F.lit(None).cast(kind)
+    flat, pairs = "array<double>", "array<array<double>>"
+    return records.withColumns({
+        "logits": F.coalesce(have("logits", flat), D.safe_log(have("probs", flat))),
+        "level_logits": F.coalesce(have("level_logits", pairs), F.transform(have("level_probs", pairs), lambda a: D.safe_log(a))),
+        "gold": F.col("gold").cast("int"),
+    })
 
 
 def record_nll(t: Column | float) -> Column:
-    """NLL of a checked record in logit form."""
+    """NLL of a checked record in logit form (see as_logits)."""
     return F.when(F.col("level_logits").isNotNull(), D.nll_isolated_at(F.col("level_logits"), F.col("gold"), t, NLL_CAP)).otherwise(
         D.nll_at(F.col("logits"), F.col("gold"), t, NLL_CAP))
 
@@ -139,7 +144,7 @@ def grid_pass(records: DataFrame, group: str, points: int = GRID_N, lo: float =
             a, b = (key[1], key[2]) if own else (lo, hi)
             yield pd.DataFrame({group: key[0], "t": log_grid(a, b, points), "n": n, "s": sums})
 
-    partial = records.select(*cols).mapInPandas(run, f"{group} string, t double, n long, s double")
+    partial = as_logits(records).select(*cols).mapInPandas(run, f"{group} string, t double, n long, s double")
     return partial.groupBy(group, "t").agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("nll"))
 
 
@@ -171,7 +176,7 @@ def fit_by_type(records: DataFrame, min_rows: int = 50) -> DataFrame:
     kinds = F.array(F.lit("all"), F.col("type"))
     both = records.filter(F.col("type").isin(*TYPES)).withColumn("fit_group", F.explode(kinds))
     fitted = fit(both, "fit_group", few_groups=True)  # three types and "all"
-    at_one = both.groupBy("fit_group").agg(F.avg(record_nll(1.0)).alias("nll_t1"))
+    at_one = as_logits(both).groupBy("fit_group").agg(F.avg(record_nll(1.0)).alias("nll_t1"))
     return fitted.filter((F.col("n") >= min_rows) | (F.col("fit_group") == "all")).join(at_one, "fit_group").select(
         F.col("fit_group").alias("type"), "n", F.round("t", 3).alias("temperature"), F.round("nll_t1", 4).alias("nll_t1"), F.round("nll", 4).alias("nll_fitted"))
 

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adjudica.functions import text as X
-from adjudica.functions.hashing import chance, hash_sort, pick_index, u8
-from adjudica.operators.ranking import hash_bucket, with_rank
+from adjudica.functions.hashing import chance, hash_sort, pick_index, place, u8
+from adjudica.operators.ranking import hash_bucket, ring_blocks, ring_slice, with_rank
 
 NO_CALL = "no function call needed"
 
@@ -99,26 +99,9 @@ def last_k(df: DataFrame, group: list[str], step: str, value: str, k: int, inclu
     return out.withColumn(into, F.coalesce(into, F.array().cast("array<string>")))
 
 
-POOL_ARRAY_LIMIT = 10_000
-
-
-def pool_slice(df: DataFrame, key: str, pool: DataFrame, value: str, k: int, into: str = "picked", limit: int = POOL_ARRAY_LIMIT) -> DataFrame:
-    """k neighbours of a pool of distinct values in hashed order, from a hashed start per row (a circular slice).
-
-    A pool of at most `limit` values travels as one array, so the step is narrow. A larger one is ranked and met by
-    equi joins on the rank, k rows per key; both ways give the same values."""
-    start = lambda n: pick_index(u8("pool", key), n)
-    if pool.limit(limit + 1).count() <= limit:
-        ordered = F.array_sort(F.collect_list(F.struct(u8("pool_order", value).alias("u"), F.col(value).alias("v"))))
-        d = df.withColumn("_p", pool.agg(F.transform(ordered, lambda s: s["v"]).alias("p")).scalar())
-        turned = F.concat(F.slice("_p", start(F.size("_p")) + 1, F.lit(k)), F.slice("_p", F.lit(1), F.lit(k)))
-        return d.withColumn(into, F.slice(F.array_distinct(turned), 1, k)).drop("_p")
-    ranked = with_rank(pool.select(value).withColumn("_u", u8("pool_order", value)), [], hash_bucket(F.col("_u")), [F.col("_u"), F.col(value)], "_rn").drop("_u")
-    total = pool.agg(F.count(F.lit(1)).alias("n")).scalar()
-    probes = df.select(key).withColumn("_n", total).withColumn("_j", F.explode(F.array(*[F.lit(i) for i in range(k)])))
-    probes = probes.withColumn("_rn", 1 + F.pmod(start(F.col("_n")) + F.col("_j"), F.col("_n")))
-    got = probes.join(ranked, "_rn").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_j", F.col(value).alias("v")))), lambda s: s["v"]).alias(into))
-    return df.join(got, key)
+def pool_slice(df: DataFrame, key: str, pool: DataFrame, value: str, k: int, into: str = "picked") -> DataFrame:
+    """min(k, size) different neighbours of a pool of distinct values in hashed order, from a hashed start per row (a circular slice)."""
+    return ring_slice(df, key, [], ring_blocks(pool, [], value, "pool_order"), place("pool", key), F.lit(k), into)
 
 
 def tool_options(own: Column, others: Column, called: Column, k: int, *key) -> tuple[Column, Column]:

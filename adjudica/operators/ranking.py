@@ -82,6 +82,38 @@ def top_by_hash(df: DataFrame, group: list[str], key: str, purpose: str, n: Colu
     return with_rank(d, group, hash_bucket(F.col("_u")), [F.col("_u"), F.col(key)], rank, size, n).drop("_u")
 
 
+def ring_blocks(df: DataFrame, group: list[str], value: str, purpose: str, size: int = 256) -> DataFrame:
+    """The distinct values of every group as a ring in hashed order, cut in blocks -> group, block, values, size, total.
+
+    A block holds at most `size` values, so a ring of any length is a table of short rows."""
+    d = df.select(*group, value).distinct()
+    d = d.withColumn("_u", u8(purpose, *group, value))
+    d = with_rank(d, group, hash_bucket(F.col("_u")), [F.col("_u"), F.col(value)], "_r", "total")
+    d = d.groupBy(*group, "total", F.floor((F.col("_r") - 1) / size).alias("block")).agg(F.array_sort(F.collect_list(F.struct("_r", F.col(value).alias("v")))).alias("_s"))
+    return d.select(*group, "total", "block", F.transform("_s", lambda s: s["v"]).alias("values"), F.lit(size).cast("long").alias("size"))
+
+
+def ring_slice(df: DataFrame, key: str, group: list[str], ring: DataFrame, start: Column, need: Column, into: str) -> DataFrame:
+    """Up to `need` successive distinct values of the row's ring from place `start` modulo its length, as an array; the key is unique.
+
+    Each row meets the few blocks that cover its stretch by an equi join. A group without a ring gives an empty array."""
+    on = [*group, "block"]
+    totals = ring.filter("block = 0").select(*group, "total", "size")
+    d = df.select(key, *group, start.alias("_start"), need.cast("long").alias("_need")).filter("_need > 0")
+    d = d.join(totals, group) if group else d.withColumn("_t", totals.select(F.struct("total", "size").alias("t")).scalar()).filter("_t is not null").select("*", "_t.total", "_t.size").drop("_t")
+    d = d.withColumn("_lo", F.pmod("_start", "total")).withColumn("_end", F.col("_lo") + F.least("_need", "total"))
+    stretch = lambda turn, lo, hi: F.struct(F.lit(turn).alias("turn"), lo.alias("lo"), hi.alias("hi"))
+    both = F.array(stretch(0, F.col("_lo"), F.least("_end", "total")), stretch(1, F.lit(0).cast("long"), F.col("_end") - F.col("total")))
+    d = d.select(key, *group, "size", F.explode(F.filter(both, lambda s: s["hi"] > s["lo"])).alias("_s"))
+    d = d.withColumn("block", F.explode(F.sequence(F.floor(F.col("_s.lo") / F.col("size")), F.floor((F.col("_s.hi") - 1) / F.col("size")))))
+    j = d.join(ring.select(*on, "values"), on)
+    first = F.greatest(F.col("_s.lo") - F.col("block") * F.col("size"), F.lit(0))
+    piece = F.slice("values", (first + 1).cast("int"), (F.least(F.col("_s.hi") - F.col("block") * F.col("size"), F.col("size")) - first).cast("int"))
+    got = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_s.turn", "block", piece.alias("v")))).alias("_p"))
+    got = got.select(key, F.flatten(F.transform("_p", lambda p: p["v"])).alias(into))
+    return df.join(got, key, "left").withColumn(into, F.coalesce(into, F.array().cast("array<string>")))
+
+
 def value_blocks(df: DataFrame, group: list[str], value: str, bucket: Column, sums: dict[str, Column], descending: bool = False) -> DataFrame:
     """One row per (group, distinct value) with its count `m`, its sums, and the prefix of both over
     the earlier values (`m0`, `<name>0`), plus the group totals (`m_all`, `<name>_all`).

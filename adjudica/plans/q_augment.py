@@ -84,9 +84,10 @@ NPAD = f"CASE WHEN {V.BELOW(V.U('npad_kind', 'c_custkey'), 0.25)} THEN 100 + {V.
 
 
 @query("pad_options", f"""WITH sg AS (SELECT array_agg(s ORDER BY s) AS o FROM (SELECT DISTINCT c_mktsegment AS s FROM customer)),
-op AS (SELECT 'n_name' AS task, n_name AS v FROM nation UNION SELECT 'p_type', p_type FROM part UNION SELECT 'p_name', p_name FROM part), ot AS (SELECT DISTINCT v FROM op WHERE task IN (SELECT task FROM op GROUP BY task HAVING count(*) BETWEEN 3 AND 200)),
-pl AS (SELECT array_agg(v ORDER BY substr(md5('7|pool_order|segment|' || v), 1, 8), v) AS p FROM ot), x AS (SELECT c_custkey, c_mktsegment, sg.o, pl.p, {V.IDX(V.U('pad', 'c_custkey'), 'len(pl.p)')} AS st, {NPAD} AS m FROM customer, sg, pl),
-y AS (SELECT c_custkey, c_mktsegment, list_concat(o, list_filter(list_concat(p[st + 1:], p[1:st]), lambda v: NOT list_contains(list_transform(o, lambda w: lower(w)), lower(v)))[1:CAST(least(m, 255 - len(o)) AS BIGINT)]) AS q FROM x)
+op AS (SELECT 'n_name' AS task, n_name AS v FROM nation UNION SELECT 'p_type', p_type FROM part UNION SELECT 'p_name', p_name FROM part), ot AS (SELECT DISTINCT v FROM op WHERE task IN (SELECT task FROM op GROUP BY task HAVING count(*) >= 4)),
+pl AS (SELECT array_agg(v ORDER BY substr(md5('7|pool_order|segment|' || v), 1, 8), v) AS p FROM ot), x AS (SELECT c_custkey, c_mktsegment, sg.o, {V.PLACE('pad', 'len(pl.p)', 'c_custkey')} AS st, {NPAD} AS m FROM customer, sg, pl),
+w AS (SELECT x.*, CAST(m AS BIGINT) + len(o) AS need, len(p) AS n, list_concat(p[st + 1:st + CAST(m AS BIGINT) + len(o)], p[1:greatest(0, least(CAST(m AS BIGINT) + len(o), len(p)) - (len(p) - st))]) AS nx FROM x, pl),
+y AS (SELECT c_custkey, c_mktsegment, list_concat(o, list_filter(nx, lambda v: NOT list_contains(list_transform(o, lambda w: lower(w)), lower(v)))[1:CAST(least(m, 255 - len(o)) AS BIGINT)]) AS q FROM w)
 SELECT c_custkey, CAST(len(q) AS INTEGER) AS n_options, CAST(list_position(q, c_mktsegment) - 1 AS INTEGER) AS gold, md5(array_to_string(q, '|')) AS options_md5 FROM y""")
 def pad_options(spark, base):
     """Market segments padded with labels of other families (nations, part names and types)."""
@@ -94,8 +95,8 @@ def pad_options(spark, base):
     fam = lambda d, name, col: d.select(F.lit(col).alias("task"), F.lit(name).alias("family"), F.col(col).alias("label")).distinct()
     pool = fam(c, "segment", "c_mktsegment").unionByName(fam(n, "place", "n_name")).unionByName(fam(p, "part", "p_type")).unionByName(fam(p, "part", "p_name"))
     segments = c.select("c_mktsegment").distinct().agg(F.array_sort(F.collect_list("c_mktsegment")).alias("o")).scalar()
-    d = c.select("c_custkey", "c_mktsegment").withColumn("o", segments).withColumn("others", A.family_pools(pool)["segment"])
-    d = d.withColumn("q", A.pad(F.col("o"), F.col("others"), A.pad_count("c_custkey"), "c_custkey"))
+    d = c.select("c_custkey", "c_mktsegment", F.lit("segment").alias("family")).withColumn("o", segments)
+    d = A.pad(d, "c_custkey", "family", "o", A.pad_count("c_custkey"), A.family_pools(pool, ["segment"]), "q")
     return d.select("c_custkey", F.size("q").alias("n_options"), (F.array_position("q", F.col("c_mktsegment")) - 1).cast("int").alias("gold"), F.md5(F.array_join("q", "|")).alias("options_md5"))
 
 
@@ -146,25 +147,26 @@ def mode_grid(spark, base):
 SHAPES = ("list", "list", "dict", "array", "nested")
 
 
-@query("json_state", f"""WITH r AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY {V.U('json', 'doc_id')}, doc_id) - 1 AS r FROM documents), g AS (SELECT source, r // 6 AS grp, r % 6 AS pos, doc_id, text FROM r),
-f AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY source, grp ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(text) <= 3000 AS fits FROM g),
-k AS (SELECT *, min(CASE WHEN NOT fits AND pos >= 2 THEN pos END) OVER (PARTITION BY source, grp) AS cut FROM f),
-a AS (SELECT source, grp, array_agg(text ORDER BY pos) AS t, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY pos) AS ids FROM k WHERE cut IS NULL OR pos < cut GROUP BY source, grp),
-s AS (SELECT *, {list(SHAPES)!r}[1 + {V.IDX(V.U('shape', 'source', 'grp'), 5)}] AS shape, {V.IDX(V.U('path', 'source', 'grp'), 'len(t)')} AS j, {V.IDX(V.U('form', 'source', 'grp'), 3)} AS form FROM a),
+@query("json_state", f"""WITH RECURSIVE r AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY {V.U('json', 'doc_id')}, doc_id) - 1 AS r FROM documents), g AS MATERIALIZED (SELECT source, r // 6 AS grp, r % 6 AS pos, doc_id, text, length(text) AS len FROM r),
+f AS (SELECT source, grp, pos, doc_id, text, len AS chars, 1 AS n, 0 AS part FROM g WHERE pos = 0
+  UNION ALL SELECT g.source, g.grp, g.pos, g.doc_id, g.text, CASE WHEN f.n >= 2 AND f.chars + g.len > 3000 THEN g.len ELSE f.chars + g.len END, CASE WHEN f.n >= 2 AND f.chars + g.len > 3000 THEN 1 ELSE f.n + 1 END,
+    CASE WHEN f.n >= 2 AND f.chars + g.len > 3000 THEN f.part + 1 ELSE f.part END FROM f JOIN g ON g.source = f.source AND g.grp = f.grp AND g.pos = f.pos + 1),
+a AS (SELECT source, grp, part, array_agg(text ORDER BY pos) AS t, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY pos) AS ids FROM f GROUP BY source, grp, part),
+s AS (SELECT *, {list(SHAPES)!r}[1 + {V.IDX(V.U('shape', 'source', 'grp', 'part'), 5)}] AS shape, {V.IDX(V.U('path', 'source', 'grp', 'part'), 'len(t)')} AS j, {V.IDX(V.U('form', 'source', 'grp', 'part'), 3)} AS form FROM a),
 l AS (SELECT *, CASE shape WHEN 'array' THEN CAST(to_json(t) AS VARCHAR) WHEN 'dict' THEN '{{"items":{{' || array_to_string(list_transform(t, lambda v, i: '"r' || i || '":' || CAST(to_json({{'text': v}}) AS VARCHAR)), ',') || '}}}}'
    WHEN 'nested' THEN CAST(to_json({{'case': {{'records': list_transform(t, lambda v, i: {{'id': i, 'text': v}})}}, 'note': 'imported'}}) AS VARCHAR) ELSE CAST(to_json({{'records': list_transform(t, lambda v, i: {{'id': i, 'text': v}})}}) AS VARCHAR) END AS state,
    '`' || CASE shape WHEN 'array' THEN '[' || j || ']' WHEN 'dict' THEN 'items.r' || (j + 1) || '.text' WHEN 'nested' THEN 'case.records[' || j || '].text' ELSE 'records[' || j || '].text' END || '`' AS p FROM s)
-SELECT source, grp, ids, md5(state) AS state_md5, CASE form WHEN 0 THEN 'Is it toxic? (about ' || p || ')' WHEN 1 THEN 'For ' || p || ': Is it toxic?' ELSE p || ' - Is it toxic?' END AS question FROM l""")
+SELECT source, grp, part, ids, md5(state) AS state_md5, CASE form WHEN 0 THEN 'Is it toxic? (about ' || p || ')' WHEN 1 THEN 'For ' || p || ': Is it toxic?' ELSE p || ' - Is it toxic?' END AS question FROM l""")
 def json_state(spark, base):
     d = table(spark, base, "documents").select("source", "doc_id", "text")
     g = A.json_groups(d, ["source"], "doc_id", "text", 6, 3000)
-    shape = F.get(C.strings(*SHAPES), pick_index(u8("shape", "source", "grp"), len(SHAPES)))
+    shape = F.get(C.strings(*SHAPES), pick_index(u8("shape", "source", "grp", "part"), len(SHAPES)))
     g = g.withColumn("shape", shape)
     state, paths = A.json_state(F.col("recs"), F.col("shape"))
-    path = F.get(paths, pick_index(u8("path", "source", "grp"), F.size("recs")))
-    ask = A.path_question(F.lit("Is it toxic?"), path, pick_index(u8("form", "source", "grp"), 3))
+    path = F.get(paths, pick_index(u8("path", "source", "grp", "part"), F.size("recs")))
+    ask = A.path_question(F.lit("Is it toxic?"), path, pick_index(u8("form", "source", "grp", "part"), 3))
     ids = F.array_join(F.transform("recs", lambda r: r["key"].cast("string")), ",")
-    return g.select("source", "grp", ids.alias("ids"), F.md5(state).alias("state_md5"), ask.alias("question"))
+    return g.select("source", "grp", "part", ids.alias("ids"), F.md5(state).alias("state_md5"), ask.alias("question"))
 
 
 @query("json_wrap", f"""WITH x AS (SELECT doc_id, CAST(to_json({{'id': doc_id, 'lang': lang, 'text': text}}) AS VARCHAR) AS s, {V.BELOW(V.U('outer', 'doc_id'), 0.5)} AS o FROM documents)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from adjudica.functions import text as X
-from adjudica.functions.hashing import chance, hash_sort, pick_index, u8
+from adjudica.functions.hashing import chance, hash_sort, pick_index, place, u8
 from adjudica.operators import convert as C
 from adjudica.operators.ranking import hash_bucket, top_by_hash, with_rank
 from adjudica.plans import views as V
@@ -201,7 +201,7 @@ CALLED = V.BELOW(V.U("called", "p_partkey"), 0.75)
 
 
 @query("tool_selection", f"""WITH pool AS (SELECT array_agg(n ORDER BY substr(md5('7|pool_order|' || n), 1, 8), n) AS p FROM (SELECT DISTINCT p_name AS n FROM part)),
-x AS (SELECT p_partkey, p_name, p, {V.IDX(V.U('pool', 'p_partkey'), 'len(p)')} AS st FROM part, pool), y AS (SELECT p_partkey, p_name, list_filter(list_concat(p[st + 1:st + 6], p[1:6]), lambda v: v <> p_name) AS turned FROM x),
+x AS (SELECT p_partkey, p_name, p, {V.PLACE('pool', 'len(p)', 'p_partkey')} AS st FROM part, pool), y AS (SELECT p_partkey, p_name, list_filter(list_concat(p[st + 1:st + 6], p[1:6]), lambda v: v <> p_name) AS turned FROM x),
 z AS (SELECT p_partkey, p_name, list_concat([p_name], list_filter(turned, lambda v, i: list_position(turned, v) = i))[1:5] AS names FROM y),
 w AS (SELECT p_partkey, p_name, list_concat({HASH_SORT('names', 'tools', 'p_partkey')}, ['no function call needed']) AS o FROM z)
 SELECT p_partkey, array_to_string(o, '|') AS options, CAST(CASE WHEN {CALLED} THEN list_position(o, p_name) - 1 ELSE len(o) - 1 END AS INTEGER) AS gold FROM w""")
@@ -236,7 +236,7 @@ pl AS (SELECT act, row_number() OVER (ORDER BY substr(md5('7|apool|' || conv_id
 @query("next_action", f"""WITH {STEP_SQL}, hs AS (SELECT *, array_to_string(list_filter(array_agg(act) OVER (PARTITION BY conv_id ORDER BY step ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), lambda v: v IS NOT NULL), ', ') AS hist FROM st),
 s AS (SELECT * FROM hs WHERE n >= 2 AND {V.BELOW(V.U('step', 'conv_id', 'turn'), 0.35)}), j AS (SELECT s.*, q.j FROM s, range(4) q(j)),
 pr AS (SELECT j.conv_id, j.turn, j.act, j.hist, j.j, o.act AS own, pl.act AS other FROM j LEFT JOIN st o ON j.j < 3 AND o.conv_id = j.conv_id AND o.step = 1 + (j.step + {V.IDX(V.U('own', 'j.conv_id', 'j.turn', 'j.j'), 'j.n - 1')}) % j.n
-   JOIN pl ON pl.rn = 1 + {V.IDX(V.U('pool', 'j.conv_id', 'j.turn', 'j.j'), 'pl.total')}),
+   JOIN pl ON pl.rn = 1 + {V.PLACE('pool', 'pl.total', 'j.conv_id', 'j.turn', 'j.j')}),
 ca AS (SELECT conv_id, turn, act, hist, list_concat(list_filter(array_agg(own ORDER BY j), lambda v: v IS NOT NULL), array_agg(other ORDER BY j)) AS c FROM pr GROUP BY ALL),
 cf AS (SELECT conv_id, turn, act, hist, list_filter(c, lambda v: v <> act) AS c FROM ca), cd AS (SELECT conv_id, turn, act, hist, list_filter(c, lambda v, i: list_position(c, v) = i)[1:4] AS c FROM cf),
 op AS (SELECT *, {HASH_SORT("list_concat([act], c)", 'acts', "conv_id || '|' || turn")} AS o FROM cd)
@@ -256,7 +256,7 @@ def next_action(spark, base):
     hs = C.last_k(st, ["conv_id"], "step", "act", 3)
     s = hs.filter((F.col("n") >= 2) & chance(u8("step", "conv_id", "turn"), 0.35)).withColumn("total", total)
     j = s.withColumn("j", F.explode(F.array(*[F.lit(i) for i in range(4)])))
-    j = j.withColumn("rn", 1 + pick_index(u8("pool", "conv_id", "turn", "j"), F.col("total")).cast("bigint"))
+    j = j.withColumn("rn", 1 + F.pmod(place("pool", "conv_id", "turn", "j"), F.col("total")))
     probe = 1 + F.pmod(F.col("step") + pick_index(u8("own", "conv_id", "turn", "j"), F.col("n") - 1), F.col("n"))
     j = j.withColumn("probe", F.when(F.col("j") < 3, probe))
     own = st.select("conv_id", F.col("step").alias("probe"), F.col("act").alias("own"))

@@ -125,11 +125,11 @@ def auroc(spark, base):
     return a.join(x, "task").select("task", R6("auroc"), R6("extreme_share"))
 
 
-@query("chance_corrected", f"WITH {V.EMB_CTE} SELECT task, round((avg(correct) - avg(chance)) / (1 - avg(chance)), 6) AS score FROM sa GROUP BY task")
+@query("chance_corrected", f"WITH {V.EMB_CTE} SELECT task, round((avg(correct) - avg(chance)) / nullif(1 - avg(chance), 0), 6) AS score FROM sa GROUP BY task")
 def chance_corrected(spark, base):
     rows = M.per_row(V.emb_pred(spark, base))
     acc, chance = F.avg("correct"), F.avg("chance")
-    return rows.groupBy("task").agg(R6((acc - chance) / (1 - chance), "score"))
+    return rows.groupBy("task").agg(R6(F.try_divide(acc - chance, 1 - chance), "score"))
 
 
 @query("unanimity", f"""WITH {V.EMB_CTE}, v AS (SELECT a.row_id, a.task, a.pred AS x, b.pred AS y,

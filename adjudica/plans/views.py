@@ -25,6 +25,11 @@ def IDX(u: str, n) -> str:
     return f"(CAST('0x' || {u} AS BIGINT) % ({n}))"
 
 
+def PLACE(purpose: str, n, *keys: str) -> str:
+    """SQL of hashing.place modulo n."""
+    return f"(CAST('0x' || substr(md5(concat_ws('|', '{SEED}|{purpose}', {', '.join(f'CAST({k} AS VARCHAR)' for k in keys)})), 1, 15) AS BIGINT) % ({n}))"
+
+
 def BELOW(u: str, p: float) -> str:
     return f"({u} < '{threshold(p)}')"
 

@@ -37,9 +37,9 @@ def test_narrow_keeps_gold_and_abstain(spark):
 
 
 def test_pad_never_repeats(spark):
-    d = spark.range(300).withColumn("o", F.array(F.lit("Alpha"), F.lit("beta")))
-    others = F.array(*[F.lit(v) for v in ("ALPHA", "gamma", "delta", "Beta", "eps")])
-    for x in d.select(AU.pad(F.col("o"), others, F.lit(3), "id").alias("p")).collect():
+    d = spark.range(300).select("id", F.lit("own").alias("family"), F.array(F.lit("Alpha"), F.lit("beta")).alias("o"))
+    others = spark.createDataFrame([("own", v) for v in ("ALPHA", "gamma", "delta", "Beta", "eps")], "family string, label string")
+    for x in AU.pad(d, "id", "family", "o", F.lit(3), others, "p").collect():
         assert x["p"][:2] == ["Alpha", "beta"] and len(x["p"]) == 5 and len({v.lower() for v in x["p"]}) == 5
 
 
@@ -60,6 +60,7 @@ def test_abstain_augment_gold(spark):
 def test_json_groups_respect_the_budget(spark):
     d = spark.range(300).select("id", (F.col("id") % 3).alias("task"), F.repeat(F.lit("x"), (10 + F.col("id") % 50).cast("int")).alias("text"))
     g = AU.json_groups(d, ["task"], "id", "text", 5, 120)
+    assert sorted(r["key"] for x in g.collect() for r in x["recs"]) == list(range(300))  # nothing is lost
     for x in g.collect():
         assert 1 <= len(x["recs"]) <= 5
         assert len(x["recs"]) <= 2 or sum(len(r["text"]) for r in x["recs"]) <= 120
