@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adjudica.llm.common import training_sample
+from adjudica.llm.common import materialise, training_sample
 
 #: Letters that a sign may stand for.
 LOOKALIKE = {
@@ -119,7 +119,7 @@ def fit(df: DataFrame, text: str, label: str, bound: int = 8000, max_features: i
     `max_features` features with `least` contexts in toxic texts and a rate `ratio` times that in clean ones; the language model
     keeps the `max_words` most frequent words. The intercept and slope are fitted on the same bounded sample."""
     spark = df.sparkSession
-    sample = training_sample(df, label, text, bound)
+    sample = materialise(training_sample(df, label, text, bound), "toxic_sample")
     words = sample.select(F.col("label").cast("int").alias("y"), F.array_compact(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w"))
     words = words.select("y", F.filter("w", lambda x: x != "").alias("w"))
     n = {r["y"]: r["n"] for r in words.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -127,13 +127,15 @@ def fit(df: DataFrame, text: str, label: str, bound: int = 8000, max_features: i
     if not n.get(0) or not n.get(1):
         return empty
     pairs = words.select("y", F.explode(F.arrays_zip(F.col("w").alias("w"), F.concat(F.array(F.lit("")), F.col("w")).alias("p"))).alias("z")).select("y", F.col("z.w").alias("w"), F.col("z.p").alias("p")).filter("w is not null")
-    pairs = pairs.groupBy("w", "p", "y").agg(F.count(F.lit(1)).alias("n"))
-    common = pairs.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(max_words)
+    # all of a context in one task: its words and their features are counted there, only sums per feature are shuffled again
+    pairs = pairs.repartition("p").groupBy("p", "w", "y").agg(F.count(F.lit(1)).alias("n"))
     f = F.array_distinct(F.array_compact(F.array(F.concat("w", F.lit("$")), *[F.when(F.length("w") >= k, F.substring("w", 1, k)) for k in (4, 5, 6)])))
-    spread = pairs.select("y", "w", "p", F.explode(f).alias("f")).groupBy("f", "p").agg(F.max("y").alias("toxic"), F.max(1 - F.col("y")).alias("clean"))
+    spread = pairs.select("y", "p", "n", F.explode(f).alias("f")).groupBy("p", "f").agg(F.max("y").alias("toxic"), F.max(1 - F.col("y")).alias("clean"), F.sum("n").alias("n"))
     share = n[1] / n[0]
-    rated = spread.groupBy("f").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    rated = rated.filter((F.col("t") >= least) & (F.col("t") > ratio * share * (F.col("c") + 0.5))).withColumn("w", F.log((F.col("t") + 0.5) / (share * (F.col("c") + 0.5))))
+    counted = materialise(spread.groupBy("f").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"), F.sum("n").alias("n")), "toxic_features")
+    # the feature with the closing sign is the whole word
+    common = counted.filter(F.col("f").endswith("$")).select(F.expr("left(f, length(f) - 1)").alias("w"), "n").orderBy(F.desc("n"), "w").limit(max_words)
+    rated = counted.filter((F.col("t") >= least) & (F.col("t") > ratio * share * (F.col("c") + 0.5))).withColumn("w", F.log((F.col("t") + 0.5) / (share * (F.col("c") + 0.5))))
     weights = {r["f"]: r["w"] for r in rated.orderBy(F.desc("w"), "f").limit(max_features).collect()}
     counts = {r["w"]: r["n"] for r in common.collect()}
     for w in weights:
