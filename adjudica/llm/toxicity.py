@@ -127,10 +127,11 @@ def fit(df: DataFrame, text: str, label: str, bound: int = 8000, max_features: i
     if not n.get(0) or not n.get(1):
         return empty
     pairs = words.select("y", F.explode(F.arrays_zip(F.col("w").alias("w"), F.concat(F.array(F.lit("")), F.col("w")).alias("p"))).alias("z")).select("y", F.col("z.w").alias("w"), F.col("z.p").alias("p")).filter("w is not null")
-    # all of a context in one task: its words and their features are counted there, only sums per feature are shuffled again
-    pairs = pairs.repartition("p").groupBy("p", "w", "y").agg(F.count(F.lit(1)).alias("n"))
+    # a word's features all begin with its first letters: dealt by context and these, pairs and features are counted in place,
+    # and only sums per feature are shuffled again
+    pairs = pairs.withColumn("head", F.substring("w", 1, 4)).repartition("p", "head").groupBy("p", "head", "w", "y").agg(F.count(F.lit(1)).alias("n"))
     f = F.array_distinct(F.array_compact(F.array(F.concat("w", F.lit("$")), *[F.when(F.length("w") >= k, F.substring("w", 1, k)) for k in (4, 5, 6)])))
-    spread = pairs.select("y", "p", "n", F.explode(f).alias("f")).groupBy("p", "f").agg(F.max("y").alias("toxic"), F.max(1 - F.col("y")).alias("clean"), F.sum("n").alias("n"))
+    spread = pairs.select("y", "p", "head", "n", F.explode(f).alias("f")).groupBy("p", "head", "f").agg(F.max("y").alias("toxic"), F.max(1 - F.col("y")).alias("clean"), F.sum("n").alias("n"))
     share = n[1] / n[0]
     counted = materialise(spread.groupBy("f").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"), F.sum("n").alias("n")), "toxic_features")
     # the feature with the closing sign is the whole word
