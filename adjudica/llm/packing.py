@@ -1,8 +1,9 @@
 """Best-fit packing of documents into training sequences of several permitted lengths.
 
 Pieces are dealt to shards by a hash; each shard packs its pieces, longest first, into the open bin that they fill best. When none
-fits, the bin size is opened whose cost for each token that it can still be given is least. At the end each bin shrinks to the
-smallest permitted length that holds its contents.
+fits, every permitted size is filled on trial from the shard's pieces that are still to come, and the size of least cost per token
+really filled is opened. At the end each bin shrinks to the smallest permitted length that holds its contents. The pieces that a
+trial counts on may find a tighter bin, so a shard is also packed with the smallest size that fits, and the cheaper result is kept.
 
 A shard has about `shard_docs` documents whatever the table's size, so shards grow in number only. Loss against one global
 packing: the last, part-filled bins of a shard.
@@ -34,27 +35,54 @@ def cost(capacity: int, width: int = 16_384) -> float:
     return capacity + capacity * capacity / width
 
 
-def best_fit(lengths: list[int], capacities: tuple[int, ...]) -> tuple[list[int], list[int], list[int]]:
-    """Bin and offset for each length (longest first, all from 1 to the largest capacity), and the final capacity of each bin."""
-    left = sum(lengths)
+def trial_fill(descending: list[int], ends: list[int], at: int, room: int) -> int:
+    """Tokens that a bin takes from the negated lengths `descending[at:]`, always the longest that fits. ends[i]: end of i's run of equals."""
+    start = room
+    while room and (at := bisect_left(descending, -room, at)) < len(descending):
+        n = -descending[at]
+        taken = min(ends[at] - at, room // n)
+        room -= taken * n
+        at = ends[at]  # of a run that is not used up nothing more fits
+    return start - room
+
+
+def opened(lengths: list[int], capacities: tuple[int, ...], trial: bool) -> tuple[list[int], list[int], list[int]]:
+    """best_fit with one rule of opening: by trial, or the smallest size that fits."""
+    descending = [-n for n in lengths]
+    ends = [len(lengths)] * len(lengths)
+    for i in range(len(lengths) - 2, -1, -1):
+        ends[i] = ends[i + 1] if lengths[i] == lengths[i + 1] else i + 1
+
+    def price(c: int, at: int) -> float:
+        filled = lengths[at] + trial_fill(descending, ends, at + 1, c - lengths[at])
+        return cost(smallest(filled, capacities)) / filled
+
     free: list[tuple[int, int]] = []  # open bins as (room, bin), sorted
-    bins, offsets, sizes, filled = [], [], [], []
-    for n in lengths:
-        left -= n
+    bins, offsets, filled = [], [], []
+    for i, n in enumerate(lengths):
         at = bisect_left(free, (n, -1))
         if at < len(free):
             room, b = free.pop(at)
         else:
-            size = min((c for c in capacities if c >= n), key=lambda c: (cost(c) / min(c, n + left), c))
-            room, b = size, len(sizes)
-            sizes.append(size)
+            fitting = [c for c in capacities if c >= n]
+            room, b = min(fitting, key=lambda c: (price(c, i), c)) if trial else fitting[0], len(filled)
             filled.append(0)
         bins.append(b)
         offsets.append(filled[b])
         filled[b] += n
         if room > n:
             insort(free, (room - n, b))
-    return bins, offsets, [min(c for c in capacities if c >= f) for f in filled]
+    return bins, offsets, [smallest(f, capacities) for f in filled]
+
+
+def smallest(n: int, capacities: tuple[int, ...]) -> int:
+    return capacities[bisect_left(capacities, n)]
+
+
+def best_fit(lengths: list[int], capacities: tuple[int, ...]) -> tuple[list[int], list[int], list[int]]:
+    """Bin and offset for each length (longest first, all from 1 to the largest capacity), and the final capacity of each bin.
+    `capacities` ascend."""
+    return min((opened(lengths, capacities, trial) for trial in (True, False)), key=lambda r: sum(map(cost, r[2])))
 
 
 def pieces(df: DataFrame, key: str, n_tokens: Column, largest: int) -> DataFrame:

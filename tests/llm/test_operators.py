@@ -209,6 +209,27 @@ def test_best_fit_takes_the_tightest_bin():
     assert packing.best_fit([5], (8, 64))[2] == [8]
 
 
+def test_opening_counts_what_a_size_really_takes():
+    def price(sizes, lengths):
+        return sum(map(packing.cost, sizes)) / sum(lengths)
+
+    rng = np.random.default_rng(4)
+    alike = sorted(rng.integers(130, 201, 2048).tolist(), reverse=True)
+    bins, offsets, sizes = packing.best_fit(alike, packing.CAPACITIES)
+    used = collections.Counter()
+    for b, at, n in zip(bins, offsets, alike):
+        assert at == used[b]
+        used[b] += n
+    assert all(used[b] <= c for b, c in enumerate(sizes)) and sum(alike) / sum(sizes) > 0.95 and price(sizes, alike) < 1.1
+    # 257 fills half of 512, so seven of them share 2,048 and three 1,024; two are cheaper alone
+    assert packing.best_fit([257] * 10, packing.CAPACITIES)[2] == [2048, 1024]
+    assert packing.best_fit([257] * 9, packing.CAPACITIES)[2] == [2048, 512, 512]
+    for _ in range(50):
+        lengths = sorted(rng.integers(1, 300, 40).tolist(), reverse=True)
+        least = packing.opened(lengths, packing.CAPACITIES, False)[2]
+        assert price(packing.best_fit(lengths, packing.CAPACITIES)[2], lengths) <= price(least, lengths)
+
+
 def test_quality(spark, texts):
     rows = [(f"good plain text number {i} about many different things", 1) for i in range(80)] + [(f"bad {i} %%% $$$ ### !!! ~~~ &&&", 0) for i in range(60)]
     model = quality.fit(spark.createDataFrame(rows, "text string, y int"), "text", "y")
