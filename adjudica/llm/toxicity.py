@@ -2,9 +2,11 @@
 
 Words are taken as sent through a noisy channel: letters become look-alike digits or signs, separators are put between letters,
 letters are repeated. For every suspicious token a lattice of letters is laid out and decoded by Viterbi search under a character
-language model (three letters of history). The restored words are then scored with weights learned from labelled documents.
+language model (three letters of history); a sign or blank may also be the end of a word, so a token can hold several words. The
+restored words are then scored with weights learned from labelled documents, and so are the words between non-letters, as learned
+from; the reading that scores more counts.
 
-A token of letters only, without three equal letters in a row, has a lattice of one path and is its own decoding.
+A token of letters only, without equal neighbours, has a lattice of one path and is its own decoding.
 
 Defined results: null and empty texts have no words and get the score of the intercept. Repeated rows get equal scores. Without a
 toxic or a clean training row there is nothing to learn: every score is 0.
@@ -30,12 +32,15 @@ LOOKALIKE = {
 }
 SEPARATORS = "-_.·~'`^=,:;/\\)>}{][&?\"%*#|"
 TOKEN = re.compile(r"\S+")
-#: Three or more single letters or signs with one and the same separator between them.
-SPACED = re.compile(r"(?<!\S)[^\W_]([ .\-_*])(?:[\w@$!|+]\1){1,}[\w@$!|+](?![^\s.,;:?])")
+#: Three or more single letters or signs with up to three separators between them.
+SPACED = re.compile(r"(?<!\S)(?:(?:[^\W_]|[@$!|+(<€£¡¥§#])[\s.\-_*]{1,3}){2,}(?:[^\W_]|[@$!|+(<€£¡¥§#])(?![^\s.,;:?!])")
+WORD = re.compile(r"[^\W\d_]+")
 PLAIN = re.compile(r"[^\W\d_]+\Z")
-REPEAT = re.compile(r"(.)\1\1")
+REPEAT = re.compile(r"(.)\1+")
 EDGE = ".,;:?\"'()[]{}<>-_~`^=&%*#/\\|"
 COST_SIGN, COST_DROP, COST_KEEP = 1.5, 1.0, 6.0
+#: Leaving out one letter of a run of three or more equal ones, and of two.
+COST_RUN, COST_PAIR = 0.3, 2.0
 
 
 def letters_lm(counts: dict[str, int], order: int = 4) -> dict:
@@ -64,47 +69,69 @@ def log_letter(lm: dict, history: str, ch: str) -> float:
     return math.log(p)
 
 
-def options(prev: str | None, ch: str) -> list[tuple[str, float]]:
-    """Readings of one character: (letter or nothing, cost)."""
+def options(prev: str | None, ch: str, following: str | None = None, before: str | None = None) -> list[tuple[str, float]]:
+    """Readings of one character: (letter, nothing or a blank that ends the word, cost). `before` stands before `prev`."""
     if ch.isalpha():
         out = [(ch, 0.0)]
         if ch == prev:
-            out.append(("", 0.3))
+            out.append(("", COST_RUN if ch in (following, before) else COST_PAIR))
         return out
     out = [(x, COST_SIGN) for x in LOOKALIKE.get(ch, "")]
-    if ch in SEPARATORS or ch == " " or ch == prev:
+    separates = ch in SEPARATORS or ch.isspace()
+    if separates or ch == prev:
         out.append(("", COST_DROP))
-    return out or [("", COST_KEEP)]
-
-
-def decode(token: str, lm: dict, width: int = 24) -> str:
-    """The most likely letters behind a token. States are the last three letters; at most `width` of them live at a position."""
-    history = lm["order"] - 1
-    states: dict[str, tuple[float, str]] = {"^" * history: (0.0, "")}
-    prev = None
-    for ch in token:
+    if not out:
+        out.append(("", COST_KEEP))
+    return out if ch.isalnum() else [*out, (" ", COST_DROP if separates else COST_SIGN)]
+
+
+def decode(token: str, lm: dict, width: int = 24, piece: int = 48) -> str:
+    """The most likely words behind a token, joined by blanks. States are the last three letters; at most `width` of them live at a
+    position, and after every `piece` characters only the best, so that work stays linear."""
+    start = "^" * (lm["order"] - 1)
+    memo = lm.setdefault("memo", {})
+    if len(memo) > 500_000:
+        memo.clear()
+
+    def log_p(state: str, letter: str) -> float:
+        got = memo.get(state + letter)
+        if got is None:
+            got = memo[state + letter] = log_letter(lm, state, letter)
+        return got
+
+    states: dict[str, tuple[float, str]] = {start: (0.0, "")}
+    done = []
+    for i, ch in enumerate(token):
+        if i and i % piece == 0:
+            state, (_, text) = max(states.items(), key=lambda kv: (kv[1][0], kv[0]))
+            done.append(text)
+            states = {state: (0.0, "")}
+        read = options(token[i - 1] if i else None, ch, token[i + 1] if i + 1 < len(token) else None, token[i - 2] if i > 1 else None)
         nxt: dict[str, tuple[float, str]] = {}
         for state, (score, text) in states.items():
-            for letter, cost in options(prev, ch):
-                if letter:
-                    s2, sc, tx = (state + letter)[1:], score - cost + log_letter(lm, state, letter), text + letter
+            for letter, cost in read:
+                if letter == " ":
+                    ends = log_p(state, "$") if state != start else 0.0
+                    s2, sc, tx = start, score - cost + ends, text + " "
+                elif letter:
+                    s2, sc, tx = (state + letter)[1:], score - cost + log_p(state, letter), text + letter
                 else:
                     s2, sc, tx = state, score - cost, text
                 if s2 not in nxt or nxt[s2][0] < sc:
                     nxt[s2] = (sc, tx)
         states = dict(sorted(nxt.items(), key=lambda kv: (-kv[1][0], kv[0]))[:width]) if len(nxt) > width else nxt
-        prev = ch
-    return max(((sc + log_letter(lm, st, "$"), tx) for st, (sc, tx) in states.items()), key=lambda x: (x[0], x[1]))[1]
+    best = max(((sc + (log_p(st, "$") if st != start else 0.0), tx) for st, (sc, tx) in states.items()), key=lambda x: (x[0], x[1]))[1]
+    return " ".join("".join([*done, best]).split())
 
 
-def restore(token: str, lm: dict, piece: int = 48) -> str:
-    """The letters of a lower-case token; long tokens are decoded in pieces so that work stays linear."""
+def restore(token: str, lm: dict) -> str:
+    """The words of a lower-case token or of a run of spaced-out letters, joined by blanks."""
     core = token.strip(EDGE)
     if PLAIN.match(core) and not REPEAT.search(core):
         return core
     if not any(c.isalpha() for c in core) and not any(c in LOOKALIKE for c in core):
         return ""
-    return "".join(decode(core[i:i + piece], lm) for i in range(0, len(core), piece))
+    return decode(core, lm)
 
 
 def features(word: str) -> list[str]:
@@ -159,20 +186,31 @@ def fit(df: DataFrame, text: str, label: str, bound: int = 8000, max_features: i
 
 
 class Evidence(dict):
-    """Weight of a raw token, decoded once; cleared when it holds `most` tokens."""
+    """Weight of a raw token or of a run of spaced-out letters, decoded once; cleared when it holds `most` tokens."""
 
     def __init__(self, model: dict):
         super().__init__()
         self.lm, self.weights = model["lm"], model["weights"]
+        self.stems = {REPEAT.sub(r"\1", f.rstrip("$")) for f in self.weights}
+        self.lengths = sorted({len(x) for x in self.stems})
+
+    def weightless(self, core: str) -> bool:
+        """No reading of a token of letters has a feature: readings differ in repeated letters only, features are their first letters."""
+        core = REPEAT.sub(r"\1", core)
+        return not any(core[:n] in self.stems for n in self.lengths)
 
     def __missing__(self, token: str) -> float:
-        word = restore(token, self.lm)
-        self[token] = w = max((self.weights.get(f, 0.0) for f in features(word)), default=0.0) if word else 0.0
+        core = token.strip(EDGE)
+        if PLAIN.match(core) and self.weightless(core):
+            self[token] = 0.0
+            return 0.0
+        readings = {frozenset(restore(token, self.lm).split()), frozenset(WORD.findall(token))}
+        self[token] = w = max(sum(max(self.weights.get(f, 0.0) for f in features(word)) for word in words) for words in readings)
         return w
 
 
 def evidence(shared, most: int = 250_000):
-    """Summed weights of a text: of its distinct tokens, and of spaced-out words joined again. `shared` is a broadcast model (bounded by fit)."""
+    """Summed weights of a text: of its distinct tokens and of its distinct runs of spaced-out letters. `shared` is a broadcast model (bounded by fit)."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = shared.value
@@ -187,8 +225,7 @@ def evidence(shared, most: int = 250_000):
                     continue
                 t = t.lower()
                 s = sum(map(known.__getitem__, set(t.split())))
-                for m in SPACED.finditer(t):
-                    s += known[m.group().replace(m.group(1), "") or "."]
+                s += sum(map(known.__getitem__, {" ".join(m.group().split()) for m in SPACED.finditer(t)}))
                 out.append(s)
             yield pd.Series(out, dtype="float64")
 
@@ -213,8 +250,11 @@ def restored_text(text: Column, model: dict, spark) -> Column:
                 if t is None:
                     out.append(None)
                     continue
-                t = SPACED.sub(lambda m: m.group().replace(m.group(1), ""), t.lower())
-                out.append(" ".join(x for x in (restore(w, lm) for w in t.split()) if x))
+                t, at, parts = t.lower(), 0, []
+                for m in SPACED.finditer(t):
+                    parts += [*t[at:m.start()].split(), " ".join(m.group().split())]
+                    at = m.end()
+                out.append(" ".join(x for x in (restore(w, lm) for w in [*parts, *t[at:].split()]) if x))
             yield pd.Series(out, dtype="object")
 
     return F.pandas_udf(run, "string")(text)

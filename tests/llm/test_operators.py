@@ -58,6 +58,30 @@ def test_toxicity(spark, texts):
     assert {round(r[0], 6) for r in texts.select(toxicity.score(F.col("text"), empty, spark)).collect()} == {0.0}
 
 
+@pytest.fixture(scope="module")
+def insults(spark):
+    words = [f"{chr(97 + i)}{chr(97 + j)}" for i in range(10) for j in range(10)]
+    other = "you are a good and dear non worthy people who say hello to all of the fine women in town while we eat l d y o u"
+    bad = [(f"{words[i]} {w} {words[-i]}", 1) for i in range(40) for w in ("stupid", "idiot", "imbecile")]
+    good = [(f"{words[i]} {other} {words[-i]}", 0) for i in range(99)]
+    return spark.createDataFrame(bad + good, "text string, y int")
+
+
+def test_toxic_words_behind_other_words(spark, insults):
+    model = toxicity.fit(insults, "text", "y", least=5)
+    assert {"stupid$", "idiot$", "imbecile$"} <= set(model["weights"])
+    said = [
+        ("l'imbecile", "l imbecile"), ("d'idiot", "d idiot"), ("dear,idiot", "dear idiot"), ("non-idiot", "non idiot"), ('"a":"idiot"', "a idiot"),
+        ("a s t u p i d", "a stupid"), ("y o u i d i o t", "you idiot"), ("$ t u p i d", "stupid"), ("s  t  u  p  i  d", "stupid"),
+        ("stuupid", "stupid"), ("dear,1d1ot", "dear idiot"), ("s.t-u_p i d", "stupid"), ("fine," * 30 + "idiot", "fine " * 30 + "idiot"),
+        ("hello all", "hello all"), ("good,people", "good people"), ("y o u  a r e  g o o d", "you are good"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(said)], "i int, t string")
+    got = df.select("i", toxicity.score(F.col("t"), model, spark).alias("s"), toxicity.restored_text(F.col("t"), model, spark).alias("r")).orderBy("i").collect()
+    assert [r["r"] for r in got] == [want for _, want in said]
+    assert [r["s"] >= 0.5 for r in got] == [True] * 13 + [False] * 3
+
+
 def test_licenses(spark, texts):
     said = [(10, "The MIT License. mit  LICENSE, again"), (11, "mit license version"), (12, "Licensed under the (new) Apache License, Version 2.0"), (13, "general public-license"), (14, "permission is hereby granted, free of all charge, to any person obtaining one copy of this software and associated documentation files")]
     df = texts.select("doc_id", "text").unionByName(spark.createDataFrame(said, "doc_id long, text string"))
