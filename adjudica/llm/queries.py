@@ -24,7 +24,7 @@ def op2_toxicity(spark: SparkSession, base: str) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     docs = table(spark, base, "documents").select("doc_id", "text")
     held = remainder(F.col("doc_id"), 5) == 0
-    model = toxicity.fit(labelled(docs.filter(~held), table(spark, base, "labels"), "toxic"), "text", "toxic")
+    model = toxicity.fit(labelled(docs.filter(~held), table(spark, base, "labels"), "toxic"), "text", "toxic", corpus=docs)
     out = docs.select("doc_id", held.alias("held_out"), toxicity.score(F.col("text"), model, spark).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,20 +44,51 @@ COST_SIGN, COST_DROP, COST_KEEP = 1.5, 1.0, 6.0
 COST_RUN, COST_PAIR = 0.3, 2.0
 
 
-def letters_lm(counts: dict[str, int], order: int = 4) -> dict:
-    """Character model of a word list: log P(letter | up to order - 1 letters before), backing off to shorter histories."""
-    seen: list[dict[str, float]] = [{} for _ in range(order + 1)]
+def word_grams(counts: dict[str, int], order: int = 4) -> Counter:
+    """How often each letter, or the word's end, stands behind the order - 1 letters before it."""
+    out = Counter()
     for w, n in counts.items():
         x = "^" * (order - 1) + w + "$"
-        for i in range(order - 1, len(x)):
-            for m in range(order):
-                g = x[i - m:i + 1]
-                seen[m + 1][g] = seen[m + 1].get(g, 0) + n
-                h = "\0" + g[:-1]
-                seen[m + 1][h] = seen[m + 1].get(h, 0) + n
+        for i in range(order, len(x) + 1):
+            out[x[i - order:i]] += n
+    return out
+
+
+def grams_lm(grams: dict[str, int], order: int = 4) -> dict:
+    """Character model of n-gram counts: log P(letter | up to order - 1 letters before), backing off to shorter histories."""
+    seen: list[dict[str, float]] = [{} for _ in range(order + 1)]
+    for x, n in grams.items():
+        for m in range(order):
+            g = x[order - 1 - m:]
+            seen[m + 1][g] = seen[m + 1].get(g, 0) + n
+            h = "\0" + g[:-1]
+            seen[m + 1][h] = seen[m + 1].get(h, 0) + n
     return {"order": order, "seen": seen}
 
 
+def letters_lm(counts: dict[str, int], order: int = 4) -> dict:
+    """Character model of a word list."""
+    return grams_lm(word_grams(counts, order), order)
+
+
+def corpus_grams(df: DataFrame, text: str, order: int = 4, flush: int = 200_000) -> DataFrame:
+    """(gram, n) over the words of every text. A task holds at most about `flush` distinct words and its own sums per gram are dealt on."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words: Counter = Counter()
+        for batch in batches:
+            for t in batch["text"]:
+                if t:
+                    words.update(WORD.findall(t.lower()))
+                if len(words) > flush:
+                    yield pd.DataFrame(word_grams(words, order).items(), columns=["gram", "n"])
+                    words = Counter()
+        yield pd.DataFrame(word_grams(words, order).items(), columns=["gram", "n"]).astype({"gram": "object", "n": "int64"})
+
+    found = df.select(F.col(text).alias("text")).filter("text is not null").mapInPandas(run, "gram string, n long")
+    return found.groupBy("gram").agg(F.sum("n").alias("n"))
+
+
 def log_letter(lm: dict, history: str, ch: str) -> float:
     p = 1e-4
     for m in range(lm["order"]):
@@ -139,12 +171,14 @@ def features(word: str) -> list[str]:
     return [f"{word}$", *(word[:n] for n in (4, 5, 6) if len(word) >= n)]
 
 
-def fit(df: DataFrame, text: str, label: str, bound: int = 8000, max_features: int = 20_000, max_words: int = 60_000, least: int = 12, ratio: float = 12.0) -> dict:
-    """Learn from at most about `bound` distinct texts of each label (0 or 1).
+def fit(df: DataFrame, text: str, label: str, bound: int = 8000, max_features: int = 20_000, max_grams: int = 2_000_000, least: int = 12, ratio: float = 12.0, corpus: DataFrame | None = None) -> dict:
+    """Learn weights from at most about `bound` distinct texts of each label (0 or 1), the language model from every text of `corpus`
+    (a table with the column named by `text`; without it, of `df`).
 
     A feature counts by the number of different words before it, so that copies of one document count once. Kept are at most
-    `max_features` features with `least` contexts in toxic texts and a rate `ratio` times that in clean ones; the language model
-    keeps the `max_words` most frequent words. The intercept and slope are fitted on the same bounded sample."""
+    `max_features` features with `least` contexts in toxic texts and a rate `ratio` times that in clean ones. The language model is the
+    corpus' n-gram counts, whose number depends on the alphabets in it, not on its size; beyond `max_grams`, which alphabetic scripts do
+    not reach, the rarest are left to shorter histories. The intercept and slope are fitted on the same bounded sample."""
     spark = df.sparkSession
     sample = materialise(training_sample(df, label, text, bound), "toxic_sample")
     words = sample.select(F.col("label").cast("int").alias("y"), F.array_compact(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w"))
@@ -161,15 +195,15 @@ def fit(df: DataFrame, text: str, label: str, bound: int = 8000, max_features: i
     spread = pairs.select("y", "p", "head", "n", F.explode(f).alias("f")).groupBy("p", "head", "f").agg(F.max("y").alias("toxic"), F.max(1 - F.col("y")).alias("clean"), F.sum("n").alias("n"))
     share = n[1] / n[0]
     counted = materialise(spread.groupBy("f").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"), F.sum("n").alias("n")), "toxic_features")
-    # the feature with the closing sign is the whole word
-    common = counted.filter(F.col("f").endswith("$")).select(F.expr("left(f, length(f) - 1)").alias("w"), "n").orderBy(F.desc("n"), "w").limit(max_words)
     rated = counted.filter((F.col("t") >= least) & (F.col("t") > ratio * share * (F.col("c") + 0.5))).withColumn("w", F.log((F.col("t") + 0.5) / (share * (F.col("c") + 0.5))))
     weights = {r["f"]: r["w"] for r in rated.orderBy(F.desc("w"), "f").limit(max_features).collect()}
-    counts = {r["w"]: r["n"] for r in common.collect()}
-    for w in weights:
-        if w.endswith("$") and len(w) > 3:
-            counts[w[:-1]] = counts.get(w[:-1], 0) + 50
-    model = {"lm": letters_lm(counts), "weights": weights, "a": 1.0, "b": 0.0}
+    found = corpus_grams(df if corpus is None else corpus, text).orderBy(F.desc("n"), "gram").limit(max_grams).toPandas()
+    grams = Counter(dict(zip(found["gram"], found["n"].tolist())))
+    # the feature with the closing sign is the whole word; listed words weigh as if they were 50 times more in the sample
+    drawn = counted.filter(F.col("f").endswith("$")).agg(F.sum("n")).first()[0]
+    more = 50 * max(1.0, sum(k for g, k in grams.items() if g.endswith("$")) / drawn)
+    grams.update(word_grams({w[:-1]: more for w in weights if w.endswith("$") and len(w) > 3}))
+    model = {"lm": grams_lm(grams), "weights": weights, "a": 1.0, "b": 0.0}
     score = evidence(spark.sparkContext.broadcast(model))
     seen = sample.select("label", score(F.col("text")).alias("s")).groupBy(F.round("s", 1).alias("s"), "label").agg(F.count(F.lit(1)).alias("n")).toPandas()
     x, y, wt = seen["s"].to_numpy(float), seen["label"].to_numpy(float), seen["n"].to_numpy(float)

@@ -29,7 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that are likelier clean than toxic."""
-    model = tox.fit(labelled(docs.filter(remainder(F.col("doc_id"), 5) != 0), spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic"), "text", "toxic")
+    model = tox.fit(labelled(docs.filter(remainder(F.col("doc_id"), 5) != 0), spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic"), "text", "toxic", corpus=docs)
     columns = [F.col(f"d.`{c}`") for c in docs.columns]
     rated = docs.select(F.struct(*docs.columns).alias("d"), tox.score(F.col("text"), model, spark).alias("r"))
     return rated.filter(F.col("r") < LEAST_TOXIC).select(*columns)

@@ -82,6 +82,17 @@ def test_toxic_words_behind_other_words(spark, insults):
     assert [r["s"] >= 0.5 for r in got] == [True] * 13 + [False] * 3
 
 
+def test_language_model_counts_every_text(spark, insults):
+    corpus = spark.createDataFrame([("Über zyxwv zyxwv",), ("zyxwv 1",), (None,), ("",), ("x" * 200_000,)], "text string")
+    got = {r["gram"]: r["n"] for r in toxicity.corpus_grams(corpus.repartition(3), "text", flush=1).collect()}
+    assert got == toxicity.word_grams({"über": 1, "zyxwv": 3, "x" * 200_000: 1})
+    # a bound of one text leaves the weights with nothing, not the language model
+    model = toxicity.fit(insults.withColumnRenamed("text", "said"), "said", "y", bound=1, corpus=corpus.select(F.col("text").alias("said")))
+    assert model["lm"]["seen"][4]["zyxw"] == 3 and "idio" not in model["lm"]["seen"][4]
+    assert toxicity.fit(insults, "text", "y", bound=1)["lm"]["seen"][4]["idio"] == 40
+    assert toxicity.restore("z.y.x.w.v", model["lm"]) == "zyxwv"
+
+
 def test_licenses(spark, texts):
     said = [(10, "The MIT License. mit  LICENSE, again"), (11, "mit license version"), (12, "Licensed under the (new) Apache License, Version 2.0"), (13, "general public-license"), (14, "permission is hereby granted, free of all charge, to any person obtaining one copy of this software and associated documentation files")]
     df = texts.select("doc_id", "text").unionByName(spark.createDataFrame(said, "doc_id long, text string"))
