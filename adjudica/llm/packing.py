@@ -5,7 +5,8 @@ fits, every permitted size is filled on trial from the shard's pieces that are s
 really filled is opened. At the end each bin shrinks to the smallest permitted length that holds its contents. The pieces that a
 trial counts on may find a tighter bin, so a shard is also packed with the smallest size that fits, and the cheaper result is kept.
 
-A shard has about `shard_docs` documents whatever the table's size, so shards grow in number only. Loss against one global
+A shard has about `shard_docs` pieces whatever the table's size, so shards grow in number only. Equal rows are counted and dealt on in
+lots of at most an eighth of a shard, so no key fills a shard. Loss against one global
 packing: the last, part-filled bins of a shard.
 
 Defined results: a text of no tokens (null, empty) gets one piece of length 0 in no bin. Texts beyond the largest length are cut
@@ -96,11 +97,16 @@ def pieces(df: DataFrame, key: str, n_tokens: Column, largest: int) -> DataFrame
 def pack(df: DataFrame, key: str, n_tokens: Column, capacities: tuple[int, ...] = CAPACITIES, shard_docs: int = 2048) -> DataFrame:
     """One row per piece: key, piece, first_token, n_tokens, bin_id, capacity (of the bin after downsizing), offset in the bin."""
     caps = tuple(sorted(capacities))
-    shards = max(1, math.ceil(df.count() / shard_docs))
-    p = pieces(df, key, n_tokens, caps[-1])
-    p = p.withColumn("shard", F.pmod(F.xxhash64("key", "piece", "n_tokens"), F.lit(shards)))
+    total = df.select(F.sum(F.greatest(F.ceil(n_tokens.cast("long") / caps[-1]), F.lit(1)))).first()[0] or 0
+    shards = max(1, math.ceil(total / shard_docs))
+    lot = max(1, shard_docs // 8)
+    p = pieces(df, key, n_tokens, caps[-1]).groupBy("key", "piece", "first_token", "n_tokens").agg(F.count(F.lit(1)).alias("copies"))
+    p = p.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(lot).cast("long"))).alias("start"))
+    p = p.withColumn("copies", F.least(F.col("copies") - F.col("start"), F.lit(lot)))
+    p = p.withColumn("shard", F.pmod(F.xxhash64("key", "piece", "n_tokens", "start"), F.lit(shards))).drop("start")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.loc[group.index.repeat(group["copies"])]
         g = group.sort_values(["n_tokens", "key", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
         some = int((g["n_tokens"] > 0).sum())
         bins, offsets, sizes = best_fit(g["n_tokens"].iloc[:some].astype(int).tolist(), caps)

@@ -265,6 +265,18 @@ def test_opening_counts_what_a_size_really_takes():
         assert price(packing.best_fit(lengths, packing.CAPACITIES)[2], lengths) <= price(least, lengths)
 
 
+def test_equal_rows_and_long_texts_do_not_fill_a_shard(spark):
+    rows = [(7, 100)] * 3000 + [(None, 0)] * 3000 + [(i, 5) for i in range(100, 1100)] + [(-1, 4096 * 3000 + 1), (-2, None)]
+    df = spark.createDataFrame(rows, "k long, n long").repartition(4)
+    got = packing.pack(df, "k", F.col("n"), shard_docs=512).toPandas()
+    assert len(got) == 3000 + 3000 + 1000 + 3001 + 1 and got["n_tokens"].sum() == 300_000 + 5000 + 4096 * 3000 + 1
+    assert (got["k"] == 7).sum() == 3000 and got["k"].isna().sum() == 3000 and got[got["n_tokens"] == 0]["bin_id"].isna().all()
+    full = got[got["n_tokens"] > 0]
+    assert full.groupby("bin_id")["n_tokens"].sum().le(full.groupby("bin_id")["capacity"].first()).all()
+    assert not full.duplicated(["bin_id", "offset"]).any()
+    assert (full["bin_id"].astype("int64") // 2**32).value_counts().max() < 2 * 512
+
+
 def test_quality(spark, texts):
     rows = [(f"good plain text number {i} about many different things", 1) for i in range(80)] + [(f"bad {i} %%% $$$ ### !!! ~~~ &&&", 0) for i in range(60)]
     model = quality.fit(spark.createDataFrame(rows, "text string, y int"), "text", "y")
