@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adjudica.llm import bpe, language, licenses, neardup, neighbours, packing, quality, sql, topk, toxicity, urls
+from adjudica.llm import bpe, language, licenses, neardup, neighbours, packing, quality, sql, tokenfiles, topk, toxicity, urls
 from adjudica.llm.common import labelled, remainder, table
 
 
@@ -77,6 +77,15 @@ def op10_packing(spark: SparkSession, base: str) -> DataFrame:
     return packing.pack(table(spark, base, "documents"), "doc_id", packing.blank_tokens(F.col("text")))
 
 
+def op13_token_files(spark: SparkSession, base: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, as read back from the written files."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        tokenizer = f.read()
+    return tokenfiles.round_trip(table(spark, base, "documents"), "doc_id", "text", tokenizer, end=1)
+
+
 def pipeline(spark: SparkSession, base: str) -> DataFrame:
     """The stages of corpus_pipeline.py over documents."""
     import corpus_pipeline
@@ -85,7 +94,7 @@ def pipeline(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_toxicity, op3_licenses, op4_top_k, op5_near_duplicates, op6_bpe, op7_urls, op8_quality, op9_neighbours, op10_packing, pipeline)}
+    return {f.__name__: f for f in (op1_language, op2_toxicity, op3_licenses, op4_top_k, op5_near_duplicates, op6_bpe, op7_urls, op8_quality, op9_neighbours, op10_packing, op13_token_files, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
