@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adjudica.llm import bpe, language, licenses, neardup, neighbours, packing, quality, sql, tokenfiles, topk, toxicity, urls
+from adjudica.llm import bpe, language, licenses, merkle, neardup, neighbours, packing, quality, sql, tokenfiles, topk, toxicity, urls
 from adjudica.llm.common import labelled, remainder, table
 
 
@@ -77,6 +78,17 @@ def op10_packing(spark: SparkSession, base: str) -> DataFrame:
     return packing.pack(table(spark, base, "documents"), "doc_id", packing.blank_tokens(F.col("text")))
 
 
+def op12_merkle(spark: SparkSession, base: str) -> DataFrame:
+    """Leaf, roots, digest of the proof, and the root recomputed from a tampered text, of every document."""
+    docs = table(spark, base, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.leaf([*[F.col(c) for c in fields[:-1]], lower]))
+    m = merkle.manifest(docs, "doc_id", "lang", fields, tampered=tampered)
+    m = m.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_text(F.col("proof")), 256).alias("proof_sha256"), merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof")).alias("folded_root"))
+    return m.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def op13_token_files(spark: SparkSession, base: str) -> DataFrame:
     """Place, length and checksum of every document's ids, as read back from the written files."""
     import public_tokenizers
@@ -94,7 +106,7 @@ def pipeline(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_toxicity, op3_licenses, op4_top_k, op5_near_duplicates, op6_bpe, op7_urls, op8_quality, op9_neighbours, op10_packing, op13_token_files, pipeline)}
+    return {f.__name__: f for f in (op1_language, op2_toxicity, op3_licenses, op4_top_k, op5_near_duplicates, op6_bpe, op7_urls, op8_quality, op9_neighbours, op10_packing, op12_merkle, op13_token_files, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
