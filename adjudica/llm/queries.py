@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adjudica.llm import bpe, language, licenses, merkle, neardup, neighbours, packing, quality, sql, tokenfiles, topk, toxicity, urls
+from adjudica.llm import bpe, conversations, language, licenses, merkle, neardup, neighbours, packing, quality, sql, tokenfiles, topk, toxicity, urls
 from adjudica.llm.common import labelled, remainder, table
 
 
@@ -78,6 +78,21 @@ def op10_packing(spark: SparkSession, base: str) -> DataFrame:
     return packing.pack(table(spark, base, "documents"), "doc_id", packing.blank_tokens(F.col("text")))
 
 
+def damaged(df: DataFrame) -> DataFrame:
+    """Conversations with seeded faults; a dropped row is only marked `gone`."""
+    fault = F.crc32(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])) % 20
+    d = df.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"), fault.alias("fault"))
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))
+    times = F.explode(F.sequence(F.lit(1), F.when(F.col("fault") == 3, 2).otherwise(1)))
+    return d.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.col("fault") == 0).alias("gone"), times.alias("copy"))
+
+
+def op11_conversations(spark: SparkSession, base: str) -> DataFrame:
+    """Faults, cheapest repair and digest of the repaired rows of every damaged conversation."""
+    return conversations.repair(damaged(table(spark, base, "conversations")), "conv_id", "turn", "role", "text", gone="gone")
+
+
 def op12_merkle(spark: SparkSession, base: str) -> DataFrame:
     """Leaf, roots, digest of the proof, and the root recomputed from a tampered text, of every document."""
     docs = table(spark, base, "documents")
@@ -106,7 +121,7 @@ def pipeline(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_toxicity, op3_licenses, op4_top_k, op5_near_duplicates, op6_bpe, op7_urls, op8_quality, op9_neighbours, op10_packing, op12_merkle, op13_token_files, pipeline)}
+    return {f.__name__: f for f in (op1_language, op2_toxicity, op3_licenses, op4_top_k, op5_near_duplicates, op6_bpe, op7_urls, op8_quality, op9_neighbours, op10_packing, op11_conversations, op12_merkle, op13_token_files, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
