@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Option wordings that mean "none of these".
+# Option wordings that mean "none of these", the neutral wording shown instead, and the forms of level numbers.
 ABSTAIN_PREFIXES = ("none of the above", "none of these", "not listed", "no suitable", "does not apply", "cannot tell")
 ABSTAIN_EXACT = ("other", "unsure", "something else", "neither of these", "other / not covered")
 ABSTAIN_WORDINGS = (
@@ -14,13 +14,12 @@ ABSTAIN_WORDINGS = (
     "none of the above (out of scope)", "other / not covered",
 )
 NEUTRAL_NONE = "not listed here"
-NONE_EXACT = ("none of the above", "none", "n/a", "none of these")
-
-ABSTAIN_RE = "^(" + "|".join(ABSTAIN_PREFIXES) + ")|^(" + "|".join(ABSTAIN_EXACT) + ")$"
 NEUTRAL_RE = "^none of the above|^(none|n/a|none of these)$"
 SCALE_RE = r"^-?\d+:"
 LEVEL_NUMBER_RE = r"^\s*-?\d+\s*:\s*"
 
+ABSTAIN_RE = "^(" + "|".join(ABSTAIN_PREFIXES) + ")|^(" + "|".join(ABSTAIN_EXACT) + ")$"
+
 
 def strip(c: Column) -> Column:
     """Remove all leading and trailing white space (trim() removes blanks only)."""

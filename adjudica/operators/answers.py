@@ -74,8 +74,14 @@ def combine_isolated(level_rows: DataFrame, key: list[str], level: str = "level"
 
 
 # ---- typed answers
-def format_answer(kind: Column, names: Column, probs: Column) -> Column:
-    """The answer of a question as one struct; fields that do not belong to its type are NULL."""
+def format_answer(kind: Column, names: Column, probs: Column, legend: Column | None = None, level_fit: Column | None = None) -> Column:
+    """The answer of a question as one struct; fields that do not belong to its type are NULL.
+
+    legend: the levels' descriptions of a score. level_fit: P(fits) of every level that was asked on its own; their sum is fit_mass."""
+    no = F.lit(None).cast("array<string>")
+    legend = no if legend is None else legend
+    level_fit = no.cast("array<double>") if level_fit is None else level_fit
+    numbered = lambda a: F.map_from_arrays(F.transform(a, lambda _, i: i.cast("string")), a)
     r4 = lambda c: F.round(c, 4)
 
     def body(p: Column) -> Column:
@@ -90,11 +96,39 @@ def format_answer(kind: Column, names: Column, probs: Column) -> Column:
             F.when(~is_noul, r4(F.array_max(p))).alias("x_p_max"),
             F.when(~is_noul, r4(D.certainty(p))).alias("certainty"),
             F.when(~is_noul, F.map_from_arrays(names, F.transform(p, r4))).alias("probabilities"),
+            F.when(is_score, numbered(legend)).alias("legend"),
+            F.when(is_score, numbered(F.transform(level_fit, r4))).alias("level_fit"),
+            F.when(is_score, r4(D.asum(level_fit))).alias("fit_mass"),
         )
 
     return D.let(D.scale_to_one(F.slice(probs, 1, F.size(names))), body)
 
 
+def assemble(rows: DataFrame, key: list[str], question: str) -> DataFrame:
+    """Scored rows of mixed kinds, in any order -> key, question, answer: one typed answer a question.
+
+    Columns: kind (iso: one yes/no row a level; list: the question itself), row_idx, type, names, legend, probs. An answer folds the
+    rows of one question (at most ten levels), so the aggregation is by (key, question) and a request of any size is spread."""
+    parts = F.array_sort(F.collect_list(F.struct("row_idx", "probs")))
+    same = {c: F.any_value(c).alias(c) for c in ("kind", "type", "names", "legend")}  # equal on all rows of a question
+    d = rows.groupBy(*key, question).agg(parts.alias("_parts"), *same.values())
+    iso = F.col("kind") == "iso"
+    d = d.withColumn("_fit", F.when(iso, F.transform("_parts", lambda r: F.get(r["probs"], F.lit(1)))))
+    d = d.withColumn("_p", F.when(iso, combine_levels(F.col("_fit"))).otherwise(F.get("_parts", F.lit(0))["probs"]))
+    return d.select(*key, question, format_answer(F.col("type"), F.col("names"), F.col("_p"), F.col("legend"), F.col("_fit")).alias("answer"))
+
+
+def answer_maps(answers: DataFrame, key: list[str], question: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """-> (key, answers MAP<question, answer>, in order of the questions), (key, n, reason) of requests with more than `most` answers.
+
+    The map is one value, so a request must be of a checked size before it is gathered."""
+    sizes = answers.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    fits = answers.join(sizes.filter(F.col("n") <= most).drop("n"), key)
+    by_question = lambda a, b: F.when(a[question] < b[question], -1).when(a[question] > b[question], 1).otherwise(0)
+    maps = fits.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(question, "answer")), by_question)).alias("answers"))
+    return maps, sizes.filter(F.col("n") > most).withColumn("reason", F.concat(F.lit("too many answers: "), F.col("n").cast("string"), F.lit(f", the limit is {most}")))
+
+
 def format_schema_answer(kind: Column, names: Column, levels: Column, probs: Column, abstain_below: float = 0.0) -> Column:
     """The typed-schema form: the confidence of a choice or scale is its top probability."""
     top = F.array_max(probs)

@@ -17,7 +17,8 @@ from adjudica.operators.ranking import hash_bucket, ring_blocks, ring_slice, wit
 
 MAX_OPTIONS = 255
 ANNOTATE_MIN = 8
-ISOLATED = ("\nProposed answer: ", "\nDoes the proposed answer fit?")
+# Fixed value: the question of one level on its own.
+ISOLATED = "%s\nProposed answer: %s\nDoes the proposed answer fit?"
 
 
 # ---- label sets
@@ -230,7 +231,7 @@ def question_subset(qs: Column, *key) -> Column:
 
 
 def isolated_question(ask: Column, level: Column) -> Column:
-    return F.concat(ask, F.lit(ISOLATED[0]), X.strip_level(level), F.lit(ISOLATED[1]))
+    return F.when(ask.isNotNull() & level.isNotNull(), F.format_string(ISOLATED, ask, X.strip_level(level)))
 
 
 def isolated_rows(df: DataFrame, ask: Column, options: Column, gold: Column) -> DataFrame:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adjudica.functions import dist as D
 from adjudica.functions.hashing import pick_index, u8
-from adjudica.operators.ranking import log_bucket, quantiles, value_blocks
+from adjudica.operators.ranking import log_bucket, quantiles, unit_bucket, value_blocks
+from adjudica.sources.tables import materialise
 
 
 def run_pivot(metrics: DataFrame, key: str, run: str, runs: list[str], values: list[str]) -> DataFrame:
@@ -76,6 +82,77 @@ def paired_bootstrap(spark: SparkSession, deltas: DataFrame, task: str, delta: s
     )
 
 
+#: A prime below 2**32: u_r = (a + r b) mod PRIME is uniform for every r, and pairwise independent over r.
+PRIME = 4_294_967_291
+#: Bounds of u for the weights 1, 2, ... of a Poisson distribution of mean 1.
+POISSON = tuple(int(PRIME * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(11))
+
+
+def paired_bootstrap_rows(rows: DataFrame, group: list[str], key: list[str], delta: str, resamples: int = 200, hold: int = 5_000) -> DataFrame:
+    """Mean of row deltas per group with its 95% interval by a Poisson bootstrap of the rows -> group, n, delta, ci_low, ci_high.
+
+    A row's weight in resample r is a Poisson number from a hash of its key, the same in any partitioning. Each task folds its rows into `resamples`
+    sums a group (at most `hold` groups at a time, then they are passed on), so nothing of the size rows x resamples is shuffled and
+    a group of any size is a few rows. Rows without a delta take no part."""
+    h = F.md5(F.concat_ws("|", F.lit("bootstrap_rows"), *[F.col(k).cast("string") for k in key]))
+    part = lambda at: F.pmod(F.conv(F.substring(h, at, 8), 16, 10).cast("bigint"), F.lit(PRIME))
+    d = rows.filter(F.col(delta).isNotNull()).select(F.struct(*group).alias("g"), F.to_json(F.struct(*group)).alias("name"), F.col(delta).cast("double").alias("d"), part(1).alias("a"), part(9).alias("b"))
+    names = d.select("name", "g").groupBy("name").agg(F.any_value("g").alias("g"))
+    schema = "name string, n long, total double, sums array<double>, weights array<long>"
+    prime, bounds = PRIME, POISSON
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r, cuts, held = np.arange(resamples), np.array(bounds), {}
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame([(k, *v) for k, v in held.items()], columns=["name", "n", "total", "sums", "weights"])
+            held.clear()
+            return out
+
+        for batch in batches:
+            for start in range(0, len(batch), 4096):
+                part = batch.iloc[start:start + 4096].sort_values("name", kind="stable")
+                x, a, b = part["d"].to_numpy(), part["a"].to_numpy(), part["b"].to_numpy()
+                w = np.searchsorted(cuts, (a[:, None] + r * b[:, None]) % prime, side="right")
+                name = part["name"].to_numpy()
+                firsts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+                sums, weights = np.add.reduceat(w * x[:, None], firsts), np.add.reduceat(w, firsts)
+                totals, counts = np.add.reduceat(x, firsts), np.diff(np.append(firsts, len(x)))
+                for k, s, v, t, c in zip(name[firsts], sums, weights, totals, counts):
+                    n0, t0, s0, w0 = held.get(k, (0, 0.0, 0.0, 0))
+                    held[k] = (n0 + int(c), t0 + float(t), s0 + s, w0 + v)
+                if len(held) > hold:
+                    yield flush()
+        if held:
+            yield flush()
+
+    folded = d.select("name", "d", "a", "b").mapInPandas(run, schema)
+    per = folded.select("name", "n", "total", F.posexplode(F.arrays_zip("sums", "weights")).alias("r", "z")).groupBy("name", "r").agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), (F.sum("z.sums") / F.nullif(F.sum("z.weights"), F.lit(0))).alias("m"))
+    out = per.groupBy("name").agg(F.max("n").alias("n"), (F.max("total") / F.max("n")).alias("delta"), F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"))
+    return out.join(names, "name").select("g.*", "n", "delta", "ci_low", "ci_high")
+
+
+def independence(aligned: DataFrame, group: list[str]) -> DataFrame:
+    """How far answers depend on the company of their questions -> group, n, accuracy of each variant, and against the packed answers the mean and 95% quantile of the
+    largest probability change and the share of changed answers.
+
+    aligned: columns packed, reversed, alone (ARRAY<ARRAY<DOUBLE>> by question) and golds. A question whose probabilities differ in number between variants
+    cannot come from one request and is left out."""
+    asked = F.arrays_zip("packed", "reversed", "alone", "golds")
+    d = aligned.select(*group, F.explode(asked).alias("q")).select(*group, "q.*")
+    d = d.filter((F.size("packed") == F.size("reversed")) & (F.size("packed") == F.size("alone")))
+    pick = {v: D.argmax(F.col(v)) for v in ("packed", "reversed", "alone")}
+    d = materialise(d.select(*group, "golds", *[p.alias(f"pick_{v}") for v, p in pick.items()], *[D.max_abs_diff(F.col("packed"), F.col(v)).alias(f"dp_{v}") for v in ("reversed", "alone")]), "independence")
+    acc = [F.avg((F.col(f"pick_{v}") == F.col("golds")).cast("int")).alias(f"acc_{v}") for v in pick]
+    moved = [x for v in ("reversed", "alone") for x in (F.avg(f"dp_{v}").alias(f"dp_{v}_mean"), F.avg((F.col("pick_packed") != F.col(f"pick_{v}")).cast("int")).alias(f"flips_{v}"))]
+    out = d.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *acc, *moved)
+    for v in ("reversed", "alone"):
+        q = quantiles(d, group, f"dp_{v}", {f"dp_{v}_p95": 0.95}, unit_bucket(F.col(f"dp_{v}")), kind="cont")
+        out = out.join(q, group)
+    return out
+
+
 def latency_summary(replay: DataFrame, ms: str, status: str, kind: str, ts: str) -> DataFrame:
     """Counts by class, throughput (NULL within one second) and exact latency quantiles of the answered requests."""
     base = replay.agg(

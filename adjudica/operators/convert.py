@@ -112,6 +112,7 @@ def tool_options(own: Column, others: Column, called: Column, k: int, *key) -> t
     return options, F.when(F.coalesce(pos, F.lit(0)) > 0, pos - 1).otherwise(F.size(options) - 1).cast("int")
 
 
+# Fixed value: the attributes that describe an element, in this order.
 ELEMENT_KEYS = ("aria_label", "aria-label", "title", "alt", "placeholder", "name", "value", "type", "role", "id", "class")
 
 
@@ -122,6 +123,7 @@ def element_desc(tag: Column, attributes: Column) -> Column:
     return F.substring(F.concat_ws(" ", tag, *bits), 1, 120)
 
 
+# Fixed value: a lettered option line.
 LETTER_LINE = r"^([A-J])\.\s*(.+)$"
 
 

@@ -81,6 +81,32 @@ def plan_rows(good: DataFrame, isolated_levels: bool = True) -> DataFrame:
     return d.select("*", F.posexplode(rows).alias("row_idx", "row"))
 
 
+# ---- orders
+VARIANTS = ("packed", "reversed", "alone")
+
+
+def order_variants(requests: DataFrame, qs: str = "qs") -> DataFrame:
+    """Every request with its questions as given (packed), in reverse order, and one by one (alone) -> variant, perm, qs.
+
+    perm[j] is the place in the request of the variant's question j; it travels with the row, so answers find their questions again
+    after any scoring. Requests without questions have no variants."""
+    n = F.size(qs)
+    forward = F.sequence(F.lit(0), n - 1)
+    one = lambda name, perm: F.struct(F.lit(name).alias("variant"), perm.alias("perm"))
+    orders = F.concat(F.array(one("packed", forward), one("reversed", F.reverse(forward))), F.transform(forward, lambda i: one("alone", F.array(i))))
+    d = requests.filter(n > 0).select("*", F.inline(orders))
+    return d.withColumn(qs, F.transform("perm", lambda i: F.get(F.col(qs), i)))
+
+
+def realign(scored: DataFrame, key: list[str], values: str) -> DataFrame:
+    """One row a request: columns packed, reversed, alone, each with the values in the order of the request's own questions.
+
+    The inverse of perm is a sort by it. A request's questions are few (its limits), and all variants meet in one exchange."""
+    pairs = F.transform(F.arrays_zip(F.col("perm").alias("i"), F.col(values).alias("v")), lambda p: F.struct(p["i"].alias("i"), p["v"].alias("v")))
+    aligned = [F.transform(F.array_sort(F.flatten(F.collect_list(F.when(F.col("variant") == v, pairs)))), lambda p: p["v"]).alias(v) for v in VARIANTS]
+    return scored.groupBy(*key).agg(*aligned)
+
+
 # ---- prompts
 def option_label(i: Column) -> Column:
     """A..Z, then AA, AB, ..."""

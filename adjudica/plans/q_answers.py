@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from adjudica.functions import dist as D
 from adjudica.functions.hashing import pick_index, u8, u_int
 from adjudica.operators import answers as A
+from adjudica.operators import requests as R
 from adjudica.plans import views as V
+from adjudica.plans.q_requests import LEVELS, REQ, requests_of
 from adjudica.plans.registry import query
 from adjudica.sources.tables import table
 
@@ -30,10 +32,11 @@ def names_col(n=10):
     return F.array(*[F.lit(f"L{k}") for k in range(n)])
 
 
-BY_TYPE = {"choice": 1.48, "noul": 2.22, "score": 1.38}
+BY_TYPE = {"choice": 1.2, "noul": 1.6, "score": 0.9}
+T_SQL = "CAST(CASE {k} WHEN 'choice' THEN 1.2 WHEN 'noul' THEN 1.6 ELSE 0.9 END AS DOUBLE)"
 
 
-@query("softmax_t", f"""WITH {V.EMB_CTE}, x AS (SELECT row_id, za, CASE type WHEN 'choice' THEN 1.48 ELSE 1.38 END AS t FROM pred)
+@query("softmax_t", f"""WITH {V.EMB_CTE}, x AS (SELECT row_id, za, {T_SQL.format(k='type')} AS t FROM pred)
 SELECT row_id, CAST(t AS DOUBLE) AS t, {MICRO(V.SOFTMAX('za', 't'))} AS p FROM x""")
 def softmax_t(spark, base):
     p = V.emb_pred(spark, base)
@@ -56,25 +59,25 @@ def ev_answers(spark, base):
 
 
 @query("resolve_temperature", f"""WITH {EV_CTE}
-SELECT kind, layout, CAST(CASE WHEN layout = 'schema_first' THEN CASE kind WHEN 'score' THEN 1.05 ELSE 1.18 END ELSE CASE kind WHEN 'choice' THEN 1.48 WHEN 'noul' THEN 2.22 ELSE 1.3 END END AS DOUBLE) AS t_map,
-  CASE WHEN layout = 'schema_first' THEN 1.3 ELSE round(greatest(0.05, 10.12 - 1.63 * ln(greatest(n_options, 2))), 6) END AS t_options, CAST(0.9 AS DOUBLE) AS t_override, count(*) AS n FROM ev GROUP BY ALL""")
+SELECT kind, layout, CAST(CASE WHEN layout = 'schema_first' THEN CASE kind WHEN 'score' THEN 0.8 ELSE 0.95 END ELSE CASE kind WHEN 'choice' THEN 1.2 WHEN 'noul' THEN 1.6 ELSE 1.1 END END AS DOUBLE) AS t_map,
+  CASE WHEN layout = 'schema_first' THEN 1.1 ELSE round(greatest(0.05, 6.0 - 1.75 * ln(greatest(n_options, 2))), 6) END AS t_options, CAST(0.9 AS DOUBLE) AS t_override, count(*) AS n FROM ev GROUP BY ALL""")
 def resolve_temperature(spark, base):
     e = ev_answers(spark, base)
     k, lay, n = F.col("kind"), F.col("layout"), F.col("n_options")
-    by_map = {"temperature": 1.3, "temperature_by_type": {"choice": 1.48, "noul": 2.22}, "temperature_schema_first": 1.18, "temperature_schema_first_by_type": {"score": 1.05}}
-    by_opt = {"temperature": 1.3, "temperature_by_options": {"a": 10.12, "b": -1.63}}
+    by_map = {"temperature": 1.1, "temperature_by_type": {"choice": 1.2, "noul": 1.6}, "temperature_schema_first": 0.95, "temperature_schema_first_by_type": {"score": 0.8}}
+    by_opt = {"temperature": 1.1, "temperature_by_options": {"a": 6.0, "b": -1.75}}
     return (
         e.withColumn("t_map", A.resolve_temperature(k, lay, n, by_map))
         .withColumn("t_options", F.round(A.resolve_temperature(k, lay, n, by_opt), 6))
-        .withColumn("t_override", A.resolve_temperature(k, lay, n, {"temperature_by_type": {"choice": 1.48}}, override=0.9))
+        .withColumn("t_override", A.resolve_temperature(k, lay, n, {"temperature_by_type": {"choice": 1.2}}, override=0.9))
         .groupBy("kind", "layout", "t_map", "t_options", "t_override").agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-@query("t_of_options", f"WITH {EV_CTE} SELECT n_options, round(greatest(0.05, 4.0 - 1.63 * ln(greatest(n_options, 2))), 6) AS t, count(*) AS n FROM ev GROUP BY ALL")
+@query("t_of_options", f"WITH {EV_CTE} SELECT n_options, round(greatest(0.05, 4.0 - 1.75 * ln(greatest(n_options, 2))), 6) AS t, count(*) AS n FROM ev GROUP BY ALL")
 def t_of_options(spark, base):
     e = ev_answers(spark, base)
-    return e.groupBy("n_options", R6(D.t_of_options(F.col("n_options"), 4.0, -1.63), "t")).agg(F.count(F.lit(1)).alias("n"))
+    return e.groupBy("n_options", R6(D.t_of_options(F.col("n_options"), 4.0, -1.75), "t")).agg(F.count(F.lit(1)).alias("n"))
 
 
 LEVELS_CTE = f"""lv AS (SELECT o_orderkey, CAST(level AS INTEGER) AS level, (CAST('0x' || {V.U('fit', 'o_orderkey', 'level')} AS BIGINT) / 4294967296.0) * 0.5
@@ -132,6 +135,32 @@ def format_answer(spark, base):
     return d.select("row_id", "a.type", "a.choice", "a.noul", "a.score", "a.confidence", "a.x_p_max", "a.certainty", F.col("a.probabilities")["L3"].alias("p_third"))
 
 
+ASM_CTE = f"""g AS (SELECT event_id, event_id // 4 AS req, 'q' || (event_id % 4) AS qid, type, type = 'score' AND isolated AS iso, CASE type WHEN 'choice' THEN ['buy', 'leave', 'other'] WHEN 'noul' THEN ['false', 'true'] ELSE ['0', '1', '2', '3'] END AS names FROM rq WHERE reason IS NULL),
+v AS (SELECT *, list_transform(range(len(names)), lambda i: (({V.IDX(V.U('asm', 'event_id', 'i'), 1000)}) + 1) / 1001.0) AS w FROM g),
+s AS (SELECT *, list_sum(w) AS mass, list_transform(w, lambda x: x / list_sum(w)) AS p FROM v),
+k AS (SELECT *, list_max(p) AS m, list_position(p, list_max(p)) - 1 AS j, len(p) AS n FROM s)"""
+
+
+@query("assemble_answers", f"""WITH {REQ}, {ASM_CTE}
+SELECT req, qid, type, CASE WHEN type = 'choice' THEN names[j + 1] END AS choice, CASE WHEN type = 'noul' THEN round(p[2], 4) END AS noul, CASE WHEN type = 'score' THEN round(list_sum(list_transform(p, lambda x, i: x * (i - 1))), 2) END AS score,
+  CASE type WHEN 'choice' THEN round((n * m - 1) / (n - 1), 4) WHEN 'score' THEN round(greatest(0.0, 1 - list_sum(list_transform(p, lambda x, i: x * abs(i - 1 - j)))), 4) END AS confidence,
+  CASE WHEN type = 'score' THEN array_to_string(list_transform({list(LEVELS)!r}, lambda l, i: (i - 1) || ':' || l), '|') END AS legend,
+  CASE WHEN iso THEN array_to_string(list_transform(w, lambda x, i: (i - 1) || ':' || CAST(round(x * 10000) AS BIGINT)), '|') END AS level_fit, CASE WHEN iso THEN round(mass, 4) END AS fit_mass FROM k""")
+def assemble_answers(spark, base):
+    """Four events are one request; their scored rows, in any order, become one map of typed answers, shown here entry by entry."""
+    good, _ = R.split_requests(requests_of(table(spark, base, "events")))
+    rows = R.plan_rows(good).withColumn("req", F.floor(F.col("event_id") / 4)).withColumn("qid", F.concat(F.lit("q"), (F.col("event_id") % 4).cast("string")))
+    draw = lambda i: (pick_index(u8("asm", "event_id", i), 1000) + 1) / 1001.0
+    fit = F.array(1 - draw(F.col("row_idx")), draw(F.col("row_idx")))
+    probs = F.when(F.col("kind") == "iso", fit).otherwise(D.scale_to_one(F.transform("row.options", lambda _, i: draw(i))))
+    scored = rows.select("req", "qid", "kind", "row_idx", F.col("rq.type").alias("type"), F.col("rq.names").alias("names"), F.col("rq.legend").alias("legend"), probs.alias("probs"))
+    maps, _ = A.answer_maps(A.assemble(scored, ["req"], "qid"), ["req"], "qid", most=64)
+    e = maps.select("req", F.explode("answers").alias("qid", "a"))
+    text = lambda m, shown: F.when(m.isNotNull(), F.array_join(F.transform(F.map_entries(m), lambda x: F.concat(x["key"], F.lit(":"), shown(x["value"]))), "|"))
+    return e.select("req", "qid", *[f"a.{c}" for c in ("type", "choice", "noul", "score", "confidence")], text(F.col("a.legend"), lambda v: v).alias("legend"),
+                    text(F.col("a.level_fit"), lambda v: F.round(v * 10000).cast("bigint").cast("string")).alias("level_fit"), "a.fit_mass")
+
+
 @query("expected_score", f"WITH {V.EMB_CTE} SELECT row_id, round(list_sum(list_transform(p, lambda v, i: v * (i * 2 - 5))), 6) AS score FROM sa")
 def expected_score(spark, base):
     levels = F.array(*[F.lit(float(2 * i - 5)) for i in range(1, 11)])
@@ -148,9 +177,7 @@ g AS (SELECT row_id, p, list_transform(p, lambda v: 1.3 * ln(v)) AS l1, zb FROM
 h AS (SELECT row_id, p, list_transform(list_zip(l1, zb), lambda t: (t[1] - ln(list_sum(list_transform(l1, lambda x: exp(x)))) + t[2] - ln(list_sum(list_transform(zb, lambda x: exp(x))))) / 2) AS m FROM g)
 SELECT row_id, list_max(p) < 0.2 AS reread, CASE WHEN list_max(p) < 0.2 THEN {MICRO(V.SOFTMAX('m', 'greatest(0.05, 3.0 - 0.9 * ln(10))'))} ELSE {MICRO('p')} END AS p FROM h""")
 def second_reading(spark, base):
-    a = V.emb_pred(spark, base, "a").select("row_id", D.softmax(F.col("logits"), 1.3).alias("p1"))
-    b = V.emb_pred(spark, base, "b").select("row_id", F.reverse("logits").alias("rev"))
-    d = a.join(b, "row_id", "left")
+    d = V.emb_two_runs(spark, base).select("row_id", D.softmax(F.col("logits_a"), 1.3).alias("p1"), F.reverse("logits_b").alias("rev"))
     out = A.second_reading(F.col("p1"), F.col("rev"), 1.3, 0.2, 3.0, -0.9)
     return d.select("row_id", (F.array_max("p1") < 0.2).alias("reread"), micro(out, "p"))
 
@@ -171,14 +198,14 @@ def gated_routing(spark, base):
     return A.gated_routing(p, F.broadcast(policy), "choice", "p_max", 0.15).groupBy("route").agg(F.count(F.lit(1)).alias("n"))
 
 
-QS = ["severity", "frustration", "actionable"]
-SC_CTE = f"""qs AS (SELECT * FROM (VALUES ('severity', 0.6, 3), ('frustration', 0.25, 3), ('actionable', 0.15, 5)) t(question, weight, levels)),
+QS = ["urgency", "scope", "clarity"]
+SC_CTE = f"""qs AS (SELECT * FROM (VALUES ('urgency', 0.5, 4), ('scope', 0.3, 3), ('clarity', 0.2, 6)) t(question, weight, levels)),
 sc AS (SELECT o_orderkey, question, ({V.IDX(V.U('score', 'o_orderkey', 'question'), 201)}) / 100.0 AS score FROM orders, qs)"""
 
 
 @query("composite_score", f"WITH {SC_CTE} SELECT o_orderkey, round(sum(weight * score / (levels - 1)), 6) AS priority FROM sc JOIN qs ON sc.question = qs.question GROUP BY o_orderkey")
 def composite_score(spark, base):
-    weights = spark.createDataFrame([("severity", 0.6, 3), ("frustration", 0.25, 3), ("actionable", 0.15, 5)], "question string, weight double, levels int")
+    weights = spark.createDataFrame([("urgency", 0.5, 4), ("scope", 0.3, 3), ("clarity", 0.2, 6)], "question string, weight double, levels int")
     o = table(spark, base, "orders").select("o_orderkey", F.explode(F.array(*[F.lit(q) for q in QS])).alias("question"))
     s = o.withColumn("score", pick_index(u8("score", "o_orderkey", "question"), 201) / 100.0)
     return A.composite_score(s, F.broadcast(weights), ["o_orderkey"]).select("o_orderkey", R6("priority"))

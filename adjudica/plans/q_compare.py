@@ -9,19 +9,17 @@ from adjudica.functions.hashing import chance, u8
 from adjudica.operators import answers as A
 from adjudica.operators import compare as K
 from adjudica.operators import metrics as M
-from adjudica.operators.ranking import quantiles, unit_bucket
+from adjudica.operators import requests as R
 from adjudica.plans import views as V
 from adjudica.plans.registry import query
-from adjudica.sources.tables import materialise, table
+from adjudica.sources.tables import materialise, spread, table
 
 R6 = lambda c, name=None: F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name or c)
 
 
 def both_rows(spark, base):
     """Row metrics of both runs with a run column."""
-    a = V.emb_pred(spark, base, "a").withColumn("run", F.lit("a"))
-    b = V.emb_pred(spark, base, "b").withColumn("run", F.lit("b"))
-    return M.per_row(a.unionByName(b))
+    return M.per_row(V.emb_runs(spark, base))
 
 
 TASK_METRICS = "tm AS (SELECT 'a' AS run, task, avg(correct) AS acc, avg(nll) AS nll FROM sa GROUP BY task UNION ALL SELECT 'b', task, avg(correct), avg(nll) FROM sb GROUP BY task)"
@@ -58,9 +56,7 @@ e AS (SELECT reading, task, sum(abs(sc - sy)) / sum(n) AS ece FROM (SELECT readi
 SELECT isx.reading, isx.task, count(*) AS n, round(avg(CAST(pred = gold AS INTEGER)), 6) AS acc, round(avg(-ln(greatest(p[gold + 1], 1e-12))), 6) AS nll, round(max(e.ece), 6) AS ece,
   round(avg(abs(list_sum(list_transform(p, lambda v, i: v * (i - 1))) - gold)), 6) AS mae, round(avg(mass), 6) AS mean_mass FROM isx JOIN e ON e.reading = isx.reading AND e.task = isx.task GROUP BY 1, 2""")
 def isolated_vs_listwise(spark, base):
-    a = V.emb_pred(spark, base, "a").select("row_id", "task", "gold", F.col("probs").alias("listwise"))
-    b = V.emb_pred(spark, base, "b").select("row_id", F.transform("logits", lambda x: 1 / (1 + F.exp(-x))).alias("fit"))
-    j = a.join(b, "row_id")
+    j = V.emb_two_runs(spark, base).select("task", "gold", F.col("probs_a").alias("listwise"), F.transform("logits_b", lambda x: 1 / (1 + F.exp(-x))).alias("fit"))
     readings = F.array(
         F.struct(F.lit("listwise").alias("reading"), F.col("listwise").alias("probs"), F.lit(None).cast("double").alias("mass")),
         F.struct(F.lit("isolated").alias("reading"), A.combine_levels(F.col("fit")).alias("probs"), D.asum(F.col("fit")).alias("mass")),
@@ -72,22 +68,70 @@ def isolated_vs_listwise(spark, base):
     return s.join(extra, ["reading", "task"]).select("reading", "task", "n", R6("acc"), R6("nll"), R6("ece"), R6("mae"), R6("mean_mass"))
 
 
-@query("independence", f"""WITH {V.EMB_CTE}, x AS (SELECT a.task, a.gold, a.pred AS pa, b.pred AS pb, list_max(list_transform(list_zip(a.p, b.p), lambda t: abs(t[1] - t[2]))) AS dp FROM sa a JOIN sb b ON a.row_id = b.row_id)
-SELECT task, count(*) AS n, round(avg(CAST(pa = gold AS INTEGER)), 6) AS acc_packed, round(avg(CAST(pb = gold AS INTEGER)), 6) AS acc_independent,
-  round(avg(CAST(pa <> pb AS INTEGER)), 6) AS flips, round(avg(dp), 6) AS dp_mean, round(quantile_cont(dp, 0.95), 6) AS dp_p95 FROM x GROUP BY task""")
-def independence(spark, base):
+@query("paired_bootstrap_rows", f"""WITH {V.EMB_CTE}, d AS (SELECT a.row_id, a.task, b.nll - a.nll AS delta FROM sa a JOIN sb b ON a.row_id = b.row_id),
+h AS (SELECT *, md5('bootstrap_rows|' || row_id) AS m FROM d),
+u AS (SELECT *, CAST('0x' || substr(m, 1, 8) AS BIGINT) % {K.PRIME} AS a, CAST('0x' || substr(m, 9, 8) AS BIGINT) % {K.PRIME} AS b FROM h),
+w AS (SELECT task, delta, r, len(list_filter({list(K.POISSON)}, lambda c: (a + r * b) % {K.PRIME} >= c)) AS w FROM u, range(200) t(r)),
+s AS (SELECT task, r, sum(w * delta) / sum(w) AS m FROM w GROUP BY task, r), n AS (SELECT task, count(*) AS n, avg(delta) AS delta FROM d GROUP BY task)
+SELECT n.task, max(n) AS n, round(max(delta), 6) AS delta, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM n JOIN s ON s.task = n.task GROUP BY n.task""")
+def paired_bootstrap_rows(spark, base):
+    """Difference of the two runs' losses per task, rows resampled."""
     t = V.emb_two_runs(spark, base)
-    p, q = F.col("probs_a"), F.col("probs_b")
-    x = materialise(t.select("task", "gold", D.argmax(p).alias("pa"), D.argmax(q).alias("pb"), D.max_abs_diff(p, q).alias("dp")))
-    s = x.groupBy("task").agg(
-        F.count(F.lit(1)).alias("n"),
-        R6(F.avg((F.col("pa") == F.col("gold")).cast("int")), "acc_packed"),
-        R6(F.avg((F.col("pb") == F.col("gold")).cast("int")), "acc_independent"),
-        R6(F.avg((F.col("pa") != F.col("pb")).cast("int")), "flips"),
-        R6(F.avg("dp"), "dp_mean"),
-    )
-    p95 = quantiles(x, ["task"], "dp", {"dp_p95": 0.95}, unit_bucket(F.col("dp")), kind="cont")
-    return s.join(p95.select("task", R6("dp_p95")), "task")
+    loss = lambda p: D.nll(F.get(F.col(p), F.col("gold")))
+    d = t.select("row_id", "task", (loss("probs_b") - loss("probs_a")).alias("delta"))
+    return K.paired_bootstrap_rows(d, ["task"], ["row_id"], "delta").select("task", "n", R6("delta"), R6("ci_low"), R6("ci_high"))
+
+
+# Three questions whose texts hold words of each other's options: a reader that sees the earlier questions is drawn to them.
+ORDER_QS = (("Is it about the sea or about the road?", ("the sea", "the road")), ("Which words fit the text best?", ("the of and", "der die und", "le la et", "el la de")), ("Is it the text of a child or of a poet?", ("of a child", "of a poet", "und")))
+ORDER_LANGS = ("en", "de", "fr", "es")
+WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''))"
+ORDER_CTE = f"""docs AS (SELECT doc_id, lang, {WORDS.format(c='text')} AS w, [doc_id % 2, list_position({list(ORDER_LANGS)}, lang) - 1, doc_id % 3] AS golds FROM documents),
+q(k, ask, options) AS (VALUES {', '.join(f"({k}, {WORDS.format(c=repr(t))}, [{', '.join(WORDS.format(c=repr(o)) for o in opts)}])" for k, (t, opts) in enumerate(ORDER_QS))}),
+perms(variant, part, perm) AS (VALUES ('packed', 0, [0, 1, 2]), ('reversed', 0, [2, 1, 0]), ('alone', 0, [0]), ('alone', 1, [1]), ('alone', 2, [2])),
+asked AS (SELECT variant, part, unnest(perm) AS k, unnest(range(len(perm))) AS j, perm FROM perms),
+seen AS (SELECT variant, part, k, q.options, (SELECT coalesce(flatten(list(p.ask)), []::VARCHAR[]) FROM q p WHERE list_contains(perm[1:j], p.k)) AS earlier FROM asked JOIN q USING (k)),
+z AS (SELECT doc_id, lang, golds[k + 1] AS gold, variant, part, k, list_transform(options, lambda o: len(list_intersect(o, list_concat(w, earlier)))::DOUBLE) AS z FROM docs, seen),
+pr AS (SELECT * EXCLUDE (z), {V.SOFTMAX('z')} AS p FROM z)"""
+
+
+def ordered_answers(spark, base):
+    """The three questions of every document, scored in every order: each sees the document and the questions before it."""
+    split = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    qs = F.array(*[F.struct(split(F.lit(t)).alias("ask"), F.array(*[split(F.lit(o)) for o in opts]).alias("options")) for t, opts in ORDER_QS])
+    langs = F.array(*[F.lit(x) for x in ORDER_LANGS])
+    i = F.col("doc_id").cast("int")
+    golds = F.array(i % 2, (F.array_position(langs, F.col("lang")) - 1).cast("int"), i % 3)
+    d = spread(table(spark, base, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", golds.alias("golds"), split(F.col("text")).alias("w"), qs.alias("qs"))
+    d = R.order_variants(d)
+
+    def probs(q, j):
+        known = F.array_union(F.col("w"), F.flatten(F.transform(F.filter("qs", lambda _, i: i < j), lambda p: p["ask"])))
+        return D.softmax(F.transform(q["options"], lambda o: F.size(F.array_intersect(o, known)).cast("double")))
+
+    return d.withColumn("p", F.transform("qs", probs)).select("doc_id", "lang", "golds", "variant", "perm", "p")
+
+
+@query("question_orders", f"""WITH {ORDER_CTE}, t AS (SELECT doc_id, variant, array_to_string(list(array_to_string(list_transform(p, lambda v: CAST(CAST(round(v * 1e6) AS BIGINT) AS VARCHAR)), ',') ORDER BY k), ';') AS p FROM pr GROUP BY doc_id, variant)
+SELECT doc_id, max(p) FILTER (variant = 'packed') AS packed, max(p) FILTER (variant = 'reversed') AS reversed, max(p) FILTER (variant = 'alone') AS alone FROM t GROUP BY doc_id""")
+def question_orders(spark, base):
+    """Probabilities of all orders, realigned to the order of the request."""
+    a = R.realign(ordered_answers(spark, base), ["doc_id"], "p")
+    text = lambda v: F.array_join(F.transform(v, lambda p: F.array_join(F.transform(p, lambda x: F.round(x * 1e6).cast("bigint").cast("string")), ",")), ";").alias(v)
+    return a.select("doc_id", *[text(v) for v in R.VARIANTS])
+
+
+@query("independence", f"""WITH {ORDER_CTE}, y AS (SELECT *, list_position(p, list_max(p)) - 1 AS pick FROM pr),
+x AS (SELECT a.lang, a.gold, a.pick AS pa, b.pick AS pb, c.pick AS pc, list_max(list_transform(list_zip(a.p, b.p), lambda t: abs(t[1] - t[2]))) AS db, list_max(list_transform(list_zip(a.p, c.p), lambda t: abs(t[1] - t[2]))) AS dc
+      FROM y a JOIN y b ON a.doc_id = b.doc_id AND a.k = b.k JOIN y c ON a.doc_id = c.doc_id AND a.k = c.k WHERE a.variant = 'packed' AND b.variant = 'reversed' AND c.variant = 'alone')
+SELECT lang AS task, count(*) AS n, round(avg(CAST(pa = gold AS INTEGER)), 6) AS acc_packed, round(avg(CAST(pb = gold AS INTEGER)), 6) AS acc_reversed, round(avg(CAST(pc = gold AS INTEGER)), 6) AS acc_alone,
+  round(avg(db), 6) AS dp_reversed_mean, round(quantile_cont(db, 0.95), 6) AS dp_reversed_p95, round(avg(CAST(pa <> pb AS INTEGER)), 6) AS flips_reversed,
+  round(avg(dc), 6) AS dp_alone_mean, round(quantile_cont(dc, 0.95), 6) AS dp_alone_p95, round(avg(CAST(pa <> pc AS INTEGER)), 6) AS flips_alone FROM x GROUP BY lang""")
+def independence(spark, base):
+    scored = ordered_answers(spark, base)
+    aligned = R.realign(scored, ["doc_id", "lang", "golds"], "p")
+    out = K.independence(aligned.withColumnRenamed("lang", "task"), ["task"])
+    return out.select("task", "n", *[R6(c) for c in out.columns if c not in ("task", "n")])
 
 
 # Lost, failed and re-keyed replies of a replay happen at random: they are modelled by hash so that the report has all kinds to count.
@@ -129,15 +173,14 @@ cg AS (SELECT c.run, c.win, c.acc, c.nll, c.nll <= s.nll + 0.005 AND c.acc >= s.
   coalesce(run = (SELECT arg_max(run, {{'w': win, 'n': run}}) FROM cg WHERE eligible), false) AS selected FROM cg""")
 def gate_select(spark, base):
     """Candidates against run a: every gate must hold, the best weighted win among them is selected."""
-    a = V.emb_pred(spark, base, "a").select("row_id", "task", "gold", F.col("probs").alias("pa"), F.col("logits").alias("za"))
-    b = V.emb_pred(spark, base, "b").select("row_id", F.col("probs").alias("pb"))
+    both = V.emb_two_runs(spark, base).select("task", "gold", F.col("probs_a").alias("pa"), F.col("logits_a").alias("za"), F.col("probs_b").alias("pb"))
     runs = F.array(
         F.struct(F.lit("a").alias("run"), F.col("pa").alias("probs")),
         F.struct(F.lit("b").alias("run"), F.col("pb").alias("probs")),
         F.struct(F.lit("sharp").alias("run"), D.softmax(F.col("za"), 0.45).alias("probs")),
         F.struct(F.lit("mix").alias("run"), F.zip_with("pa", "pb", lambda x, y: (x + y) / 2).alias("probs")),
     )
-    rows = M.per_row(a.join(b, "row_id").select("task", "gold", F.inline(runs)))
+    rows = M.per_row(both.select("task", "gold", F.inline(runs)))
     per_task = materialise(rows.groupBy("run", "task").agg(F.avg("correct").alias("acc"), F.avg("nll").alias("nll")))
     w = F.when(F.col("task") == "task_0", 0.5).when(F.col("task") == "task_1", 0.25).when(F.col("task").isin("task_2", "task_3"), 0.125).otherwise(0.0)
     per_run = per_task.groupBy("run").agg(F.sum(w * F.col("acc")).alias("win"), F.avg("acc").alias("acc"), F.avg("nll").alias("nll"))

@@ -186,10 +186,8 @@ ENT = "-list_sum(list_transform({p}, lambda v: CASE WHEN v > 0 THEN v * ln(v) EL
 y AS (SELECT run, type, p, {V.SOFTMAX('z', '1.4')} AS pt FROM x)
 SELECT run, type, round(avg({ENT.format(p='p')}), 6) AS entropy_t1, round(avg({ENT.format(p='pt')}), 6) AS entropy_served FROM y GROUP BY run, type""")
 def mean_entropy(spark, base):
-    a = V.emb_pred(spark, base, "a").withColumn("run", F.lit("a"))
-    b = V.emb_pred(spark, base, "b").withColumn("run", F.lit("b"))
     served = D.softmax(F.col("logits"), 1.4)
-    return a.unionByName(b).withColumn("served", served).groupBy("run", "type").agg(
+    return V.emb_runs(spark, base).withColumn("served", served).groupBy("run", "type").agg(
         R6(F.avg(D.entropy(F.col("probs"))), "entropy_t1"), R6(F.avg(D.entropy(F.col("served"))), "entropy_served"))
 
 
@@ -198,7 +196,6 @@ SELECT a.task, round(avg(list_sum(list_transform(list_zip(a.p, b.p), lambda t: C
 FROM sa a JOIN sb b ON a.row_id = b.row_id GROUP BY a.task""")
 def belief_excess(spark, base):
     """Mean log-score gap of the stated distribution (run b) to the exact law (run a)."""
-    exact = V.emb_pred(spark, base, "a").select("row_id", "task", F.col("probs").alias("law"))
-    stated = V.emb_pred(spark, base, "b").select("row_id", F.col("probs").alias("stated"))
+    t = V.emb_two_runs(spark, base).select("task", F.col("probs_a").alias("law"), F.col("probs_b").alias("stated"))
     cross = -D.asum(F.zip_with("law", "stated", lambda p, q: F.when(p > 0, p * F.log(F.greatest(q, F.lit(1e-12)))).otherwise(0.0)))
-    return exact.join(stated, "row_id").groupBy("task").agg(R6(F.avg(cross - D.entropy(F.col("law"))), "excess"))
+    return t.groupBy("task").agg(R6(F.avg(cross - D.entropy(F.col("law"))), "excess"))

@@ -13,15 +13,23 @@ from adjudica.plans.registry import query
 from adjudica.sources.tables import spread, table
 
 
-@query("score_centroid", f"""WITH emb AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, label, {V.BELOW(V.U('emb_split', 'vec_id'), 0.5)} AS train FROM embeddings),
-tr AS (SELECT label, generate_subscripts(x, 1) AS i, unnest(x) AS v FROM emb WHERE train), cen AS (SELECT label, array_agg(c ORDER BY i) AS c FROM (SELECT label, i, avg(v) AS c FROM tr GROUP BY label, i) GROUP BY label),
-z AS (SELECT vec_id, array_agg({V.EMB_SCALE} * list_dot_product(x, c) ORDER BY cen.label) AS z FROM emb CROSS JOIN cen WHERE NOT train GROUP BY vec_id)
-SELECT vec_id, {MICRO('z')} AS logits FROM z""")
+@query("score_centroid", f"WITH {V.EMB_CTE} SELECT row_id AS vec_id, {MICRO('za')} AS logits FROM pred")
 def score_centroid(spark, base):
-    """Fold-out: rows of the evaluation half are scored by centroids of the training half only."""
-    rows = V.embeddings(spark, base).filter(F.col("split") == "eval")
-    scorer = S.centroid_scorer(V.emb_matrix(spark, base, "train"), "embedding", V.EMB_SCALE)
-    return S.score(rows, scorer).select("vec_id", micro(F.col("logits"), "logits"))
+    """Fold-out: every row is scored by the centroids of the other half."""
+    return S.score(V.embeddings(spark, base), V.emb_scorer(V.emb_model(spark, base))).select("vec_id", micro(F.col("logits"), "logits"))
+
+
+@query("score_wide", f"WITH {V.EMB_CTE} SELECT row_id AS vec_id, gold, {MICRO('zb')} AS logits FROM pred")
+def score_wide(spark, base):
+    """The same by a model in blocks of a few labels, as one of many labels is scored."""
+    model = V.emb_model(spark, base)
+    width = model.agg(F.max("i") + 1).first()[0] or 1
+    scorer = S.centroid_scorer(model, "embedding", 8.0, cosine=True, fold=F.col("fold"), key="vec_id", cells=9 * width)
+    s = S.score(V.embeddings(spark, base), scorer)
+    pairs = F.array_sort(F.arrays_zip(F.col("labels").alias("label"), F.col("logits").alias("z")))
+    s = s.withColumn("pairs", pairs)
+    gold = F.array_position(F.transform("pairs", lambda p: p["label"]), F.col("label")) - 1
+    return s.select("vec_id", gold.cast("int").alias("gold"), micro(F.transform("pairs", lambda p: p["z"]), "logits"))
 
 
 LANG_OPTIONS = ("der die und das ist", "the of and to in", "el la de que y", "le la et les des")
@@ -54,8 +62,8 @@ def score_custom(spark, base):
 @query("score_trained")
 def score_trained(spark, base):
     e = V.embeddings(spark, base)
-    scorer = S.trained_scorer(e.filter(F.col("split") == "train"), "embedding", "label")
-    rows = S.score(e.filter(F.col("split") == "eval"), scorer)
+    scorer = S.trained_scorer(e.filter("fold = 0"), "embedding", "label")
+    rows = S.score(e.filter("fold = 1"), scorer)
     p = D.softmax(F.col("logits"))
     return rows.select("vec_id", "label", D.argmax(F.col("logits")).alias("pred"), F.round(F.array_max(p), 6).alias("conf"))
 

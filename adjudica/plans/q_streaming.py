@@ -11,6 +11,7 @@ from adjudica.operators import metrics as M
 from adjudica.operators import requests as R
 from adjudica.operators import scoring as S
 from adjudica.plans import views as V
+from adjudica.plans.q_answers import BY_TYPE, T_SQL
 from adjudica.plans.q_requests import PLAN_SQL, planned
 from adjudica.plans.registry import query
 from adjudica.streaming import pipelines as P
@@ -48,14 +49,26 @@ def stream_limits(spark, base):
     return read("accepted").unionByName(read("rejected")).groupBy("verdict", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_score", f"WITH {V.EMB_CTE} SELECT row_id, 'L' || pred AS choice, round((10 * conf - 1) / 9, 4) AS confidence, round(conf, 4) AS x_p_max FROM sa")
+@query("stream_score", f"""WITH {V.EMB_CTE}, x AS (SELECT row_id, type, za, zb, {T_SQL.format(k='type')} AS t FROM pred),
+y AS (SELECT *, list_transform(zb, lambda z: 1 / (1 + exp(-z / t))) AS fit FROM x),
+p AS (SELECT *, list_sum(fit) AS mass, CASE type WHEN 'choice' THEN {V.SOFTMAX('za', 't')} ELSE list_transform(fit, lambda f: f / list_sum(fit)) END AS p FROM y)
+SELECT row_id, type, CASE WHEN type = 'choice' THEN 'L' || (list_position(p, list_max(p)) - 1) END AS choice, CASE WHEN type = 'score' THEN round(list_sum(list_transform(p, lambda v, i: v * (i - 1))), 2) END AS score,
+  round(list_max(p), 4) AS x_p_max, CASE WHEN type = 'score' THEN round(mass, 4) END AS fit_mass, CASE WHEN type = 'score' THEN round(fit[1], 4) END AS fit_0 FROM p""")
 def stream_score(spark, base):
-    """Rows stream through scoring, temperature and answer formatting; one narrow pass, no state."""
-    rows = P.read_stream(spark, f"{base.rstrip('/')}/embeddings.parquet")
-    scored = S.score(rows, S.centroid_scorer(V.emb_matrix(spark, base), "embedding", V.EMB_SCALE))
-    names = F.transform("labels", lambda l: F.concat(F.lit("L"), l.cast("string")))
-    a = scored.select(F.col("vec_id").alias("row_id"), A.format_answer(F.lit("choice"), names, D.softmax(F.col("logits"))).alias("a"))
-    return P.run_once(a.select("row_id", "a.choice", "a.confidence", "a.x_p_max"))
+    """Rows stream through scoring, temperatures, isolated levels and answer formatting; one narrow pass, no state.
+
+    The model is fitted and stored before the stream starts; a micro-batch reads its few rows, never the training vectors."""
+    model = V.emb_model(spark, base)
+    rows = P.read_stream(spark, f"{base.rstrip('/')}/embeddings.parquet").withColumn("fold", V.fold())
+    a = S.score(rows, V.emb_scorer(model)).withColumnRenamed("logits", "z").drop("labels")
+    b = S.score(a, V.emb_scorer(model, "b"))
+    kind = F.when(F.col("vec_id") % 2 == 0, "choice").otherwise("score")
+    d = b.select(F.col("vec_id").alias("row_id"), kind.alias("kind"), "z", F.col("logits").alias("levels"), F.transform("labels", lambda l: F.concat(F.lit("L"), l.cast("string"))).alias("names"))
+    d = d.withColumn("t", A.resolve_temperature(F.col("kind"), F.lit("state_first"), F.size("z"), {"temperature_by_type": BY_TYPE}))
+    d = d.withColumn("fit", F.when(F.col("kind") == "score", F.transform("levels", lambda x: 1 / (1 + F.exp(-x / F.col("t"))))))
+    probs = F.when(F.col("kind") == "score", A.combine_levels(F.col("fit"))).otherwise(D.softmax(F.col("z"), F.col("t")))
+    out = d.select("row_id", A.format_answer(F.col("kind"), F.col("names"), probs, F.col("names"), F.col("fit")).alias("a"))
+    return P.run_once(out.select("row_id", "a.type", "a.choice", "a.score", "a.x_p_max", "a.fit_mass", F.col("a.level_fit")["0"].alias("fit_0")))
 
 
 STATUS = "CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'unsupported' ELSE 'ok' END"

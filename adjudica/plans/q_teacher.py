@@ -150,7 +150,7 @@ def routing_keep(spark, base):
         F.col("event_id").alias("seq"), (H("terse", 2) == 0).alias("terse"), F.when(H("grp", 3) == 0, "generic").otherwise("specific").alias("group"),
         F.get(strings("support", "billing", "returns desk", "parcels"), H("r_ans", 4)).alias("answer"), (H("r_ok", 4) == 0).alias("teacher_ok"),
         F.get(strings("other", "billing"), H("r_pred", 2)).alias("teacher_pred"), F.lit("other").alias("catchall"), (F.col("user_id") % 40).alias("list_id"))
-    return T.routing_keep(r, ["list_id"]).select("seq", "terse", F.col("group").alias("grp"))
+    return T.routing_keep(r, ["list_id"], ("support", "desk", "general")).select("seq", "terse", F.col("group").alias("grp"))
 
 
 @query("ordinal_keep", f"""WITH x AS (SELECT event_id, {I('o_pred', 4)} AS p, {I('o_ans', 3)} AS a FROM events) SELECT event_id, p = a OR (p < 3 AND abs(p - a) = 1) AS keep FROM x""")
@@ -169,7 +169,7 @@ def description_jobs(spark, base):
     x = S.exemplars(c, ["label"], "c_name", 5)
     labels = c.select("label").distinct().agg(F.array_sort(F.collect_list("label")).alias("l")).scalar()
     x = x.withColumn("labels", labels)
-    p = T.description_job(F.lit("Which segment?"), F.col("labels"), F.col("label"), F.col("exemplars"))
+    p = T.description_job(F.lit("Which segment?"), F.col("labels"), F.col("label"), F.col("exemplars"), most=40)
     return x.select("label", p.alias("prompt"), T.description_ok(F.concat(F.lit("Firms in "), F.lower("label")), F.lit("anything else")).alias("accepted"))
 
 

@@ -10,7 +10,6 @@ from adjudica.functions.hashing import SEED, chance, threshold, u8
 from adjudica.operators import scoring as S
 from adjudica.sources.tables import materialise, table
 
-EMB_DIM = 64
 EMB_SCALE = 30.0
 
 
@@ -44,13 +43,14 @@ def SOFTMAX(z: str, t: str = "1.0") -> str:
 
 
 EMB_CTE = f"""
-emb AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, label, CASE WHEN {BELOW(U('emb_split', 'vec_id'), 0.5)} THEN 'train' ELSE 'eval' END AS split FROM embeddings),
-tr AS (SELECT label, generate_subscripts(x, 1) AS i, unnest(x) AS v FROM emb),
-cen AS (SELECT label, array_agg(c ORDER BY i) AS c FROM (SELECT label, i, avg(v) AS c FROM tr GROUP BY label, i) GROUP BY label),
-lab AS (SELECT array_agg(label ORDER BY label) AS labels FROM cen),
-zz AS (SELECT e.vec_id, e.label, array_agg({EMB_SCALE} * list_dot_product(e.x, cen.c) ORDER BY cen.label) AS za,
-              array_agg(8.0 * list_cosine_similarity(e.x, cen.c) ORDER BY cen.label) AS zb
-       FROM emb e CROSS JOIN cen GROUP BY e.vec_id, e.label),
+emb AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, label, CASE WHEN {BELOW(U('emb_split', 'vec_id'), 0.5)} THEN 0 ELSE 1 END AS fold FROM embeddings),
+tr AS (SELECT fold, label, generate_subscripts(x, 1) AS i, unnest(x) AS v FROM emb),
+cen AS (SELECT 1 - fold AS fold, label, array_agg(c ORDER BY i) AS c FROM (SELECT fold, label, i, avg(v) AS c FROM tr GROUP BY fold, label, i) GROUP BY fold, label),
+lab AS (SELECT array_agg(label ORDER BY label) AS labels FROM (SELECT DISTINCT label FROM emb)),
+grid AS (SELECT l.label, f.fold, cen.c FROM (SELECT unnest(labels) AS label FROM lab) l CROSS JOIN (VALUES (0), (1)) f(fold) LEFT JOIN cen ON cen.label = l.label AND cen.fold = f.fold),
+zz AS (SELECT e.vec_id, e.label, array_agg(coalesce({EMB_SCALE} * list_dot_product(e.x, g.c), 0.0) ORDER BY g.label) AS za,
+              array_agg(coalesce(8.0 * list_cosine_similarity(e.x, g.c), 0.0) ORDER BY g.label) AS zb
+       FROM emb e JOIN grid g ON g.fold = e.fold GROUP BY e.vec_id, e.label),
 pred AS (SELECT vec_id AS row_id, 'task_' || (vec_id % 5) AS task, (vec_id % 5) >= 3 AS heldout, CAST(vec_id % 3 AS INTEGER) AS qidx,
               CASE WHEN vec_id % 2 = 0 THEN 'choice' ELSE 'score' END AS type,
               CAST(list_position(labels, label) - 1 AS INTEGER) AS gold, za, zb FROM zz, lab),
@@ -66,34 +66,41 @@ sb AS (SELECT *, CAST(pred = gold AS INTEGER) AS correct, -ln(greatest(pg, 1e-12
 
 
 # ---- Spark views
+def fold() -> Column:
+    """Fold 0 or 1 of a vector: each is scored by the other."""
+    return F.when(chance(u8("emb_split", "vec_id"), 0.5), 0).otherwise(1)
+
+
 def embeddings(spark: SparkSession, base: str) -> DataFrame:
-    split = F.when(chance(u8("emb_split", "vec_id"), 0.5), "train").otherwise("eval")
-    return table(spark, base, "embeddings").withColumn("split", split)
+    return table(spark, base, "embeddings").withColumn("fold", fold())
 
 
-def emb_matrix(spark: SparkSession, base: str, split: str | None = None) -> Column:
-    """Centroids of the whole table, or of one split (fold-out scoring)."""
-    rows = embeddings(spark, base)
-    if split is not None:
-        rows = rows.filter(F.col("split") == split)
-    return S.centroid_matrix(S.centroids(rows, "label", "embedding", EMB_DIM), "label")
+def emb_model(spark: SparkSession, base: str) -> DataFrame:
+    """The centroids of both folds as a stored model: the vectors are read once to fit it."""
+    return materialise(S.fit_centroids(embeddings(spark, base), "label", "embedding", F.col("fold"), folds=2), "centroids")
 
 
-def emb_pred(spark: SparkSession, base: str, run: str = "a") -> DataFrame:
-    """Predictions of every embedding by the label centroids. run a: scaled dot product; run b: cosine."""
-    rows = embeddings(spark, base)
-    scorer = S.centroid_scorer(emb_matrix(spark, base), "embedding", EMB_SCALE if run == "a" else 8.0, cosine=run == "b")
-    scored = S.score(rows, scorer)
+def emb_scorer(model: DataFrame, run: str = "a"):
+    """run a: scaled dot product; run b: cosine. A row is scored by the centroids of the rows outside its fold."""
+    return S.centroid_scorer(model, "embedding", EMB_SCALE if run == "a" else 8.0, cosine=run == "b", fold=F.col("fold"), key="vec_id")
+
+
+def _row() -> list[Column]:
     v = F.col("vec_id")
-    return scored.select(
+    return [
         v.alias("row_id"),
         F.concat(F.lit("task_"), (v % 5).cast("string")).alias("task"),
         (v % 5 >= 3).alias("heldout"),
         (v % 3).cast("int").alias("qidx"),
         F.when(v % 2 == 0, "choice").otherwise("score").alias("type"),
         (F.array_position("labels", F.col("label")) - 1).cast("int").alias("gold"),
-        "logits",
-    ).withColumn("probs", D.softmax(F.col("logits")))
+    ]
+
+
+def emb_pred(spark: SparkSession, base: str, run: str = "a") -> DataFrame:
+    """Out-of-fold predictions of every embedding by the label centroids."""
+    scored = S.score(embeddings(spark, base), emb_scorer(emb_model(spark, base), run))
+    return scored.select(*_row(), "logits").withColumn("probs", D.softmax(F.col("logits")))
 
 
 def stored_pred(spark: SparkSession, base: str, run: str = "a") -> DataFrame:
@@ -102,17 +109,15 @@ def stored_pred(spark: SparkSession, base: str, run: str = "a") -> DataFrame:
 
 
 def emb_two_runs(spark: SparkSession, base: str) -> DataFrame:
-    """Both runs on one row, scored in one pass."""
-    rows = embeddings(spark, base)
-    m = emb_matrix(spark, base)
-    a = S.score(rows, S.centroid_scorer(m, "embedding", EMB_SCALE)).withColumnRenamed("logits", "logits_a").drop("labels")
-    b = S.score(a, S.centroid_scorer(m, "embedding", 8.0, cosine=True)).withColumnRenamed("logits", "logits_b")
-    v = F.col("vec_id")
-    return b.select(
-        v.alias("row_id"),
-        F.concat(F.lit("task_"), (v % 5).cast("string")).alias("task"),
-        (v % 5 >= 3).alias("heldout"),
-        (F.array_position("labels", F.col("label")) - 1).cast("int").alias("gold"),
-        D.softmax(F.col("logits_a")).alias("probs_a"),
-        D.softmax(F.col("logits_b")).alias("probs_b"),
-    )
+    """Both runs on one row, scored in one pass: logits_a, logits_b, probs_a, probs_b."""
+    model = emb_model(spark, base)
+    a = S.score(embeddings(spark, base), emb_scorer(model)).withColumnRenamed("logits", "logits_a").drop("labels")
+    b = S.score(a, emb_scorer(model, "b")).withColumnRenamed("logits", "logits_b")
+    return b.select(*_row(), "logits_a", "logits_b", D.softmax(F.col("logits_a")).alias("probs_a"), D.softmax(F.col("logits_b")).alias("probs_b"))
+
+
+def emb_runs(spark: SparkSession, base: str) -> DataFrame:
+    """Both runs one below the other (column run), from one scoring pass."""
+    t = emb_two_runs(spark, base)
+    runs = F.array(*[F.struct(F.lit(r).alias("run"), F.col(f"logits_{r}").alias("logits"), F.col(f"probs_{r}").alias("probs")) for r in "ab"])
+    return t.select(*[c for c in t.columns if c[-2:] not in ("_a", "_b")], F.inline(runs))

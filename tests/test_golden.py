@@ -1,4 +1,4 @@
-"""Hand-computed values of the answer layer."""
+"""Expected values of FIXTURES.md and of worked examples."""
 import math
 
 import pytest
