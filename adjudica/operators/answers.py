@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adjudica.functions import dist as D
+from adjudica.sources.tables import materialise
 
 TYPES = ("choice", "noul", "score")
+SALTS = 64
 
 
 # ---- temperature resolution
@@ -177,19 +179,38 @@ def composite_score(scores: DataFrame, weights: DataFrame, key: list[str], quest
     return scores.join(weights, question).groupBy(*key).agg(F.sum(F.col("weight") * F.col("score") / (F.col("levels") - 1)).alias("priority"))
 
 
-def beam_classify(states: DataFrame, edges: DataFrame, key: str, weight, beam: int, depth: int, root: str = "root") -> DataFrame:
-    """Walk a label tree keeping the `beam` most probable paths of every state.
+def beam_classify(states: DataFrame, edges: DataFrame, key: str, weight, beam: int, depth: int, root: str = "root", most_edges: int = 1 << 16) -> DataFrame:
+    """Walk a label tree keeping the `beam` most probable paths of every state -> key, path, prob.
 
-    `weight(key_col, child_col)` is the unnormalised score of a child; siblings are normalised. A state
-    holds at most beam * 255 candidate rows, and all levels share one shuffle on the state key."""
-    top = edges.filter(F.col("parent") == root).agg(F.array_sort(F.collect_set("child")).alias("c")).scalar()
-    first = states.select(key).withColumn("_top", top)
-    paths = None
+    `weight(key_col, child_col)` is the unnormalised score of a child; siblings are normalised; ties go to the smaller child. A tree of at most `most_edges`
+    edges travels as one map and a state's beam is folded in its row: no shuffle at all. A larger tree is met by joins, level by level,
+    with the same result. A path that ends before `depth` is dropped."""
+    edges = materialise(edges.select("parent", "child").distinct(), "edges")
+    if edges.count() > most_edges:
+        return beam_by_joins(states, edges, key, weight, beam, depth, root)
+    tree = edges.groupBy("parent").agg(F.array_sort(F.collect_list("child")).alias("c")).agg(F.map_from_entries(F.collect_list(F.struct("parent", "c"))).alias("t"))
+    d = states.select(key).withColumn("_tree", tree.scalar())
+    paths = F.array(F.struct(F.lit(root).alias("node"), F.lit("").alias("path"), F.lit(1.0).alias("prob")))
     for level in range(depth):
-        if paths is None:  # the root's options (at most 255) come from one array: every state starts there
-            cand = first.select(key, F.lit(root).alias("node"), F.lit("").alias("path"), F.lit(1.0).alias("prob"), F.explode("_top").alias("child"))
-        else:
-            cand = paths.join(edges.select(F.col("parent").alias("node"), "child"), "node")
+        def grown(p: Column) -> Column:
+            children = F.transform(F.coalesce(F.element_at("_tree", p["node"]), F.array().cast("array<string>")), lambda c: F.struct(c.alias("c"), weight(F.col(key), c).cast("double").alias("w")))
+            total = lambda cs: D.asum(F.transform(cs, lambda x: x["w"]))
+            return D.let(children, lambda cs: D.let(total(cs), lambda s: F.transform(cs, lambda x: F.struct(
+                x["c"].alias("node"), F.concat_ws("/", F.nullif(p["path"], F.lit("")), x["c"]).alias("path"), (p["prob"] * x["w"] / s).alias("prob")))))
+
+        ranked = F.array_sort(F.transform(F.flatten(F.transform(paths, grown)), lambda p: F.struct((-p["prob"]).alias("less"), *[p[c].alias(c) for c in ("node", "path", "prob")])))
+        d = d.withColumn("_paths", F.slice(ranked, 1, 1 if level == depth - 1 else beam))
+        paths = F.col("_paths")
+    return d.select(key, F.explode("_paths").alias("p")).select(key, "p.path", "p.prob")
+
+
+def beam_by_joins(states: DataFrame, edges: DataFrame, key: str, weight, beam: int, depth: int, root: str = "root") -> DataFrame:
+    """beam_classify for a tree of any size. Every node's children are copied to SALTS keys, over which the states that reach the node are dealt."""
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    children = edges.select(F.col("parent").alias("node"), "child").withColumn("salt", salts)
+    paths = states.select(key, F.lit(root).alias("node"), F.lit("").alias("path"), F.lit(1.0).alias("prob"))
+    for level in range(depth):
+        cand = paths.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS))).join(children, ["node", "salt"]).drop("salt")
         cand = cand.withColumn("w", weight(F.col(key), F.col("child")))
         total = F.sum("w").over(Window.partitionBy(key, "node"))
         cand = cand.withColumn("prob", F.col("prob") * F.col("w") / total)

@@ -201,7 +201,7 @@ def index_json(df: DataFrame, col: str, min_len: int = ANNOTATE_MIN) -> DataFram
 
 # ---- abstention
 def abstain_options(options: Column, gold: Column, foreign: Column, rate: float, replace_rate: float, *key) -> tuple[Column, Column, Column]:
-    """-> (options, gold, kind) with kind keep / append / replace.
+    """-> (options, gold, kind) with kind keep / append / replace. `foreign`: a drawn list of another task's labels (`foreign_labels`).
 
     append: an abstain wording is offered, the answer stays. replace: every option comes from another task and
     abstaining is right. Lists that already offer an abstain option or have fewer than three options are kept."""
@@ -209,11 +209,30 @@ def abstain_options(options: Column, gold: Column, foreign: Column, rate: float,
     able = (F.size(options) >= 3) & ~F.exists(options, X.is_abstain) & chance(u8("abstain", *key), rate)
     replace = chance(u8("abstain_replace", *key), replace_rate)
     kind = F.when(~able, "keep").when(replace, "replace").otherwise("append")
-    other = F.slice(hash_sort(foreign, "foreign", *key), F.lit(1), F.least(F.size(options), F.size(foreign)))
+    other = F.slice(foreign, F.lit(1), F.least(F.size(options), F.size(foreign)))
     opts = F.when(kind == "keep", options).when(kind == "append", F.concat(options, F.array(wording))).otherwise(F.concat(other, F.array(wording)))
     return opts, F.when(kind == "replace", F.size(other)).otherwise(gold).cast("int"), kind
 
 
+def foreign_labels(df: DataFrame, key: str, task: Column, need: Column, pools: DataFrame, into: str = "foreign") -> DataFrame:
+    """For every row up to `need` labels of one other task, drawn by hash -> df with `into`.
+
+    pools (task, label). The tasks are a registry of at most a few hundred, carried as one array; labels may be any number: they are a ring of
+    blocks met by an equi join. The key is unique. A row without another task gets an empty list."""
+    ring = ring_blocks(pools.select(F.col("task").alias("_task"), "label"), ["_task"], "label", "foreign_order")
+    tasks = pools.select("task").distinct().agg(F.array_sort(F.collect_list("task")).alias("t")).scalar()
+    d = df.withColumn("_others", F.array_remove(tasks, task)).withColumn("_task", F.get("_others", pick_index(u8("other_task", key), F.size("_others"))))
+    return ring_slice(d.drop("_others"), key, ["_task"], ring, place("foreign", key), need, into).drop("_task")
+
+
+def offtopic_probe(options: Column, gold: Column, foreign: Column, *key) -> tuple[Column, Column]:
+    """An abstain option in varied wording is offered; in half of the rows all other options are another task's labels and abstaining is right."""
+    wording = F.array(F.get(F.array(*[F.lit(w) for w in X.ABSTAIN_WORDINGS]), pick_index(u8("wording", *key), len(X.ABSTAIN_WORDINGS))))
+    off = chance(u8("offtopic", *key), 0.5)
+    other = F.slice(foreign, F.lit(1), F.least(F.size(options), F.size(foreign)))
+    return F.when(off, F.concat(other, wording)).otherwise(F.concat(options, wording)), F.when(off, F.size(other)).otherwise(gold).cast("int")
+
+
 def abstain_probe(options: Column, gold: Column, *key) -> tuple[Column, Column]:
     """ "none of the above" is offered; in half of the rows the gold option is removed."""
     gone = chance(u8("abstain_probe", *key), 0.5)

@@ -184,11 +184,24 @@ def fit_by_type(records: DataFrame, min_rows: int = 50) -> DataFrame:
 def fit_simple(pred: DataFrame, probs: str = "probs", gold: str = "gold") -> DataFrame:
     """One scalar temperature on probabilities: the best of 120 grid points, as a one-row table.
 
-    The grid is exploded inside the scan stage and summed map-side: 120 rows per task are shuffled."""
-    grid = F.array(*[F.lit(t) for t in log_grid(SIMPLE_LO, SIMPLE_HI, SIMPLE_N)])
-    z = pred.filter(F.col(gold) >= 0).select(D.safe_log(F.col(probs)).alias("z"), F.col(gold).alias("g"), F.explode(grid).alias("t"))
-    row = F.least(F.lit(-math.log(1e-12)), F.greatest(F.lit(0.0), D.nll_at(F.col("z"), F.col("g"), F.col("t"), cap=1e9)))
-    per_t = z.groupBy("t").agg(F.avg(row).alias("nll"))
+    A task folds its rows into one sum per grid point, so no row is multiplied and 120 rows per task are shuffled. A probability of the gold option
+    below 1e-12 costs as much as 1e-12. Rows whose gold is not one of their options take no part."""
+    grid = log_grid(SIMPLE_LO, SIMPLE_HI, SIMPLE_N)
+    z = pred.filter((F.col(gold) >= 0) & (F.col(gold) < F.size(probs))).select(D.safe_log(F.col(probs)).alias("z"), F.col(gold).cast("int").alias("g"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, sums = 0, np.zeros(len(grid))
+        for batch in batches:
+            if len(batch):
+                zs, at = [np.asarray(x, float) for x in batch["z"]], np.arange(len(batch))
+                flat, g = _pad(zs, max(map(len, zs))), batch["g"].to_numpy(int)
+                for i, t in enumerate(grid):
+                    with np.errstate(invalid="ignore"):
+                        sums[i] += np.clip(_lse(flat / t) - flat[at, g] / t, 0.0, -math.log(1e-12)).sum()
+                n += len(batch)
+        yield pd.DataFrame({"t": grid, "n": n, "s": sums})
+
+    per_t = z.mapInPandas(run, "t double, n long, s double").groupBy("t").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("nll")).filter("nll is not null")
     return per_t.agg(F.min(F.struct("nll", "t")).alias("b")).select(F.col("b.t").alias("t"), F.col("b.nll").alias("nll"))
 
 

@@ -122,6 +122,11 @@ def auroc(df: DataFrame, group: list[str], score_col: str, positive: Column) ->
         F.try_divide(F.sum(F.col("pos") * (F.col("neg0") + F.col("neg") / 2.0)), F.max("pos_all") * F.max("neg_all")).alias("auroc"))
 
 
+def band_correct(p_yes: Column, gold: Column, low: float, high: float) -> Column:
+    """Whether a yes/no answer is right and decided: from `high` on it says yes, up to `low` no, and between the two it counts as wrong."""
+    return F.when(p_yes >= high, gold == 1).when(p_yes <= low, gold == 0).otherwise(F.lit(False))
+
+
 def aggregate_split(task_metrics: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
     """Unweighted mean over tasks."""
     return task_metrics.groupBy(*by).agg(F.count(F.lit(1)).alias("tasks"), *[F.avg(m).alias(m) for m in metrics])

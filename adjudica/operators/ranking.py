@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from adjudica.functions.hashing import u8
 
+RING_SALTS = 16
 UNTIL_BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -96,8 +97,9 @@ def ring_blocks(df: DataFrame, group: list[str], value: str, purpose: str, size:
 def ring_slice(df: DataFrame, key: str, group: list[str], ring: DataFrame, start: Column, need: Column, into: str) -> DataFrame:
     """Up to `need` successive distinct values of the row's ring from place `start` modulo its length, as an array; the key is unique.
 
-    Each row meets the few blocks that cover its stretch by an equi join. A group without a ring gives an empty array."""
-    on = [*group, "block"]
+    Each row meets the few blocks that cover its stretch by an equi join. Every block is copied to `RING_SALTS` keys over which the rows are dealt,
+    so a short ring, which is one block, does not send all rows to one task. A group without a ring gives an empty array."""
+    on = [*group, "block", "_salt"]
     totals = ring.filter("block = 0").select(*group, "total", "size")
     d = df.select(key, *group, start.alias("_start"), need.cast("long").alias("_need")).filter("_need > 0")
     d = d.join(totals, group) if group else d.withColumn("_t", totals.select(F.struct("total", "size").alias("t")).scalar()).filter("_t is not null").select("*", "_t.total", "_t.size").drop("_t")
@@ -106,7 +108,9 @@ def ring_slice(df: DataFrame, key: str, group: list[str], ring: DataFrame, start
     both = F.array(stretch(0, F.col("_lo"), F.least("_end", "total")), stretch(1, F.lit(0).cast("long"), F.col("_end") - F.col("total")))
     d = d.select(key, *group, "size", F.explode(F.filter(both, lambda s: s["hi"] > s["lo"])).alias("_s"))
     d = d.withColumn("block", F.explode(F.sequence(F.floor(F.col("_s.lo") / F.col("size")), F.floor((F.col("_s.hi") - 1) / F.col("size")))))
-    j = d.join(ring.select(*on, "values"), on)
+    d = d.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(RING_SALTS)))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(RING_SALTS - 1).cast("long")))
+    j = d.join(ring.select(*group, "block", "values", salts.alias("_salt")), on)
     first = F.greatest(F.col("_s.lo") - F.col("block") * F.col("size"), F.lit(0))
     piece = F.slice("values", (first + 1).cast("int"), (F.least(F.col("_s.hi") - F.col("block") * F.col("size"), F.col("size")) - first).cast("int"))
     got = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_s.turn", "block", piece.alias("v")))).alias("_p"))

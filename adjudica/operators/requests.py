@@ -200,13 +200,11 @@ def common_prefix(a: Column, b: Column) -> Column:
 def shared_prefix_units(rows: DataFrame, request: list[str], row: str, units: str) -> DataFrame:
     """Units of a request with the prefix common to its rows counted once.
 
-    The common prefix of all rows is the shortest common prefix with the first row: two plain aggregations and
-    a join, without gathering the rows of a request."""
-    first = rows.groupBy(*request).agg(F.min_by(units, row).alias("_first"))
-    d = rows.join(first, request)
-    g = d.groupBy(*request).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(units)).alias("_sum"), F.min(common_prefix(F.col(units), F.col("_first"))).alias("lcp"))
-    total = F.when(F.col("n") < 2, F.col("_sum")).otherwise(F.col("lcp") + F.col("_sum") - F.col("n") * F.col("lcp"))
-    return g.select(*request, "n", "lcp", total.alias("units"))
+    What the smallest and the largest row share, all rows share: two aggregates, combined map-side, stand for the list of rows."""
+    g = rows.groupBy(*request).agg(F.count(row).alias("n"), F.sum(F.size(units)).alias("_s"), F.min(units).alias("_lo"), F.max(units).alias("_hi"))
+    g = g.withColumn("lcp", common_prefix(F.col("_lo"), F.col("_hi")))
+    u = F.when(F.col("n") < 2, F.col("_s")).otherwise(F.col("lcp") + F.col("_s") - F.col("n") * F.col("lcp"))
+    return g.select(*request, "n", "lcp", u.cast("bigint").alias("units"))
 
 
 def repeat_schemas(requests: DataFrame, schema: Column, min_seen: int = 2, top: int = 128) -> DataFrame:

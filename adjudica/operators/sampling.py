@@ -99,13 +99,20 @@ def context_id(c: Column) -> Column:
     return F.unhex(F.sha2(c, 256))
 
 
-def eval_overlap(train: DataFrame, key: str, context: str, evaluation: DataFrame, eval_context: str, min_len: int = 40) -> DataFrame:
+def eval_overlap(train: DataFrame, key: str, context: str, evaluation: DataFrame, eval_context: str, min_len: int = 40, salts: int = 16) -> DataFrame:
     """Training rows that share a context with an evaluation row -> key, long and short matches.
 
-    Contexts meet on their SHA-256, so a shuffled row holds a digest and a length instead of a text. Short
-    contexts are reported, not grounds for dropping a row."""
-    norm = lambda d, c, *k: d.select(*k, normalise_text(F.col(c)).alias("_c")).filter(F.col("_c") != "").select(*k, context_id(F.col("_c")).alias("_h"), F.length("_c").alias("_n"))
-    hit = norm(train, context, key).join(norm(evaluation, eval_context).select("_h").distinct(), "_h", "left_semi")
+    Contexts meet on their SHA-256, so a shuffled row holds a digest and a length instead of a text, and a text is normalised once. Every evaluation
+    digest is copied to `salts` keys over which the training rows are dealt: a line that most rows share is met in many tasks.
+    Short contexts are reported, not grounds for dropping a row."""
+
+    def digests(d: DataFrame, c: str, *k: str) -> DataFrame:
+        whole = F.filter(F.array(normalise_text(F.col(c))), lambda t: t != "")  # an array of one: inline computes the text once
+        return d.select(*k, F.inline(F.transform(whole, lambda t: F.struct(context_id(t).alias("_h"), F.length(t).alias("_n")))))
+
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+    known = digests(evaluation, eval_context).select("_h").distinct().withColumn("_salt", copies)
+    hit = digests(train, context, key).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts))).join(known, ["_h", "_salt"], "left_semi")
     long = F.col("_n") >= min_len
     return hit.groupBy(key).agg(F.count_if(long).alias("n_long"), F.count_if(~long).alias("n_short"))
 

@@ -193,24 +193,42 @@ def index_arrays_deep(spark, base):
     return A.index_json(d, "state").select("doc_id", F.md5("state").alias("state_md5"))
 
 
-SEG = "sg AS (SELECT array_agg(s ORDER BY s) AS o FROM (SELECT DISTINCT c_mktsegment AS s FROM customer)), fo AS (SELECT array_agg(s ORDER BY s) AS f FROM (SELECT DISTINCT p_type AS s FROM part))"
+SEG = f"""sg AS (SELECT array_agg(s ORDER BY s) AS o FROM (SELECT DISTINCT c_mktsegment AS s FROM customer)),
+pools(task, label) AS (SELECT DISTINCT 'segment', c_mktsegment FROM customer UNION ALL SELECT DISTINCT 'type', p_type FROM part UNION ALL SELECT DISTINCT 'brand', p_brand FROM part UNION ALL SELECT 'nation', n_name FROM nation),
+rings AS (SELECT task, array_agg(label ORDER BY {V.U('foreign_order', 'task', 'label')}, label) AS f, count(*) AS n FROM pools GROUP BY task),
+seg AS (SELECT c_custkey, c_mktsegment, o, list_transform(range(least(len(o), n)), lambda i: f[1 + ({V.PLACE('foreign', 'n', 'c_custkey')} + i) % n]) AS f, {WORDINGS}[1 + {V.IDX(V.U('wording', 'c_custkey'), 12)}] AS w
+  FROM customer, sg, rings WHERE rings.task = ['brand', 'nation', 'type'][1 + {V.IDX(V.U('other_task', 'c_custkey'), 3)}])"""
 
 
-@query("abstain_augment", f"""WITH {SEG}, x AS (SELECT c_custkey, c_mktsegment, o, f, {WORDINGS}[1 + {V.IDX(V.U('wording', 'c_custkey'), 12)}] AS w,
-  CASE WHEN NOT {V.BELOW(V.U('abstain', 'c_custkey'), 0.5)} THEN 'keep' WHEN {V.BELOW(V.U('abstain_replace', 'c_custkey'), 0.25)} THEN 'replace' ELSE 'append' END AS kind FROM customer, sg, fo),
-y AS (SELECT c_custkey, c_mktsegment, kind, CASE kind WHEN 'keep' THEN o WHEN 'append' THEN list_append(o, w) ELSE list_append({HASH_SORT('f', 'foreign', 'c_custkey')}[1:len(o)], w) END AS q, o FROM x)
+@query("abstain_augment", f"""WITH {SEG}, x AS (SELECT *, CASE WHEN NOT {V.BELOW(V.U('abstain', 'c_custkey'), 0.5)} THEN 'keep' WHEN {V.BELOW(V.U('abstain_replace', 'c_custkey'), 0.25)} THEN 'replace' ELSE 'append' END AS kind FROM seg),
+y AS (SELECT c_custkey, c_mktsegment, kind, CASE kind WHEN 'keep' THEN o WHEN 'append' THEN list_append(o, w) ELSE list_append(f, w) END AS q, o FROM x)
 SELECT c_custkey, kind, array_to_string(q, '|') AS options, CAST(CASE kind WHEN 'replace' THEN len(q) - 1 ELSE list_position(o, c_mktsegment) - 1 END AS INTEGER) AS gold FROM y""")
 def abstain_augment(spark, base):
-    d = segments(spark, base)
+    d = foreign_segments(spark, base)
     o, g, k = A.abstain_options(F.col("o"), F.col("gold"), F.col("f"), 0.5, 0.25, "c_custkey")
     return d.select("c_custkey", k.alias("kind"), F.array_join(o, "|").alias("options"), g.alias("gold"))
 
 
+@query("offtopic_probe", f"""WITH {SEG}, x AS (SELECT *, {V.BELOW(V.U('offtopic', 'c_custkey'), 0.5)} AS off FROM seg)
+SELECT c_custkey, array_to_string(list_append(CASE WHEN off THEN f ELSE o END, w), '|') AS options, CAST(CASE WHEN off THEN len(f) ELSE list_position(o, c_mktsegment) - 1 END AS INTEGER) AS gold FROM x""")
+def offtopic_probe(spark, base):
+    d = foreign_segments(spark, base)
+    o, g = A.offtopic_probe(F.col("o"), F.col("gold"), F.col("f"), "c_custkey")
+    return d.select("c_custkey", F.array_join(o, "|").alias("options"), g.alias("gold"))
+
+
 def segments(spark, base):
     c = table(spark, base, "customer")
     o = c.select("c_mktsegment").distinct().agg(F.array_sort(F.collect_list("c_mktsegment")).alias("o")).scalar()
-    f = table(spark, base, "part").select("p_type").distinct().agg(F.array_sort(F.collect_list("p_type")).alias("f")).scalar()
-    return c.select("c_custkey", "c_mktsegment").withColumn("o", o).withColumn("f", f).withColumn("gold", (F.array_position("o", F.col("c_mktsegment")) - 1).cast("int"))
+    return c.select("c_custkey", "c_mktsegment").withColumn("o", o).withColumn("gold", (F.array_position("o", F.col("c_mktsegment")) - 1).cast("int"))
+
+
+def foreign_segments(spark, base):
+    """Segment questions with labels of one of three other tasks."""
+    c, p, n = (table(spark, base, t) for t in ("customer", "part", "nation"))
+    pool = lambda task, d, label: d.select(F.lit(task).alias("task"), F.col(label).alias("label")).distinct()
+    pools = pool("segment", c, "c_mktsegment").unionByName(pool("type", p, "p_type")).unionByName(pool("brand", p, "p_brand")).unionByName(pool("nation", n, "n_name"))
+    return A.foreign_labels(segments(spark, base), "c_custkey", F.lit("segment"), F.size("o"), pools, "f")
 
 
 @query("abstain_probe", f"""WITH {SEG}, x AS (SELECT c_custkey, c_mktsegment, o, {V.BELOW(V.U('abstain_probe', 'c_custkey'), 0.5)} AS gone FROM customer, sg),

@@ -19,22 +19,22 @@ NAN, INF = "CAST('nan' AS DOUBLE)", "CAST('inf' AS DOUBLE)"
 
 def records(spark, base):
     """Calibration records of three types: choice (logits), score (isolated level logits, yes = logit, no = 0)
-    and noul (the first two options of rows whose gold is one of them)."""
+    and noul (labelled documents, `views.noul_pred`)."""
     p = V.emb_pred(spark, base, "b")
     none_d, none_l = F.lit(None).cast("array<double>"), F.lit(None).cast("array<array<double>>")
     iso = F.transform("logits", lambda z: F.array(F.lit(0.0), z))
     is_score = F.col("type") == "score"
     main = p.select("row_id", "type", F.when(is_score, none_d).otherwise(F.col("logits")).alias("logits"), none_d.alias("probs"),
                     F.when(is_score, iso).alias("level_logits"), none_l.alias("level_probs"), "gold")
-    noul = p.filter(F.col("gold") < 2).select("row_id", F.lit("noul").alias("type"), F.slice("logits", 1, 2).alias("logits"), none_d.alias("probs"),
-                                             none_l.alias("level_logits"), none_l.alias("level_probs"), "gold")
+    noul = V.noul_pred(spark, base).select("row_id", F.lit("noul").alias("type"), "logits", none_d.alias("probs"),
+                                           none_l.alias("level_logits"), none_l.alias("level_probs"), "gold")
     return main.unionByName(noul)
 
 
 LSE = "(list_max({z}) / {t} + ln(list_sum(list_transform({z}, lambda x: exp((x - list_max({z})) / {t})))))"
-REC_CTE = f"""{V.EMB_CTE},
+REC_CTE = f"""{V.EMB_CTE}, {V.NOUL_CTE},
 rec AS (SELECT row_id, type, CASE WHEN type = 'score' THEN NULL ELSE zb END AS z, CASE WHEN type = 'score' THEN zb END AS lv, gold FROM pred
-        UNION ALL SELECT row_id, 'noul', zb[1:2], NULL, gold FROM pred WHERE gold < 2)"""
+        UNION ALL SELECT row_id, 'noul', z, NULL, gold FROM noul)"""
 
 
 def NLL_SQL(t: str) -> str:

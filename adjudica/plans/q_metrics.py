@@ -125,6 +125,16 @@ def auroc(spark, base):
     return a.join(x, "task").select("task", R6("auroc"), R6("extreme_share"))
 
 
+@query("band_score", f"""WITH {V.NOUL_CTE}, x AS (SELECT task, gold, 1 / (1 + exp(-z[2] / t)) AS p, t FROM noul, (VALUES (0.05), (0.5), (1.0)) temps(t))
+SELECT task, CAST(t AS DOUBLE) AS t, count(*) AS n, round(avg(CAST((p >= 0.5) = (gold = 1) AS INTEGER)), 6) AS acc, round(avg(CAST(CASE WHEN p >= 0.8 THEN gold = 1 WHEN p <= 0.2 THEN gold = 0 ELSE false END AS INTEGER)), 6) AS band_acc FROM x GROUP BY task, t""")
+def band_score(spark, base):
+    """Yes/no accuracy, and accuracy when a probability between 0.2 and 0.8 counts as wrong, at three temperatures."""
+    d = V.noul_pred(spark, base).withColumn("t", F.explode(F.array(*[F.lit(t) for t in (0.05, 0.5, 1.0)])))
+    d = d.withColumn("p", D.at(D.softmax(F.col("logits"), F.col("t")), 1))
+    return d.groupBy("task", "t").agg(F.count(F.lit(1)).alias("n"), R6(F.avg(((F.col("p") >= 0.5) == (F.col("gold") == 1)).cast("int")), "acc"),
+                                      R6(F.avg(M.band_correct(F.col("p"), F.col("gold"), 0.2, 0.8).cast("int")), "band_acc"))
+
+
 @query("chance_corrected", f"WITH {V.EMB_CTE} SELECT task, round((avg(correct) - avg(chance)) / nullif(1 - avg(chance), 0), 6) AS score FROM sa GROUP BY task")
 def chance_corrected(spark, base):
     rows = M.per_row(V.emb_pred(spark, base))

@@ -54,6 +54,26 @@ def record_accept(spark, base):
     return T.accept_records(questions(spark, base), ["user_id"], F.col("reason").isNull(), 50)
 
 
+@query("record_bounds", f"""WITH x AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, event_type AS t FROM events),
+r AS (SELECT event_id, CASE t WHEN 'click' THEN 'routing' WHEN 'view' THEN 'command' WHEN 'error' THEN 'essay' ELSE 'situation' END AS recipe, repeat('x', k * 4 % 350) AS state, list_transform(range(k % 11), lambda i: 'o' || i) AS options,
+  CASE t WHEN 'click' THEN 'o' || (k % 12) WHEN 'view' THEN ['safe', 'caution', 'destructive', 'odd'][1 + k % 4] ELSE CAST(k % 7 AS VARCHAR) END AS answer, k FROM x)
+SELECT event_id, recipe, coalesce(CASE WHEN recipe = 'essay' THEN 'unknown recipe' WHEN recipe = 'routing' AND NOT (length(state) BETWEEN 3 AND 300) THEN 'state' WHEN recipe = 'routing' AND NOT (len(options) BETWEEN 3 AND 9) THEN 'options'
+  WHEN recipe = 'command' AND NOT (length(state) BETWEEN 2 AND 300) THEN 'state' WHEN recipe = 'situation' AND length(state) < 1 THEN 'state' WHEN recipe = 'situation' AND NOT (len(options) BETWEEN 3 AND 6) THEN 'options'
+  WHEN recipe = 'routing' AND NOT (list_contains(options, 'o' || (k % 5)) AND k % 5 <> 1) THEN 'generic and catch-all' WHEN recipe = 'routing' AND NOT list_contains(options, answer) THEN 'answer'
+  WHEN recipe = 'command' AND answer = 'odd' THEN 'answer' WHEN recipe = 'command' AND k % 13 = 0 THEN 'outside' WHEN recipe = 'situation' AND NOT (CAST(answer AS INTEGER) < len(options)) THEN 'answer' END, 'ok') AS reason FROM r""")
+def record_bounds(spark, base):
+    """Three recipes of records and one that is unknown; sizes and answers follow from the event's number."""
+    e = table(spark, base, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.col("event_type").alias("t"))
+    k, t = F.col("k"), F.col("t")
+    recipe = F.when(t == "click", "routing").when(t == "view", "command").when(t == "error", "essay").otherwise("situation")
+    options = F.transform(F.slice(F.sequence(F.lit(0), F.lit(10)), F.lit(1), k % 11), lambda i: F.concat(F.lit("o"), i.cast("string")))
+    answer = F.when(t == "click", F.concat(F.lit("o"), (k % 12).cast("string"))).when(t == "view", F.get(strings(*T.SEVERITY, "odd"), k % 4)).otherwise((k % 7).cast("string"))
+    d = e.select("event_id", recipe.alias("recipe"), F.repeat(F.lit("x"), k * 4 % 350).alias("state"), options.alias("options"), answer.alias("answer"),
+                 F.concat(F.lit("o"), (k % 5).cast("string")).alias("generic"), F.lit("o1").alias("catchall"), F.when(k % 13 != 0, k % 2 == 0).alias("outside"))
+    reason = T.record_reason(*[F.col(c) for c in ("recipe", "state", "options", "answer", "generic", "catchall", "outside")])
+    return d.select("event_id", "recipe", F.coalesce(reason, F.lit("ok")).alias("reason"))
+
+
 RAW = "[' TRUE ', 'yes', 'No', 'maybe', ' 3 ', '3.5', '12', 'false']"
 
 

@@ -47,10 +47,10 @@ emb AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, label, CASE WHEN {BELOW
 tr AS (SELECT fold, label, generate_subscripts(x, 1) AS i, unnest(x) AS v FROM emb),
 cen AS (SELECT 1 - fold AS fold, label, array_agg(c ORDER BY i) AS c FROM (SELECT fold, label, i, avg(v) AS c FROM tr GROUP BY fold, label, i) GROUP BY fold, label),
 lab AS (SELECT array_agg(label ORDER BY label) AS labels FROM (SELECT DISTINCT label FROM emb)),
-grid AS (SELECT l.label, f.fold, cen.c FROM (SELECT unnest(labels) AS label FROM lab) l CROSS JOIN (VALUES (0), (1)) f(fold) LEFT JOIN cen ON cen.label = l.label AND cen.fold = f.fold),
+fgrid AS (SELECT l.label, f.fold, cen.c FROM (SELECT unnest(labels) AS label FROM lab) l CROSS JOIN (VALUES (0), (1)) f(fold) LEFT JOIN cen ON cen.label = l.label AND cen.fold = f.fold),
 zz AS (SELECT e.vec_id, e.label, array_agg(coalesce({EMB_SCALE} * list_dot_product(e.x, g.c), 0.0) ORDER BY g.label) AS za,
               array_agg(coalesce(8.0 * list_cosine_similarity(e.x, g.c), 0.0) ORDER BY g.label) AS zb
-       FROM emb e JOIN grid g ON g.fold = e.fold GROUP BY e.vec_id, e.label),
+       FROM emb e JOIN fgrid g ON g.fold = e.fold GROUP BY e.vec_id, e.label),
 pred AS (SELECT vec_id AS row_id, 'task_' || (vec_id % 5) AS task, (vec_id % 5) >= 3 AS heldout, CAST(vec_id % 3 AS INTEGER) AS qidx,
               CASE WHEN vec_id % 2 = 0 THEN 'choice' ELSE 'score' END AS type,
               CAST(list_position(labels, label) - 1 AS INTEGER) AS gold, za, zb FROM zz, lab),
@@ -65,7 +65,18 @@ sb AS (SELECT *, CAST(pred = gold AS INTEGER) AS correct, -ln(greatest(pg, 1e-12
 """
 
 
+#: Yes/no answers with a real gold: is a labelled document of low quality, judged by its length.
+NOUL_CTE = """noul AS (SELECT d.doc_id AS row_id, d.lang AS task, [CAST(0.0 AS DOUBLE), 4.0 - 0.7 * ln(1 + d.n_chars)] AS z, CAST(1 - l.quality AS INTEGER) AS gold FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"""
+
+
 # ---- Spark views
+def noul_pred(spark: SparkSession, base: str) -> DataFrame:
+    """row_id, task, logits (no, yes) and gold of every labelled document."""
+    d = table(spark, base, "documents").select("doc_id", "lang", "n_chars").join(table(spark, base, "labels").select("doc_id", "quality"), "doc_id")
+    z = 4.0 - 0.7 * F.log(1 + F.col("n_chars"))
+    return d.select(F.col("doc_id").alias("row_id"), F.col("lang").alias("task"), F.array(F.lit(0.0), z).alias("logits"), (1 - F.col("quality")).cast("int").alias("gold"))
+
+
 def fold() -> Column:
     """Fold 0 or 1 of a vector: each is scored by the other."""
     return F.when(chance(u8("emb_split", "vec_id"), 0.5), 0).otherwise(1)
