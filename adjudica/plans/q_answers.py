@@ -136,7 +136,7 @@ def format_answer(spark, base):
 
 
 ASM_CTE = f"""g AS (SELECT event_id, event_id // 4 AS req, 'q' || (event_id % 4) AS qid, type, type = 'score' AND isolated AS iso, CASE type WHEN 'choice' THEN ['buy', 'leave', 'other'] WHEN 'noul' THEN ['false', 'true'] ELSE ['0', '1', '2', '3'] END AS names FROM rq WHERE reason IS NULL),
-v AS (SELECT *, list_transform(range(len(names)), lambda i: (({V.IDX(V.U('asm', 'event_id', 'i'), 1000)}) + 1) / 1001.0) AS w FROM g),
+v AS (SELECT *, list_transform(range(len(names)), lambda i: (({V.IDX(V.U('asm', 'event_id', 'i'), 1000)}) + 1 + 0.0123 * (i + 1)) / 1001.0) AS w FROM g),
 s AS (SELECT *, list_sum(w) AS mass, list_transform(w, lambda x: x / list_sum(w)) AS p FROM v),
 k AS (SELECT *, list_max(p) AS m, list_position(p, list_max(p)) - 1 AS j, len(p) AS n FROM s)"""
 
@@ -150,7 +150,7 @@ def assemble_answers(spark, base):
     """Four events are one request; their scored rows, in any order, become one map of typed answers, shown here entry by entry."""
     good, _ = R.split_requests(requests_of(table(spark, base, "events")))
     rows = R.plan_rows(good).withColumn("req", F.floor(F.col("event_id") / 4)).withColumn("qid", F.concat(F.lit("q"), (F.col("event_id") % 4).cast("string")))
-    draw = lambda i: (pick_index(u8("asm", "event_id", i), 1000) + 1) / 1001.0
+    draw = lambda i: (pick_index(u8("asm", "event_id", i), 1000) + 1 + 0.0123 * (i + 1)) / 1001.0
     fit = F.array(1 - draw(F.col("row_idx")), draw(F.col("row_idx")))
     probs = F.when(F.col("kind") == "iso", fit).otherwise(D.scale_to_one(F.transform("row.options", lambda _, i: draw(i))))
     scored = rows.select("req", "qid", "kind", "row_idx", F.col("rq.type").alias("type"), F.col("rq.names").alias("names"), F.col("rq.legend").alias("legend"), probs.alias("probs"))
