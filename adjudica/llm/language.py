@@ -30,7 +30,10 @@ SCRIPTS = (
     ("hangul", 0x1100, 0x11FF), ("ethiopic", 0x1200, 0x139F), ("khmer", 0x1780, 0x17FF), ("kana", 0x3040, 0x30FF),
     ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF), ("arabic", 0xFB50, 0xFDFF), ("han", 0x20000, 0x3FFFF),
 )
-WORD = r"[^\W\d_]+"
+#: A word: a letter and the letters and marks after it.
+WORD = r"\p{L}[\p{L}\p{M}]*"
+#: The same below U+0300, where there are no marks and six characters count as word characters without being letters.
+LATIN_WORD = r"[^\W\d_²³¹¼½¾]+"
 
 
 def script_of(word: str) -> str:
@@ -55,7 +58,7 @@ def fit(df: DataFrame, text: str, label: str, bound: int = 1500, max_grams: int
 
     Counting is Spark's; what comes to the driver is the table of n-grams, at most `max_grams` rows per model."""
     sample = training_sample(df, label, text, bound)
-    words = sample.select("label", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("w")).groupBy("label", "w").agg(F.count(F.lit(1)).alias("n"))
+    words = sample.select("label", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), F.lit(1))).alias("w")).groupBy("label", "w").agg(F.count(F.lit(1)).alias("n"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -155,9 +158,14 @@ def labeller(model: dict, penalty: float = 12.0, cache: int = 200_000, chunk: in
     """A function from an iterator of text Series to an iterator of (lang, score, spans) frames.
 
     A worker keeps the scores of at most about `cache` distinct words (plus those of one chunk) and handles `chunk` characters at once."""
-    find, langs = re.compile(WORD).findall, model["langs"]
+    import regex
+
+    latin, any_script, langs = re.compile(LATIN_WORD).findall, regex.compile(WORD).findall, model["langs"]
     k = len(langs)
 
+    def find(text: str) -> list[str]:
+        return latin(text) if text.isascii() or max(text) < "\u0300" else any_script(text)
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         seen, table = Words(), np.zeros((0, k + 1), dtype=np.float32)
 

@@ -8,6 +8,9 @@ How many are enough is measured: for a bounded set of sample queries the true ne
 smallest number that reaches `target` recall on them is taken. Trees are kept per lane of rows, and counts are added over lanes, so
 prefix lengths are those of one forest over all rows. Every row is indexed.
 
+A query's own string does not count, so a query without near rows ascends until others share its prefix; and never is a prefix kept that fewer than
+k other rows share in the best of `GUARDS` trees, whose rows are counted one by one. So every query meets at least k rows, or all of them.
+
 Defined results: as in `vectors`, and all-zero vectors take no part. Equal distances go to the smaller id. Copies of one vector share
 all their strings and count once towards enough. With at most k candidates all are returned. An empty table gives an empty result.
 """
@@ -23,6 +26,9 @@ from pyspark.sql.window import Window
 from adjudica.llm import vectors
 from adjudica.llm.vectors import keep_best
 
+#: Trees in which the rows that share each prefix are counted for the promise of k candidates.
+GUARDS = 4
+
 
 def planes(width: int, trees: int, bits: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).normal(size=(width, trees * bits))
@@ -48,19 +54,26 @@ def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def counting(centre, cuts, trees: int, bits: int):
-    """Different strings that share each prefix length, summed over trees: (id, n0 ... n_bits)."""
+    """What shares each prefix length with a query, itself left out: (id, tree, n0 ... n_bits). Tree -1: different strings other than its own, summed over
+    trees; trees 0 to GUARDS - 1: rows."""
 
     def task(ids, x, qids, q, _):
         have, want = strings(x, centre, cuts, trees, bits), strings(q, centre, cuts, trees, bits)
-        n = np.zeros((len(q), bits + 1), np.int64)
+        n = np.zeros((1 + min(GUARDS, trees), len(q), bits + 1), np.int64)
+        here = np.isin(qids, ids)
         for t in range(trees):
-            ordered = np.unique(have[:, t])
+            rows = np.sort(have[:, t])
+            ordered = np.unique(rows)
+            own = np.isin(want[:, t], ordered)
             for length in range(bits + 1):
                 a, b = prefix_range(ordered, want[:, t], np.int64(bits - length))
-                n[:, length] += b - a
-        return pd.DataFrame({"id": qids} | {f"n{i}": n[:, i] for i in range(bits + 1)})
+                n[0, :, length] += b - a - own
+                if t < GUARDS:
+                    a, b = prefix_range(rows, want[:, t], np.int64(bits - length))
+                    n[1 + t, :, length] = b - a - here
+        return pd.concat([pd.DataFrame({"id": qids, "tree": t - 1} | {f"n{i}": m[:, i] for i in range(bits + 1)}) for t, m in enumerate(n)])
 
-    return task, "id long, " + ", ".join(f"n{i} long" for i in range(bits + 1))
+    return task, "id long, tree int, " + ", ".join(f"n{i} long" for i in range(bits + 1))
 
 
 def truth(k: int, centre, cuts, trees: int, bits: int):
@@ -106,14 +119,18 @@ def fetching(k: int, centre, cuts, trees: int, bits: int):
     return task, "query_id long, vec_id long, score double"
 
 
-def enough(counts: pd.DataFrame, true: pd.DataFrame, bits: int, target: float) -> int:
+def enough(counts: pd.DataFrame, true: pd.DataFrame, bits: int, target: float, k: int) -> int:
     """The smallest number of strings at which the sample queries find `target` of their true neighbours."""
-    table = counts.set_index("id")[[f"n{i}" for i in range(bits + 1)]]
+    names = [f"n{i}" for i in range(bits + 1)]
+    table = counts[counts["tree"] < 0].set_index("id")[names]
     n = table.to_numpy()[table.index.get_indexer(true["id"])]
+    guards = counts[counts["tree"] >= 0]
+    least = pd.Series(np.where(guards[names].to_numpy() >= k, np.arange(bits + 1)[None, :], 0).max(1, initial=0), index=guards["id"]).groupby(level=0).max()
+    least = least.reindex(true["id"]).to_numpy()
     top = int(n[:, 0].max()) if len(n) else 1
     m = 16.0
     while m < top:
-        level = np.where(n >= m, np.arange(bits + 1)[None, :], 0).max(1)
+        level = np.minimum(np.where(n >= m, np.arange(bits + 1)[None, :], 0).max(1), least)
         if (true["shared"].to_numpy() >= level).mean() >= target:
             return int(m)
         m *= 1.15
@@ -138,14 +155,17 @@ def search(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 10,
     centre = mean.sort_values("i")["x"].to_numpy()
     forest = (centre, planes(width, trees, bits, seed), trees, bits)
     count, schema = counting(*forest)
-    counts = vectors.materialise(packs.search(count, schema).groupBy("id").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(bits + 1)]), "counts")
-    chosen = counts.select("id").orderBy(F.xxhash64("id"), "id").limit(sample)
+    counts = vectors.materialise(packs.search(count, schema).groupBy("id", "tree").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(bits + 1)]), "counts")
+    chosen = counts.filter("tree < 0").select("id").orderBy(F.xxhash64("id"), "id").limit(sample)
     brute, schema = truth(k, *forest)
     order = F.row_number().over(Window.partitionBy("id").orderBy("d", "vec_id"))
     true = packs.search(brute, schema, vectors.materialise(chosen, "sample")).withColumn("r", order).filter(F.col("r") <= k).toPandas()
-    most = enough(counts.join(F.broadcast(chosen), "id").toPandas(), true, bits, target)
-    level = F.greatest(F.lit(0), *[F.when(F.col(f"n{i}") >= most, F.lit(i)).otherwise(F.lit(0)) for i in range(bits + 1)])
+    most = enough(counts.join(F.broadcast(chosen), "id").toPandas(), true, bits, target, k)
+    need = F.when(F.col("tree") < 0, F.lit(most)).otherwise(F.lit(k))
+    longest = F.greatest(F.lit(0), *[F.when(F.col(f"n{i}") >= need, F.lit(i)).otherwise(F.lit(0)) for i in range(bits + 1)])
+    # the longest prefix that enough strings share, unless fewer than k rows share it in each guarding tree
+    levels = counts.select("id", "tree", longest.alias("l")).groupBy("id").agg(F.least(F.max(F.when(F.col("tree") < 0, F.col("l"))), F.max(F.when(F.col("tree") >= 0, F.col("l")))).alias("level"))
     fetch, schema = fetching(k, *forest)
-    found = packs.search(fetch, schema, counts.select("id", level.alias("level")))
+    found = packs.search(fetch, schema, levels)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -35,7 +35,7 @@ def op8_quality(spark: SparkSession, base: str) -> DataFrame:
     docs = table(spark, base, "documents").select("doc_id", "text")
     held = remainder(F.col("doc_id"), 4) == 2
     model = quality.fit(labelled(docs.filter(~held), table(spark, base, "labels"), "quality"), "text", "quality")
-    out = quality.statistics(docs, "text").select("doc_id", held.alias("held_out"), quality.score(model).alias("score"))
+    out = quality.rate(docs, "text", model).select("doc_id", held.alias("held_out"), "score")
     return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 

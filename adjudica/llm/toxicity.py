@@ -201,6 +201,8 @@ def fit(df: DataFrame, text: str, label: str, bound: int = 8000, max_features: i
     grams = Counter(dict(zip(found["gram"], found["n"].tolist())))
     # the feature with the closing sign is the whole word; listed words weigh as if they were 50 times more in the sample
     drawn = counted.filter(F.col("f").endswith("$")).agg(F.sum("n")).first()[0]
+    if not drawn:  # texts without a letter teach nothing
+        return empty
     more = 50 * max(1.0, sum(k for g, k in grams.items() if g.endswith("$")) / drawn)
     grams.update(word_grams({w[:-1]: more for w in weights if w.endswith("$") and len(w) > 3}))
     model = {"lm": grams_lm(grams), "weights": weights, "a": 1.0, "b": 0.0}

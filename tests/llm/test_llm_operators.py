@@ -300,3 +300,51 @@ def test_pipeline_stages_keep_columns(spark, sf):
     one = P.near_duplicates(spark, docs, sf)
     want = plain_classes([(r["doc_id"], r["text"]) for r in docs.collect()])
     assert one.columns == docs.columns and sorted(r["doc_id"] for r in one.select("doc_id").collect()) == sorted(set(want.values()))
+
+
+def test_neighbours_of_lonely_queries(spark):
+    """150 groups of 12 near vectors and 4 vectors far from all: every query gets its k rows, however tight the groups that the sample is drawn from are."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(150, 16)) * 20
+    rows = [(100 * (12 * g + i), (centres[g] + rng.normal(size=16) * 0.01).tolist()) for g in range(150) for i in range(12)]
+    rows += [(100 * (2000 + i), (rng.normal(size=16) * 500).tolist()) for i in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    got = collections.Counter(r["query_id"] for r in neighbours.search(df, "vec_id", "v", F.col("id") % 100 == 0).collect())
+    assert len(got) == len(rows) and set(got.values()) == {10}
+    few = neighbours.search(df.limit(6), "vec_id", "v", F.col("id") % 100 == 0).collect()
+    assert collections.Counter(r["query_id"] for r in few) == {r[0]: 5 for r in df.limit(6).collect()}
+    copies = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(300)] + [(300, [5.0, 5.0])], "vec_id long, v array<double>")
+    got = collections.Counter(r["query_id"] for r in neighbours.search(copies, "vec_id", "v", F.col("id") % 100 == 0).collect())
+    assert got == {0: 10, 100: 10, 200: 10, 300: 10}
+
+
+def test_language_words_are_letters(spark):
+    train = spark.createDataFrame([(EN, "en"), (DE, "de")], "text string, lang string")
+    model = language.fit(train, "text", "lang")
+    rows = spark.createDataFrame([(0, "½ ² Ⅷ ①"), (1, "12 ¾ _"), (2, f"{EN} ½"), (3, f"{DE} ①")], "i int, text string")
+    got = {r["i"]: r["r"]["lang"] for r in rows.select("i", language.label(F.col("text"), model).alias("r")).collect()}
+    assert got == {0: "und", 1: "und", 2: "en", 3: "de"}
+    marks = spark.createDataFrame([("हिन्दी में लिखा गया यह वाक्य है", "hi"), (EN, "en")], "text string, lang string")
+    r = spark.createDataFrame([("यह हिन्दी है",)], "text string").select(language.label(F.col("text"), language.fit(marks, "text", "lang")).alias("r")).first()["r"]
+    assert r["lang"] == "hi" and [(s["first"], s["last"]) for s in r["spans"]] == [(0, 2)]
+
+
+def test_classifiers_on_texts_that_teach_nothing(spark):
+    rows = [("12 34", 1), ("--", 0), ("12 34", 0), ("", 1)] * 30
+    df = spark.createDataFrame(rows, "text string, y int")
+    model = toxicity.fit(df, "text", "y")
+    assert {round(r[0], 6) for r in df.select(toxicity.score(F.col("text"), model, spark)).collect()} == {0.0}
+    alike = spark.createDataFrame([(f"{a}{b} word", i % 2) for i, (a, b) in enumerate((x, y) for x in "abcdefgh" for y in "ijklmnop")], "text string, y int")
+    model = quality.fit(alike, "text", "y")
+    assert model["rules"] == [] and abs(quality.rate(alike, "text", model).first()["score"] - 0.5) < 0.05
+
+
+def test_quality_leaves_columns_alone(spark, texts):
+    rows = [("good words stand in this long and calm sentence", 1), ("### $$$ ###", 0)]
+    train = spark.createDataFrame([(f"{t} {i}", y) for i in range(60) for t, y in rows], "text string, y int")
+    model = quality.fit(train, "text", "y")
+    df = texts.withColumn("s_chars", F.lit("keep")).withColumn("__w", F.lit("w")).withColumn("S_words", F.lit(1))
+    got = quality.rate(df, "text", model).collect()
+    assert len(got) == 9 and {r["s_chars"] for r in got} == {"keep"} and {r["__w"] for r in got} == {"w"} and {r["S_words"] for r in got} == {1}
+    assert all(0 <= r["score"] <= 1 for r in got) and len({r["score"] for r in got if r["doc_id"] == 4}) == 1
+    assert quality.rate(df.limit(0), "text", model).count() == 0
