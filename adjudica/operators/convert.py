@@ -86,17 +86,38 @@ def preference(better: Column, first: Column, second: Column, *key) -> tuple[Col
     return F.when(flip, second).otherwise(first), F.when(flip, first).otherwise(second), gold.cast("int")
 
 
-def last_k(df: DataFrame, group: list[str], step: str, value: str, k: int, include_self: bool = False, into: str = "history") -> DataFrame:
-    """The values of the last k steps before every step, in order. `step` is a dense index in its group.
-
-    Every row is sent to the steps that look back at it, so a long group is spread by (group, step)
-    instead of being sorted whole; a target receives at most k values."""
-    first = 0 if include_self else 1
-    offsets = F.array(*[F.lit(i) for i in range(first, first + k)])
-    sent = df.select(*group, F.col(step).alias("_src"), F.col(value).alias("_v"), F.explode(offsets).alias("_o")).withColumn(step, F.col("_src") + F.col("_o"))
-    hist = sent.groupBy(*group, step).agg(F.transform(F.array_sort(F.collect_list(F.struct("_src", "_v"))), lambda s: s["_v"]).alias(into))
-    out = df.join(hist, [*group, step], "left")
-    return out.withColumn(into, F.coalesce(into, F.array().cast("array<string>")))
+def last_k(df: DataFrame, group: list[str], step: str, value: str, k: int, include_self: bool = False, into: str = "history", chunk: int = 512) -> DataFrame:
+    """The values of the last k steps before every step, in order. `step` is a whole number that rises in its group; steps that are missing count as empty.
+
+    A group is cut in chunks of `chunk` steps. The last k steps of a chunk are also handed to the next one as a halo, so every row is shuffled once
+    (and k in `chunk` of them twice), and one window per chunk sees all it needs, whatever the length of the group."""
+    size = max(chunk, 2 * k)
+    here = F.floor(F.col(step) / size)
+    near_end = F.pmod(F.col(step), F.lit(size)) >= size - k
+    d = df.withColumn("_home", here).withColumn("_chunk", F.explode(F.when(near_end, F.array("_home", F.col("_home") + 1)).otherwise(F.array("_home"))))
+    frame = Window.partitionBy(*group, "_chunk").orderBy(step).rangeBetween(*((1 - k, 0) if include_self else (-k, -1)))
+    d = d.withColumn(into, F.collect_list(value).over(frame))
+    return d.filter(F.col("_chunk") == F.col("_home")).drop("_home", "_chunk")
+
+
+def next_actions(steps: DataFrame, key: list[str], episode: str, env: str, action: str, own: int, others: int, want: int, keep: Column) -> DataFrame:
+    """Kept steps of episodes of at least two -> their columns, history (the last three actions) and candidates: up to `want` different actions other than their own.
+
+    steps: one row a step with `step` (from 1) and n (steps of the episode). `own` candidates are probed in the episode and `others` in the pool of all actions of the same
+    environment, each by a hashed place and an equi join on a dense index; the environments are a registry, their sizes one map."""
+    pool = with_rank(steps.select(*key, env, action).withColumn("_u", u8("apool", *key)), [env], hash_bucket(F.col("_u")), [F.col("_u"), *[F.col(k) for k in key]], "_rn")
+    sizes = steps.filter(F.col(env).isNotNull()).groupBy(env).agg(F.count(F.lit(1)).alias("c")).agg(F.map_from_entries(F.collect_list(F.struct(env, "c"))).alias("m")).scalar()
+    s = last_k(steps, [episode], "step", action, 3).filter((F.col("n") >= 2) & keep).withColumn("_total", F.element_at(sizes, F.col(env)))
+    j = s.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(max(own, others) - 1))))
+    j = j.withColumn("_rn", F.when(F.col("_j") < others, 1 + F.pmod(place("pool", *key, "_j"), F.col("_total"))))
+    j = j.withColumn("_probe", F.when(F.col("_j") < own, 1 + F.pmod(F.col("step") + pick_index(u8("own", *key, "_j"), F.col("n") - 1), F.col("n"))))
+    mine = steps.select(episode, F.col("step").alias("_probe"), F.col(action).alias("_own"))
+    j = j.join(mine, [episode, "_probe"], "left").join(pool.select(env, "_rn", F.col(action).alias("_other")), [env, "_rn"], "left")
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("_j", F.col(c).alias("v")))), lambda x: x["v"])
+    kept = [*key, env, action, "history"]
+    g = j.groupBy(*kept).agg(ordered("_own").alias("_own"), ordered("_other").alias("_other"))
+    picked = F.slice(F.array_remove(F.array_distinct(F.array_compact(F.concat("_own", "_other"))), F.col(action)), 1, want)
+    return g.select(*kept, picked.alias("candidates"))
 
 
 def pool_slice(df: DataFrame, key: str, pool: DataFrame, value: str, k: int, into: str = "picked") -> DataFrame:

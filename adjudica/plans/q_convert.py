@@ -229,46 +229,36 @@ def tool_call_extract(spark, base):
     return d.select("p_partkey", "gold", F.size("functions").alias("n_functions"))
 
 
-STEP_SQL = """st AS (SELECT conv_id, turn, substr(string_split(text, chr(10))[1], 1, 120) AS act, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS step, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE role = 'assistant'),
-pl AS (SELECT act, row_number() OVER (ORDER BY substr(md5('7|apool|' || conv_id || '|' || turn), 1, 8), conv_id, turn) AS rn, count(*) OVER () AS total FROM st)"""
+STEP_SQL = """st AS (SELECT conv_id, conv_id % 5 AS env, turn, substr(string_split(text, chr(10))[1], 1, 120) AS act, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS step, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE role = 'assistant'),
+pl AS (SELECT env, act, row_number() OVER (PARTITION BY env ORDER BY substr(md5('7|apool|' || conv_id || '|' || turn), 1, 8), conv_id, turn) AS rn, count(*) OVER (PARTITION BY env) AS total FROM st),
+tk AS (SELECT conv_id, arg_min(text, turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id)"""
 
 
 @query("next_action", f"""WITH {STEP_SQL}, hs AS (SELECT *, array_to_string(list_filter(array_agg(act) OVER (PARTITION BY conv_id ORDER BY step ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), lambda v: v IS NOT NULL), ', ') AS hist FROM st),
 s AS (SELECT * FROM hs WHERE n >= 2 AND {V.BELOW(V.U('step', 'conv_id', 'turn'), 0.35)}), j AS (SELECT s.*, q.j FROM s, range(4) q(j)),
-pr AS (SELECT j.conv_id, j.turn, j.act, j.hist, j.j, o.act AS own, pl.act AS other FROM j LEFT JOIN st o ON j.j < 3 AND o.conv_id = j.conv_id AND o.step = 1 + (j.step + {V.IDX(V.U('own', 'j.conv_id', 'j.turn', 'j.j'), 'j.n - 1')}) % j.n
-   JOIN pl ON pl.rn = 1 + {V.PLACE('pool', 'pl.total', 'j.conv_id', 'j.turn', 'j.j')}),
-ca AS (SELECT conv_id, turn, act, hist, list_concat(list_filter(array_agg(own ORDER BY j), lambda v: v IS NOT NULL), array_agg(other ORDER BY j)) AS c FROM pr GROUP BY ALL),
-cf AS (SELECT conv_id, turn, act, hist, list_filter(c, lambda v: v <> act) AS c FROM ca), cd AS (SELECT conv_id, turn, act, hist, list_filter(c, lambda v, i: list_position(c, v) = i)[1:4] AS c FROM cf),
+pr AS (SELECT j.conv_id, j.env, j.turn, j.act, j.hist, j.j, o.act AS own, pl.act AS other FROM j LEFT JOIN st o ON j.j < 3 AND o.conv_id = j.conv_id AND o.step = 1 + (j.step + {V.IDX(V.U('own', 'j.conv_id', 'j.turn', 'j.j'), 'j.n - 1')}) % j.n
+   JOIN pl ON pl.env = j.env AND pl.rn = 1 + {V.PLACE('pool', 'pl.total', 'j.conv_id', 'j.turn', 'j.j')}),
+ca AS (SELECT conv_id, env, turn, act, hist, list_concat(list_filter(array_agg(own ORDER BY j), lambda v: v IS NOT NULL), array_agg(other ORDER BY j)) AS c FROM pr GROUP BY ALL),
+cf AS (SELECT conv_id, env, turn, act, hist, list_filter(c, lambda v: v <> act) AS c FROM ca), cd AS (SELECT conv_id, env, turn, act, hist, list_filter(c, lambda v, i: list_position(c, v) = i)[1:4] AS c FROM cf),
 op AS (SELECT *, {HASH_SORT("list_concat([act], c)", 'acts', "conv_id || '|' || turn")} AS o FROM cd)
-SELECT op.conv_id, op.turn, md5('Recent actions: ' || CASE WHEN hist = '' OR hist IS NULL THEN 'none' ELSE hist END || chr(10) || 'Latest observation:' || chr(10) || coalesce(ob.text, '')) AS context_md5,
-  CAST(len(o) AS INTEGER) AS n_options, CAST(list_position(o, act) - 1 AS INTEGER) AS gold FROM op LEFT JOIN conversations ob ON ob.conv_id = op.conv_id AND ob.turn = op.turn - 1""")
+SELECT op.conv_id, op.turn, md5('Environment: env' || env || '.' || chr(10) || 'Task:' || chr(10) || coalesce(CASE WHEN length(t) <= 1500 THEN t ELSE substr(t, 1, 1500) || ' ...' END, '') || chr(10) || chr(10) || 'Recent actions: ' || CASE WHEN hist = '' OR hist IS NULL THEN 'none' ELSE hist END || chr(10) || 'Latest observation:' || chr(10) || coalesce(ob.text, '')) AS context_md5,
+  CAST(len(o) AS INTEGER) AS n_options, CAST(list_position(o, act) - 1 AS INTEGER) AS gold FROM op LEFT JOIN tk ON tk.conv_id = op.conv_id LEFT JOIN conversations ob ON ob.conv_id = op.conv_id AND ob.turn = op.turn - 1""")
 def next_action(spark, base):
-    """Steps of a trajectory -> which action comes next. Distractors are probed by hashed position: three from the
-    own trajectory, four from the pool of all actions, each an equi join on a dense index."""
+    """Steps of a trajectory -> which action comes next, with the first request as its task. Conversations fall in five environments."""
     conv = table(spark, base, "conversations")
     act = F.substring(F.split("text", "\n")[0], 1, 120)
-    steps = conv.filter("role = 'assistant'").select("conv_id", "turn", act.alias("act"))
-    # Six uses of the steps below: they are stored once, so the texts are read once.
+    env = F.col("conv_id") % 5
+    steps = conv.filter("role = 'assistant'").select("conv_id", env.alias("env"), "turn", act.alias("act"))
+    # Several uses of the steps below: they are stored once, so the texts are read once.
     st = materialise(with_rank(steps, ["conv_id"], F.floor(F.col("turn") / 64), [F.col("turn")], "step", "n"))
-    steps = st.select("conv_id", "turn", "act")
-    pool = with_rank(steps.withColumn("u", u8("apool", "conv_id", "turn")), [], hash_bucket(F.col("u")), [F.col("u"), F.col("conv_id"), F.col("turn")], "rn")
-    total = steps.agg(F.count(F.lit(1)).alias("c")).scalar()
-    hs = C.last_k(st, ["conv_id"], "step", "act", 3)
-    s = hs.filter((F.col("n") >= 2) & chance(u8("step", "conv_id", "turn"), 0.35)).withColumn("total", total)
-    j = s.withColumn("j", F.explode(F.array(*[F.lit(i) for i in range(4)])))
-    j = j.withColumn("rn", 1 + F.pmod(place("pool", "conv_id", "turn", "j"), F.col("total")))
-    probe = 1 + F.pmod(F.col("step") + pick_index(u8("own", "conv_id", "turn", "j"), F.col("n") - 1), F.col("n"))
-    j = j.withColumn("probe", F.when(F.col("j") < 3, probe))
-    own = st.select("conv_id", F.col("step").alias("probe"), F.col("act").alias("own"))
-    j = j.join(own, ["conv_id", "probe"], "left").join(pool.select("rn", F.col("act").alias("other")), "rn")
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("j", F.col(c).alias("v")))), lambda x: x["v"])
-    ca = j.groupBy("conv_id", "turn", "act", "history").agg(ordered("own").alias("own"), ordered("other").alias("other"))
-    cands = F.slice(F.array_remove(F.array_distinct(F.array_compact(F.concat("own", "other"))), F.col("act")), 1, 4)
-    ca = ca.withColumn("options", hash_sort(F.concat(F.array("act"), cands), "acts", "conv_id", "turn"))
+    ca = C.next_actions(st, ["conv_id", "turn"], "conv_id", "env", "act", own=3, others=4, want=4, keep=chance(u8("step", "conv_id", "turn"), 0.35))
+    ca = ca.withColumn("options", hash_sort(F.concat(F.array("act"), "candidates"), "acts", "conv_id", "turn"))
     obs = conv.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("obs"))
+    task = conv.filter("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("task"))
     hist = F.when(F.size("history") == 0, "none").otherwise(F.array_join("history", ", "))
-    ctx = F.format_string("Recent actions: %s\nLatest observation:\n%s", hist, F.coalesce("obs", F.lit("")))
-    return ca.join(obs, ["conv_id", "turn"], "left").select(
+    shown = F.coalesce(X.clip(F.col("task"), 1500), F.lit(""))
+    ctx = F.format_string("Environment: env%d.\nTask:\n%s\n\nRecent actions: %s\nLatest observation:\n%s", F.col("env"), shown, hist, F.coalesce("obs", F.lit("")))
+    return ca.join(task, "conv_id", "left").join(obs, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", F.md5(ctx).alias("context_md5"), F.size("options").alias("n_options"), (F.array_position("options", F.col("act")) - 1).cast("int").alias("gold"))
 
 
@@ -283,8 +273,9 @@ def element_choice(spark, base):
     nation = table(spark, base, "nation")
     home = table(spark, base, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), F.col("n_name").alias("pos"), "n_regionkey")
     o = table(spark, base, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate").join(home, "o_custkey")
-    month = F.year("o_orderdate") * 12 + F.month("o_orderdate")
-    o = with_rank(o, ["o_custkey"], month, [F.col("o_orderdate"), F.col("o_orderkey")], "step")
+    # a day's orders are cut by their keys, so a busy day is no single bucket
+    place = F.struct(F.col("o_orderdate").alias("day"), F.floor(F.col("o_orderkey") / 65_536).alias("keys"))
+    o = with_rank(o, ["o_custkey"], place, [F.col("o_orderdate"), F.col("o_orderkey")], "step")
     h = C.last_k(o, ["o_custkey"], "step", "o_orderpriority", 4)
     per_region = nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_set("n_name")).alias("all_n"))
     x = h.join(per_region, "n_regionkey")

@@ -100,3 +100,27 @@ def test_simple_fit(spark):
     want = min((nll(t), t) for t in grid)
     assert best["nll"] == pytest.approx(want[0], abs=1e-9) and best["t"] == pytest.approx(want[1])
     assert C.fit_simple(df.limit(0)).collect()[0]["t"] is None
+
+
+def test_last_steps_across_chunks(spark):
+    from adjudica.operators import convert as CV
+
+    rows = [("hot", i, f"v{i}") for i in range(1300)] + [("gap", i, f"g{i}") for i in (0, 1, 3, 9)] + [(None, 0, "n0"), (None, 1, "n1"), ("one", 5, None)]
+    df = spark.createDataFrame(rows, "g string, step long, v string")
+    for k, own in ((3, False), (4, True), (1, False)):
+        got = {(r["g"], r["step"]): r["history"] for r in CV.last_k(df, ["g"], "step", "v", k, include_self=own, chunk=16).collect()}
+        values = {(g, s): v for g, s, v in rows}
+        back = range(k - 1, -1, -1) if own else range(k, 0, -1)
+        want = {(g, s): [values[g, s - o] for o in back if values.get((g, s - o)) is not None] for g, s, _ in rows}
+        assert got == want, (k, own)
+
+
+def test_next_actions_stay_in_their_environment(spark):
+    from adjudica.operators import convert as CV
+
+    rows = [(e, t, f"env{e % 2}", f"{e % 2}:{(e * 7 + t) % 9}", t + 1, 6) for e in range(40) for t in range(6)] + [(99, 0, "lone", "lone:x", 1, 1)]
+    df = spark.createDataFrame(rows, "ep long, t long, env string, act string, step long, n long")
+    got = CV.next_actions(df, ["ep", "t"], "ep", "env", "act", own=3, others=4, want=4, keep=F.lit(True)).collect()
+    assert len(got) == 240
+    for r in got:
+        assert r["act"] not in r["candidates"] and len(set(r["candidates"])) == len(r["candidates"]) <= 4 and all(c[0] == r["act"][0] for c in r["candidates"]) and len(r["history"]) == min(3, r["t"])
