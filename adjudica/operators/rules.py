@@ -5,6 +5,8 @@ the condition is evaluated as an expression, so any table of records can be aske
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +83,31 @@ def compare_twin(a: Column, b: Column, op: Column) -> Column:
     return b + F.when(up, 1).otherwise(-1)
 
 
+def first_flip(record: dict[str, Column], edits: list[tuple[str, dict[str, Column]]], outcome: Callable[[dict[str, Column]], Column]) -> Column:
+    """STRUCT<edit, outcome> of the first edit under which the record has another outcome; NULL where none has.
+
+    An edit is a name and the fields that it changes; put the smallest first (one field before two). All are tried in the row, their number is that of the rule's
+    clauses, so a twin of any rule that is a function of the record costs a projection."""
+    base = outcome(record)
+    tried = F.array(*[F.struct(F.lit(name).alias("edit"), outcome(record | changed).alias("outcome")) for name, changed in edits])
+    return F.get(F.filter(tried, lambda t: t["outcome"] != base), F.lit(0))
+
+
+def clause_edits(clauses: list[tuple[str, str, Column]], pairs: bool = True) -> list[tuple[str, dict[str, Column]]]:
+    """Edits for a rule of several clauses (name, field, minimal edit of the field): each clause's own, then, with `pairs`, every two together."""
+    one = [(name, {field: new}) for name, field, new in clauses]
+    two = [(f"{a[0]}+{b[0]}", {a[1]: a[2], b[1]: b[2]}) for i, a in enumerate(clauses) for b in clauses[i + 1:] if a[1] != b[1]]
+    return one + (two if pairs else [])
+
+
+def pointer_twin(value: Column, pool: Column | None, *key) -> Column:
+    """Another value of the field a pointer question names: the next number, or another value of its pool."""
+    if pool is None:
+        return value + 1
+    rest = F.array_remove(pool, value)
+    return F.get(rest, pick_index(u8("pointer_twin", *key), F.size(rest)))
+
+
 def compound(kind: Column, a: Column, b: Column) -> Column:
     return F.when(kind == "and", a & b).when(kind == "or", a | b).when(kind == "unless", a & ~b)
 

@@ -199,6 +199,71 @@ def state_twin(spark, base):
     return twins(spark, base).select("id", "family", F.col("test").alias("gold"), F.col("twin_test").alias("twin_gold"), "edit")
 
 
+FAMS3 = ("compound", "precedence", "pointer")
+KIND = f"['and', 'or', 'unless'][1 + {V.IDX(V.U('kind', 'id'), 3)}]"
+
+
+def COMPOUND(a: str, b: str) -> str:
+    return f"CASE WHEN CASE kind WHEN 'and' THEN {a} AND {b} WHEN 'or' THEN {a} OR {b} ELSE {a} AND NOT {b} END THEN 'yes' ELSE 'no' END"
+
+
+def FIRST(total: str, balance: str, flag: str) -> str:
+    return f"CASE WHEN {total} >= 350000 THEN 'expedite' WHEN {balance} < 1500 THEN 'hold' WHEN {flag} THEN 'flag' ELSE 'do nothing' END"
+
+
+def TRIES(base: str, *tries: tuple[str, str]) -> str:
+    return "CASE " + " ".join(f"WHEN {o} <> {base} THEN {{'edit': '{e}', 'outcome': {o}}}" for e, o in tries) + " END"
+
+
+TWIN3_CTE = f"""{REC}, f3 AS (SELECT *, {list(FAMS3)!r}[1 + {V.IDX(V.U('family3', 'id'), 3)}] AS family, {KIND} AS kind, total >= 200000 AS a, list_contains(flags, 'R') AS b, ['status', 'segment', 'total', 'balance'][1 + {V.IDX(V.U('pointer3', 'id'), 4)}] AS target,
+  CASE WHEN total >= 350000 THEN 349999 ELSE 350000 END AS t2, CASE WHEN balance < 1500 THEN 1500 ELSE 1499 END AS b2 FROM rec),
+o3 AS (SELECT *, {COMPOUND('a', 'b')} AS oc, {FIRST('total', 'balance', 'b')} AS op, CAST(list_position(['status', 'segment', 'total', 'balance'], target) - 1 AS VARCHAR) AS ot FROM f3),
+x3 AS (SELECT id, family, CASE family WHEN 'compound' THEN oc WHEN 'precedence' THEN op ELSE ot END AS gold, CASE family
+  WHEN 'compound' THEN {TRIES('oc', ('total', COMPOUND('NOT a', 'b')), ('flags', COMPOUND('a', 'NOT b')), ('total+flags', COMPOUND('NOT a', 'NOT b')))}
+  WHEN 'precedence' THEN {TRIES('op', ('total', FIRST('t2', 'balance', 'b')), ('balance', FIRST('total', 'b2', 'b')), ('flags', FIRST('total', 'balance', 'NOT b')), ('total+balance', FIRST('t2', 'b2', 'b')), ('total+flags', FIRST('t2', 'balance', 'NOT b')), ('balance+flags', FIRST('total', 'b2', 'NOT b')))}
+  ELSE {{'edit': target, 'outcome': '4'}} END AS twin FROM o3)"""
+
+
+def rule_twins(spark, base):
+    """Records under rules of several clauses, and pointer questions: outcome, and the smallest edit of the record that changes it."""
+    d = records(spark, base).withColumn("family", F.get(arr(*FAMS3), pick_index(u8("family3", "id"), 3))).withColumn("kind", F.get(arr("and", "or", "unless"), pick_index(u8("kind", "id"), 3)))
+    d = d.withColumn("target", F.get(arr(*PFIELDS), pick_index(u8("pointer3", "id"), 4)))
+    fields = ("total", "balance", "flags", "status", "segment")
+    record = {f: F.col(f) for f in fields}
+    at_least, below, no = F.lit("at least"), F.lit("below"), F.lit(False)
+    has = lambda r: R.contains(r["flags"], F.lit("R"), no)
+    flag_edit = ("flags", "flags", R.contains_twin(F.col("flags"), F.lit("R")))
+
+    both = lambda r: F.when(R.compound(F.col("kind"), R.threshold(r["total"], at_least, F.lit(200000)), has(r)), "yes").otherwise("no")
+    compound = R.first_flip(record, R.clause_edits([("total", "total", R.threshold_twin(F.col("total"), at_least, F.lit(200000))), flag_edit]), both)
+
+    ranked = lambda r: R.first_match([(R.threshold(r["total"], at_least, F.lit(350000)), "expedite"), (R.threshold(r["balance"], below, F.lit(1500)), "hold"), (has(r), "flag")], "do nothing")
+    clauses = [("total", "total", R.threshold_twin(F.col("total"), at_least, F.lit(350000))), ("balance", "balance", R.threshold_twin(F.col("balance"), below, F.lit(1500))), flag_edit]
+    precedence = R.first_flip(record, R.clause_edits(clauses), ranked)
+
+    options = R.pointer_options({k: F.col(k) for k in PFIELDS})  # those of the record as it was
+    pointed = lambda r: R.pointer_gold(options, F.col("target"), R.field_value(F.col("target"), {k: r[k].cast("string") for k in PFIELDS})).cast("string")
+    segments = arr("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+    new = {"status": R.pointer_twin(F.col("status"), arr(*STATUSES), "id"), "segment": R.pointer_twin(F.col("segment"), segments, "id"), "total": R.pointer_twin(F.col("total"), None), "balance": R.pointer_twin(F.col("balance"), None)}
+    pointer = R.first_flip(record, [(k, {k: v}) for k, v in new.items()], pointed)
+    f = F.col("family")
+    pick = lambda a, b, c: F.when(f == "compound", a).when(f == "precedence", b).otherwise(c)
+    return d.select("id", "family", pick(both(record), ranked(record), pointed(record)).alias("gold"), pick(compound, precedence, pointer).alias("twin"))
+
+
+@query("state_twin_rules", f"WITH {TWIN3_CTE} SELECT id, family, gold, twin.outcome AS twin_gold, twin.edit AS edit FROM x3")
+def state_twin_rules(spark, base):
+    return rule_twins(spark, base).select("id", "family", "gold", F.col("twin.outcome").alias("twin_gold"), F.col("twin.edit").alias("edit"))
+
+
+@query("twin_audit_rules", f"WITH {TWIN3_CTE} SELECT family, count(*) AS n, count(*) FILTER (WHERE twin IS NULL OR twin.outcome = gold) AS unflipped, count(*) FILTER (WHERE contains(twin.edit, '+')) AS two_fields FROM x3 GROUP BY family")
+def twin_audit_rules(spark, base):
+    """No twin keeps its outcome; how many needed two fields."""
+    t = rule_twins(spark, base)
+    kept = F.coalesce(F.col("twin.outcome") == F.col("gold"), F.lit(True))
+    return t.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.count_if(kept).alias("unflipped"), F.count_if(F.contains("twin.edit", F.lit("+"))).alias("two_fields"))
+
+
 YES_FIRST = V.BELOW(V.U("yes_first", "id"), 0.5)
 
 
