@@ -111,9 +111,32 @@ def describe(labels: Column, mode: Column, *key) -> Column:
     return F.transform(labels, one)
 
 
+def rubric(options: Column, context: Column, key_sets: tuple[tuple[str, str, str], ...], namings: tuple[str, ...], *key) -> Column:
+    """Render ARRAY<STRUCT<label, what, not_for, examples ARRAY<STRING>>> options under opaque names, each as a JSON rubric.
+
+    The keys of a list's rubrics are one of `key_sets` (all names different), its names one of `namings` (formats of the place). 60% of the rubrics say what they are not
+    for; half of those that can give up to three examples, never the row's own context, so that an option does not hold the answer. A rubric of one key
+    is its plain text in 30%. An option without a description keeps its label behind the name."""
+    which, naming = pick_index(u8("key_set", *key), len(key_sets)), pick_index(u8("naming", *key), len(namings))
+
+    def one(x: Column, i: Column) -> Column:
+        name = F.get(F.array(*[F.format_string(f, i + 1) for f in namings]), naming)
+        others = F.filter(F.coalesce(x["examples"], F.array().cast("array<string>")), lambda e: ~e.eqNullSafe(context))
+        some = F.slice(others, F.lit(1), 1 + pick_index(u8("n_examples", *key, x["label"]), 3))
+        some = F.when(chance(u8("with_examples", *key, x["label"]), 0.5) & (F.size(some) > 0), some)
+        limits = F.when(chance(u8("with_limits", *key, x["label"]), 0.6), x["not_for"])
+        plain = limits.isNull() & some.isNull() & chance(u8("plain_rubric", *key, x["label"]), 0.3)
+        fields = [F.when(which == j, v).alias(k) for j, names in enumerate(key_sets) for k, v in zip(names, (x["what"], limits, some))]  # to_json leaves nulls out
+        body = F.when(x["what"].isNull(), x["label"]).when(plain, x["what"]).otherwise(F.to_json(F.struct(*fields)))
+        return F.concat(name, F.lit(": "), body)
+
+    return F.transform(options, one)
+
+
 # ---- JSON states
-def json_groups(df: DataFrame, task: list[str], key: str, text: str, k: int, budget: int, purpose: str = "json") -> DataFrame:
-    """Groups of at most k same-task records under a character budget (two records are always kept).
+def json_groups(df: DataFrame, task: list[str], key: str, text: str, k: int, budget: int, purpose: str = "json", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Groups of at most k records under a character budget (two records are always kept), of one task each, or of mixed tasks where `task` is empty.
+    Columns in `carry` stay with their record.
 
     k consecutive places of the hashed order form a block (task, grp) of bounded size, whatever the size of the task. A block is cut
     in parts: a record that would exceed the budget of a part of two or more starts the next part. Every record is in exactly one part.
@@ -121,7 +144,7 @@ def json_groups(df: DataFrame, task: list[str], key: str, text: str, k: int, bud
     d = df.withColumn("_u", u8(purpose, key))
     d = with_rank(d, task, hash_bucket(F.col("_u")), [F.col("_u"), F.col(key)], "_r")
     d = d.withColumn("grp", F.floor((F.col("_r") - 1) / k)).withColumn("pos", F.pmod(F.col("_r") - 1, F.lit(k)))
-    d = d.groupBy(*task, "grp").agg(F.array_sort(F.collect_list(F.struct(F.col("pos"), F.col(key).alias("key"), F.col(text).alias("text")))).alias("_all"))
+    d = d.groupBy(*task, "grp").agg(F.array_sort(F.collect_list(F.struct(F.col("pos"), F.col(key).alias("key"), F.col(text).alias("text"), *carry))).alias("_all"))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars"), F.array().cast("array<int>").alias("parts"))
 
     def step(s: Column, r: Column) -> Column:
@@ -153,6 +176,55 @@ def json_state(recs: Column, shape: Column) -> tuple[Column, Column]:
     return state, paths
 
 
+def mixed_state(recs: Column, shape: Column, container: Column, field: Column, containers: tuple[str, ...], fields: tuple[str, ...], channels: tuple[str, ...], top: str = "batch") -> tuple[Column, Column]:
+    """-> (JSON context, path of every record's text) of records (key, text, ...) of any tasks, with noise fields beside the text.
+
+    Shapes: array (of texts), dict (record names as keys), nested (under `top`), list. `container` and `field` are one of `containers` and `fields`. Noise is hashed per record: an
+    id in 60%, a day in 30%, a channel in 25%. to_json leaves fields that are null out, so records differ in shape."""
+
+    def record(r: Column, i: Column) -> Column:
+        day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), pick_index(u8("noise_day", r["key"]), 365)), "yyyy-MM-dd")
+        noise = [
+            F.when(chance(u8("noise_id", r["key"]), 0.6), F.concat(F.lit("r"), (i + 1).cast("string"))).alias("id"),
+            F.when(chance(u8("noise_ts", r["key"]), 0.3), day).alias("day"),
+            F.when(chance(u8("noise_channel", r["key"]), 0.25), F.get(F.array(*[F.lit(c) for c in channels]), pick_index(u8("channel", r["key"]), len(channels)))).alias("channel"),
+        ]
+        return F.struct(*noise, *[F.when(field == f, F.coalesce(r["text"], F.lit(""))).alias(f) for f in fields])
+
+    held = lambda value: [F.when(container == c, value).alias(c) for c in containers]
+    name = lambda i: F.concat(F.lit("x"), (i + 1).cast("string"))
+    as_list = F.transform(recs, record)
+    as_map = F.map_from_entries(F.transform(recs, lambda r, i: F.struct(name(i).alias("k"), record(r, i).alias("v"))))
+    state = (
+        F.when(shape == "array", F.to_json(F.transform(recs, lambda r: F.coalesce(r["text"], F.lit("")))))
+        .when(shape == "dict", F.to_json(F.struct(*held(as_map))))
+        .when(shape == "nested", F.to_json(F.struct(F.struct(*held(as_list)).alias(top), F.lit("imported").alias("note"))))
+        .otherwise(F.to_json(F.struct(*held(as_list))))
+    )
+
+    def path(i: Column) -> Column:
+        place = F.concat(F.lit("["), i.cast("string"), F.lit("]"))
+        inside = F.concat(F.when(shape == "nested", f"{top}.").otherwise(""), container, F.when(shape == "dict", F.concat(F.lit("."), name(i))).otherwise(place), F.lit("."), field)
+        return F.when(shape == "array", place).otherwise(inside)
+
+    return state, F.transform(recs, lambda r, i: path(i))
+
+
+def path_questions(recs: Column, paths: Column, n: int, forms: tuple[str, ...], *key) -> Column:
+    """Up to n questions about different records of a state, in hashed order: ARRAY<STRUCT<place, text, options, gold>>.
+
+    recs carry their question as `ask`, `options`, `gold`; forms are formats of (question, path)."""
+    order = F.array_sort(F.transform(recs, lambda r, i: F.struct(u8("path_q", *key, r["key"]).alias("u"), i.alias("i"))))
+    chosen = F.transform(F.slice(order, 1, n), lambda o: o["i"])
+
+    def one(i: Column) -> Column:
+        r, p = F.get(recs, i), F.concat(F.lit("`"), F.get(paths, i), F.lit("`"))
+        said = F.get(F.array(*[F.format_string(f, r["ask"], p) for f in forms]), pick_index(u8("form", *key, r["key"]), len(forms)))
+        return F.struct(i.alias("place"), said.alias("text"), r["options"].alias("options"), r["gold"].alias("gold"))
+
+    return F.transform(chosen, one)
+
+
 def path_question(ask: Column, path: Column, form: Column) -> Column:
     p = F.concat(F.lit("`"), path, F.lit("`"))
     return F.when(form == 0, F.concat(ask, F.lit(" (about "), p, F.lit(")"))).when(form == 1, F.concat(F.lit("For "), p, F.lit(": "), ask)).otherwise(F.concat(p, F.lit(" - "), ask))

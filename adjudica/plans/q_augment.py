@@ -132,6 +132,31 @@ def describe_options(spark, base):
     return d.select("c_custkey", "mode", F.array_join(A.describe(F.col("d"), F.col("mode"), "c_custkey"), "|").alias("options"))
 
 
+KEY_SETS = (("covers", "leaves_out", "like"), ("meaning", "not_this", "cases"), ("use_for", "avoid_for", "seen"))
+NAMINGS = ("c%d", "opt-%d", "#%d", "key_%03d")
+RUBRIC_CTE = f"""{DESC_CTE}, ex AS (SELECT c_mktsegment AS label, c_name, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {V.U('exemplar', 'c_name')}, c_name) AS rn FROM customer),
+el AS (SELECT label, array_agg(c_name ORDER BY rn) AS examples FROM ex WHERE rn <= 4 GROUP BY label), op AS (SELECT unnest(d) AS x FROM ds), ox AS (SELECT x.label AS label, x.what AS what, x.not_for AS not_for, examples, row_number() OVER (ORDER BY x.label) AS i FROM op JOIN el ON el.label = x.label),
+rb AS (SELECT c_custkey, i, label, what, {V.IDX(V.U('key_set', 'c_custkey'), 3)} AS ks, {V.IDX(V.U('naming', 'c_custkey'), 4)} AS nm, CASE WHEN {V.BELOW(V.U('with_limits', 'c_custkey', 'label'), 0.6)} THEN not_for END AS lim,
+  CASE WHEN {V.BELOW(V.U('with_examples', 'c_custkey', 'label'), 0.5)} THEN list_filter(examples, lambda e: e <> c_name)[1:1 + {V.IDX(V.U('n_examples', 'c_custkey', 'label'), 3)}] END AS exs FROM customer, ox)"""
+
+
+@query("describe_with_examples", f"""WITH {RUBRIC_CTE}, rd AS (SELECT c_custkey, i, CASE nm WHEN 0 THEN 'c' || i WHEN 1 THEN 'opt-' || i WHEN 2 THEN '#' || i ELSE 'key_' || lpad(CAST(i AS VARCHAR), 3, '0') END || ': ' || CASE WHEN what IS NULL THEN label
+  WHEN lim IS NULL AND (exs IS NULL OR len(exs) = 0) AND {V.BELOW(V.U('plain_rubric', 'c_custkey', 'label'), 0.3)} THEN what
+  ELSE '{{"' || ['covers', 'meaning', 'use_for'][ks + 1] || '":' || CAST(to_json(what) AS VARCHAR) || CASE WHEN lim IS NULL THEN '' ELSE ',"' || ['leaves_out', 'not_this', 'avoid_for'][ks + 1] || '":' || CAST(to_json(lim) AS VARCHAR) END
+    || CASE WHEN exs IS NULL OR len(exs) = 0 THEN '' ELSE ',"' || ['like', 'cases', 'seen'][ks + 1] || '":' || CAST(to_json(exs) AS VARCHAR) END || '}}' END AS o FROM rb)
+SELECT c_custkey, array_to_string(array_agg(o ORDER BY i), '|') AS options FROM rd GROUP BY c_custkey""")
+def describe_with_examples(spark, base):
+    """Segments as rubrics with the names of other customers as examples."""
+    from adjudica.operators.sampling import exemplars
+
+    c = table(spark, base, "customer").select("c_custkey", "c_name", F.col("c_mktsegment").alias("label"))
+    ex = exemplars(c.select("label", "c_name"), ["label"], "c_name", 4)
+    d = c.select("label").distinct().withColumn("d", descriptions(spark, base)).select("label", F.element_at(F.filter("d", lambda x: x["label"] == F.col("label")), 1).alias("x"))
+    opts = d.join(ex, "label").agg(F.array_sort(F.collect_list(F.struct("label", "x.what", "x.not_for", F.col("exemplars").alias("examples")))).alias("o")).scalar()
+    r = c.select("c_custkey", "c_name").withColumn("o", opts)
+    return r.select("c_custkey", F.array_join(A.rubric(F.col("o"), F.col("c_name"), KEY_SETS, NAMINGS, "c_custkey"), "|").alias("options"))
+
+
 @query("mode_grid", f"""WITH {DESC_CTE}, r AS (SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY {V.U('mode_grid', 's_suppkey')}, s_suppkey) AS rn FROM supplier),
 x AS (SELECT s_suppkey, d, m.mode FROM r, ds, (SELECT unnest(['plain', 'named', 'opaque', 'opaque_json']) AS mode) m WHERE rn <= 400)
 SELECT s_suppkey, mode, array_to_string({DESCRIBE('s_suppkey', 'mode')}, '|') AS options FROM x""")
@@ -169,6 +194,41 @@ def json_state(spark, base):
     return g.select("source", "grp", "part", ids.alias("ids"), F.md5(state).alias("state_md5"), ask.alias("question"))
 
 
+CONTAINERS, FIELDS, CHANNELS = ("cases", "rows", "mails"), ("text", "body"), ("mail", "web", "phone")
+FORMS = ("%s (about %s)", "%2$s - %1$s", "For %2$s: %1$s", "%s Judge only %s.")
+MIX_SQL = f"""r AS (SELECT doc_id, lang, n_chars, text, row_number() OVER (ORDER BY {V.U('json', 'doc_id')}, doc_id) - 1 AS r FROM documents), g AS MATERIALIZED (SELECT r // 5 AS grp, r % 5 AS pos, doc_id, lang, n_chars, text, length(text) AS len FROM r),
+f AS (SELECT grp, pos, doc_id, len AS chars, 1 AS n, 0 AS part FROM g WHERE pos = 0
+  UNION ALL SELECT g.grp, g.pos, g.doc_id, CASE WHEN f.n >= 2 AND f.chars + g.len > 4000 THEN g.len ELSE f.chars + g.len END, CASE WHEN f.n >= 2 AND f.chars + g.len > 4000 THEN 1 ELSE f.n + 1 END,
+    CASE WHEN f.n >= 2 AND f.chars + g.len > 4000 THEN f.part + 1 ELSE f.part END FROM f JOIN g ON g.grp = f.grp AND g.pos = f.pos + 1),
+m AS (SELECT f.grp, f.part, row_number() OVER (PARTITION BY f.grp, f.part ORDER BY f.pos) - 1 AS i, g.doc_id, g.lang, g.n_chars, g.text FROM f JOIN g ON g.grp = f.grp AND g.pos = f.pos),
+s AS (SELECT DISTINCT grp, part, {list(SHAPES)!r}[1 + {V.IDX(V.U('mix_shape', 'grp', 'part'), 5)}] AS shape, {list(CONTAINERS)!r}[1 + {V.IDX(V.U('mix_cont', 'grp', 'part'), 3)}] AS cont, {list(FIELDS)!r}[1 + {V.IDX(V.U('mix_field', 'grp', 'part'), 2)}] AS fld FROM m),
+o AS (SELECT m.*, s.shape, s.cont, s.fld, '{{' || CASE WHEN {V.BELOW(V.U('noise_id', 'doc_id'), 0.6)} THEN '"id":"r' || (i + 1) || '",' ELSE '' END || CASE WHEN {V.BELOW(V.U('noise_ts', 'doc_id'), 0.3)} THEN '"day":"' || strftime(DATE '2024-01-01' + CAST({V.IDX(V.U('noise_day', 'doc_id'), 365)} AS INTEGER), '%Y-%m-%d') || '",' ELSE '' END
+  || CASE WHEN {V.BELOW(V.U('noise_channel', 'doc_id'), 0.25)} THEN '"channel":"' || {list(CHANNELS)!r}[1 + {V.IDX(V.U('channel', 'doc_id'), 3)}] || '",' ELSE '' END || '"' || fld || '":' || CAST(to_json(text) AS VARCHAR) || '}}' AS obj,
+  CASE WHEN shape = 'array' THEN '[' || i || ']' ELSE CASE WHEN shape = 'nested' THEN 'batch.' ELSE '' END || cont || CASE WHEN shape = 'dict' THEN '.x' || (i + 1) ELSE '[' || i || ']' END || '.' || fld END AS path,
+  CASE WHEN doc_id % 2 = 0 THEN 'Which language is it?' ELSE 'Is it long?' END AS ask, CASE WHEN doc_id % 2 = 0 THEN list_position(['de', 'en', 'es', 'fr'], lang) - 1 ELSE CAST(n_chars > 1000 AS INTEGER) END AS gold FROM m JOIN s ON s.grp = m.grp AND s.part = m.part),
+t AS (SELECT grp, part, any_value(shape) AS shape, any_value(cont) AS cont, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY i) AS ids, '[' || string_agg(obj, ',' ORDER BY i) || ']' AS lst, '{{' || string_agg('"x' || (i + 1) || '":' || obj, ',' ORDER BY i) || '}}' AS dict, '[' || string_agg(CAST(to_json(text) AS VARCHAR), ',' ORDER BY i) || ']' AS arr FROM o GROUP BY grp, part),
+q AS (SELECT grp, part, i, gold, doc_id, row_number() OVER (PARTITION BY grp, part ORDER BY {V.U('path_q', 'grp', 'part', 'doc_id')}, i) AS k, CASE {V.IDX(V.U('form', 'grp', 'part', 'doc_id'), 4)} WHEN 0 THEN ask || ' (about `' || path || '`)' WHEN 1 THEN '`' || path || '` - ' || ask WHEN 2 THEN 'For `' || path || '`: ' || ask ELSE ask || ' Judge only `' || path || '`.' END AS said FROM o),
+qa AS (SELECT grp, part, string_agg(said, '|' ORDER BY k) AS questions, string_agg(CAST(gold AS VARCHAR), ',' ORDER BY k) AS golds FROM q WHERE k <= 3 GROUP BY grp, part)"""
+
+
+@query("json_state_mixed", f"""WITH RECURSIVE {MIX_SQL}
+SELECT t.grp, t.part, ids, md5(CASE shape WHEN 'array' THEN arr WHEN 'dict' THEN '{{"' || cont || '":' || dict || '}}' WHEN 'nested' THEN '{{"batch":{{"' || cont || '":' || lst || '}},"note":"imported"}}' ELSE '{{"' || cont || '":' || lst || '}}' END) AS state_md5, questions, golds FROM t JOIN qa ON qa.grp = t.grp AND qa.part = t.part""")
+def json_state_mixed(spark, base):
+    """Documents of two tasks share a state with noise fields; up to three questions name their record by its path."""
+    even = F.col("doc_id") % 2 == 0
+    langs = C.strings("de", "en", "es", "fr")
+    gold = F.when(even, F.array_position(langs, F.col("lang")) - 1).otherwise((F.col("n_chars") > 1000).cast("int")).cast("int")
+    d = table(spark, base, "documents").select("doc_id", "text", F.when(even, "Which language is it?").otherwise("Is it long?").alias("ask"), F.when(even, langs).otherwise(C.strings("no", "yes")).alias("options"), gold.alias("gold"))
+    g = A.json_groups(d, [], "doc_id", "text", 5, 4000, carry=("ask", "options", "gold"))
+    pick = lambda values, purpose: F.get(C.strings(*values), pick_index(u8(purpose, "grp", "part"), len(values)))
+    g = g.withColumn("shape", pick(SHAPES, "mix_shape")).withColumn("cont", pick(CONTAINERS, "mix_cont")).withColumn("fld", pick(FIELDS, "mix_field"))
+    state, paths = A.mixed_state(F.col("recs"), F.col("shape"), F.col("cont"), F.col("fld"), CONTAINERS, FIELDS, CHANNELS)
+    g = g.withColumn("state", state).withColumn("paths", paths)
+    g = g.withColumn("qs", A.path_questions(F.col("recs"), F.col("paths"), 3, FORMS, "grp", "part"))
+    ids = F.array_join(F.transform("recs", lambda r: r["key"].cast("string")), ",")
+    return g.select("grp", "part", ids.alias("ids"), F.md5("state").alias("state_md5"), F.array_join(F.transform("qs", lambda q: q["text"]), "|").alias("questions"), F.array_join(F.transform("qs", lambda q: q["gold"].cast("string")), ",").alias("golds"))
+
+
 @query("json_wrap", f"""WITH x AS (SELECT doc_id, CAST(to_json({{'id': doc_id, 'lang': lang, 'text': text}}) AS VARCHAR) AS s, {V.BELOW(V.U('outer', 'doc_id'), 0.5)} AS o FROM documents)
 SELECT doc_id, md5(CASE WHEN o THEN '{{"request":' || s || '}}' ELSE s END) AS state_md5 FROM x""")
 def json_wrap(spark, base):

@@ -124,3 +124,66 @@ def test_next_actions_stay_in_their_environment(spark):
     assert len(got) == 240
     for r in got:
         assert r["act"] not in r["candidates"] and len(set(r["candidates"])) == len(r["candidates"]) <= 4 and all(c[0] == r["act"][0] for c in r["candidates"]) and len(r["history"]) == min(3, r["t"])
+
+
+def resolve(state, path):
+    import json
+    import re
+
+    at = json.loads(state)
+    for name, i in re.findall(r"([A-Za-z_]\w*)|\[(\d+)\]", path):
+        at = at[name] if name else at[int(i)]
+    return at
+
+
+def test_mixed_states_place_every_record(spark):
+    rows = [(i, None if i == 3 else f'text {i} "q" é\n' * (1 + i % 4), f"ask {i % 2}?", ["a", "b"], i % 2) for i in range(57)]
+    df = spark.createDataFrame(rows, "id long, t string, ask string, options array<string>, gold int")
+    g = AU.json_groups(df, [], "id", "t", 5, 120, carry=("ask", "options", "gold"))
+    pick = lambda vs, p: F.get(F.array(*[F.lit(v) for v in vs]), pick_index(u8(p, "grp", "part"), len(vs)))
+    g = g.withColumn("shape", pick(("list", "dict", "array", "nested"), "s")).withColumn("c", pick(("cases", "rows"), "c")).withColumn("f", pick(("text", "body"), "f"))
+    state, paths = AU.mixed_state(F.col("recs"), F.col("shape"), F.col("c"), F.col("f"), ("cases", "rows"), ("text", "body"), ("mail", "web"))
+    g = g.withColumn("state", state).withColumn("paths", paths).withColumn("qs", AU.path_questions(F.col("recs"), F.col("paths"), 3, ("%s (about %s)", "%2$s - %1$s"), "grp", "part"))
+    text = {r[0]: r[1] or "" for r in rows}
+    seen, shapes, mixed = [], set(), 0
+    for r in g.collect():
+        shapes.add(r["shape"])
+        mixed += len({x["ask"] for x in r["recs"]}) > 1
+        for rec, path in zip(r["recs"], r["paths"]):
+            seen.append(rec["key"])
+            assert resolve(r["state"], path) == text[rec["key"]], (r["state"], path)
+        assert len(r["qs"]) == min(3, len(r["recs"])) and len({q["place"] for q in r["qs"]}) == len(r["qs"])
+        for q in r["qs"]:
+            rec = r["recs"][q["place"]]
+            assert q["gold"] == rec["gold"] and rec["ask"] in q["text"] and f"`{r['paths'][q['place']]}`" in q["text"]
+    assert sorted(seen) == list(range(57)) and shapes == {"list", "dict", "array", "nested"} and mixed > 3
+
+
+def test_rubrics_never_show_the_own_text(spark):
+    import json
+
+    opts = F.array(*[F.struct(F.lit(f"l{i}").alias("label"), (F.lit(f"what {i}") if i else F.lit(None).cast("string")).alias("what"), F.lit(f"not {i}").alias("not_for"), F.array(F.lit("own"), F.lit(f"e{i}"), F.lit("x")).alias("examples")) for i in range(4)])
+    d = spark.range(300).withColumn("c", F.when(F.col("id") % 2 == 0, "own")).withColumn("o", opts)
+    sets, names = (("a", "b", "c"), ("d", "e", "f")), ("c%d", "n-%02d")
+    shown = set()
+    for r in d.select("c", AU.rubric(F.col("o"), F.col("c"), sets, names, "id").alias("r")).collect():
+        assert r["r"][0] in ("c1: l0", "n-01: l0")
+        for x in r["r"][1:]:
+            name, body = x.split(": ", 1)
+            obj = json.loads(body) if body.startswith("{") else {"plain": body}
+            keys = next((s for s in sets if set(obj) <= set(s)), None)
+            shown.add((keys, len(obj)))
+            ex = obj.get(keys[2], []) if keys else []
+            assert (r["c"] is None or "own" not in ex) and len(ex) <= 3 and (keys is None or obj[keys[0]].startswith("what"))
+    assert {(s, n) for s in sets for n in (1, 2, 3)} | {(None, 1)} == shown
+
+
+def test_first_flip_takes_the_smallest_edit(spark):
+    from adjudica.operators import rules as RU
+
+    d = spark.createDataFrame([(True, True), (True, False), (False, False)], "a boolean, b boolean")
+    record = {"a": F.col("a"), "b": F.col("b")}
+    edits = RU.clause_edits([("a", "a", ~F.col("a")), ("b", "b", ~F.col("b"))])
+    got = lambda rule: [tuple(r["t"]) if r["t"] else None for r in d.select(RU.first_flip(record, edits, rule).alias("t")).collect()]
+    assert got(lambda r: F.when(r["a"] & r["b"], "yes").otherwise("no")) == [("a", "no"), ("b", "yes"), ("a+b", "yes")]
+    assert got(lambda r: F.lit("always")) == [None, None, None]
