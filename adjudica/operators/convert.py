@@ -51,11 +51,12 @@ def letter_index(letter: Column) -> Column:
 
 
 def label_vocabulary(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Sorted distinct labels and their index per column. The window sorts distinct labels, not rows."""
+    """Sorted distinct labels and their index per column. Labels are ranked in buckets of their first three characters, so a field of any number of labels
+    is spread."""
     pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("label")) for c in cols])
     distinct = df.select(F.inline(pairs)).filter(F.col("label").isNotNull()).distinct()
-    place = F.row_number().over(Window.partitionBy("field").orderBy("label"))
-    return distinct.select("field", (place - 1).alias("idx"), "label")
+    ranked = with_rank(distinct, ["field"], F.substring("label", 1, 3), [F.col("label")], "_r")
+    return ranked.select("field", (F.col("_r") - 1).cast("int").alias("idx"), "label")
 
 
 def shuffle_options(options: Column, gold: Column, *key) -> tuple[Column, Column]:

@@ -140,8 +140,16 @@ def value_blocks(df: DataFrame, group: list[str], value: str, bucket: Column, su
     return out.drop("_k", *[f"_p_{k}" for k in names])
 
 
-def quantiles(df: DataFrame, group: list[str], value: str, qs: dict[str, float], bucket: Column | None = None, kind: str = "disc") -> DataFrame:
-    """Exact quantiles per group without gathering a group in one task.
+def join_salted(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = RING_SALTS) -> DataFrame:
+    """An equi join with a table of few rows per key whose keys may be hot in df: the small side is copied to `salts` keys, over which the rows of df
+    are dealt by their contents."""
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts)))
+    return dealt.join(small.withColumn("_salt", copies), [*on, "_salt"], how).drop("_salt")
+
+
+def quantiles(df: DataFrame, group: list[str], value: str, qs: dict[str, float], bucket: Column | None = None, kind: str | dict[str, str] = "disc") -> DataFrame:
+    """Exact quantiles per group without gathering a group in one task, all in one pass. `kind` may differ by quantile.
 
     disc: the nearest-rank value (position ceil(q n)); cont: linear interpolation at q (n - 1)."""
     b = log_bucket(F.col(value)) if bucket is None else bucket
@@ -149,7 +157,7 @@ def quantiles(df: DataFrame, group: list[str], value: str, qs: dict[str, float],
     lo_end = F.col("m0") + F.col("m")
     aggs = []
     for name, q in qs.items():
-        if kind == "disc":
+        if (kind if isinstance(kind, str) else kind[name]) == "disc":
             k = F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("m_all") - F.lit(1e-9)))
             aggs.append(F.max(F.when((F.col("m0") < k) & (k <= lo_end), F.col(value))).alias(name))
         else:

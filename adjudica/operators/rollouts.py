@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from adjudica.operators.ranking import with_rank
+from adjudica.operators.ranking import with_rank, join_salted
 
 
 def chunk_length(gamma: float, floor: float = 1e-4, most: int = 512) -> int:
@@ -53,14 +53,14 @@ def discounted_returns(df: DataFrame, episode: list[str], step: str, reward: str
 def advantages(df: DataFrame, game: list[str], step: str, value: str, into: str = "advantage") -> DataFrame:
     """Return minus the mean of its (game, step), divided by the population deviation of the game.
 
-    Both statistics are aggregations joined back; no window holds a game."""
+    Both statistics are aggregations joined back by salted joins; no window holds a game, and a game of most rows is met in many tasks."""
     base = df.groupBy(*game, step).agg(F.avg(value).alias("_b"))
-    d = df.join(base, [*game, step]).withColumn("_a", F.col(value) - F.col("_b"))
+    d = join_salted(df, base, [*game, step]).withColumn("_a", F.col(value) - F.col("_b"))
     spread = d.groupBy(*game).agg(F.stddev_pop("_a").alias("_sd"))
-    return d.join(spread, game).withColumn(into, F.col("_a") / (F.col("_sd") + 1e-6)).drop("_b", "_a", "_sd")
+    return join_salted(d, spread, game).withColumn(into, F.col("_a") / (F.col("_sd") + 1e-6)).drop("_b", "_a", "_sd")
 
 
 def leave_one_out(df: DataFrame, start: list[str], value: str, into: str = "baseline") -> DataFrame:
     """Mean of the other replicates of the same start (NULL for a single replicate)."""
     g = df.groupBy(*start).agg(F.sum(value).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    return df.join(g, start).withColumn(into, F.when(F.col("_n") > 1, (F.col("_s") - F.col(value)) / (F.col("_n") - 1))).drop("_s", "_n")
+    return join_salted(df, g, start).withColumn(into, F.when(F.col("_n") > 1, (F.col("_s") - F.col(value)) / (F.col("_n") - 1))).drop("_s", "_n")

@@ -25,6 +25,29 @@ def scan_examples(spark, base):
     return S.load_split(doc_split(spark, base), "train").filter(F.col("lang") == "en").select("doc_id", "source", "n_chars")
 
 
+@query("split_slice", f"""SELECT doc_id, lang FROM (SELECT *, {DOC_SPLIT} AS split FROM documents) WHERE split = 'train' AND {V.BELOW(V.U('slice', 'doc_id'), 0.5)} ORDER BY {V.U('slice_cap', 'doc_id')}, doc_id LIMIT 150""")
+def split_slice(spark, base):
+    """Half of a split by hash, at most 150 rows of it."""
+    return S.load_split(doc_split(spark, base), "train", key="doc_id", share=0.5, cap=150).select("doc_id", "lang")
+
+
+@query("split_pair", "SELECT split, count(*) AS n, CAST(sum(length(t)) AS BIGINT) AS chars FROM (SELECT 'train' AS split, text AS t FROM documents UNION ALL SELECT 'eval', text FROM benchmark) GROUP BY split")
+def split_pair(spark, base):
+    """A training and an evaluation source as one table."""
+    pair = S.split_pair(table(spark, base, "documents").select("text"), table(spark, base, "benchmark").select("text"))
+    return pair.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("jsonl_limited", "SELECT least(count(*), 200) AS n, least(count(*), 200) AS known FROM events")
+def jsonl_limited(spark, base):
+    """The first rows of a JSON Lines folder: as many as asked for, all of them rows of the source. Which ones is up to the files."""
+    path = S.shared_dir(spark) + "/events"
+    e = table(spark, base, "events").select("event_id", "user_id")
+    S.write_jsonl(e, path)
+    read = S.read_jsonl(spark, path, e.schema, limit=200)
+    return read.join(e.withColumn("known", F.lit(1)), ["event_id", "user_id"], "left").agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("known"))
+
+
 PROPS = T.StructType([T.StructField("k", T.IntegerType())])
 
 

@@ -187,7 +187,7 @@ SELECT label, 'Question: Which segment?' || chr(10) || 'Categories: ' || array_t
 def description_jobs(spark, base):
     c = table(spark, base, "customer").select(F.col("c_mktsegment").alias("label"), "c_name")
     x = S.exemplars(c, ["label"], "c_name", 5)
-    labels = c.select("label").distinct().agg(F.array_sort(F.collect_list("label")).alias("l")).scalar()
+    labels = c.select("label").distinct().orderBy("label").limit(41).agg(F.array_sort(F.collect_list("label")).alias("l")).scalar()  # one more than is shown
     x = x.withColumn("labels", labels)
     p = T.description_job(F.lit("Which segment?"), F.col("labels"), F.col("label"), F.col("exemplars"), most=40)
     return x.select("label", p.alias("prompt"), T.description_ok(F.concat(F.lit("Firms in "), F.lower("label")), F.lit("anything else")).alias("accepted"))

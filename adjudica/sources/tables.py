@@ -25,8 +25,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def load_split(df: DataFrame, split: str, split_col: str = "split") -> DataFrame:
-    return df.filter(F.col(split_col) == split)
+def load_split(df: DataFrame, split: str, split_col: str = "split", key: str | None = None, share: float = 1.0, cap: int | None = None) -> DataFrame:
+    """The rows of a split, or a slice of it: a hashed `share` of the keys, at most `cap` rows in hashed order. A slice is the same on every read."""
+    from adjudica.functions.hashing import chance, u8
+    from adjudica.operators.ranking import top_by_hash
+
+    d = df.filter(F.col(split_col) == split)
+    if share < 1:
+        d = d.filter(chance(u8("slice", key), share))
+    return d if cap is None else top_by_hash(d, [], key, "slice_cap", cap).drop("rank")
 
 
 def split_pair(train: DataFrame, evaluation: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def test_registry_is_complete():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q) and set(SAMPLE) <= set(q)
     own = {n for n in q if n != "pipeline" and not re.match(r"op\d+_", n)}
-    assert own - set(o) == {"score_trained", "stream_latency"}
+    assert own - set(o) == {"score_trained"}
 
 
 def test_entry_runs(spark):
