@@ -45,6 +45,13 @@ def multiple_choice(df: DataFrame, context: Column, options: Column, gold: Colum
     return d.withColumn("qs", F.array(question(ask, F.col("_o"), F.col("_y")))).withColumn("task", F.lit(task)).drop("_o", "_y")
 
 
+def single_part(df: DataFrame, parts: str, into: str) -> tuple[DataFrame, DataFrame]:
+    """-> (rows with exactly one attached part, carried as the binary column `into`), (the other rows with a reason). parts: ARRAY<BINARY>."""
+    n = F.coalesce(F.size(parts), F.lit(0))
+    good = df.filter(n == 1).withColumn(into, F.get(parts, F.lit(0))).drop(parts)
+    return good, df.filter(n != 1).withColumn("reason", F.concat(F.greatest(n, F.lit(0)).cast("string"), F.lit(" parts, 1 is needed"))).drop(parts)
+
+
 def letter_index(letter: Column) -> Column:
     """'A' -> 0, 'B' -> 1, ..."""
     return F.ascii(F.upper(letter)) - 65

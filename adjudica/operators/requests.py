@@ -213,13 +213,14 @@ def repeat_schemas(requests: DataFrame, schema: Column, min_seen: int = 2, top:
     return g.filter(F.col("n") >= min_seen).orderBy(F.col("n").desc(), "schema").limit(top).select("schema", "n")
 
 
-def asset_reason(state: Column, assets: Column, max_refs: int) -> tuple[Column, Column]:
+def asset_reason(state: Column, assets: Column, max_refs: int, questions: Column | None = None) -> tuple[Column, Column]:
     """-> (references found, reason). The longest asset name wins where names overlap: names become one
-    alternation, longest first, and matches do not overlap."""
+    alternation, longest first, and matches do not overlap. An asset that only the text of the questions names is told apart: references count in the state."""
     by_length = F.transform(F.array_sort(F.transform(assets, lambda a: F.struct((-F.length(a)).alias("n"), a.alias("a")))), lambda s: s["a"])
     rx = F.concat(F.lit("("), F.array_join(F.transform(by_length, lambda a: F.regexp_replace(a, r"([^A-Za-z0-9])", r"\\$1")), "|"), F.lit(")"))
     hits = F.regexp_extract_all(state, rx, F.lit(1))
     unused = F.array_except(assets, hits)
-    reason = F.when(F.size(unused) > 0, F.concat(F.lit("not referenced in the state: "), F.array_join(F.array_sort(unused), ", "))).when(
+    asked = F.filter(unused, lambda a: F.contains(F.coalesce(questions, F.lit("")), a)) if questions is not None else F.array().cast("array<string>")
+    reason = F.when(F.size(asked) > 0, F.concat(F.lit("named in a question only: "), F.array_join(F.array_sort(asked), ", "))).when(F.size(unused) > 0, F.concat(F.lit("not referenced in the state: "), F.array_join(F.array_sort(unused), ", "))).when(
         F.size(hits) > max_refs, F.format_string("too many references: %d, the limit is %d", F.size(hits), F.lit(max_refs)))
     return hits, reason

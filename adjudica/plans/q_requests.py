@@ -154,16 +154,18 @@ def repeat_schemas(spark, base):
 
 
 ASSETS = "[['img1', 'img10'], ['img1'], ['chart', 'img1'], ['img10', 'img1']]"
+ASKED = ["Which is it?", "Is img10 larger?", "What does chart show next to img1?"]
 STATES = "['see img1 and img10 here', 'img10 and img10, then img1', 'only img10', 'chart, img1, img1, img1, img1, img1', 'nothing to see']"
 
 
-@query("asset_refs", f"""WITH x AS (SELECT event_id, {V.IDX(V.U('asset', 'event_id'), 4)} AS a, {V.IDX(V.U('state', 'event_id'), 5)} AS s FROM events), y AS (SELECT event_id, {ASSETS}[a + 1] AS assets, {STATES}[s + 1] AS st, a FROM x),
+@query("asset_refs", f"""WITH x AS (SELECT event_id, {V.IDX(V.U('asset', 'event_id'), 4)} AS a, {V.IDX(V.U('state', 'event_id'), 5)} AS s, {V.IDX(V.U('question', 'event_id'), 3)} AS q FROM events), y AS (SELECT event_id, {ASSETS}[a + 1] AS assets, {STATES}[s + 1] AS st, {ASKED}[q + 1] AS qt, a FROM x),
 z AS (SELECT *, CASE a WHEN 1 THEN regexp_extract_all(st, '(img1)') WHEN 2 THEN regexp_extract_all(st, '(chart|img1)') ELSE regexp_extract_all(st, '(img10|img1)') END AS hits FROM y),
 w AS (SELECT *, list_sort(list_filter(assets, lambda v: NOT list_contains(hits, v))) AS unused FROM z)
-SELECT event_id, CAST(len(hits) AS INTEGER) AS n_refs, CASE WHEN len(unused) > 0 THEN 'not referenced in the state: ' || array_to_string(unused, ', ') WHEN len(hits) > 4 THEN 'too many references: ' || len(hits) || ', the limit is 4' END AS reason FROM w""")
+SELECT event_id, CAST(len(hits) AS INTEGER) AS n_refs, CASE WHEN len(list_filter(unused, lambda v: contains(qt, v))) > 0 THEN 'named in a question only: ' || array_to_string(list_filter(unused, lambda v: contains(qt, v)), ', ') WHEN len(unused) > 0 THEN 'not referenced in the state: ' || array_to_string(unused, ', ') WHEN len(hits) > 4 THEN 'too many references: ' || len(hits) || ', the limit is 4' END AS reason FROM w""")
 def asset_refs(spark, base):
     sets = F.array(C.strings("img1", "img10"), C.strings("img1"), C.strings("chart", "img1"), C.strings("img10", "img1"))
     states = C.strings("see img1 and img10 here", "img10 and img10, then img1", "only img10", "chart, img1, img1, img1, img1, img1", "nothing to see")
     d = table(spark, base, "events").select("event_id", F.get(sets, pick_index(u8("asset", "event_id"), 4)).alias("assets"), F.get(states, pick_index(u8("state", "event_id"), 5)).alias("st"))
-    hits, reason = R.asset_reason(F.col("st"), F.col("assets"), 4)
+    asked = F.get(C.strings(*ASKED), pick_index(u8("question", "event_id"), 3))
+    hits, reason = R.asset_reason(F.col("st"), F.col("assets"), 4, asked)
     return d.select("event_id", F.size(hits).alias("n_refs"), reason.alias("reason"))

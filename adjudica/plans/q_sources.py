@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adjudica.functions.hashing import chance, u8
+from adjudica.operators import convert as C
 from adjudica.plans import views as V
 from adjudica.plans.registry import query
 from adjudica.sources import tables as S
@@ -115,9 +116,11 @@ def concat_sources(spark, base):
     return S.concat_sources(("buyers", a), ("sellers", b)).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("balance"), 2).alias("balance"))
 
 
-@query("single_image_rows", r"""WITH x AS (SELECT page_id, regexp_extract_all(html, '<br') AS images FROM pages)
-SELECT len(images) = 1 AS accepted, count(*) AS n, CAST(sum(len(images)) AS BIGINT) AS images FROM x GROUP BY 1""")
+@query("single_image_rows", r"""WITH x AS (SELECT page_id, regexp_extract_all(html, '<br[^<]{0,20}') AS parts FROM pages)
+SELECT page_id, CASE WHEN len(parts) = 1 THEN md5(parts[1]) END AS part_md5, CASE WHEN len(parts) <> 1 THEN len(parts) || ' parts, 1 is needed' END AS reason FROM x""")
 def single_image_rows(spark, base):
-    """A row is used when it has exactly one attached part (here: a section heading stands for the image); the part is carried, never decoded."""
-    x = table(spark, base, "pages").select("page_id", F.regexp_extract_all("html", F.lit("<br"), F.lit(0)).alias("images"))
-    return x.groupBy((F.size("images") == 1).alias("accepted")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("images")).alias("images"))
+    """A row is used when it has exactly one attached part (here a line break with what follows stands for the image); its bytes are carried, never decoded."""
+    parts = F.transform(F.regexp_extract_all("html", F.lit("<br[^<]{0,20}"), F.lit(0)), lambda p: F.encode(p, "UTF-8"))
+    good, rejects = C.single_part(table(spark, base, "pages").select("page_id", parts.alias("parts")), "parts", "part")
+    none = F.lit(None).cast("string")
+    return good.select("page_id", F.md5("part").alias("part_md5"), none.alias("reason")).unionByName(rejects.select("page_id", none.alias("part_md5"), "reason"))
