@@ -153,6 +153,18 @@ def independence(aligned: DataFrame, group: list[str]) -> DataFrame:
     return out
 
 
+def compare_curves(log: DataFrame, curve: str, step: str, value: str, baseline: str, stretch: Column) -> DataFrame:
+    """Every curve of a log against a baseline curve at the steps both have -> curve, windows, share_lower, the means of both over the steps of `stretch`, rows a step.
+
+    Rows are averaged by (curve, step) first; what is joined has one row a step and curve."""
+    c = log.groupBy(curve, step).agg(F.avg(value).alias("_v"), F.count(F.lit(1)).alias("_n"))
+    base = c.filter(F.col(curve) == baseline).select(step, F.col("_v").alias("_v0"), F.col("_n").alias("_n0"))
+    j = c.filter(F.col(curve) != baseline).join(base, step)
+    return j.groupBy(curve).agg(
+        F.count(F.lit(1)).alias("windows"), F.avg((F.col("_v") < F.col("_v0")).cast("int")).alias("share_lower"), F.avg(F.when(stretch, F.col("_v0"))).alias("mean_base"),
+        F.avg(F.when(stretch, F.col("_v"))).alias("mean"), F.avg("_n0").alias("throughput_base"), F.avg("_n").alias("throughput"))
+
+
 def latency_summary(replay: DataFrame, ms: str, status: str, kind: str, ts: str) -> DataFrame:
     """Counts by class, throughput (NULL within one second) and exact latency quantiles of the answered requests."""
     base = replay.agg(

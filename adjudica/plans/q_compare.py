@@ -204,23 +204,16 @@ def task_wins(spark, base):
 HOUR = "date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', date_trunc('hour', ts))"
 
 
-@query("curve_compare", f"""WITH c AS (SELECT event_type, {HOUR} AS step, avg(value) AS loss, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2),
-j AS (SELECT a.step, a.loss AS la, b.loss AS lb, a.n AS na, b.n AS nb FROM c a JOIN c b ON a.step = b.step AND a.event_type = 'click' AND b.event_type = 'view')
-SELECT count(*) AS windows, round(avg(CAST(lb < la AS INTEGER)), 6) AS share_b_lower, round(avg(CASE WHEN step BETWEEN 100 AND 299 THEN la END), 6) AS mean_a, round(avg(CASE WHEN step BETWEEN 100 AND 299 THEN lb END), 6) AS mean_b,
-  round(avg(na), 6) AS throughput_a, round(avg(nb), 6) AS throughput_b FROM j""")
+@query("curve_compare", f"""WITH c AS (SELECT event_type, {HOUR} AS step, avg(value) AS loss, count(*) AS n FROM events GROUP BY 1, 2),
+j AS (SELECT b.event_type AS curve, a.step, a.loss AS la, b.loss AS lb, a.n AS na, b.n AS nb FROM c a JOIN c b ON a.step = b.step AND a.event_type = 'click' AND b.event_type <> 'click')
+SELECT curve, count(*) AS windows, round(avg(CAST(lb < la AS INTEGER)), 6) AS share_lower, round(avg(CASE WHEN step BETWEEN 100 AND 299 THEN la END), 6) AS mean_base, round(avg(CASE WHEN step BETWEEN 100 AND 299 THEN lb END), 6) AS mean,
+  round(avg(na), 6) AS throughput_base, round(avg(nb), 6) AS throughput FROM j GROUP BY curve""")
 def curve_compare(spark, base):
-    """Two logs (click and view events) as loss curves by hour, aligned by step."""
+    """The logs of all event types as loss curves by hour, each against the clicks."""
     step = F.expr("CAST(floor(timestampdiff(SECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts) / 3600) AS BIGINT)")
-    e = table(spark, base, "events").filter(F.col("event_type").isin("click", "view"))
-    c = e.groupBy("event_type", step.alias("step")).agg(F.avg("value").alias("loss"), F.count(F.lit(1)).alias("n"))
-    a = c.filter(F.col("event_type") == "click").select("step", F.col("loss").alias("la"), F.col("n").alias("na"))
-    b = c.filter(F.col("event_type") == "view").select("step", F.col("loss").alias("lb"), F.col("n").alias("nb"))
-    j = a.join(b, "step")
-    mid = F.col("step").between(100, 299)
-    return j.agg(
-        F.count(F.lit(1)).alias("windows"), R6(F.avg((F.col("lb") < F.col("la")).cast("int")), "share_b_lower"),
-        R6(F.avg(F.when(mid, F.col("la"))), "mean_a"), R6(F.avg(F.when(mid, F.col("lb"))), "mean_b"),
-        R6(F.avg("na"), "throughput_a"), R6(F.avg("nb"), "throughput_b"))
+    e = table(spark, base, "events").select("event_type", step.alias("step"), "value")
+    c = K.compare_curves(e, "event_type", "step", "value", "click", F.col("step").between(100, 299))
+    return c.select(F.col("event_type").alias("curve"), "windows", *[R6(x) for x in ("share_lower", "mean_base", "mean", "throughput_base", "throughput")])
 
 
 @query("relative_gain", """WITH x AS (SELECT event_type AS game, CAST(day(ts) AS INTEGER) AS d, value FROM events), base AS (SELECT game, avg(value) AS b FROM x WHERE d <= 15 GROUP BY game),
