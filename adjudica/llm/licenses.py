@@ -6,7 +6,8 @@ neighbouring diagonals are merged (words left out or put in shift a phrase from
 verified by the share of the template's pairs that it holds.
 
 Defined results: a null or empty text has 0 words and no span. Repeated rows each get a result row; equal rows are computed
-once. Texts of one word cannot match, as each template has two words or more. An empty table gives an empty result.
+once. Texts of one word cannot match, as each template has two words or more. A text of any length is cut into pairs in its row, and its hits
+alone are aggregated. Of spans with equal coverage none is preferred: all are reported. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Places whose hits are the bits of one number.
+BITS = 60
 WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
 
 
 @dataclass(frozen=True)
 class Template:
-    """A phrase of 2 to 60 lower-case words. exact: every place where the words stand consecutively, nothing less."""
+    """A phrase of two or more lower-case words, up to a whole license text. exact: every place where the words stand consecutively, nothing less."""
 
     phrase: str
     label: str
@@ -51,19 +54,20 @@ def words(text: Column) -> Column:
 
 
 def pairs_table(spark: SparkSession, templates: tuple[Template, ...]) -> DataFrame:
-    """(template, place, bit, a, b, h): every pair of neighbouring words of every template, at most 60 rows for each. A literal table."""
-    rows = []
-    for i, t in enumerate(templates):
-        w = t.phrase.split()
-        if not 2 <= len(w) <= 60:
-            raise ValueError("a template has 2 to 60 words")
-        rows += [F.struct(F.lit(i).alias("template"), F.lit(k).alias("place"), F.lit(1 << k).cast("long").alias("bit"), F.lit(x).alias("a"), F.lit(y).alias("b")) for k, (x, y) in enumerate(zip(w, w[1:]))]
-    rows.append(F.struct(F.lit(-1).alias("template"), F.lit(0).alias("place"), F.lit(0).cast("long").alias("bit"), F.lit("").alias("a"), F.lit("").alias("b")))
-    return spark.range(1).select(F.inline(F.array(*rows))).withColumn("h", F.xxhash64("a", "b"))
+    """(template, place, block, bit, a, b, h): every pair of neighbouring words of every template; places are bits of blocks of BITS. A literal table, as
+    large as the templates' words."""
+    if any(len(t.phrase.split()) < 2 for t in templates):
+        raise ValueError("a template has two words or more")
+    # template -1 is the pair of two empty words that marks every row
+    rows = [F.struct(F.lit(i).alias("template"), F.lit(p).alias("phrase")) for i, p in [(-1, " "), *((i, " ".join(t.phrase.split())) for i, t in enumerate(templates))]]
+    w = spark.range(1).select(F.inline(F.array(*rows))).select("template", F.split("phrase", " ").alias("w"))
+    pairs = w.select("template", F.posexplode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, 2147483647).alias("b"))).alias("place", "p")).select("template", "place", "p.a", "p.b").filter("b is not null")
+    bit = F.when(F.col("template") < 0, F.lit(0)).otherwise(F.expr(f"shiftleft(1L, place % {BITS})")).cast("long")
+    return pairs.select("template", "place", F.floor(F.col("place") / BITS).cast("int").alias("block"), bit.alias("bit"), "a", "b", F.xxhash64("a", "b").alias("h"))
 
 
 def votes(df: DataFrame, key: str, text: str, templates: tuple[Template, ...]) -> DataFrame:
-    """(key, digest, n_words, template, diagonal, mask, copies): pairs of a template found on a diagonal, as a bit mask.
+    """(key, digest, n_words, template, block, diagonal, mask, copies): pairs of a block of a template found on a diagonal, as a bit mask.
 
     Every row of df also votes once for template -1, so that rows without a hit stay; copies counts equal rows."""
     spark = df.sparkSession
@@ -76,7 +80,7 @@ def votes(df: DataFrame, key: str, text: str, templates: tuple[Template, ...]) -
     hits = rolling.join(t, (F.col("wh") == F.col("h")) & (F.col("wa") == F.col("a")) & (F.col("wb") == F.col("b")))
     # the mark stands at 0, so word number = at - 1
     diagonal = F.when(F.col("template") < 0, F.lit(0)).otherwise(F.col("at") - 1 - F.col("place"))
-    return hits.withColumn("diagonal", diagonal).groupBy("key", "digest", "n_words", "template", "diagonal").agg(
+    return hits.withColumn("diagonal", diagonal).groupBy("key", "digest", "n_words", "template", "block", "diagonal").agg(
         F.bit_or("bit").alias("mask"), F.count(F.lit(1)).alias("copies"))
 
 
@@ -84,12 +88,14 @@ def spans(voted: DataFrame, templates: tuple[Template, ...], gap: int = 2, least
     """Verified spans (key, digest, template, label, exact, first_word, coverage); diagonals up to `gap` apart are one span."""
     info = F.create_map(*[x for i, t in enumerate(templates) for x in (F.lit(i), F.struct(F.lit(t.label).alias("label"), F.lit(t.exact).alias("exact"), F.lit(len(t.phrase.split()) - 1).alias("pairs")))])
     one = ["key", "digest", "template"]
-    order = Window.partitionBy(*one).orderBy("diagonal")
+    order = Window.partitionBy(*one).orderBy("diagonal", "block")
     v = voted.filter("template >= 0").withColumn("info", info[F.col("template")])
-    far = F.col("info.exact") | F.lag("diagonal").over(order).isNull() | (F.col("diagonal") - F.lag("diagonal").over(order) > gap)
+    step = F.col("diagonal") - F.lag("diagonal").over(order)
+    far = step.isNull() | (step > F.when(F.col("info.exact"), 0).otherwise(gap))
     v = v.withColumn("far", far.cast("int")).withColumn("span", F.sum("far").over(order))
-    s = v.groupBy(*one, "info", "span").agg(F.min("diagonal").alias("first_word"), F.bit_or("mask").alias("mask"))
-    coverage = F.bit_count("mask") / F.col("info.pairs")
+    s = v.groupBy(*one, "info", "span", "block").agg(F.min("diagonal").alias("first_word"), F.bit_or("mask").alias("mask"))
+    s = s.groupBy(*one, "info", "span").agg(F.min("first_word").alias("first_word"), F.sum(F.bit_count("mask")).alias("found"))
+    coverage = F.col("found") / F.col("info.pairs")
     return s.select(*one, F.col("info.label").alias("label"), F.col("info.exact").alias("exact"), F.greatest(F.col("first_word"), F.lit(0)).cast("long").alias("first_word"), coverage.alias("coverage")).filter(
         F.when(F.col("exact"), F.col("coverage") == 1).otherwise(F.col("coverage") >= least))
 
