@@ -348,3 +348,41 @@ def test_quality_leaves_columns_alone(spark, texts):
     assert len(got) == 9 and {r["s_chars"] for r in got} == {"keep"} and {r["__w"] for r in got} == {"w"} and {r["S_words"] for r in got} == {1}
     assert all(0 <= r["score"] <= 1 for r in got) and len({r["score"] for r in got if r["doc_id"] == 4}) == 1
     assert quality.rate(df.limit(0), "text", model).count() == 0
+
+
+def test_long_license_templates(spark):
+    """A license text of 400 words is one template: found whole, with a hole, and not in parts below the threshold."""
+    rng = np.random.default_rng(5)
+    text = [f"w{i}" for i in rng.integers(0, 5000, 400)]
+    notice = (licenses.Template(" ".join(text), "long"), licenses.Template("mit license", "mit", True))
+    cut = text[:150] + ["other", "words"] + text[150:]
+    rows = [(1, "before it " + " ".join(text) + " after"), (2, " ".join(cut)), (3, " ".join(text[:250])), (4, " ".join(text[60:])), (5, " ".join(text[i] for i in rng.permutation(400))), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(df, "doc_id", "text", notices=notice).collect()}
+    assert {i: r["labels"] for i, r in got.items()} == {1: "long", 2: "long", 3: "", 4: "long", 5: "", 6: ""}
+    assert got[1]["score"] == 1.0 and got[2]["score"] == 398 / 399 and abs(got[4]["score"] - 339 / 399) < 1e-9
+    with pytest.raises(ValueError):
+        licenses.scan(df, "doc_id", "text", notices=(licenses.Template("one", "x"),))
+
+
+def test_top_k_leaves_short_lanes_out(spark):
+    """Few long vectors hold all best scores: lanes of short ones are not visited, and nothing is lost."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(-9, 10, size=(900, 6)) * np.where(np.arange(900) % 10 == 0, 50, 1)[:, None]
+    x[7] = 0
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, v array<double>")
+    ask = F.col("id") % 7 == 0
+    packs = topk.vectors.blocks(topk.vectors.clean(df, "vec_id", "v"), ask, 64, 16, by_length=True)
+    found = packs.search(topk.lane_search(5, topk.rotation(packs.lanes, packs.width)), topk.FOUND, upto=[1] * packs.n_groups)
+    c = topk.cells(packs, topk.floors(packs, found, 5), 16)
+    assert c.upto == sorted(c.upto, reverse=True) and c.upto[0] == packs.n_lanes and sum(c.upto) < 0.4 * packs.n_lanes * len(c.upto)  # id 7 has length 0: all lanes
+    got = collections.defaultdict(list)
+    for r in topk.search(df, "vec_id", "v", ask, k=5, lane_rows=64, group_rows=16).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, 900, 7):
+        s = x @ x[q]
+        best = sorted((-int(s[i]), i) for i in range(900) if i != q)[:5]
+        assert sorted(got[q]) == [(n + 1, i, -v) for n, (v, i) in enumerate(best)], q
+    for lanes in (1000, 7):  # one lane; lanes smaller than a query's results
+        again = topk.search(df.limit(60), "vec_id", "v", ask, k=5, lane_rows=lanes, group_rows=3)
+        assert again.count() == 5 * 9
