@@ -187,3 +187,55 @@ def test_first_flip_takes_the_smallest_edit(spark):
     got = lambda rule: [tuple(r["t"]) if r["t"] else None for r in d.select(RU.first_flip(record, edits, rule).alias("t")).collect()]
     assert got(lambda r: F.when(r["a"] & r["b"], "yes").otherwise("no")) == [("a", "no"), ("b", "yes"), ("a+b", "yes")]
     assert got(lambda r: F.lit("always")) == [None, None, None]
+
+
+def test_vocabulary_and_quantiles_in_buckets(spark):
+    from adjudica.operators import compare as K
+    from adjudica.operators import convert as CV
+
+    d = spark.createDataFrame([(f"é{i % 50:02d}" if i % 2 else f"a{i % 70}", None if i % 3 else "z") for i in range(500)], "x string, y string")
+    got = {(r["field"], r["label"]): r["idx"] for r in CV.label_vocabulary(d, ["x", "y"]).collect()}
+    labels = sorted({r["x"] for r in d.collect()}, key=lambda v: v.encode())
+    assert got == {**{("x", v): i for i, v in enumerate(labels)}, ("y", "z"): 0}
+    import datetime as dt
+
+    rows = [(float(v), 200 if v % 4 else 500, "ok", dt.datetime(2024, 1, 1, 0, 0, v)) for v in range(1, 41)]
+    r = K.latency_summary(spark.createDataFrame(rows, "ms double, st int, k string, ts timestamp"), "ms", "st", "k", "ts").collect()[0]
+    ok = sorted(v for v, s, _, _ in rows if s == 200)
+    assert (r["ok"], r["median_ms"], r["p95_ms"], r["p99_ms"], r["max_ms"]) == (30, (ok[14] + ok[15]) / 2, ok[28], ok[29], ok[29])
+
+
+def test_advantages_of_a_hot_game(spark):
+    import numpy as np
+
+    from adjudica.operators import rollouts as RO
+
+    rows = [("hot" if i % 10 else "cold", i % 4, float((i * 37) % 11)) for i in range(2000)]
+    got = RO.advantages(spark.createDataFrame(rows, "g string, t int, v double"), ["g"], "t", "v").collect()
+    assert len(got) == 2000
+    for g in ("hot", "cold"):
+        mean = {t: np.mean([v for a, b, v in rows if a == g and b == t]) for t in range(4)}
+        sd = np.std([v - mean[t] for a, t, v in rows if a == g])
+        assert all(abs(r["advantage"] - (r["v"] - mean[r["t"]]) / (sd + 1e-6)) < 1e-9 for r in got if r["g"] == g)
+
+
+def test_assets_named_in_questions_only(spark):
+    d = spark.createDataFrame([("see a1", ["a1", "b"], "what of b?"), ("see a1", ["a1", "b"], None), ("a1 and b", ["a1", "b"], "b?")], "s string, a array<string>, q string")
+    got = [r[0] for r in d.select(R.asset_reason(F.col("s"), F.col("a"), 4, F.col("q"))[1]).collect()]
+    assert got == ["named in a question only: b", "not referenced in the state: b", None]
+
+
+def test_one_part(spark):
+    from adjudica.operators import convert as CV
+
+    d = spark.createDataFrame([(1, [b"x"]), (2, []), (3, [b"a", b"b"]), (4, None)], "i int, p array<binary>")
+    good, bad = CV.single_part(d, "p", "image")
+    assert [(r["i"], bytes(r["image"])) for r in good.collect()] == [(1, b"x")] and {(r["i"], r["reason"][0]) for r in bad.collect()} == {(2, "0"), (3, "2"), (4, "0")}
+
+
+def test_curves_against_a_baseline(spark):
+    rows = [(c, s, float(v + s)) for s in range(4) for c, v in (("base", 5), ("low", 1), ("high", 9))] + [("low", 9, 0.0)]
+    from adjudica.operators import compare as K
+
+    got = {r["c"]: (r["windows"], r["share_lower"], r["mean_base"], r["mean"]) for r in K.compare_curves(spark.createDataFrame(rows, "c string, s int, v double"), "c", "s", "v", "base", F.col("s") < 2).collect()}
+    assert got == {"low": (4, 1.0, 5.5, 1.5), "high": (4, 0.0, 5.5, 9.5)}
