@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adjudica.functions.hashing import u8
-from adjudica.operators.ranking import hash_bucket, top_by_hash, with_rank
+from adjudica.operators.ranking import hash_bucket, join_salted, top_by_hash, with_rank
 
 
 def _lit(x) -> Column:
@@ -58,7 +58,7 @@ def oversample_rare(df: DataFrame, task: list[str], cls: str) -> DataFrame:
     counts = df.groupBy(*task, cls).agg(F.count(F.lit(1)).alias("_n"))
     totals = counts.groupBy(*task).agg(F.sum("_n").alias("_t"))
     share = counts.join(totals, task).select(*task, cls, class_copies(F.col("_n") / F.col("_t")).alias("_c"))
-    return repeat_rows(df.join(share, [*task, cls]), F.col("_c")).drop("_c")
+    return repeat_rows(join_salted(df, share, [*task, cls]), F.col("_c")).drop("_c")
 
 
 def class_repeat_cap(df: DataFrame, cls: str, key: str, decisive: str, times: int, filler: str, purpose: str = "filler") -> DataFrame:

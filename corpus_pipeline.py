@@ -1,7 +1,9 @@
 """A training-data pipeline: language, toxicity, near-duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next stage's docs. All but
-the last return the columns of documents. Rows without a doc_id go through the filters and are never duplicates of anything.
+the last return the columns of documents. Rows without a doc_id go through the filters and are never duplicates of anything. Documents with a
+null or empty text have no language and go in the first stage. Rows that repeat a doc_id are each rated; of those that stay, one is kept, the one whose text comes first. A text of
+any length is one row in every stage; the last cuts it in pieces. Ties are those of the operators. An empty table gives an empty result.
 """
 
 from __future__ import annotations
