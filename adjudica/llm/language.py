@@ -6,6 +6,8 @@ word may belong to. A Viterbi pass over the words, with a penalty for each chang
 Defined results: a null text and a text without letters are `und` with score 0 and no spans. A text whose letters are all of
 scripts that no learned language uses has no candidates: it gets the most frequent learned language with score 0. Repeated
 rows get the same result each; ties go to the language first in alphabetical order. Without any training row every text is `und`.
+A long text is cut into words whole and labelled in one piece; the words of about `chunk` characters are scored together. An empty table gives an empty result, and no column of
+the table but the text is read.
 """
 
 from __future__ import annotations

@@ -11,6 +11,7 @@ packing: the last, part-filled bins of a shard.
 
 Defined results: a text of no tokens (null, empty) gets one piece of length 0 in no bin. Texts beyond the largest length are cut
 into pieces of that length and a rest. Repeated rows are packed as separate documents. Ties: bins in order of opening, pieces by key.
+A text of any length is pieces of the largest capacity, dealt over shards like others. An empty table gives an empty result; only the key and the length are read.
 """
 
 from __future__ import annotations

@@ -5,6 +5,8 @@ run their regular expression.
 
 Defined results: a null url and one without `://` have empty host and path, no rule fits, and the method allows them. Repeated
 rows each get a result row. Rules of equal length: the one that sorts last. A rule without a usable literal is a candidate for every URL.
+A url of any length is cut into its distinct tokens in its row and is copied to the candidate rules alone. An empty table gives an empty result; columns of the table
+other than key and url play no part.
 """
 
 from __future__ import annotations
