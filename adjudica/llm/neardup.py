@@ -11,7 +11,8 @@ bucket is compared with one representative of it, linked texts become one group,
 left between different groups are few (at most `few` for each text in its bucket), or after `most_rounds`, all these are compared.
 No pair is compared whose bound is below the similarity: the smaller of two sizes n, m must reach it against the larger, and what
 either text shares with any other text must reach s / (1 + s) (n + m), the overlap that similarity s needs. A text of which too much
-is its own thus leaves its buckets. Every reported link is verified on the multisets.
+is its own thus leaves its buckets. For the pairs left at the end the same is asked of the sum, over parts of the hash space, of the smaller
+count of shared shingles. Every reported link is verified on the multisets.
 
 Defined results: documents without a word are in a class of their own. Texts of fewer than five words have one shingle, the whole
 text. Texts with the same words are one class before any comparison. Rows without a key are not listed. Rows that repeat a key
@@ -188,22 +189,51 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFr
     return p.select("a", "b", "text_a", "text_b").mapInPandas(lambda it: jaccard(it, k), "a long, b long, similarity double").filter(F.col("similarity") >= least)
 
 
-def unshared(texts: DataFrame, k: int) -> DataFrame:
-    """(node, alone): the summed counts of the shingles that no other of these texts (node, text) has."""
+def counted(texts: DataFrame, k: int) -> DataFrame:
+    """(node, s, n): the shingles of the texts (node, text) and how often each occurs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Hashed()
         for b in batches:
+            nodes, found, counts, held = [], [], [], 0
             for node, t in zip(b["node"], b["text"]):
                 if len(known) > 200_000:
                     known = Hashed()
                 ws = WORD.findall(t.lower())
                 s, n = np.unique(shingles(np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws)), k), return_counts=True)
-                yield pd.DataFrame({"node": node, "s": s.view(np.int64), "n": n})
+                nodes.append(np.full(len(s), node, np.int64))
+                found.append(s.view(np.int64))
+                counts.append(n)
+                held += len(s)
+                if held > 200_000:
+                    yield pd.DataFrame({"node": np.concatenate(nodes), "s": np.concatenate(found), "n": np.concatenate(counts)})
+                    nodes, found, counts, held = [], [], [], 0
+            if nodes:
+                yield pd.DataFrame({"node": np.concatenate(nodes), "s": np.concatenate(found), "n": np.concatenate(counts)})
+
+    return texts.mapInPandas(run, "node long, s long, n int")
+
+
+def only_here(rows: DataFrame) -> DataFrame:
+    """(node, s, n) of the shingles that one text alone has."""
+    return rows.groupBy("s").agg(F.count(F.lit(1)).alias("texts"), F.max("node").alias("node"), F.max("n").alias("n")).filter("texts = 1")
+
+
+def unshared(texts: DataFrame, k: int) -> DataFrame:
+    """(node, alone): the summed counts of the shingles that no other of these texts (node, text) has."""
+    return only_here(counted(texts, k)).groupBy("node").agg(F.sum("n").alias("alone"))
+
+
+def sketched(texts: DataFrame, k: int, bins: int) -> DataFrame:
+    """(node, sketch): how many shingles that other texts have too fall in each of `bins` parts of the hash space.
 
-    rows = texts.mapInPandas(run, "node long, s long, n int")
-    single = rows.groupBy("s").agg(F.count(F.lit(1)).alias("texts"), F.max("node").alias("node"), F.max("n").alias("n")).filter("texts = 1")
-    return single.groupBy("node").agg(F.sum("n").alias("alone"))
+    Two texts share at most the sum over the parts of the smaller count, a bound that needs no text."""
+    rows = materialise(counted(texts, k), "shingles")
+    part = F.pmod("s", F.lit(bins)).cast("int").alias("bin")
+    of = lambda d, name: d.groupBy("node", part).agg(F.sum("n").alias(name))
+    left = of(rows, "n").join(of(only_here(rows), "alone"), ["node", "bin"], "left").withColumn("n", (F.col("n") - F.coalesce("alone", F.lit(0))).cast("int"))
+    counts = left.filter("n > 0").groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("c"))
+    return counts.select("node", F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.element_at("c", i), F.lit(0))).alias("sketch"))
 
 
 def compared(pairs: DataFrame, texts: DataFrame, tested: DataFrame | None, links: DataFrame | None, k: int, least: float) -> tuple[DataFrame, DataFrame]:
@@ -224,10 +254,11 @@ def near_roots(links: DataFrame, steps: int = 3) -> DataFrame:
     return roots.withColumnRenamed("a", "node")
 
 
-def classes(df: DataFrame, key: str, text: str, least: float = 0.8, k: int = 5, bands: int = 32, rows: int = 6, few: int = 2, most_rounds: int = 3) -> DataFrame:
+def classes(df: DataFrame, key: str, text: str, least: float = 0.8, k: int = 5, bands: int = 32, rows: int = 6, few: int = 2, most_rounds: int = 3, bins: int = 512) -> DataFrame:
     """(key, class_id): class_id is the smallest key of the documents linked with this one, directly or through others.
 
-    With 32 bands of 6 registers a pair of similarity 0.8 shares a band with probability 0.99994."""
+    With 32 bands of 6 registers a pair of similarity 0.8 shares a band with probability 0.99994. `few` and `most_rounds` choose the plan, and `bins` the
+    sharpness of the bound on pairs left at the end; none changes the result."""
     sign = materialise(signed(df, key, text, k, bands, rows), "signed")
     # one node per word sequence: its smallest key
     nodes = sign.filter("words is not null").groupBy("words").agg(F.min("id").alias("node"))
@@ -264,9 +295,12 @@ def classes(df: DataFrame, key: str, text: str, least: float = 0.8, k: int = 5,
             break
     # a pair that shares several buckets is listed in the first of them only
     open_ = open_.join(open_.groupBy("node").agg(F.collect_set("h").alias("hs")), "node")
+    open_ = open_.join(sketched(texts.join(open_.select("node").distinct(), "node", "left_semi"), k, bins), "node")
     first = F.col("h") == F.array_min(F.array_intersect("hs", "hs_b"))
-    r = open_.select("h", F.col("hs").alias("hs_b"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"), F.col("common").alias("common_b"))
-    across = open_.join(r, "h").filter((F.col("node") > F.col("b")) & first & (F.col("root") != F.col("root_b")) & may_link(F.col("size"), F.col("size_b"), F.col("common"), F.col("common_b")))
+    r = open_.select("h", F.col("hs").alias("hs_b"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"), F.col("common").alias("common_b"), F.col("sketch").alias("sketch_b"))
+    both = F.aggregate(F.zip_with("sketch", "sketch_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    near = both >= least / (1 + least) * (F.col("size") + F.col("size_b")) - 1e-6
+    across = open_.join(r, "h").filter((F.col("node") > F.col("b")) & first & (F.col("root") != F.col("root_b")) & may_link(F.col("size"), F.col("size_b"), F.col("common"), F.col("common_b")) & near)
     links, _ = compared(across.select(F.col("node").alias("a"), "b"), texts, tested, links, k, least)
     # keys that repeat with different words tie the nodes of these
     tied = member.join(member.groupBy("id").agg(F.min("node").alias("b")), "id").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
@@ -279,5 +313,7 @@ def classes(df: DataFrame, key: str, text: str, least: float = 0.8, k: int = 5,
 def deduplicated(df: DataFrame, key: str, text: str, **how) -> DataFrame:
     """The rows of df without near-duplicates: of every class the row with the smallest key, and rows without a key."""
     kept = classes(df, key, text, **how).filter(F.col(key) == F.col("class_id")).select(F.col(key).alias("__kept"))
-    one = df.join(kept, F.col(key) == F.col("__kept")).drop("__kept").dropDuplicates([key])
+    one = df.join(kept, F.col(key) == F.col("__kept")).drop("__kept")
+    # of rows that repeat a key with different texts the one whose text comes first
+    one = one.groupBy(F.col(key).alias("__kept")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.coalesce(F.col(text), F.lit(""))).alias("__row")).select("__row.*")
     return one.unionByName(df.filter(F.col(key).isNull()))
