@@ -6,10 +6,12 @@ language model (three letters of history); a sign or blank may also be the end o
 restored words are then scored with weights learned from labelled documents, and so are the words between non-letters, as learned
 from; the reading that scores more counts.
 
-A token of letters only, without equal neighbours, has a lattice of one path and is its own decoding.
+A token of letters only, without equal neighbours, has a lattice of one path and is its own decoding. A token of whose lattice no path begins a word like a weighted one is not
+decoded: whatever it says weighs nothing.
 
 Defined results: null and empty texts have no words and get the score of the intercept. Repeated rows get equal scores. Without a
-toxic or a clean training row there is nothing to learn: every score is 0.
+toxic or a clean training row, or without a letter in them, there is nothing to learn: every score is 0. Readings of equal cost: the one found first. A text of any length is scored
+whole in its row; an empty table gives an empty result. Columns other than the text are not read.
 """
 
 from __future__ import annotations
@@ -46,12 +48,29 @@ COST_RUN, COST_PAIR = 0.3, 2.0
 
 def word_grams(counts: dict[str, int], order: int = 4) -> Counter:
     """How often each letter, or the word's end, stands behind the order - 1 letters before it."""
-    out = Counter()
-    for w, n in counts.items():
-        x = "^" * (order - 1) + w + "$"
-        for i in range(order, len(x) + 1):
-            out[x[i - order:i]] += n
-    return out
+    if not counts:
+        return Counter()
+    words = list(counts)
+    letters = np.frombuffer("".join(["^" * (order - 1) + w + "$" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4")
+    alphabet, place = np.unique(letters, return_inverse=True)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1  # grams of a word
+    ends = (sizes + order - 1).cumsum()
+    first = np.arange(int(sizes.sum())) + np.repeat(ends - sizes - (order - 1) - (sizes.cumsum() - sizes), sizes)
+    gram, span = np.zeros(len(first), np.int64), 1
+    for j in range(order):
+        if span * len(alphabet) >= 2**62:  # numbers would not fit: number the beginnings anew
+            known, gram = np.unique(gram, return_inverse=True)
+            span = len(known)
+        gram, span = gram * len(alphabet) + place[first + j], span * len(alphabet)
+    by = np.argsort(gram, kind="stable")
+    starts = np.flatnonzero(np.diff(gram[by], prepend=-1))
+    n = np.add.reduceat(np.repeat(np.fromiter(counts.values(), float, len(words)), sizes)[by], starts)
+    text = letters[first[by[starts]][:, None] + np.arange(order)].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return Counter(dict(zip([text[i:i + order] for i in range(0, len(text), order)], n.tolist())))
+
+
+def gram_rows(words: dict[str, int], order: int) -> pd.DataFrame:
+    return pd.DataFrame(word_grams(words, order).items(), columns=["gram", "n"]).astype({"gram": "object", "n": "int64"})
 
 
 def grams_lm(grams: dict[str, int], order: int = 4) -> dict:
@@ -81,9 +100,9 @@ def corpus_grams(df: DataFrame, text: str, order: int = 4, flush: int = 200_000)
                 if t:
                     words.update(WORD.findall(t.lower()))
                 if len(words) > flush:
-                    yield pd.DataFrame(word_grams(words, order).items(), columns=["gram", "n"])
+                    yield gram_rows(words, order)
                     words = Counter()
-        yield pd.DataFrame(word_grams(words, order).items(), columns=["gram", "n"]).astype({"gram": "object", "n": "int64"})
+        yield gram_rows(words, order)
 
     found = df.select(F.col(text).alias("text")).filter("text is not null").mapInPandas(run, "gram string, n long")
     return found.groupBy("gram").agg(F.sum("n").alias("n"))
@@ -229,15 +248,44 @@ class Evidence(dict):
         self.lm, self.weights = model["lm"], model["weights"]
         self.stems = {REPEAT.sub(r"\1", f.rstrip("$")) for f in self.weights}
         self.lengths = sorted({len(x) for x in self.stems})
+        self.heads = {x[:self.lengths[0]] for x in self.stems} if self.stems else set()
+        # a word with a weight begins with one of these letters
+        said = {f.rstrip("$") for f in self.weights}
+        self.least = min(map(len, said), default=0)
+        self.first = {x[:self.least] for x in said}
+        self.begun = {x[:i] for x in self.first for i in range(self.least)}
 
     def weightless(self, core: str) -> bool:
         """No reading of a token of letters has a feature: readings differ in repeated letters only, features are their first letters."""
         core = REPEAT.sub(r"\1", core)
+        if not self.lengths or core[:self.lengths[0]] not in self.heads:
+            return True
         return not any(core[:n] in self.stems for n in self.lengths)
 
+    def hopeless(self, token: str, core: str) -> bool:
+        """No path through the token's lattice, and no run of its letters, begins a word like a weighted one: there is nothing to decode."""
+        if any(w[:self.least] in self.first for w in WORD.findall(token)):
+            return False
+        states: set[str | None] = {""}  # the letters of the word begun, or None where these fit no weighted word
+        for i, ch in enumerate(core):
+            read = options(core[i - 1] if i else None, ch, core[i + 1] if i + 1 < len(core) else None, core[i - 2] if i > 1 else None)
+            after: set[str | None] = set()
+            for s in states:
+                for letter, _ in read:
+                    if letter == " ":
+                        after.add("")
+                    elif not letter or s is None:
+                        after.add(s)
+                    elif s + letter in self.first:
+                        return False
+                    else:
+                        after.add(s + letter if s + letter in self.begun else None)
+            states = after
+        return True
+
     def __missing__(self, token: str) -> float:
         core = token.strip(EDGE)
-        if PLAIN.match(core) and self.weightless(core):
+        if (self.weightless(core) if PLAIN.match(core) else self.hopeless(token, core)):
             self[token] = 0.0
             return 0.0
         readings = {frozenset(restore(token, self.lm).split()), frozenset(WORD.findall(token))}
