@@ -10,7 +10,8 @@ A token of letters only, without equal neighbours, has a lattice of one path and
 decoded: whatever it says weighs nothing.
 
 Defined results: null and empty texts have no words and get the score of the intercept. Repeated rows get equal scores. Without a
-toxic or a clean training row, or without a letter in them, there is nothing to learn: every score is 0. Readings of equal cost: the one found first. A text of any length is scored
+toxic or a clean training row, or without a letter in them, there is nothing to learn: every score is 0. Where they are too few
+to weigh any word, every score is the share of toxic ones. Readings of equal cost: the one found first. A text of any length is scored
 whole in its row; an empty table gives an empty result. Columns other than the text are not read.
 """
 
@@ -225,6 +226,9 @@ def fit(df: DataFrame, text: str, label: str, bound: int = 8000, max_features: i
     more = 50 * max(1.0, sum(k for g, k in grams.items() if g.endswith("$")) / drawn)
     grams.update(word_grams({w[:-1]: more for w in weights if w.endswith("$") and len(w) > 3}))
     model = {"lm": grams_lm(grams), "weights": weights, "a": 1.0, "b": 0.0}
+    if not weights:  # too few labelled texts to weigh any word: all get the share of toxic ones
+        share = min(0.99, max(0.01, n[1] / (n[0] + n[1])))
+        return model | {"a": 0.0, "b": math.log(share / (1 - share))}
     score = evidence(spark.sparkContext.broadcast(model))
     seen = sample.select("label", score(F.col("text")).alias("s")).groupBy(F.round("s", 1).alias("s"), "label").agg(F.count(F.lit(1)).alias("n")).toPandas()
     x, y, wt = seen["s"].to_numpy(float), seen["label"].to_numpy(float), seen["n"].to_numpy(float)
