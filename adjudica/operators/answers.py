@@ -198,10 +198,11 @@ def beam_classify(states: DataFrame, edges: DataFrame, key: str, weight, beam: i
             return D.let(children, lambda cs: D.let(total(cs), lambda s: F.transform(cs, lambda x: F.struct(
                 x["c"].alias("node"), F.concat_ws("/", F.nullif(p["path"], F.lit("")), x["c"]).alias("path"), (p["prob"] * x["w"] / s).alias("prob")))))
 
-        ranked = F.array_sort(F.transform(F.flatten(F.transform(paths, grown)), lambda p: F.struct((-p["prob"]).alias("less"), *[p[c].alias(c) for c in ("node", "path", "prob")])))
+        ranked = F.sort_array(F.transform(F.flatten(F.transform(paths, grown)), lambda p: F.struct((-p["prob"]).alias("less"), *[p[c].alias(c) for c in ("node", "path", "prob")])))
         d = d.withColumn("_paths", F.slice(ranked, 1, 1 if level == depth - 1 else beam))
         paths = F.col("_paths")
-    return d.select(key, F.explode("_paths").alias("p")).select(key, "p.path", "p.prob")
+    # an inner explode is preceded by a filter on the size of its array, for which the whole beam would be folded again
+    return d.select(key, F.explode_outer("_paths").alias("p")).filter(F.col("p").isNotNull()).select(key, "p.path", "p.prob")
 
 
 def beam_by_joins(states: DataFrame, edges: DataFrame, key: str, weight, beam: int, depth: int, root: str = "root") -> DataFrame:

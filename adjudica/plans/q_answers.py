@@ -11,7 +11,7 @@ from adjudica.operators import requests as R
 from adjudica.plans import views as V
 from adjudica.plans.q_requests import LEVELS, REQ, requests_of
 from adjudica.plans.registry import query
-from adjudica.sources.tables import table
+from adjudica.sources.tables import spread, table
 
 R6 = lambda c, name=None: F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name or c)
 
@@ -234,7 +234,7 @@ l0 AS (SELECT c_custkey, 'root' AS node, '' AS path, CAST(1.0 AS DOUBLE) AS prob
 SELECT c_custkey, path, round(prob, 6) AS prob FROM l3""")
 def beam_classify(spark, base):
     w = lambda k, child: pick_index(u8("beam", k, child), 1000) + 1
-    out = A.beam_classify(table(spark, base, "customer").select("c_custkey"), tree_edges(spark, base), "c_custkey", w, beam=3, depth=3)
+    out = A.beam_classify(spread(table(spark, base, "customer").select("c_custkey")), tree_edges(spark, base), "c_custkey", w, beam=3, depth=3)
     return out.select("c_custkey", "path", R6("prob"))
 
 

@@ -18,11 +18,12 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cores when it has fewer splits than the cluster has cores.
+    """Spread a scan over the cores when it has fewer than three splits a core.
 
-    For work that costs far more than a row shuffle. A large table has more splits than cores and is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    For work that costs far more than a row shuffle. All rows of a Parquet row group are read by one split, so of a few splits
+    only some may hold rows: their number alone does not show that the cores share the work. A large table has more splits and is left alone."""
+    tasks = 3 * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
 
 
 def load_split(df: DataFrame, split: str, split_col: str = "split", key: str | None = None, share: float = 1.0, cap: int | None = None) -> DataFrame:
