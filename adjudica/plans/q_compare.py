@@ -99,15 +99,19 @@ def ordered_answers(spark, base):
     """The three questions of every document, scored in every order: each sees the document and the questions before it."""
     split = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
     qs = F.array(*[F.struct(split(F.lit(t)).alias("ask"), F.array(*[split(F.lit(o)) for o in opts]).alias("options")) for t, opts in ORDER_QS])
+    asked = spark.range(1).select(qs.alias("qs")).scalar()  # one value of all rows: literals are not split again in each
     langs = F.array(*[F.lit(x) for x in ORDER_LANGS])
     i = F.col("doc_id").cast("int")
     golds = F.array(i % 2, (F.array_position(langs, F.col("lang")) - 1).cast("int"), i % 3)
-    d = spread(table(spark, base, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", golds.alias("golds"), split(F.col("text")).alias("w"), qs.alias("qs"))
+    # of a text only the words of some option can count: they are taken out before the rows are multiplied by the orders
+    of_options = F.array_distinct(F.flatten(F.flatten(F.transform("qs", lambda q: q["options"]))))
+    d = spread(table(spark, base, "documents").select("doc_id", "lang", "text")).withColumn("qs", asked)
+    d = d.select("doc_id", "lang", golds.alias("golds"), F.array_intersect(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), of_options).alias("w"), "qs")
     d = R.order_variants(d)
 
     def probs(q, j):
         known = F.array_union(F.col("w"), F.flatten(F.transform(F.filter("qs", lambda _, i: i < j), lambda p: p["ask"])))
-        return D.softmax(F.transform(q["options"], lambda o: F.size(F.array_intersect(o, known)).cast("double")))
+        return D.let(known, lambda k: D.let(F.transform(q["options"], lambda o: F.size(F.array_intersect(o, k)).cast("double")), lambda z: D.softmax(z)))
 
     return d.withColumn("p", F.transform("qs", probs)).select("doc_id", "lang", "golds", "variant", "perm", "p")
 

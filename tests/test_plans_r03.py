@@ -1,8 +1,12 @@
 """Work is done once a row and shared by the cores."""
+import math
+import re
+
 from pyspark.sql import functions as F
 
 from adjudica.functions.hashing import pick_index, u8
 from adjudica.operators import answers as A
+from adjudica.plans import q_compare as Q
 from adjudica.sources.tables import spread
 
 
@@ -26,3 +30,27 @@ def test_splits_without_rows_do_not_count_as_spread(spark):
     one = spark.createDataFrame(spark.sparkContext.parallelize([[(i,) for i in range(999)]] + [[]] * (cores - 1), cores).flatMap(lambda x: x), "i int")
     got = [r["n"] for r in spread(one).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
     assert one.rdd.getNumPartitions() == cores and sum(got) == 999 and max(got) < 999 / cores
+
+
+def softmaxes(text: str, seen: list[tuple[int, list[int]]]) -> dict[int, str]:
+    """Plain form of ordered answers: seen holds (question, questions before it)."""
+    words = lambda t: set(re.findall(r"[^\W_]+", t.lower()))
+    out = {}
+    for k, before in seen:
+        known = words(text).union(*[words(Q.ORDER_QS[b][0]) for b in before])
+        e = [math.exp(len(words(o) & known)) for o in Q.ORDER_QS[k][1]]
+        out[k] = ",".join(str(round(x / sum(e) * 1e6)) for x in e)
+    return out
+
+
+def test_only_words_of_options_go_through_the_orders(spark, tmp_path):
+    texts = ["The sea, THE road and the child", "der die und das", "nothing here", "", "la poet of a poet " * 50 + "x" * 1000]
+    rows = [(i, "en" if i % 2 else "de", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    d = Q.question_orders(spark, str(tmp_path))
+    assert "array_intersect(split(lower(text" in plan(d)  # the other words are not carried along
+    got = {r["doc_id"]: r for r in d.collect()}
+    for i, t in enumerate(texts):
+        for variant, seen in (("packed", [(0, []), (1, [0]), (2, [0, 1])]), ("reversed", [(2, []), (1, [2]), (0, [2, 1])]), ("alone", [(0, []), (1, []), (2, [])])):
+            want = softmaxes(t, seen)
+            assert got[i][variant] == ";".join(want[k] for k in range(3))
