@@ -54,3 +54,23 @@ def test_only_words_of_options_go_through_the_orders(spark, tmp_path):
         for variant, seen in (("packed", [(0, []), (1, [0]), (2, [0, 1])]), ("reversed", [(2, []), (1, [2]), (0, [2, 1])]), ("alone", [(0, []), (1, []), (2, [])])):
             want = softmaxes(t, seen)
             assert got[i][variant] == ";".join(want[k] for k in range(3))
+
+
+def test_independence_of_hand_made_texts(spark, tmp_path):
+    texts = ["the sea and the road", "der die und das Kind", "of a child of a poet", "other words only", "el mar de la costa"] * 4
+    rows = [(i, "en" if i % 2 else "de", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    scored = Q.ordered_answers(spark, str(tmp_path))
+    assert "array_intersect(split(lower(text" in plan(scored)  # the step it shares with question_orders
+    assert scored.count() == 5 * len(rows)
+    got = {r["task"]: r for r in Q.independence(spark, str(tmp_path)).collect()}
+    for lang in ("en", "de"):
+        right = []
+        for i, of, t in rows:
+            if of == lang:
+                p = softmaxes(t, [(0, []), (1, []), (2, [])])
+                golds = [i % 2, Q.ORDER_LANGS.index(lang), i % 3]
+                for k in range(3):
+                    values = [int(x) for x in p[k].split(",")]
+                    right.append(values.index(max(values)) == golds[k])
+        assert got[lang]["n"] == len(right) and got[lang]["acc_alone"] == round(sum(right) / len(right), 6)
