@@ -18,12 +18,18 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cores when it has fewer than three splits a core.
-
-    For work that costs far more than a row shuffle. All rows of a Parquet row group are read by one split, so of a few splits
-    only some may hold rows: their number alone does not show that the cores share the work. A large table has more splits and is left alone."""
-    tasks = 3 * df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
+    """Spread a scan over the cores when it has fewer than three splits a core, or when one split holds more than a core's share of the rows.
+
+    For work that costs far more than a row shuffle. All rows of a Parquet row group are read by one split, so of many splits
+    only some may hold rows: their number alone does not show that the cores share the work. The rows of each split are counted without
+    reading a column. A table whose splits share its rows is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 3 * cores:
+        splits = df.groupBy(F.spark_partition_id().alias("split")).agg(F.count(F.lit(1)).alias("n"))
+        most, rows = splits.agg(F.max("n"), F.sum("n")).first()
+        if not rows or most * cores <= rows:
+            return df
+    return df.repartition(3 * cores)
 
 
 def load_split(df: DataFrame, split: str, split_col: str = "split", key: str | None = None, share: float = 1.0, cap: int | None = None) -> DataFrame:

@@ -74,3 +74,24 @@ def test_independence_of_hand_made_texts(spark, tmp_path):
                     values = [int(x) for x in p[k].split(",")]
                     right.append(values.index(max(values)) == golds[k])
         assert got[lang]["n"] == len(right) and got[lang]["acc_alone"] == round(sum(right) / len(right), 6)
+
+
+def test_many_splits_of_one_row_group_are_spread(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    rows = [(i, "en", f"the sea and the road {i}") for i in range(999)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    small = {"spark.sql.files.maxPartitionBytes": "512", "spark.sql.files.openCostInBytes": "0"}
+    kept = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        one = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        assert one.rdd.getNumPartitions() >= 3 * cores  # many splits, one of which has all rows
+        got = [r["n"] for r in spread(one).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert sum(got) == 999 and max(got) < 999 / cores
+        even = spark.range(0, 999, 1, 3 * cores)
+        assert "Repartition" not in plan(spread(even))  # splits that share the rows are left alone
+        assert spread(one.filter("doc_id < 0")).count() == 0
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
