@@ -23,6 +23,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,8 @@ NO_KEY = 0xFFFFFFFF
 MANIFEST = "part int, seq int, file string, place long, size long, n_docs long, n_ids long"
 #: A character that is a pre-token of its own in the middle of words that do not hold it.
 FENCE = "0"
+#: Words of one text for the library: long texts take it longer a word.
+TOGETHER = 64
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -46,6 +49,19 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
+class Numbers(dict):
+    """Words by number, 0, 1, ... as they are first asked for; `new` holds those not encoded yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class Words:
     """Ids of words, each encoded once; `most` words are remembered, then the memory is cleared (a matter of speed alone)."""
 
@@ -57,32 +73,35 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
         self.ids, self.starts, self.sizes, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
-    def add(self, words: list[str]) -> None:
-        """Words without the fence are encoded as one text, fences between them; the others one by one."""
-        plain = [w for w in words if FENCE not in w] if len(self.fence) == 1 else []
-        rest = [w for w in words if FENCE in w] if plain else words
+    def library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def add(self, words: list[str], first: int) -> None:
+        """Words numbered from `first` on. Those without the fence are encoded as texts of some words, fences between them; the others one by one."""
+        place = np.arange(first, first + len(words))
+        fenced = np.array([FENCE in w for w in words], bool) if len(self.fence) == 1 else np.ones(len(words), bool)
+        plain = [w for w in words if FENCE not in w] if not fenced.all() else []
         got = []
         if plain:
-            ids = np.array(self.tokenizer.encode(f" {FENCE} ".join(plain), add_special_tokens=False).ids + self.fence, np.uint32)
+            texts = [f" {FENCE} ".join(plain[a:a + TOGETHER]) for a in range(0, len(plain), TOGETHER)]
+            ids = np.array([i for e in self.library(texts) for i in (*e, *self.fence)], np.uint32)
             cuts = np.flatnonzero(ids == self.fence[0])
             if len(cuts) == len(plain):
-                got.append((plain, ids[ids != self.fence[0]], np.diff(cuts, prepend=-1) - 1))
+                got.append((place[~fenced], ids[ids != self.fence[0]], np.diff(cuts, prepend=-1) - 1))
             else:  # a vocabulary in which the fence has another use
-                rest = words
-        if rest:
-            each = [e.ids for e in self.tokenizer.encode_batch(rest, add_special_tokens=False)]
-            got.append((rest, np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each], np.int64)))
-        for names, ids, sizes in got:
-            n, at = len(self.number), self.used
-            self.ids = grown(self.ids, at + len(ids))
-            self.starts, self.sizes = grown(self.starts, n + len(names)), grown(self.sizes, n + len(names))
-            self.ids[at:at + len(ids)] = ids
-            self.sizes[n:n + len(names)] = sizes
-            self.starts[n:n + len(names)] = at + sizes.cumsum() - sizes
-            self.number.update(zip(names, range(n, n + len(names))))
+                fenced[:] = True
+        if fenced.any():
+            each = self.library([w for w, alone in zip(words, fenced.tolist()) if alone])
+            got.append((place[fenced], np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each], np.int64)))
+        self.starts, self.sizes = grown(self.starts, first + len(words)), grown(self.sizes, first + len(words))
+        for places, ids, sizes in got:
+            self.ids = grown(self.ids, self.used + len(ids))
+            self.ids[self.used:self.used + len(ids)] = ids
+            self.sizes[places] = sizes
+            self.starts[places] = self.used + sizes.cumsum() - sizes
             self.used += len(ids)
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,12 +109,13 @@ class Words:
         if len(self.number) > self.most:
             self.clear()
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = [w for w in dict.fromkeys(w for ws in cut for w in ws) if w not in self.number]
-        if new:
-            self.add(new)
-        places = np.array([self.number[w] for ws in cut for w in ws], np.int64)
+        firsts = np.array([0, *map(len, cut)], np.int64).cumsum()
+        places = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int64, int(firsts[-1]))
+        firsts = firsts[:-1]
+        if self.number.new:
+            self.add(self.number.new, len(self.number) - len(self.number.new))
+            self.number.new = []
         sizes = self.sizes[places]
-        firsts = np.array([0, *map(len, cut)], np.int64).cumsum()[:-1]
         n = np.add.reduceat(sizes, firsts) if len(firsts) else np.zeros(0, np.int64)
         ends = (n + 1).cumsum()
         out = np.full(int(ends[-1]) if len(ends) else 0, end, np.uint32)

@@ -182,3 +182,15 @@ def test_another_fence(vocabulary):
     words.fence = [1, 2]
     ids, _ = words.encode(["a b0 c", "a"], 1)
     assert ids.tolist() == tokenfiles.Words(vocabulary).encode(["a b0 c", "a"], 1)[0].tolist()
+
+
+def test_words_go_to_the_library_once_in_short_texts(vocabulary):
+    words, sent = tokenfiles.Words(vocabulary, most=100_000), []
+    library = words.library
+    words.library = lambda texts: (sent.extend(texts), library(texts))[1]
+    names = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{'0' if i % 9 == 0 else ''}" for i in range(500)]
+    first, n = words.encode([" ".join(names), "", " ".join(reversed(names))], 1)
+    again, m = words.encode([" ".join(names), "new"], 1)
+    got = [w for t in sent for w in t.split(f" {tokenfiles.FENCE} ")]
+    assert sorted(got) == sorted({*names, "", "new"}) and max(t.count(f" {tokenfiles.FENCE} ") for t in sent) < tokenfiles.TOGETHER
+    assert len(sent) > 500 // tokenfiles.TOGETHER and again[:m[0]].tolist() == first[:n[0]].tolist() and n[1] == 1
