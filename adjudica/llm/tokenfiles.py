@@ -9,8 +9,12 @@ A segment is: the magic bytes ADJTOK01; 3 u32 (documents, blocks, bytes of the k
 key); a u64 of each document's ids; the keys (UTF-8); 6 u32 of each block (ids, alphabet, bytes of alphabet, bytes of code, crc32 of ids, crc32 of
 bytes); u32 crc32 of all before; the blocks. All numbers are little-endian.
 
-Tokenizing: a word (a stretch without blanks and line feeds) is encoded once a task by the tokenizer library and its ids are looked
+Tokenizing: a word (a stretch without blanks and line feeds) is encoded once by the tokenizer library and its ids are looked
 up afterwards. That equals encoding whole texts for tokenizers whose pre-tokens never reach over white space, as word-level BPE with word ends.
+For a tokenizer that normalizes and splits as `NORMALIZER` and `SPLITTER` say, a word of ASCII and letters of Latin-1 is cut into its pre-tokens
+(letters, a digit, signs) in lower case first, so that the library sees each of them once, however written and whatever stands beside it. Other words, such as
+those with an apostrophe, a vertical bar, a combining mark or letters of another script, go to the library as they are.
+A Python worker keeps its words from task to task.
 
 Defined results: null and empty texts have the end id alone. Rows without a key come first. Rows of one key stand in order of a hash of
 their text; repeated rows are stored as often as they occur, and are dealt over several tasks. A text of any length stays in one segment, so
@@ -19,6 +23,7 @@ the longest text bounds a task's memory. An empty table gives empty files and no
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -27,6 +32,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +47,17 @@ MANIFEST = "part int, seq int, file string, place long, size long, n_docs long,
 FENCE = "0"
 #: Words of one text for the library: long texts take it longer a word.
 TOGETHER = 64
+#: What a tokenizer does to a text before its merges, if `Pieces` may cut its words.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+#: Kinds of bytes. C3 leads the letters of Latin-1, and two signs that are told apart by their second byte.
+BLANK, LETTER, DIGIT, SIGN, ODD = range(5)
+KINDS = bytes(
+    BLANK if c in b" \n" else DIGIT if c in b"0123456789" else LETTER if chr(c).isalpha() and c < 128 or c == 0xC3 or 0x80 <= c < 0xC0 else SIGN if 32 < c < 127 and c not in b"'|" else ODD
+    for c in range(256))
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -79,9 +96,10 @@ class Words:
     def library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def add(self, words: list[str], first: int) -> None:
-        """Words numbered from `first` on. Those without the fence are encoded as texts of some words, fences between them; the others one by one."""
-        place = np.arange(first, first + len(words))
+    def lists(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Groups of the words: their places, their ids and the number of each word's ids. Words without the fence are encoded as texts of some
+        words, fences between them; the others one by one."""
+        place = np.arange(len(words))
         fenced = np.array([FENCE in w for w in words], bool) if len(self.fence) == 1 else np.ones(len(words), bool)
         plain = [w for w in words if FENCE not in w] if not fenced.all() else []
         got = []
@@ -96,8 +114,12 @@ class Words:
         if fenced.any():
             each = self.library([w for w, alone in zip(words, fenced.tolist()) if alone])
             got.append((place[fenced], np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each], np.int64)))
-        self.starts, self.sizes = grown(self.starts, first + len(words)), grown(self.sizes, first + len(words))
-        for places, ids, sizes in got:
+        return got
+
+    def add(self, groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """Remember the ids of words by number."""
+        self.starts, self.sizes = grown(self.starts, len(self.number)), grown(self.sizes, len(self.number))
+        for places, ids, sizes in groups:
             self.ids = grown(self.ids, self.used + len(ids))
             self.ids[self.used:self.used + len(ids)] = ids
             self.sizes[places] = sizes
@@ -109,14 +131,20 @@ class Words:
         if len(self.number) > self.most:
             self.clear()
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        firsts = np.array([0, *map(len, cut)], np.int64).cumsum()
-        places = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int64, int(firsts[-1]))
-        firsts = firsts[:-1]
+        counts = np.array([*map(len, cut)], np.int64)
+        places = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
         if self.number.new:
-            self.add(self.number.new, len(self.number) - len(self.number.new))
+            first = len(self.number) - len(self.number.new)
+            self.add([(first + which, ids, sizes) for which, ids, sizes in self.lists(self.number.new)])
             self.number.new = []
+        return self.put(places, counts, end)
+
+    def put(self, places: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """What `encode` returns, for texts of so many words with these numbers."""
         sizes = self.sizes[places]
-        n = np.add.reduceat(sizes, firsts) if len(firsts) else np.zeros(0, np.int64)
+        before = np.concatenate([[0], sizes.cumsum()])
+        lasts = counts.cumsum()
+        n = before[lasts] - before[lasts - counts]
         ends = (n + 1).cumsum()
         out = np.full(int(ends[-1]) if len(ends) else 0, end, np.uint32)
         inside = np.ones(len(out), bool)
@@ -125,6 +153,94 @@ class Words:
         return out, n + 1
 
 
+class Pieces(Words):
+    """Ids of pre-tokens, each encoded once, for a tokenizer that `fits`; words that are not cut stand beside them in the same memory."""
+
+    def __init__(self, tokenizer: str, most: int = 600_000):
+        super().__init__(tokenizer, most)
+        model = json.loads(tokenizer)["model"]
+        self.last = np.zeros(1 + max(model["vocab"].values()), bool)
+        self.last[[i for t, i in model["vocab"].items() if t.endswith(model["end_of_word_suffix"])]] = True
+
+    @staticmethod
+    def fits(tokenizer: str) -> bool:
+        """If the tokenizer normalizes and splits as this class does, and marks the last id of every pre-token."""
+        t = json.loads(tokenizer)
+        model, suffix = t["model"], t["model"].get("end_of_word_suffix")
+        if t["normalizer"] != NORMALIZER or t["pre_tokenizer"] != SPLITTER or t["truncation"] or t["padding"] or model["type"] != "BPE" or model["dropout"] or not suffix:
+            return False
+        if model["continuing_subword_prefix"] or not all("|" in a["content"] for a in t["added_tokens"]):
+            return False
+        signs = [*map(chr, range(33, 127)), "Ã", *(chr(c) for c in range(0xA1, 0xC0) if c != 0xAD), *(chr(c) for c in range(0x100, 0x144))]  # bytes as ByteLevel writes them
+        return all(c in model["vocab"] and c + suffix in model["vocab"] for c in signs) and suffix not in model["vocab"]
+
+    def cut(self, texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Pieces of all texts (binary), if each is a whole odd word, and the number of each text's pieces."""
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        data = b"\n".join([*raw, b""])
+        kinds, low = np.frombuffer(bytearray(data.translate(KINDS)), np.uint8), np.frombuffer(bytearray(data.translate(LOWER)), np.uint8)
+        was = np.frombuffer(data, np.uint8)
+        lead = np.flatnonzero(was == 0xC3)
+        second = was[lead + 1]
+        odd = np.concatenate([np.flatnonzero(kinds == ODD), lead[(second == 0x97) | (second == 0xB7)]])
+        capital = lead[second < 0x9F] + 1
+        low[capital] += 32
+        if len(odd):
+            blanks = np.flatnonzero(kinds == BLANK)
+            words = np.unique(np.searchsorted(blanks, odd))
+            starts = np.where(words > 0, blanks[words - 1] + 1, 0)
+            spans = ragged(starts, blanks[words] - starts)
+            kinds[spans], low[spans] = ODD, was[spans]
+        first = np.ones(len(data), bool)
+        np.not_equal(kinds[1:], kinds[:-1], out=first[1:])
+        first |= kinds == DIGIT
+        first = np.flatnonzero(first)
+        kind, sizes = kinds[first], np.diff(first, append=len(data))
+        kept = kind != BLANK
+        ends = sizes[kept].cumsum()
+        offsets = np.concatenate([[0], ends]).astype(np.int32)
+        body = low.tobytes().translate(None, b" \n")
+        pieces = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+        stops = np.searchsorted(first[kept], np.fromiter((len(t) + 1 for t in raw), np.int64, len(raw)).cumsum())
+        return pieces, kind[kept] == ODD, np.diff(stops, prepend=0)
+
+    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.number) > self.most:
+            self.clear()
+        pieces, odd, counts = self.cut(texts)
+        coded = pieces.dictionary_encode()
+        places, names = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = len(self.number)
+        numbers = np.fromiter(map(self.number.__getitem__, names), np.int64, len(names))
+        if self.number.new:
+            whole = np.zeros(len(names), bool)
+            whole[places[odd]] = True
+            whole = whole[numbers >= known]
+            groups = []
+            if whole.any():
+                place = known + np.flatnonzero(whole)
+                groups += [(place[which], ids, sizes) for which, ids, sizes in self.lists([w.decode("utf-8", "surrogatepass") for w, x in zip(self.number.new, whole) if x])]
+            plain = [w for w, x in zip(self.number.new, whole.tolist()) if not x]
+            if plain:
+                each = self.library([b" ".join(plain[a:a + TOGETHER]).decode("utf-8") for a in range(0, len(plain), TOGETHER)])
+                ids = np.fromiter(chain.from_iterable(each), np.uint32, sum(map(len, each)))
+                groups.append((known + np.flatnonzero(~whole), ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1)))
+            self.add(groups)
+            self.number.new = []
+        return self.put(numbers[places], counts, end)
+
+
+#: The words of this Python worker, by tokenizer; the last one used is kept.
+KEPT: dict[str, Words] = {}
+
+
+def words_of(tokenizer: str) -> Words:
+    if tokenizer not in KEPT:
+        KEPT.clear()
+        KEPT[tokenizer] = Pieces(tokenizer) if Pieces.fits(tokenizer) else Words(tokenizer)
+    return KEPT[tokenizer]
+
+
 def grown(a: np.ndarray, n: int) -> np.ndarray:
     return a if len(a) >= n else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
@@ -180,7 +296,7 @@ def write(df: DataFrame, key: str, text: str, tokenizer: str, end: int, folder:
         files, path = store(folder)
         files.create_dir(path, recursive=True)
         part, name = TaskContext.get().partitionId(), uuid.uuid4().hex
-        words, seq, out = Words(model.value), 0, None
+        words, seq, out = words_of(model.value), 0, None
         keys, sizes, ids, held = [], [], [], 0
 
         def close() -> pd.DataFrame:
@@ -203,7 +319,7 @@ def write(df: DataFrame, key: str, text: str, tokenizer: str, end: int, folder:
             a = 0
             while a < len(texts):
                 b, chars = a, 0
-                while b < len(texts) and (b == a or chars + len(texts[b]) <= 4_000_000):
+                while b < len(texts) and (b == a or chars + len(texts[b]) <= 8_000_000):
                     chars += len(texts[b])
                     b += 1
                 more, n = words.encode(texts[a:b], end)

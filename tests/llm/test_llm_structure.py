@@ -194,3 +194,31 @@ def test_words_go_to_the_library_once_in_short_texts(vocabulary):
     got = [w for t in sent for w in t.split(f" {tokenfiles.FENCE} ")]
     assert sorted(got) == sorted({*names, "", "new"}) and max(t.count(f" {tokenfiles.FENCE} ") for t in sent) < tokenfiles.TOGETHER
     assert len(sent) > 500 // tokenfiles.TOGETHER and again[:m[0]].tolist() == first[:n[0]].tolist() and n[1] == 1
+
+
+def test_pieces_equal_whole_texts_and_go_to_the_library_once(vocabulary):
+    from tokenizers import Tokenizer
+
+    whole, pieces, sent = Tokenizer.from_str(vocabulary), tokenfiles.Pieces(vocabulary, most=300), []
+    library = pieces.library
+    pieces.library = lambda texts: (sent.extend(texts), library(texts))[1]
+    rnd = random.Random(3)
+    signs = "aB09'.,|<> é ÉßÿÞ×÷ªº²½\n\t\x00\xa0!ş日́İΣ"
+    texts = [t or "" for t in ODD] + ["\n", " a", "a ", "É\u0301", "e\u0301", "a</w>b", "x'll", "!!??", "a|b"] + ["".join(rnd.choice(signs[:rnd.choice((11, 24, 60))]) for _ in range(rnd.randint(0, 60))) for _ in range(600)]
+    for some in (texts, texts[:3], [], [""], ["", ""], texts[::-1]):
+        ids, sizes = pieces.encode(some, 1)
+        want = [whole.encode(t, add_special_tokens=False).ids + [1] for t in some]
+        assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
+    pieces.clear()
+    sent.clear()
+    pieces.encode(["Über, über! ÜBER7 (uber)", "uber; 7", "ÜBER."], 1)
+    assert sorted(" ".join(sent).split()) == sorted(["über", ",", "!", "7", "(", "uber", ")", ";", "."])
+
+
+def test_other_tokenizers_keep_their_words(vocabulary):
+    assert tokenfiles.Pieces.fits(vocabulary)
+    for part, value in (("normalizer", None), ("pre_tokenizer", {"type": "Whitespace"}), ("added_tokens", [{"content": "re"}])):
+        assert not tokenfiles.Pieces.fits(json.dumps(json.loads(vocabulary) | {part: value}))
+    other = json.dumps(json.loads(vocabulary) | {"normalizer": {"type": "Lowercase"}})
+    assert type(tokenfiles.words_of(other)) is tokenfiles.Words and type(tokenfiles.words_of(vocabulary)) is tokenfiles.Pieces
+    assert tokenfiles.words_of(vocabulary) is tokenfiles.words_of(vocabulary)  # the next task of the worker finds its words
