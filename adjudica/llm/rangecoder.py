@@ -3,12 +3,13 @@
 Every block is coded by itself, from a reset model over its own alphabet (the sorted distinct ids, written before the code). For each
 id the model mixes three predictions into one distribution of total 2**24:
 
-* order 0: frequencies of the ids so far, counted anew after 32, 128 and 512 ids,
+* order 2: the id that last followed the previous two (a hashed table),
 * order 1: the id that last followed the previous one,
-* order 2: the id that last followed the previous two (a hashed table).
+* order 0: frequencies of the ids so far, counted anew after 32, 128 and 512 ids.
 
 The weights of orders 1 and 2 are learned per class of confidence (how often either prediction came true in a row, and whether both
-agree); order 0 has the rest, never less than 1/64, so every id of the alphabet can be coded. A carry-less range coder with 64-bit
+agree); order 0 has the rest, never less than 1/64, so every id of the alphabet can be coded. The predictions stand side by side, in this order, and an id
+takes its largest share: the decoder finds the prediction from two comparisons, and looks an id of order 0 up among 4,096 slots. A carry-less range coder with 64-bit
 state writes 32-bit words. All arithmetic is on integers, so the decoder sees the numbers of the encoder.
 
 Blocks of one call are coded in step, one block a lane: an id costs a share of some numpy calls rather than a Python loop.
@@ -30,22 +31,24 @@ LARGEST = 1 << 11
 COUNTED = (0, 32, 128, 512)
 #: First weights by confidence.
 FIRST = (0, 20_000, 40_000, 52_000)
+#: A remembered id has 11 bits; above them stands its confidence, that of order 1 two bits higher than that of order 2.
+ID, STEP2, STEP1 = LARGEST - 1, 1 << 11, 1 << 13
 WORD, LOW32 = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
 class Mixer:
     """Models of several blocks, a block a lane. Lanes are ordered by falling length, so the lanes still running are a prefix."""
 
-    def __init__(self, sizes: np.ndarray, longest: int):
+    def __init__(self, sizes: np.ndarray, longest: int, slots: bool):
         n = len(sizes)
-        self.sizes, self.width = sizes, int(sizes.max())
-        self.last = np.zeros(n * self.width, np.int32)
-        self.pair = np.zeros(n * TABLE, np.int32)
-        classes = [(FIRST[a], 0 if same else (FULL - FIRST[a]) * FIRST[b] // FULL) for a in range(4) for b in range(4) for same in (0, 1)]
-        self.weight2, self.weight1 = (np.tile(np.array([c[i] for c in classes], np.int64), n) for i in (0, 1))
+        self.sizes, self.width = sizes.astype(np.int32), int(sizes.max())
+        self.last = np.zeros(n * self.width, np.uint16)
+        self.pair = np.zeros(n * TABLE, np.uint16)
+        classes = [(0 if same else (FULL - FIRST[b]) * FIRST[a] // FULL, FIRST[b]) for same in (0, 1) for a in range(4) for b in range(4)]
+        self.weights = np.tile(np.array(classes, np.int32), (n, 1)).view(np.int64).ravel()  # those of orders 1 and 2 side by side
         self.span = np.zeros(n * self.width, np.int32)
-        self.slot = np.zeros(n * SLOTS, np.uint16)
-        self.seen = np.zeros((n, longest), np.uint16)
+        self.slot = np.zeros(n * SLOTS, np.uint16) if slots else None
+        self.seen = np.zeros((longest, n), np.uint16)
         self.s1, self.s2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.keep(n)
 
@@ -53,65 +56,48 @@ class Mixer:
         """Go on with the first n lanes."""
         lane = np.arange(n)
         self.n, self.b1, self.b2, self.bk, self.b0 = n, lane * self.width, lane * TABLE, lane * 32, lane * SLOTS
-        self.s1, self.s2 = self.s1[:n], self.s2[:n]
+        self.s1, self.s2, self.hits = self.s1[:n], self.s2[:n], np.zeros((n, 2), np.int32)
 
     def count(self, t: int) -> None:
         """Order 0 from the first t ids of every lane."""
         n, d = self.n, self.sizes[:self.n, None]
-        occ = np.bincount((self.b1[:, None] + self.seen[:n, :t]).ravel(), minlength=n * self.width).reshape(n, self.width)
-        f = np.where(np.arange(self.width) < d, 1 + ((occ * 8 + 1) * (SLOTS - d)) // (t * 8 + d), 0)
-        f[np.arange(n), self.sizes[:n] - 1] += SLOTS - f.sum(1)
-        end = f.cumsum(1)
-        self.span[:n * self.width] = (end - f | end << 16).ravel()
-        self.slot[:n * SLOTS] = np.repeat(np.tile(np.arange(self.width, dtype=np.uint16), n), f.ravel())
+        occ = np.bincount((self.b1 + self.seen[:t, :n]).ravel(), minlength=n * self.width).astype(np.int32).reshape(n, self.width)
+        f = np.where(np.arange(self.width, dtype=np.int32) < d, 1 + ((occ * 8 + 1) * (SLOTS - d)) // (t * 8 + d), 0).astype(np.int32)
+        f[np.arange(n), self.sizes[:n] - 1] += SLOTS - f.sum(1, dtype=np.int32)
+        self.span[:n * self.width] = (f.cumsum(1, dtype=np.int32) - f | f << 16).ravel()
+        if self.slot is not None:
+            self.slot[:n * SLOTS] = np.repeat(np.tile(np.arange(self.width, dtype=np.uint16), n), f.ravel())
 
     def predict(self) -> None:
         self.i1 = self.b1 + self.s1
         self.i2 = self.b2 + (self.s2 * 6007 + self.s1 & TABLE - 1)
         self.e1, self.e2 = self.last[self.i1], self.pair[self.i2]
-        self.p1, self.p2 = self.e1 & 0xFFFF, self.e2 & 0xFFFF
-        self.k = self.bk + ((self.e2 >> 16) * 8 + (self.e1 >> 16) * 2 + (self.p1 == self.p2))
-        self.a1, self.a2 = self.weight1[self.k], self.weight2[self.k]
-        self.w1, self.w2 = self.a1 * UNIT, self.a2 * UNIT
-        self.w0 = (1 << TOTAL_BITS) - self.w1 - self.w2
-
-    def ends(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end of an id in the order-0 part."""
+        self.p1, self.p2 = self.e1 & ID, self.e2 & ID
+        self.k = self.bk + (((self.e1 | self.e2) >> 11) + (self.p1 == self.p2) * np.uint16(16))
+        self.a = self.weights[self.k].view(np.int32).reshape(-1, 2)
+        self.w1, self.w2 = (self.a * UNIT).T.astype(np.int64)
+        self.w12 = self.w1 + self.w2
+        self.w0 = (1 << TOTAL_BITS) - self.w12 >> SLOT_BITS  # a slot of order 0
+
+    def plain(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of an id in the order-0 part."""
         span = self.span[self.b1 + s]
-        return (span & 0xFFFF) * self.w0 >> SLOT_BITS, (span >> 16) * self.w0 >> SLOT_BITS
-
-    def interval(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of an id in the mixed distribution."""
-        a, b = self.ends(s)
-        return a + self.w1 * (self.p1 < s) + self.w2 * (self.p2 < s), b - a + self.w1 * (self.p1 == s) + self.w2 * (self.p2 == s)
-
-    def find(self, v: np.ndarray) -> np.ndarray:
-        """The id whose interval holds v."""
-        rest, hits = v, []
-        for p, own, q, other in ((self.p1, self.w1, self.p2, self.w2), (self.p2, self.w2, self.p1, self.w1)):
-            a, b = self.ends(p)
-            first = a + other * (q < p)
-            after = first + b - a + own + other * (q == p)
-            hits.append((v >= first) & (v < after))
-            rest = rest - own * (v >= after)
-        x = (((rest + 1) << SLOT_BITS) - 1) // self.w0
-        s = self.slot[self.b0 + np.minimum(x, SLOTS - 1)].astype(np.int64)
-        return np.where(hits[1], self.p2, np.where(hits[0], self.p1, s))
+        return (span & 0xFFFF) * self.w0 + self.w12, (span >> 16) * self.w0
 
     def learn(self, t: int, s: np.ndarray) -> None:
-        is1, is2 = self.p1 == s, self.p2 == s
-        self.weight2[self.k] = self.a2 + ((is2 * FULL - self.a2) >> RATE)
-        self.weight1[self.k] = self.a1 + (((is1 & ~is2) * FULL - self.a1) >> RATE)
-        new = s | 1 << 16
-        self.last[self.i1] = np.where(is1, np.minimum(self.e1 + 65_536, self.p1 | 3 << 16), new)
-        self.pair[self.i2] = np.where(is2, np.minimum(self.e2 + 65_536, self.p2 | 3 << 16), new)
-        self.seen[:self.n, t] = s
+        low = s.astype(np.uint16)
+        is1, is2 = self.p1 == low, self.p2 == low
+        self.hits[:, 0], self.hits[:, 1] = is1 > is2, is2
+        self.weights[self.k] = (self.a + (self.hits * FULL - self.a >> RATE)).view(np.int64).ravel()
+        self.last[self.i1] = np.where(is1, np.minimum(self.e1 + np.uint16(STEP1), self.p1 | 3 * STEP1), low | STEP1)
+        self.pair[self.i2] = np.where(is2, np.minimum(self.e2 + np.uint16(STEP2), self.p2 | 3 * STEP2), low | STEP2)
+        self.seen[t, :self.n] = low
         self.s2, self.s1 = self.s1, s
 
 
-def run(sizes: list[int], lengths: list[int], step: Callable, shrink: Callable) -> Mixer:
+def run(sizes: list[int], lengths: list[int], step: Callable, shrink: Callable, slots: bool) -> Mixer:
     """All lanes to their ends; lengths fall."""
-    mixer = Mixer(np.array(sizes, np.int64), lengths[0])
+    mixer = Mixer(np.array(sizes, np.int64), lengths[0], slots)
     left, n = np.array(lengths), len(lengths)
     for t in range(lengths[0]):
         if left[n - 1] <= t:
@@ -132,9 +118,10 @@ def encode(blocks: list[np.ndarray], sizes: list[int]) -> list[bytes]:
     if not order:
         return out
     longest = len(blocks[order[0]])
-    plain = np.zeros((longest, len(order)), np.int64)
+    plain = np.zeros((len(order), longest), np.uint16)
     for lane, i in enumerate(order):
-        plain[:len(blocks[i]), lane] = blocks[i]
+        plain[lane, :len(blocks[i])] = blocks[i]
+    plain = np.ascontiguousarray(plain.T)
     words = np.zeros((len(order), longest + 4), "<u4")  # an id has at least 2**-20 of the range
     low, width, used = np.zeros(len(order), np.uint64), np.full(len(order), ~np.uint64(0)), np.zeros(len(order), np.int64)
     finished: dict[int, bytes] = {}
@@ -150,11 +137,17 @@ def encode(blocks: list[np.ndarray], sizes: list[int]) -> list[bytes]:
         low, width, used = low[:n], width[:n], used[:n]
 
     def step(m: Mixer, t: int) -> np.ndarray:
-        s = plain[t, :m.n]
-        start, size = m.interval(s)
+        s = plain[t, :m.n].astype(np.int64)
+        start, size = m.plain(s)
+        by1 = (m.p1 == s) & (m.w1 > size)
+        np.copyto(start, m.w2, where=by1)
+        np.copyto(size, m.w1, where=by1)
+        by2 = (m.p2 == s) & (m.w2 > size)
+        np.copyto(start, 0, where=by2)
+        np.copyto(size, m.w2, where=by2)
         unit = width >> np.uint64(TOTAL_BITS)
         low[:] += unit * start.view(np.uint64)
-        width[:] = unit * size.view(np.uint64)
+        np.multiply(unit, size.view(np.uint64), out=width)
         at = np.flatnonzero(width <= LOW32)
         if len(at):
             a, w = low[at], width[at]
@@ -164,7 +157,7 @@ def encode(blocks: list[np.ndarray], sizes: list[int]) -> list[bytes]:
             low[at], width[at] = a << WORD, w << WORD
         return s
 
-    run([sizes[i] for i in order], [len(blocks[i]) for i in order], step, shrink)
+    run([sizes[i] for i in order], [len(blocks[i]) for i in order], step, shrink, False)
     shrink(0)
     for lane, i in enumerate(order):
         out[i] = finished[lane]
@@ -178,35 +171,47 @@ def decode(codes: list[bytes], sizes: list[int], lengths: list[int]) -> list[np.
     if not order:
         return out
     parts = [np.frombuffer(codes[i], "<u4") for i in order]
-    words = np.zeros((len(order), max(map(len, parts)) + 4), np.uint64)
+    words = np.zeros((len(order), max(map(len, parts)) + 4), "<u4")
     for lane, p in enumerate(parts):
         words[lane, :len(p)] = p
     low, width, used = np.zeros(len(order), np.uint64), np.full(len(order), ~np.uint64(0)), np.full(len(order), 2)
-    code = words[:, 0] << WORD | words[:, 1]
+    above = words[:, 0].astype(np.uint64) << WORD | words[:, 1]  # the code less low
 
     def shrink(n: int) -> None:
-        nonlocal low, width, used, code
-        low, width, used, code = low[:n], width[:n], used[:n], code[:n]
+        nonlocal low, width, used, above
+        low, width, used, above = low[:n], width[:n], used[:n], above[:n]
 
     def step(m: Mixer, t: int) -> np.ndarray:
         unit = width >> np.uint64(TOTAL_BITS)
-        v = np.minimum((code - low) // unit, np.uint64((1 << TOTAL_BITS) - 1)).view(np.int64)
-        s = m.find(v)
-        start, size = m.interval(s)
-        low[:] += unit * start.view(np.uint64)
-        width[:] = unit * size.view(np.uint64)
+        rest = unit * m.w12.view(np.uint64)
+        by2, by12 = above < unit * m.w2.view(np.uint64), above < rest
+        x = (above - rest) // (unit * m.w0.view(np.uint64))
+        s = m.slot[m.b0 + np.minimum(x, np.uint64(SLOTS - 1)).view(np.int64)]
+        np.copyto(s, m.p1, where=by12)
+        np.copyto(s, m.p2, where=by2)
+        s = s.astype(np.int64)
+        start, size = m.plain(s)
+        np.copyto(start, m.w2, where=by12)
+        np.copyto(size, m.w1, where=by12)
+        np.copyto(start, 0, where=by2)
+        np.copyto(size, m.w2, where=by2)
+        gone = unit * start.view(np.uint64)
+        low[:] += gone
+        above[:] -= gone
+        np.multiply(unit, size.view(np.uint64), out=width)
         at = np.flatnonzero(width <= LOW32)
         if len(at):
             a, w = low[at], width[at]
             w = np.where((a ^ (a + w)) > LOW32, (~a + np.uint64(1)) & LOW32, w)
-            code[at] = code[at] << WORD | words[at, np.minimum(used[at], words.shape[1] - 1)]
+            above[at] = above[at] << WORD | words[at, np.minimum(used[at], words.shape[1] - 1)]
             used[at] += 1
             low[at], width[at] = a << WORD, w << WORD
         return s
 
-    mixer = run([sizes[i] for i in order], [lengths[i] for i in order], step, shrink)
+    mixer = run([sizes[i] for i in order], [lengths[i] for i in order], step, shrink, True)
+    seen = np.ascontiguousarray(mixer.seen.T)
     for lane, i in enumerate(order):
-        out[i] = mixer.seen[lane, :lengths[i]]
+        out[i] = seen[lane, :lengths[i]]
     return out
 
 
@@ -228,6 +233,18 @@ def varints(values: np.ndarray) -> bytes:
     return (sevens | (place < n[:, None] - 1) << 7).astype(np.uint8)[place < n[:, None]].tobytes()
 
 
+def places(parts: list[np.ndarray], alphabets: list[np.ndarray]) -> list[np.ndarray]:
+    """The place of every id in the alphabet of its block."""
+    top = max(int(a[-1]) for a in alphabets)
+    if top >= 1 << 20:
+        return [np.searchsorted(a, p) for p, a in zip(parts, alphabets)]
+    place, out = np.zeros(top + 1, np.uint16), []
+    for p, a in zip(parts, alphabets):
+        place[a] = np.arange(len(a))
+        out.append(place[p])
+    return out
+
+
 def pack_ids(ids: np.ndarray, block: int = LARGEST, lanes: int = 2048) -> tuple[np.ndarray, bytes]:
     """ids (u32) as blocks -> a table (number of ids, alphabet size, alphabet bytes, code bytes, crc32 of the ids, crc32 of the bytes) and the blocks' bytes."""
     if not 0 < block <= LARGEST:
@@ -235,11 +252,14 @@ def pack_ids(ids: np.ndarray, block: int = LARGEST, lanes: int = 2048) -> tuple[
     rows, body = [], []
     for group in range(0, len(ids), block * lanes):
         parts = [ids[a:a + block] for a in range(group, min(group + block * lanes, len(ids)), block)]
-        distinct = [np.unique(p, return_inverse=True) for p in parts]
-        codes = encode([places for _, places in distinct], [len(a) for a, _ in distinct])
-        for p, (alphabet, _), code in zip(parts, distinct, codes):
-            head = varints(np.diff(alphabet.astype(np.int64), prepend=0))
-            rows.append((len(p), len(alphabet), len(head), len(code), zlib.crc32(p.astype("<u4").tobytes()), zlib.crc32(head + code)))
+        alphabets = [np.unique(p) for p in parts]
+        sizes = [len(a) for a in alphabets]
+        codes = encode(places(parts, alphabets), sizes)
+        heads = varints(np.concatenate([np.diff(a.astype(np.int64), prepend=0) for a in alphabets]))
+        cuts = (np.flatnonzero(np.frombuffer(heads, np.uint8) < 128) + 1)[np.cumsum(sizes) - 1].tolist()
+        for p, size, a, b, code in zip(parts, sizes, [0, *cuts], cuts, codes):
+            head = heads[a:b]
+            rows.append((len(p), size, len(head), len(code), zlib.crc32(p.astype("<u4").tobytes()), zlib.crc32(head + code)))
             body += [head, code]
     return np.array(rows, "<u4").reshape(-1, 6), b"".join(body)
 
@@ -252,15 +272,16 @@ def unpack_ids(table: np.ndarray, body: bytes, lanes: int = 2048) -> np.ndarray:
         raise ValueError("the blocks have another length than their table says")
     for group in range(0, len(table), lanes):
         rows = table[group:group + lanes].astype(np.int64)
-        alphabets, codes = [], []
-        for i, (n, size, head, code, _, crc) in enumerate(rows.tolist(), group):
+        heads, codes = [], []
+        for i, (_, _, head, code, _, crc) in enumerate(rows.tolist(), group):
             raw = body[ends[i] - head - code:ends[i]]
             if zlib.crc32(raw) != crc:
                 raise ValueError(f"block {i}: its bytes are damaged")
-            alphabets.append(numbers(raw[:head], size).cumsum().astype("<u4"))
+            heads.append(raw[:head])
             codes.append(raw[head:])
-        for i, (places, alphabet) in enumerate(zip(decode(codes, rows[:, 1].tolist(), rows[:, 0].tolist()), alphabets), group):
-            ids = alphabet[places]
+        steps = np.split(numbers(b"".join(heads), int(rows[:, 1].sum())), rows[:, 1].cumsum()[:-1])
+        for i, (block, step) in enumerate(zip(decode(codes, rows[:, 1].tolist(), rows[:, 0].tolist()), steps), group):
+            ids = step.cumsum().astype("<u4")[block]
             if zlib.crc32(ids.tobytes()) != table[i, 4]:
                 raise ValueError(f"block {i}: its ids are not those that were written")
             out.append(ids)

@@ -5,7 +5,7 @@ end id to each, and writes segments of about `segment_ids` ids, each with an ind
 (rangecoder). A manifest row names file, place and size of each segment; the files of a failed attempt are in no manifest. The
 place of a segment among all ids is a prefix sum over the manifest. Reading deals segments over tasks and decodes them.
 
-A segment is: the magic bytes ADJTOK01; 3 u32 (documents, blocks, bytes of the keys); a u32 of each document's key bytes (2**32 - 1: no
+A segment is: the magic bytes ADJTOK02; 3 u32 (documents, blocks, bytes of the keys); a u32 of each document's key bytes (2**32 - 1: no
 key); a u64 of each document's ids; the keys (UTF-8); 6 u32 of each block (ids, alphabet, bytes of alphabet, bytes of code, crc32 of ids, crc32 of
 bytes); u32 crc32 of all before; the blocks. All numbers are little-endian.
 
@@ -40,7 +40,7 @@ from adjudica.llm import rangecoder
 from adjudica.llm.common import materialise
 from adjudica.sources.tables import shared_dir
 
-MAGIC = b"ADJTOK01"
+MAGIC = b"ADJTOK02"
 NO_KEY = 0xFFFFFFFF
 MANIFEST = "part int, seq int, file string, place long, size long, n_docs long, n_ids long"
 #: A character that is a pre-token of its own in the middle of words that do not hold it.
