@@ -33,6 +33,8 @@ COUNTED = (0, 32, 128, 512)
 FIRST = (0, 20_000, 40_000, 52_000)
 #: A remembered id has 11 bits; above them stands its confidence, that of order 1 two bits higher than that of order 2.
 ID, STEP2, STEP1 = LARGEST - 1, 1 << 11, 1 << 13
+#: The encoder sorts so many lanes, and mixes so many ids of every lane, at once (a divisor of the places in COUNTED).
+SOME_LANES, SOME_IDS = 128, 32
 WORD, LOW32 = np.uint64(32), np.uint64(0xFFFFFFFF)
 
 
@@ -111,56 +113,90 @@ def run(sizes: list[int], lengths: list[int], step: Callable, shrink: Callable,
     return mixer
 
 
+def remembered(ids: np.ndarray, contexts: np.ndarray, step: int) -> np.ndarray:
+    """What `Mixer.learn` would have left under the context of every place: the id that followed it last and its confidence. Lanes are rows."""
+    at = np.argsort(contexts, axis=1, kind="stable") + np.arange(len(ids))[:, None] * ids.shape[1]
+    c, g = contexts.ravel()[at], ids.ravel()[at]
+    met = c[:, 1:] == c[:, :-1]
+    again = met & (g[:, 1:] == g[:, :-1])
+    runs = np.ones(g.shape, np.uint16)
+    runs[:, 1:] += again
+    runs[:, 2:] += again[:, 1:] & again[:, :-1]
+    found = np.zeros_like(g)
+    found[:, 1:] = (g[:, :-1] | runs[:, :-1] * np.uint16(step)) * met
+    out = np.empty_like(ids)
+    out.ravel()[at] = found
+    return out
+
+
 def encode(blocks: list[np.ndarray], sizes: list[int]) -> list[bytes]:
-    """The code of every block; a block is an array of at most LARGEST places in an alphabet of sizes[i] ids."""
+    """The code of every block; a block is an array of at most LARGEST places in an alphabet of sizes[i] ids. All ids are known, so the predictions of
+    orders 1 and 2 come from sorting places by context; only the weights and the code itself go id by id."""
     out: list[bytes] = [b""] * len(blocks)
     order = sorted((i for i in range(len(blocks)) if len(blocks[i])), key=lambda i: -len(blocks[i]))
     if not order:
         return out
-    longest = len(blocks[order[0]])
-    plain = np.zeros((len(order), longest), np.uint16)
-    for lane, i in enumerate(order):
-        plain[lane, :len(blocks[i])] = blocks[i]
-    plain = np.ascontiguousarray(plain.T)
-    words = np.zeros((len(order), longest + 4), "<u4")  # an id has at least 2**-20 of the range
-    low, width, used = np.zeros(len(order), np.uint64), np.full(len(order), ~np.uint64(0)), np.zeros(len(order), np.int64)
-    finished: dict[int, bytes] = {}
-
-    def close(lane: int) -> None:
-        tail = np.array([low[lane] >> WORD, low[lane] & LOW32], np.uint64).astype("<u4")
-        finished[lane] = words[lane, :used[lane]].tobytes() + tail.tobytes()
-
-    def shrink(n: int) -> None:
-        nonlocal low, width, used
-        for lane in range(n, len(low)):
-            close(lane)
-        low, width, used = low[:n], width[:n], used[:n]
-
-    def step(m: Mixer, t: int) -> np.ndarray:
-        s = plain[t, :m.n].astype(np.int64)
-        start, size = m.plain(s)
-        by1 = (m.p1 == s) & (m.w1 > size)
-        np.copyto(start, m.w2, where=by1)
-        np.copyto(size, m.w1, where=by1)
-        by2 = (m.p2 == s) & (m.w2 > size)
-        np.copyto(start, 0, where=by2)
-        np.copyto(size, m.w2, where=by2)
-        unit = width >> np.uint64(TOTAL_BITS)
-        low[:] += unit * start.view(np.uint64)
-        np.multiply(unit, size.view(np.uint64), out=width)
-        at = np.flatnonzero(width <= LOW32)
-        if len(at):
-            a, w = low[at], width[at]
-            w = np.where((a ^ (a + w)) > LOW32, (~a + np.uint64(1)) & LOW32, w)
-            words[at, used[at]] = a >> WORD
-            used[at] += 1
-            low[at], width[at] = a << WORD, w << WORD
-        return s
-
-    run([sizes[i] for i in order], [len(blocks[i]) for i in order], step, shrink, False)
-    shrink(0)
+    lanes, longest = len(order), len(blocks[order[0]])
+    lengths = np.array([len(blocks[i]) for i in order])
+    plain = np.zeros((lanes, longest + 2), np.uint16)  # two zeros stand before each block
     for lane, i in enumerate(order):
-        out[i] = finished[lane]
+        plain[lane, 2:2 + len(blocks[i])] = blocks[i]
+    mixer = Mixer(np.array([sizes[i] for i in order], np.int64), 0, False)
+    mixer.seen, e1, e2 = (np.empty((longest, lanes), np.uint16) for _ in range(3))
+    for a in range(0, lanes, SOME_LANES):
+        s, s1, s2 = (plain[a:a + SOME_LANES, 2 - k:2 - k + longest] for k in range(3))
+        ids = np.ascontiguousarray(s)
+        mixer.seen[:, a:a + SOME_LANES] = s.T
+        e1[:, a:a + SOME_LANES] = remembered(ids, s1, STEP1).T
+        e2[:, a:a + SOME_LANES] = remembered(ids, s2 * np.uint16(6007) + s1 & np.uint16(TABLE - 1), STEP2).T
+    low, width = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
+    lane_of, words = [], []  # of every word that leaves a lane, in turn
+    weights = np.empty((SOME_IDS, lanes), np.int64)
+    for first in range(0, longest, SOME_IDS):
+        if first in COUNTED:
+            mixer.count(first)
+        ids, f1, f2 = (x[first:first + SOME_IDS] for x in (mixer.seen, e1, e2))
+        p1, p2 = f1 & ID, f2 & ID
+        is1, is2 = p1 == ids, p2 == ids
+        k = mixer.bk + (((f1 | f2) >> 11) + (p1 == p2) * np.uint16(16))
+        hits = np.empty((*ids.shape, 2), np.int32)
+        np.multiply(is1 > is2, FULL, out=hits[..., 0], casting="unsafe")
+        np.multiply(is2, FULL, out=hits[..., 1], casting="unsafe")
+        for t in range(len(ids)):
+            weights[t] = mixer.weights[k[t]]
+            a = weights[t].view(np.int32).reshape(-1, 2)
+            mixer.weights[k[t]] = (a + (hits[t] - a >> RATE)).view(np.int64).ravel()
+        w = weights[:len(ids)].view(np.int32).reshape(*ids.shape, 2) * UNIT
+        w1, w2 = w[..., 0].astype(np.int64), w[..., 1].astype(np.int64)
+        mixer.w12 = w1 + w2
+        mixer.w0 = (1 << TOTAL_BITS) - mixer.w12 >> SLOT_BITS
+        start, size = mixer.plain(ids)
+        is1 &= w1 > size
+        np.copyto(start, w2, where=is1)
+        np.copyto(size, w1, where=is1)
+        is2 &= w2 > size
+        np.copyto(start, 0, where=is2)
+        np.copyto(size, w2, where=is2)
+        start, size = start.view(np.uint64), size.view(np.uint64)
+        for t in range(len(ids)):
+            n = lanes if lengths[-1] > first + t else int((lengths > first + t).sum())
+            unit = width[:n] >> np.uint64(TOTAL_BITS)
+            low[:n] += unit * start[t, :n]
+            np.multiply(unit, size[t, :n], out=width[:n])
+            at = np.flatnonzero(width[:n] <= LOW32)
+            if len(at):
+                a, x = low.take(at), width.take(at)
+                tight = (a ^ (a + x)) > LOW32
+                if tight.any():
+                    x[tight] = (~a[tight] + np.uint64(1)) & LOW32
+                lane_of.append(at.astype(np.uint16 if lanes <= 1 << 16 else np.int64))
+                words.append((a >> WORD).astype("<u4"))
+                low[at], width[at] = a << WORD, x << WORD
+    lane_of = np.concatenate([*lane_of, np.repeat(np.arange(lanes), 2).astype(np.uint16 if lanes <= 1 << 16 else np.int64)])
+    words = np.concatenate([*words, np.stack([low >> WORD, low & LOW32], 1).astype("<u4").ravel()])
+    data, ends = words[np.argsort(lane_of, kind="stable")].tobytes(), 4 * np.bincount(lane_of, minlength=lanes).cumsum()
+    for i, a, b in zip(order, [0, *ends.tolist()], ends.tolist()):
+        out[i] = data[a:b]
     return out
 
 
@@ -171,11 +207,10 @@ def decode(codes: list[bytes], sizes: list[int], lengths: list[int]) -> list[np.
     if not order:
         return out
     parts = [np.frombuffer(codes[i], "<u4") for i in order]
-    words = np.zeros((len(order), max(map(len, parts)) + 4), "<u4")
-    for lane, p in enumerate(parts):
-        words[lane, :len(p)] = p
-    low, width, used = np.zeros(len(order), np.uint64), np.full(len(order), ~np.uint64(0)), np.full(len(order), 2)
-    above = words[:, 0].astype(np.uint64) << WORD | words[:, 1]  # the code less low
+    words, used = np.concatenate(parts), np.array([0, *map(len, parts)]).cumsum()[:-1]  # used: the next word of every lane
+    low, width = np.zeros(len(order), np.uint64), np.full(len(order), ~np.uint64(0))
+    above = words[used].astype(np.uint64) << WORD | words[used + 1]  # the code less low
+    used += 2
 
     def shrink(n: int) -> None:
         nonlocal low, width, used, above
@@ -201,10 +236,12 @@ def decode(codes: list[bytes], sizes: list[int], lengths: list[int]) -> list[np.
         np.multiply(unit, size.view(np.uint64), out=width)
         at = np.flatnonzero(width <= LOW32)
         if len(at):
-            a, w = low[at], width[at]
-            w = np.where((a ^ (a + w)) > LOW32, (~a + np.uint64(1)) & LOW32, w)
-            above[at] = above[at] << WORD | words[at, np.minimum(used[at], words.shape[1] - 1)]
-            used[at] += 1
+            a, w, next_word = low.take(at), width.take(at), used.take(at)
+            tight = (a ^ (a + w)) > LOW32
+            if tight.any():
+                w[tight] = (~a[tight] + np.uint64(1)) & LOW32
+            above[at] = above.take(at) << WORD | words.take(next_word, mode="clip")
+            used[at] = next_word + 1
             low[at], width[at] = a << WORD, w << WORD
         return s
 

@@ -143,6 +143,20 @@ def test_range_coder_finds_an_id_without_looking_through_the_predictions():
     assert len(codes[0]) < 200 and len(codes[2]) < 60  # all but certain ids cost next to nothing
 
 
+def test_remembered_ids_are_those_a_decoder_learns():
+    """The encoder sorts places by context; a table that goes id by id holds the same."""
+    rng = np.random.default_rng(6)
+    ids, contexts = rng.integers(0, 3, (5, 400)).astype(np.uint16), rng.integers(0, 9, (5, 400)).astype(np.uint16)
+    got = rangecoder.remembered(ids, contexts, rangecoder.STEP2)
+    for lane in range(5):
+        table = {}
+        for s, c, e in zip(ids[lane].tolist(), contexts[lane].tolist(), got[lane].tolist()):
+            p, sure = table.get(c, (0, 0))
+            assert e == p + sure * rangecoder.STEP2
+            table[c] = (s, min(3, sure + 1) if s == p else 1)
+    assert rangecoder.remembered(ids[:, :1], contexts[:, :1], 1).tolist() == [[0]] * 5
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     P = pytest.importorskip("public_tokenizers")
